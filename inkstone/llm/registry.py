@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from inkstone.llm import quality
+from inkstone.llm import decontaminate, quality
 
 
 def queries() -> dict:
-    return {"op5_quality": quality.op5_quality}
+    return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_quality": quality.op5_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.OP5_SQL}
+    return {
+        "op3_decontaminate": decontaminate.OP3_SQL,
+        "op5_quality": quality.OP5_SQL,
+    }
