@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from inkstone.llm import decontaminate, quality
+from inkstone.llm import decontaminate, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality": quality.op5_quality,
+        "op7_simhash": simhash.op7_simhash,
     }
 
 
