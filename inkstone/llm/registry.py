@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import decontaminate, quality, simhash
+from inkstone.llm import bpe, decontaminate, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality": quality.op5_quality,
         "op7_simhash": simhash.op7_simhash,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
