@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, decontaminate, quality, simhash
+from inkstone.llm import bpe, decontaminate, pii, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality": quality.op5_quality,
         "op7_simhash": simhash.op7_simhash,
