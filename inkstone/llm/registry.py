@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, decontaminate, pii, quality, simhash
+from inkstone.llm import bpe, decontaminate, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_pii": pii.op2_pii,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality": quality.op5_quality,
+        "op6_sharding": sharding.op6_sharding,
         "op7_simhash": simhash.op7_simhash,
         "op9_bpe": bpe.op9_bpe,
     }
