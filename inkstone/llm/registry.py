@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, decontaminate, pii, quality, sharding, simhash
+from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_sharding": sharding.op6_sharding,
         "op7_simhash": simhash.op7_simhash,
+        "op8_ctw": ctw.op8_ctw,
         "op9_bpe": bpe.op9_bpe,
     }
 
