@@ -5,7 +5,11 @@ On a cluster the session comes from outside; nothing here is applied to it.
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +29,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.checkpoint.dir", os.environ.get("INKSTONE_CHECKPOINT_DIR", "/tmp/inkstone-checkpoints"))
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable for Python workers on any machine; does nothing the second time."""
+    context = spark.sparkContext
+    if getattr(context, "_inkstone_shipped", False):
+        return spark
+    home = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(home.rglob("*.py")):
+            archive.write(path, f"{home.name}/{path.relative_to(home)}")
+    at = Path(tempfile.mkdtemp(prefix="inkstone-")) / "inkstone-package.zip"
+    at.write_bytes(packed.getvalue())
+    context.addPyFile(str(at))  # the driver serves it to executors
+    context._inkstone_shipped = True
+    return spark
