@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.session import ship
+
 #: ASCII white space that separates words, as a Java and RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Folder used only where the session names none (tests on one machine).
@@ -26,7 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash
+from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_pii": pii.op2_pii,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality": quality.op5_quality,
