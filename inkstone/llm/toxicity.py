@@ -9,8 +9,8 @@ the conditional likelihood with exact forward-backward marginals.
 Scoring runs over every token of every whole text. Tokens without features all have the same
 potentials, so stretches of them pass through a power of one 2 x 2 matrix: exact marginals cost
 time in proportion to the tokens with features. Document score: a logistic function, fitted on
-the same sample, of the chance that any token is toxic and of the expected number of toxic
-tokens. Offending offsets are the stretches of tokens with a marginal of one half or more.
+the same sample, of the highest marginal and of the number and share of tokens with a marginal
+of one half or more. Offending offsets are the stretches of tokens with a marginal of one half or more.
 
 Defined cases: null and empty texts have no tokens and get the score of a text without any
 feature; rows without a label (or a null one) are only scored; several labels of one id count
@@ -42,6 +42,8 @@ MOST_FEATURES, FALSE_SHARE = 2_000, 0.01
 #: Tokens to each side of a window, and most windows.
 REACH, WINDOWS = 8, 20_000
 PREFIXES = (3, 4, 5, 6)
+#: Stands for the logarithm of a share of none.
+LEAST = -9.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,8 +85,8 @@ class Chain:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -4.0
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    #: intercept and two slopes of the document score
-    link: tuple[float, float, float] = (-8.0, 0.0, 0.0)
+    #: intercept and slopes of the document score
+    link: tuple[float, ...] = (-8.0, 0.0, 0.0, 0.0)
 
     def emission(self, word: str) -> float | None:
         """Log-potential of state 1, or None for a word without features."""
@@ -129,16 +131,15 @@ class Chain:
                 behind /= behind.sum()
         return out[::-1]
 
-    def score(self, marginals: list[float]) -> float:
-        a, b, c = self.link
-        any_log, expected = evidence(marginals)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * any_log + c * expected))))
+    def score(self, marginals: list[float], n: int) -> float:
+        total = self.link[0] + sum(w * x for w, x in zip(self.link[1:], evidence(marginals, n), strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def evidence(marginals: list[float]) -> tuple[float, float]:
-    """Scaled chance that any token is toxic, and log of one more than the expected number."""
-    none = sum(math.log1p(-min(m, 1 - 1e-6)) for m in marginals)
-    return -math.expm1(none), math.log1p(sum(marginals))
+def evidence(marginals: list[float], n: int) -> tuple[float, float, float]:
+    """The highest marginal, and the toxic tokens (marginals of one half or more) as a logarithm and as a share of n tokens."""
+    toxic = sum(m for m in marginals if m >= 0.5)
+    return max(marginals, default=0.0), math.log1p(toxic), math.log((toxic + 0.01) / (n + 1)) if toxic else LEAST
 
 
 def tagged(chain: Chain, text: str | None, known: dict[str, float | None]) -> tuple[list[int], list[float], int]:
@@ -236,7 +237,7 @@ def trained(sample: DataFrame) -> Chain:
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         share = 1.0 if toxic else 0.0
-        return Chain(link=(40.0 * share - 20.0, 0.0, 0.0))
+        return Chain(link=(40.0 * share - 20.0, 0.0, 0.0, 0.0))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other = Counter(), Counter()
@@ -277,13 +278,13 @@ def trained(sample: DataFrame) -> Chain:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float | None] = {}
         for b in batches:
-            both = [evidence(tagged(chain, t.as_py(), known)[1]) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64()), b.column(1)], names=["x", "z", "toxic"])
+            all_told = [evidence(*tagged(chain, t.as_py(), known)[1:]) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in all_told], pa.float64()) for k in range(3)), b.column(1)], names=["x1", "x2", "x3", "toxic"])
 
-    rows = sample.mapInArrow(seen, "x double, z double, toxic int").groupBy("x", "z", "toxic").count().collect()
-    x = np.array([[r["x"], r["z"]] for r in rows for _ in range(r["count"])])
-    y = np.array([r["toxic"] for r in rows for _ in range(r["count"])], float)
-    order = np.lexsort((y, x[:, 1], x[:, 0]))
+    rows = sample.mapInArrow(seen, "x1 double, x2 double, x3 double, toxic int").collect()
+    x = np.array([tuple(r)[:3] for r in rows])
+    y = np.array([r["toxic"] for r in rows], float)
+    order = np.lexsort((y, *x.T))
     chain.link = tuple(float(v) for v in logistic(x[order], y[order]))
     return chain
 
@@ -297,8 +298,8 @@ def scored(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text"
             scores, spans = [], []
             for t in b.column(1):
                 whole = t.as_py()
-                places, marginals, _ = tagged(chain, whole, known)
-                scores.append(chain.score(marginals))
+                places, marginals, n = tagged(chain, whole, known)
+                scores.append(chain.score(marginals, n))
                 bad = {p: m for p, m in zip(places, marginals, strict=True) if m >= 0.5}
                 these: list[dict] = []
                 if bad:
