@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash, toxicity
+from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_simhash": simhash.op7_simhash,
         "op8_ctw": ctw.op8_ctw,
         "op9_bpe": bpe.op9_bpe,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op5_quality": quality.OP5_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
