@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import bpe, ctw, decontaminate, pii, quality, sharding, simhash, toxicity, warc
+from inkstone.llm import bpe, ctw, decontaminate, license, pii, quality, sharding, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_pii": pii.op2_pii,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_license": license.op4_license,
         "op5_quality": quality.op5_quality,
         "op6_sharding": sharding.op6_sharding,
         "op7_simhash": simhash.op7_simhash,
