@@ -1,20 +1,21 @@
 """Context-tree weighting over binary-decomposed bytes, trained on and applied to whole corpora.
 
 A text is a row of tokens: its words (A-Z lower-cased, split at ASCII white space) and one end.
-A word is spelt by its bytes and a blank, the end by a line feed. Each byte is eight binary
-decisions, and each decision is predicted in the context of the bytes before it, nearest
-first, back to the blank before the word and at most DEPTH deep. Every context of every depth
-keeps a Krichevsky-Trofimov estimate; the tree weights them by half at each node, exactly
-P = (KT + product of the children) / 2, so all depths mix. Contexts end at the blank, hence a
-word's probability is a function of the word, and the probability of a text is the product
-over its tokens. Frozen after training; ``score`` is log10 of that product.
+It is spelt as bytes: words joined by blanks, then a line feed. Each byte is eight binary
+decisions, and each decision is predicted in the context of the bytes before it, nearest first,
+at most DEPTH deep (line feeds before the text's start). Every context of every depth keeps a
+Krichevsky-Trofimov estimate; the tree weights them by half at each node, exactly
+P = (KT + product of the children) / 2, so all depths mix. The tree is frozen after training;
+``score`` is log10 of the product over a text's bytes, the probability of its row of tokens.
 
 How it scales: nothing unbounded is broadcast or collected.
-* ``lexed`` cuts the input into chunks and lists each chunk's distinct words once, so rows of a
-  corpus join the table of words through (chunk, word) pairs, and come back by chunk.
-* The words' spellings are cut the same way into chunks with their distinct byte grams.
+* Each task counts its distinct words and byte grams (a byte with its context), and the counts
+  are summed by a shuffle.
 * Grams are grouped by the two nearest context bytes; a group's subtree is weighted by itself.
   Only the tree's top (the root and 256 contexts of 255 decisions) is summed on the driver.
+* The most frequent words and grams, by a count threshold that keeps them under MOST_WORDS and
+  MOST_GRAMS, are broadcast. Whatever else a text has is joined with the full tables and added:
+  the result is the same for every value of these bounds.
 
 Defined cases: null text is empty (the end token only); an empty table, or one without training
 rows, gives probabilities of the untrained tree (one half a decision); repeated rows count
@@ -25,20 +26,22 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import documents, fold, shared_dir, stored
 
-DEPTH, FOLDS, HELD_OUT = 6, 7, 2
-END, BLANK = b"\n", 32
-#: Bytes of text (or spelling) in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+DEPTH, FOLDS, HELD_OUT = 5, 7, 2
+END = b"\n"
+#: Most entries that are broadcast: about 10 MB of words in a typical corpus (longer words are never broadcast), 48 MB of grams.
+MOST_WORDS, MOST_GRAMS, LONGEST_WORD = 1 << 17, 1 << 21, 64
+#: Bytes of text that a task handles at a time, and distinct words that it counts before it passes them on.
+BLOCK_BYTES, HELD_WORDS = 2 << 20, 1 << 20
 LN2 = math.log(2)
 
 
@@ -70,14 +73,20 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - math.log(math.pi)
 
 
-def grams_of(token: bytes, depth: int = DEPTH) -> list[int]:
-    """One code per byte of the spelling: 4 bits context length, the context's bytes, the byte."""
-    spelt = token if token == END else token + b" "
-    out, context = [], BLANK
-    for j, byte in enumerate(spelt):
-        n = min(depth, j + 1)
-        out.append(n << 56 | context << 8 | byte)
-        context = (context << 8 | byte) & ((1 << 8 * depth) - 1)
+def grams_of(spelt: bytes, depth: int = DEPTH) -> np.ndarray:
+    """One code per byte of spelt texts, each closed by a line feed: the depth bytes before it, then the byte.
+
+    Contexts stop at the text's start: bytes of the text before read as line feeds."""
+    raw = np.frombuffer(END * depth + spelt, np.uint8)
+    n = len(spelt)
+    out = np.zeros(n, np.int64)
+    ended = np.zeros(n, bool)
+    for k in range(depth + 1):
+        near = raw[depth - k : depth - k + n]
+        if k:
+            ended |= near == 10
+            near = np.where(ended, np.uint8(10), near)
+        out |= near.astype(np.int64) << (8 * k)
     return out
 
 
@@ -91,66 +100,56 @@ def _node_keys(grams: np.ndarray, d: int) -> list[tuple[np.ndarray, np.ndarray]]
 def subtree(grams: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Prediction of each gram's eight bits as seen from depth top, and (keys, log weights, zeros, ones) of the nodes there.
 
-    All grams that share a node at depth top must be given, with contexts of at least that length."""
-    length = grams >> 56
-    tables: dict[int, list[np.ndarray]] = {}
+    All grams that share a node at depth top must be given."""
+    tables: dict[int, tuple[np.ndarray, ...]] = {}
+    seen = counts > 0
     for d in range(top, depth + 1):
-        reach = np.nonzero((length >= d) & (counts > 0))[0]
-        pairs = _node_keys(grams[reach], d)
+        pairs = _node_keys(grams[seen], d)
         keys, bits = np.concatenate([k for k, _ in pairs]), np.concatenate([b for _, b in pairs])
-        # a context that ends at the blank is a leaf: all its grams have exactly this length
-        leaf = np.tile((length[reach] == d) | (d == depth), 8)
         unique, at = np.unique(keys, return_inverse=True)
-        weight = np.tile(counts[reach], 8).astype(np.float64)
+        weight = np.tile(counts[seen], 8).astype(np.float64)
         ones = np.bincount(at, weights=weight * bits, minlength=len(unique)).astype(float)
         zeros = np.bincount(at, weights=weight * (1 - bits), minlength=len(unique)).astype(float)
-        is_leaf = np.zeros(len(unique), bool)
-        is_leaf[at] = leaf
-        tables[d] = [unique, zeros, ones, log_kt(zeros, ones), is_leaf]
-    weights: dict[int, np.ndarray] = {}
+        tables[d] = (unique, zeros, ones)
+    stop: dict[int, np.ndarray] = {}
     for d in range(depth, top - 1, -1):
-        unique, _, _, kt, is_leaf = tables[d]
+        unique, zeros, ones = tables[d]
+        kt = log_kt(zeros, ones)
         if d == depth:
-            tables[d].append(kt)
-            weights[d] = np.ones(len(unique))
-            continue
-        below = tables[d + 1]
-        parent = ((below[0] >> 8) & ((1 << 8 * d) - 1)) << 8 | (below[0] & 255)
-        children = np.bincount(np.searchsorted(unique, parent), weights=below[5], minlength=len(unique))
-        log_weight = np.where(is_leaf, kt, np.logaddexp(kt, children) - LN2)
-        tables[d].append(log_weight)
-        weights[d] = np.where(is_leaf, 1.0, np.exp(kt - LN2 - log_weight))
+            log_weight, stop[d] = kt, np.ones(len(unique))
+        else:
+            parent = ((below >> 8) & ((1 << 8 * d) - 1)) << 8 | (below & 255)
+            children = np.bincount(np.searchsorted(unique, parent), weights=log_weight, minlength=len(unique))
+            log_weight = np.logaddexp(kt, children) - LN2
+            stop[d] = np.exp(kt - LN2 - log_weight)
+        below = unique
     predicted = np.full((len(grams), 8), 0.5)
     for d in range(depth, top - 1, -1):
-        reach = np.nonzero(length >= d)[0]
-        unique, zeros, ones = tables[d][:3]
+        unique, zeros, ones = tables[d]
         if not len(unique):
             continue
-        for b, (key, bit) in enumerate(_node_keys(grams[reach], d)):
+        for b, (key, bit) in enumerate(_node_keys(grams, d)):
             at = np.minimum(np.searchsorted(unique, key), len(unique) - 1)
-            seen = unique[at] == key
             kt = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
-            w = weights[d][at]
-            below = predicted[reach, b]
-            predicted[reach, b] = np.where(seen, w * kt + (1 - w) * below, 0.5)
-    unique, zeros, ones, _, _, log_weight = tables[top]
+            mixed = stop[d][at] * kt + (1 - stop[d][at]) * predicted[:, b]
+            predicted[:, b] = np.where(unique[at] == key, mixed, 0.5)
+    unique, zeros, ones = tables[top]
     return predicted, (unique, log_weight, zeros, ones)
 
 
 class Top:
     """The root and the contexts of one byte: dense tables, whatever the corpus."""
 
-    def __init__(self, sums: list[tuple[int, float, float, float, bool]]) -> None:
-        """sums: (context byte << 8 | bits so far, sum of the children's log weights, zeros, ones, whether a leaf)."""
-        zeros, ones, below, leaf = (np.zeros(1 << 16) for _ in range(4))
-        for key, log_weight, a, b, is_leaf in sums:
+    def __init__(self, sums: list[tuple[int, float, float, float]]) -> None:
+        """sums: (context byte << 8 | bits so far, sum of the children's log weights, zeros, ones)."""
+        zeros, ones, below = (np.zeros(1 << 16) for _ in range(3))
+        for key, log_weight, a, b in sums:
             below[key] += log_weight
             zeros[key] += a
             ones[key] += b
-            leaf[key] = is_leaf
         kt = log_kt(zeros, ones)
-        log_weight = np.where(leaf > 0, kt, np.logaddexp(kt, below) - LN2)
-        self.stop1 = np.where(leaf > 0, 1.0, np.exp(kt - LN2 - log_weight))
+        log_weight = np.logaddexp(kt, below) - LN2
+        self.stop1 = np.exp(kt - LN2 - log_weight)
         self.zeros1, self.ones1 = zeros, ones
         self.zeros0, self.ones0 = zeros.reshape(256, 256).sum(0), ones.reshape(256, 256).sum(0)
         log_weight[(zeros + ones) == 0] = 0
@@ -172,168 +171,188 @@ class Top:
         return total
 
 
-# ---- chunks ----
-
-
-def _numbered(lists: list[list], counted: list[int]) -> tuple[list[np.ndarray], dict]:
-    """Each list as numbers into the distinct items, and {item: [number, count]}."""
-    known: dict = {}
-    out = []
-    for items, n in zip(lists, counted, strict=True):
-        numbers = []
-        for x in items:
-            e = known.get(x)
-            if e is None:
-                e = known[x] = [len(known), 0]
-            e[1] += n
-            numbers.append(e[0])
-        out.append(np.array(numbers, np.int32))
-    return out, known
-
-
-def lexed(rows: DataFrame, split, item_type: str) -> tuple[DataFrame, DataFrame]:
-    """rows (id, unit, n) as (chunk, id, n, numbers), and (chunk, no, item, n) of each chunk's distinct items; written once.
-
-    split maps a unit to its items; n says how often the unit's items count."""
-    spark = rows.sparkSession
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"kind int, chunk long, id {id_type}, n long, numbers array<int>, no int, item {item_type}"
-    arrow_id = {"bigint": pa.int64(), "binary": pa.binary()}[id_type]
-    arrow_item = {"bigint": pa.int64(), "binary": pa.binary()}[item_type]
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 24
-
-        def done(ids: list, counts: list[int], lists: list[list]) -> Iterator[pa.RecordBatch]:
-            numbers, known = _numbered(lists, counts)
-            n, m = len(ids), len(known)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*numbers, np.empty(0, np.int32)])))
-            whole = lambda x, k, t: pa.array(np.full(k, x), t)
-            yield pa.RecordBatch.from_arrays([whole(0, n, pa.int32()), whole(chunk, n, pa.int64()), pa.array(ids, arrow_id), pa.array(counts, pa.int64()), flat, pa.nulls(n, pa.int32()), pa.nulls(n, arrow_item)], names=["kind", "chunk", "id", "n", "numbers", "no", "item"])
-            yield pa.RecordBatch.from_arrays([whole(1, m, pa.int32()), whole(chunk, m, pa.int64()), pa.nulls(m, arrow_id), pa.array([e[1] for e in known.values()], pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(m), pa.int32()), pa.array(list(known), arrow_item)], names=["kind", "chunk", "id", "n", "numbers", "no", "item"])
-
-        ids, counts, lists, size = [], [], [], 0
-        for b in batches:
-            for i, unit, n in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                value = unit.as_py()
-                ids.append(i.as_py())
-                counts.append(n.as_py())
-                lists.append(split(value))
-                size += len(value or "") + 16
-                if size >= CHUNK_BYTES:
-                    yield from done(ids, counts, lists)
-                    chunk += 1
-                    ids, counts, lists, size = [], [], [], 0
-        if ids:
-            yield from done(ids, counts, lists)
-
-    path = f"{shared_dir(spark)}/inkstone-{uuid.uuid4().hex}/lexed"
-    rows.select("id", "unit", "n").mapInArrow(made, schema).write.partitionBy("kind").parquet(path)
-    read = spark.read.schema(schema).parquet(path)
-    return read.filter("kind = 0").select("chunk", "id", "n", "numbers"), read.filter("kind = 1").select("chunk", "no", "item", "n")
-
-
-def gathered(units: DataFrame, values: DataFrame, reduce, schema: str) -> DataFrame:
-    """reduce(units of a chunk, values of its items in order of no) by chunk."""
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        return reduce(left, right.take(pa.compute.sort_indices(right, sort_keys=[("no", "ascending")])))
-
-    import pyarrow.compute  # noqa: F401
-
-    units, values = (df.withColumn("chunk", F.col("chunk") + 0) for df in (units, values))  # columns of their own: both come from one table
-    return units.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(one, schema)
-
-
-def _sums(left: pa.Table, values: np.ndarray) -> np.ndarray:
-    """Per row, the sum of its items' values."""
-    numbers = left.column("numbers").combine_chunks()
-    sizes = np.diff(numbers.offsets.to_numpy())
-    each = values[numbers.flatten().to_numpy()]
-    out = np.zeros(len(sizes))
-    full = np.nonzero(sizes)[0]
-    if len(full):
-        out[full] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
-    return out
-
-
-# ---- training and scoring ----
-
-
 def weighted(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, log10 probability of its byte) for every gram of (gram, n); grams with n = 0 are only predicted."""
+    """(gram, n, log10 probability of its byte) for every gram of (gram, n); grams with n = 0 are only predicted."""
     spark = grams.sparkSession
-    # the two nearest context bytes; a context of one byte (the blank) has a group of its own
-    group = F.when(F.shiftright("gram", 56) >= 2, F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))).otherwise(F.lit(-1)).alias("group")
 
     def tree(table: pa.Table) -> pa.Table:
         codes, counts = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        if table.column("group")[0].as_py() < 0:
-            deep = np.full((len(codes), 8), 0.5)
-            _, (keys, _, zeros, ones) = subtree(codes, counts, 1, 1)
-            sums = (keys, np.zeros(len(keys)), zeros, ones, np.ones(len(keys), bool))
-        else:
-            deep, (keys, logs, zeros, ones) = subtree(codes, counts, 2, depth)
-            sums = (((keys >> 8) & 255) << 8 | (keys & 255), logs, zeros, ones, np.zeros(len(keys), bool))
+        deep, (keys, logs, zeros, ones) = subtree(codes, counts, 2, depth)
+        keys = ((keys >> 8) & 255) << 8 | (keys & 255)
         n, m = len(codes), len(keys)
-        raw = np.ascontiguousarray(deep, np.float32).tobytes()
-        low = pa.table({"kind": np.zeros(n, np.int32), "gram": codes, "bits": pa.array([raw[32 * i : 32 * i + 32] for i in range(n)], pa.binary()), "key": pa.nulls(n, pa.int64()), "log_weight": pa.nulls(n, pa.float64()), "zeros": pa.nulls(n, pa.float64()), "ones": pa.nulls(n, pa.float64()), "leaf": pa.nulls(n, pa.bool_())})
-        high = pa.table({"kind": np.ones(m, np.int32), "gram": pa.nulls(m, pa.int64()), "bits": pa.nulls(m, pa.binary()), "key": sums[0], "log_weight": sums[1], "zeros": sums[2], "ones": sums[3], "leaf": sums[4]})
+        raw = np.ascontiguousarray(deep, np.float32)
+        low = pa.table({"kind": np.zeros(n, np.int32), "gram": codes, "n": counts, "bits": pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(raw)]).cast(pa.binary()), "key": pa.nulls(n, pa.int64()), "log_weight": pa.nulls(n, pa.float64()), "zeros": pa.nulls(n, pa.float64()), "ones": pa.nulls(n, pa.float64())})
+        high = pa.table({"kind": np.ones(m, np.int32), "gram": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "bits": pa.nulls(m, pa.binary()), "key": keys, "log_weight": logs, "zeros": zeros, "ones": ones})
         return pa.concat_tables([low, high])
 
-    schema = "kind int, gram long, bits binary, key long, log_weight double, zeros double, ones double, leaf boolean"
+    schema = "kind int, gram long, n long, bits binary, key long, log_weight double, zeros double, ones double"
     path = f"{shared_dir(spark)}/inkstone-{uuid.uuid4().hex}/tree"
+    group = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("group")
     grams.select("gram", "n", group).groupBy("group").applyInArrow(tree, schema).write.partitionBy("kind").parquet(path)
     read = spark.read.schema(schema).parquet(path)
-    sums = read.filter("kind = 1").groupBy("key").agg(F.sum("log_weight"), F.sum("zeros"), F.sum("ones"), F.max("leaf"))
-    top = Top([tuple(r) for r in sums.collect()])  # 256 * 255 rows at most
+    sums = read.filter("kind = 1").groupBy("key").agg(F.sum("log_weight"), F.sum("zeros"), F.sum("ones"))
+    top = Top([tuple(r) for r in sorted(sums.collect())])  # 256 * 255 rows at most
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = b.column(0).to_numpy()
-            deep = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(len(codes), 8).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top.log10(codes, deep))], names=["gram", "log10"])
+            deep = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(len(codes), 8).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.log10(codes, deep))], names=["gram", "n", "log10"])
+
+    return read.filter("kind = 0").select("gram", "n", "bits").mapInArrow(finished, "gram long, n long, log10 double")
 
-    return read.filter("kind = 0").select("gram", "bits").mapInArrow(finished, "gram long, log10 double")
 
+# ---- counting and scoring ----
 
-def word_table(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, n, log10) for all words of (word, n); trained on those with n > 0."""
-    spelt, grams = lexed(words.select(F.col("word").alias("id"), F.col("word").alias("unit"), "n"), lambda w: grams_of(w, depth), "bigint")
-    all_grams = grams.groupBy(F.col("item").alias("gram")).agg(F.sum("n").alias("n"))
-    priced = weighted(all_grams, depth)
-    values = grams.join(priced, F.col("item") == F.col("gram")).select("chunk", "no", "log10")
 
-    def spell(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.table({"word": left.column("id"), "n": left.column("n"), "log10": _sums(left, right.column("log10").to_numpy())})
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(other columns of each row, tokens of each row) for stretches of about BLOCK_BYTES; text is the first column."""
+    rows, lists, size = [], [], 0
+    for b in batches:
+        for text, *rest in zip(*b.columns, strict=True):
+            value = text.as_py()
+            rows.append([x.as_py() for x in rest])
+            lists.append(tokens(value))
+            size += len(value or "")
+            if size >= BLOCK_BYTES:
+                yield rows, lists
+                rows, lists, size = [], [], 0
+    if rows:
+        yield rows, lists
 
-    return gathered(spelt, values, spell, "word binary, n long, log10 double")
 
+def spelling(lists: list[list[bytes]]) -> bytes:
+    return b"".join([b" ".join(words[:-1]) + END for words in lists])
 
-def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+
+def counted(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(word or null, gram or null, n) of (text, trains): counts in training rows; 0 for what only other rows have."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            n, m = len(words), len(codes)
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.array(codes), pa.array(counts, pa.int64())], names=["word", "gram", "n"])
+
+        for told_rows, lists in _blocks(batches):
+            for trains in (True, False):
+                own = [x for (t,), x in zip(told_rows, lists, strict=True) if bool(t) == trains]
+                if trains:
+                    for x in own:
+                        words.update(x)
+                else:
+                    for w in {w for x in own for w in x}:
+                        words[w] += 0
+                new, n = np.unique(grams_of(spelling(own), depth), return_counts=True)
+                both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n * trains]), minlength=len(both)).astype(np.int64)
+                codes = both
+            if len(words) >= HELD_WORDS or len(codes) >= 4 * HELD_WORDS:
+                yield from told()
+                words.clear()
+                codes, counts = codes[:0], counts[:0]
+        yield from told()
+
+    return rows.select("text", "trains").mapInArrow(made, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+
+
+def _threshold(table: DataFrame, most: int) -> int:
+    """Least power of two such that at most so many rows have n of at least that."""
+    sizes = table.agg(*[F.count_if(F.col("n") >= 1 << j).alias(str(j)) for j in range(62)]).first()
+    return 1 << next(j for j in range(62) if sizes[j] <= most)
+
+
+class GramTable:
+    """Open-addressing table of 8-byte codes and 4-byte values in two arrays, looked up many at a time."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(1, (2 * max(1, len(codes)) - 1).bit_length())
+        self.codes = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        left, slots = np.arange(len(codes)), self._slots(codes)
+        while len(left):
+            free = self.codes[slots] == -1
+            self.codes[slots[free]] = codes[left[free]]  # of several, one stays
+            done = self.codes[slots] == codes[left]
+            self.values[slots[done]] = values[left[done]]
+            left, slots = left[~done], (slots[~done] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where absent), and the places of absent codes."""
+        slots = self._slots(codes)
+        there = self.codes[slots]
+        out = np.where(there == codes, self.values[slots], np.float32(0))
+        left = np.nonzero((there != codes) & (there != -1))[0]
+        absent = [np.nonzero(there == -1)[0]]
+        slots = slots[left]
+        while len(left):
+            slots = (slots + 1) & ((1 << self.bits) - 1)
+            there, code = self.codes[slots], codes[left]
+            hit, end = there == code, there == -1
+            out[left[hit]] = self.values[slots[hit]]
+            absent.append(left[end])
+            more = ~(hit | end)
+            left, slots = left[more], slots[more]
+        return out, np.concatenate(absent)
+
+
+def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text", depth: int = DEPTH, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(id, trains, n_tokens, n_known, train_tokens, base_score, score, n_bytes); trains names a boolean column."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("unit"), F.col(trains).cast("long").alias("n"))
-    units, words = lexed(rows, tokens, "binary")
-    vocabulary = stored(words.groupBy(F.col("item").alias("word")).agg(F.sum("n").alias("n")), "vocabulary")
-    known = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    total, spread = known["all"], known["all"] + known["distinct"] + 1
-    table = word_table(vocabulary, depth).withColumnRenamed("n", "count")
-    values = words.join(table, F.col("item") == F.col("word")).select("chunk", "no", "count", "log10", F.length("word").alias("bytes"))
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        count, log10, size = (right.column(c).to_numpy() for c in ("count", "log10", "bytes"))
-        base = np.log10((count + 1) / spread)
-        whole = lambda values: np.rint(_sums(left, values)).astype(np.int64)
-        return pa.table({
-            "id": left.column("id"), "n": left.column("n"), "n_tokens": whole(np.ones(len(count))), "n_known": whole((count > 0).astype(float)),
-            "base_score": _sums(left, base), "score": _sums(left, log10), "n_bytes": whole(size + 1.0) - 1,
-        })
-
-    out = gathered(units, values, summed, "id long, n long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(trains), F.lit(False)).alias("trains"), F.col(id).cast("long").alias("id"))
+    tallies = stored(counted(rows, depth), "tallies")
+    words, grams = tallies.filter("word is not null").select("word", "n"), tallies.filter("word is null").select("gram", "n")
+    known = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n") > 0).alias("distinct")).first()
+    total, spread = known["all"], math.log10(known["all"] + known["distinct"] + 1)
+    tree = stored(weighted(grams, depth), "grams")
+    often = words.filter((F.col("n") >= _threshold(words, most_words)) & (F.length("word") <= LONGEST_WORD)).toArrow()
+    found = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist(), strict=True))
+    dense = tree.filter(F.col("n") >= _threshold(tree, most_grams)).select("gram", F.col("log10").cast("float").alias("log10")).toArrow()
+    sent = spark.sparkContext.broadcast((found, GramTable(dense.column("gram").to_numpy(), dense.column("log10").to_numpy())))
+    del often, found, dense
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, table = sent.value
+        get = frequent.get
+        for told, lists in _blocks(batches):
+            base, known, rare, score, left = [], [], [], [], []
+            spelt = [b" ".join(x[:-1]) + END for x in lists]
+            codes = grams_of(b"".join(spelt), depth)
+            values, absent = table.find(codes)
+            ends = np.cumsum([len(x) for x in spelt])
+            starts = np.concatenate([[0], ends[:-1]])
+            score = np.add.reduceat(values.astype(np.float64), starts)
+            absent.sort()
+            cuts = np.searchsorted(absent, np.concatenate([starts, ends[-1:]]))
+            for x in lists:
+                each = [get(w) for w in x]
+                there = [v for v in each if v is not None]
+                base.append(math.fsum(there))
+                known.append(len(there))
+                rare.append([w for w, v in zip(x, each, strict=True) if v is None] if len(there) < len(x) else [])
+            left = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(codes[absent]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t[1] for t in told], pa.int64()), pa.array([t[0] for t in told]), pa.array([len(x) for x in lists], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(score), pa.array(rare, pa.list_(pa.binary())), left],
+                names=["id", "trains", "n_tokens", "n_bytes", "base", "known", "score", "rare", "left"],
+            )
+
+    schema = "id long, trains boolean, n_tokens long, n_bytes long, base double, known long, score double, rare array<binary>, left array<long>"
+    most = stored(rows.mapInArrow(looked_up, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    more_words = most.select("row", F.explode("rare").alias("word")).join(words, "word").select("row", F.log10(F.col("n") + 1).alias("base"), (F.col("n") > 0).cast("long").alias("known"), zero.alias("score"))
+    more_grams = most.select("row", F.explode("left").alias("gram")).join(tree, "gram").select("row", zero.alias("base"), none.alias("known"), F.col("log10").alias("score"))
+    more = more_words.unionAll(more_grams).groupBy("row").agg(F.sum("base").alias("base2"), F.sum("known").alias("known2"), F.sum("score").alias("score2"))
+    out = most.drop("rare", "left").join(more, "row", "left")
+    score = (F.col("score") + F.coalesce("score2", zero)).alias("score")
     return out.select(
-        F.col("id").alias(id), (F.col("n") > 0).alias(trains), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes",
-        (F.col("score") * (-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("id").alias(id), F.col("trains").alias(trains), "n_tokens", (F.col("known") + F.coalesce("known2", none)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base2", zero) - F.col("n_tokens") * F.lit(spread)).alias("base_score"), score, "n_bytes", (score * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
