@@ -21,6 +21,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from inkstone.llm.common import documents
 MEMORY = 1_000_000
 #: Words longer than this are not kept.
 KEPT_WORD = 64
+#: Rows that are passed on together.
+ROWS_A_BATCH = 500
 #: Rank of a pair that does not merge.
 NONE = 1 << 60
 
@@ -163,19 +166,24 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs plus ids (array<int>) and tokens_text, the decoded text; the columns of docs stay as they are."""
-    own = docs.columns
+def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_tokens, ids (array<int>), decoded (the text that the ids stand for); one row per row of docs."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in batches:
-            ids = [bpe.encode(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], names=["_row", "_ids", "_decoded"])
+            for at in range(0, b.num_rows, ROWS_A_BATCH):
+                ids, decoded = [], []
+                for t in b.column(1).slice(at, ROWS_A_BATCH):
+                    words = [w for w in bpe.parts(t.as_py()) if w[0]]
+                    ids.append(np.fromstring(" ".join([w[1] for w in words]), np.int32, sep=" ") if words else np.empty(0, np.int32))
+                    decoded.append(" ".join([w[2] for w in words]))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, ROWS_A_BATCH), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(decoded, pa.string())], names=[id, "n_tokens", "ids", "decoded"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = rows.select("_row", F.array().cast("array<int>").alias("_ids"), F.lit("").alias("_decoded")).schema
-    return rows.mapInArrow(made, schema).select("_row.*", F.col("_ids").alias("ids"), F.col("_decoded").alias("decoded"))
+    rows = docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(made, f"`{id}` long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -109,7 +109,7 @@ class Forest:
         return a != b
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, packed: np.ndarray, bits: int) -> list[tuple[int, int]]:
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, packed: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside equal keys; rows are sorted by key and first coordinate."""
     n, forest, links = len(fps), Forest(len(fps)), []
     coords = packed.view(np.uint8).reshape(n, 8).astype(np.int16)
@@ -125,28 +125,30 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, packed: np.ndarray, bits: in
             a = a[np.abs(coords[a, k] - coords[a + step, k]) <= bits]
         a = a[np.bitwise_count((fps[a] ^ fps[a + step]).view(np.uint64)) <= bits]
         a = a[forest.roots(a) != forest.roots(a + step)]
-        links += [(int(fps[i]), int(fps[i + step])) for i in a.tolist() if forest.join(i, i + step)]
+        links += [(int(nodes[i]), int(nodes[i + step])) for i in a.tolist() if forest.join(i, i + step)]
     return links
 
 
-def links(distinct: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints fp of distinct that are linked; at most rows - 1 of each bucket."""
+def links(rows: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between nodes that connect all linked rows (node, fp, family); families do not meet.
+
+    At most rows - 1 edges of each bucket."""
     masks = block_masks(bits)
-    keyed = distinct.select("fp", _packed_distances().alias("d"), F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
-    keyed = keyed.select("fp", "d", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.lit(0).cast("long").alias("part"))
+    keyed = rows.select("node", "fp", "family", _packed_distances().alias("d"), F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("choice", "mask"))
+    keyed = keyed.select("node", "fp", "d", (F.col("family") * len(masks) + F.col("choice")).alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.lit(0).cast("long").alias("part"))
     large = keyed.groupBy("choice", "key").agg(F.count("fp").alias("n")).filter(F.col("n") > tile)
     large = stored(large, "large")
     if not large.isEmpty():
         tiles = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("long")
-        own = F.pmod(F.xxhash64("fp"), F.col("t"))
+        own = F.pmod(F.xxhash64("node"), F.col("t"))
         parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - 1), lambda o: F.least(o, F.col("own")) * F.col("t") + F.greatest(o, F.col("own")))
-        keyed = keyed.drop("part").join(large, ["choice", "key"], "left").withColumn("t", tiles).withColumn("own", own).select("fp", "d", "choice", "key", F.explode(parts).alias("part"))
+        keyed = keyed.drop("part").join(large, ["choice", "key"], "left").withColumn("t", tiles).withColumn("own", own).select("node", "fp", "d", "choice", "key", F.explode(parts).alias("part"))
     # xxhash64 of the three names the bucket; a clash only makes a bucket larger
-    dealt = keyed.select(F.xxhash64("choice", "key", "part").alias("key"), "fp", "d")
+    dealt = keyed.select(F.xxhash64("choice", "key", "part").alias("key"), "node", "fp", "d")
     dealt = dealt.repartition("key").sortWithinPartitions("key", F.col("d").bitwiseAND(F.lit(255)))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
@@ -163,13 +165,68 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
     """(id, fp, component_id): component_id is the least id in the class (null only if all its ids are)."""
     rows = stored(fingerprints(docs, id, text, shingle), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(distinct, bits, tile)).select(F.col("node").alias("fp"), "root")
+    edges = links(distinct.select(F.col("fp").alias("node"), "fp", F.lit(0).alias("family")), bits, tile)
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     members = named.join(least, "root").select("fp", "component_id")
     return rows.join(members, "fp").select("id", "fp", "component_id")
 
 
+# ---- near copies of whole documents ----
+
+#: Fingerprint words of 64 bits, bits in which one of them may differ, and bits in which all may: a tenth of the bits differ at a
+#: cosine of 0.95, an eighth at 0.92; texts whose five-word shingles have a Jaccard similarity of 0.8 lie at about 0.93.
+WIDE, WIDE_BITS, WIDE_TOTAL = 4, 6, 36
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Four fingerprint words of the 128-bit XXH3 hashes, under two seeds, of all word shingles."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return [0] * WIDE
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    digest = xxhash.xxh3_128_digest
+    parts = [joined] if len(words) <= shingle else [joined[a : b - 1] for a, b in zip(starts, starts[shingle:], strict=False)]
+    total = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, n, 4096):
+        raw = b"".join([digest(p, SEED) + digest(p, SEED + 1) for p in parts[at : at + 4096]])
+        total += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(0, dtype=np.int64)
+    packed = np.packbits(total * 2 > n).tobytes()
+    return [int.from_bytes(packed[8 * k : 8 * k + 8], "big", signed=True) for k in range(WIDE)]
+
+
+def deduplicated(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """docs less all but one row of each group of near copies: the one of the least doc_id stays.
+
+    Two texts are near copies if one of their four fingerprint words differs in at most WIDE_BITS bits and all
+    together in at most WIDE_TOTAL; groups are connected. Columns stay as they are. Null ids give way to others."""
+    words = [f"f{k}" for k in range(WIDE)]
+    no_id = (1 << 63) - 1
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([wide_fingerprint(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, k].copy()) for k in range(WIDE))], names=["id", "text_hash", *words])
+
+    text = F.col("text").cast("string")
+    id, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)), F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = stored(docs.select(id.alias("id"), text_hash.alias("text_hash"), text.alias("text")).mapInArrow(hashed, "id long, text_hash long, " + ", ".join(f"{w} long" for w in words)), "wide")
+    least = rows.groupBy(*words).agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    nodes = stored(least.withColumn("node", F.xxhash64(*words)), "nodes")
+    each = F.posexplode(F.array(*words)).alias("family", "fp")
+    edges = stored(links(nodes.select("node", each), WIDE_BITS, tile), "links")
+    own = lambda side: nodes.select(F.col("node").alias(side), *[F.col(w).alias(f"{w}{side}") for w in words])
+    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    near = edges.join(own("a"), "a").join(own("b"), "b").filter(apart <= WIDE_TOTAL).select("a", "b")
+    named = nodes.join(components(near), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), id.alias("_kept_id"), text_hash.alias("_kept_hash"))
+    # a repeated row of the same id and text is a copy too
+    return whole.join(kept, ["_kept_id", "_kept_hash"]).dropDuplicates(["_kept_id", "_kept_hash"]).select("_row.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
