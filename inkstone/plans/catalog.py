@@ -1,16 +1,426 @@
-"""Registry of the queries built on the reference's own operators."""
+"""Registry of the queries built on the reference's own operators, over the fixture tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    """Placeholder until the first query is registered."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkstone.functions import text as T
+from inkstone.functions import urls as U
+from inkstone.functions.lexicons import FIXTURE, STOPWORDS
+from inkstone.operators import analytics, classify, compose, dedup, grounding, ingest, score, vector
+from inkstone.plans.oracles import SQL
+from inkstone.sources.fixtures import articles, drafts, images, table, vectors
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return score.scored(classify.relevance(articles(s, d), FIXTURE), FIXTURE)
+
+
+def _relevant(s: SparkSession, d: str) -> DataFrame:
+    return ingest.relevant(_scored(s, d))
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """Classified, scored and ranked articles, the ten best."""
+    return score.ranked(_scored(s, d)).select("id", "category", "article_score", "rank").filter("rank <= 10")
+
+
+@query
+def validate_articles(s, d):
+    e = ingest.validation_errors()
+    return articles(s, d).select("id", F.array_join(e, ",").alias("errors"), (F.size(e) == 0).alias("valid"))
+
+
+@query
+def date_window(s, d):
+    return articles(s, d).select("id", ingest.in_window(F.col("published_date")).alias("inside"))
+
+
+@query
+def ingest_funnel(s, d):
+    a = articles(s, d)
+    return ingest.funnel(a, a.filter("id % 20 = 0"))
+
+
+@query
+def insert_if_absent(s, d):
+    a = articles(s, d).select("id", "url")
+    return ingest.new_rows(a, a.filter("id % 20 = 0"))
+
+
+@query
+def article_exists(s, d):
+    a = articles(s, d).select("id", "url")
+    return ingest.known_rows(a, a.filter("id % 20 = 0"))
+
+
+@query
+def delete_by_predicate(s, d):
+    a = articles(s, d)
+    return ingest.without_title(a, a.agg(F.min("title")).first()[0]).select("id")
+
+
+@query
+def upsert(s, d):
+    a = articles(s, d).select("id", F.lit("old").alias("origin"), F.lit(0).alias("seq"))
+    return ingest.upserted(a, a.filter("id % 2 = 0").withColumn("origin", F.lit("new"))).select("id", "origin")
+
+
+@query
+def text_forms(s, d):
+    c = F.col("content")
+    return articles(s, d).select("id", F.md5(T.normalized(c)).alias("normal"), F.md5(T.normalized_hyphens(c)).alias("hyphens"), F.md5(T.normalized_words(c)).alias("words"), T.word_count(c).alias("n"))
+
+
+@query
+def markup_strip(s, d):
+    i = F.col("id").cast("string")
+    raw = F.concat(F.lit("**"), "title", F.lit("**  and  [Source "), i, F.lit("] more , text [source 2]."))
+    return articles(s, d).select("id", T.without_markup(raw).alias("plain"))
+
+
+@query
+def lexicon_score(s, d):
+    rows = classify.lexicon_scores(classify.prepared(articles(s, d)), FIXTURE)
+    return rows.select("id", "region_score", F.col("_title_region").alias("title_region"), F.array_join("_region_terms", ",").alias("region_terms"), *classify.RAW, "irrelevant_score")
+
+
+@query
+def theme_classify(s, d):
+    rows = classify.theme_scores(classify.prepared(articles(s, d)), FIXTURE)
+    return rows.select("id", F.col("_themes").cast("string").alias("themes"), "theme_max", "theme")
+
+
+@query
+def relevance(s, d):
+    return classify.relevance(articles(s, d), FIXTURE).select("id", "relevance_score", "relevant", "category", "reason_terms")
+
+
+@query
+def generic_content(s, d):
+    return classify.prepared(articles(s, d)).select("id", classify.is_generic("_plain_title", "_plain_words", FIXTURE).alias("generic"))
+
+
+@query
+def title_first_category(s, d):
+    return classify.relevance(articles(s, d), FIXTURE).select("id", classify.title_first(FIXTURE).alias("category"))
+
+
+@query
+def editorial_category(s, d):
+    return classify.editorial(articles(s, d), FIXTURE).select("id", "editorial_category")
+
+
+@query
+def editorial_category_counts(s, d):
+    return classify.category_counts(classify.editorial(articles(s, d), FIXTURE), "editorial_category")
+
+
+@query
+def score_components(s, d):
+    return _scored(s, d).select("id", *[f"{k}_part" for k in ("region", "theme", "security", "freshness", "source", "content")])
+
+
+@query
+def composite_score(s, d):
+    return _scored(s, d).select("id", "category", "article_score")
+
+
+@query
+def persisted_scores(s, d):
+    return score.persisted(_scored(s, d)).select("id", "article_score", "theme_part", "security_part", "freshness_part", "source_part", "content_part")
+
+
+@query
+def article_rank(s, d):
+    return score.ranked(_scored(s, d).select("id", "relevance_score", "article_score", "published_date")).select("id", "rank")
+
+
+@query
+def top_articles(s, d):
+    return analytics.top(_relevant(s, d).select("id", "article_score"))
+
+
+@query
+def stats_overall(s, d):
+    return analytics.overall(_relevant(s, d))
+
+
+@query
+def stats_category(s, d):
+    return analytics.shares(_relevant(s, d), "category")
+
+
+@query
+def stats_source(s, d):
+    return analytics.shares(_relevant(s, d), "source")
+
+
+@query
+def stats_daily(s, d):
+    return analytics.daily(_relevant(s, d))
+
+
+@query
+def stats_entity_group(s, d):
+    return analytics.group_coverage(articles(s, d), FIXTURE.groups)
+
+
+@query
+def source_appendix(s, d):
+    return analytics.source_rows(articles(s, d))
+
+
+@query
+def category_lines(s, d):
+    return analytics.category_lines(_relevant(s, d))
+
+
+@query
+def word_totals(s, d):
+    return analytics.word_totals(articles(s, d))
+
+
+@query
+def edition_metadata(s, d):
+    return analytics.edition(articles(s, d))
+
+
+@query
+def sentences(s, d):
+    return articles(s, d).select("id", T.sentences(F.col("content")).alias("x")).select("id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("joined"))
+
+
+@query
+def keywords(s, d):
+    return articles(s, d).select("id", F.array_join(T.keywords(F.col("title"), STOPWORDS), " ").alias("keywords"))
+
+
+@query
+def query_variants(s, d):
+    asked = T.cleaned_query(F.concat(F.lit("Write an article about "), "title", F.lit(" using only retrieved evidence.")))
+    return articles(s, d).select("id", asked.alias("q")).select("id", "q", F.array_join(T.query_variants(F.col("q"), STOPWORDS), "|").alias("variants"))
+
+
+@query
+def citations(s, d):
+    i = F.col("id")
+    raw = F.concat("title", F.lit(" [Source "), (i % 7).cast("string"), F.lit("] and [source  "), (i % 5).cast("string"), F.lit("] [Source x]"))
+    return articles(s, d).select("id", F.array_join(T.citations(raw).cast("array<string>"), ",").alias("cited"), T.without_citations(raw).alias("plain"))
+
+
+@query
+def numbers_and_dates(s, d):
+    raw = F.concat("content", F.lit(" On 5 March 2024, 2023-01-02 and 12/11/2020 it was 50% of 3.5 km in 1999."))
+    return articles(s, d).select("id", F.array_join(T.numbers(raw), ",").alias("numbers"), F.array_join(T.dates(raw), ",").alias("dates"))
+
+
+@query
+def entities(s, d):
+    return articles(s, d).select("id", F.array_join(grounding.entities(F.col("content"), FIXTURE.security_hits), ",").alias("entities"))
+
+
+@query
+def citation_sets(s, d):
+    i = F.col("id")
+    rows = articles(s, d).select("id", F.array(i % 3, i % 4, F.lit(9).cast("long")).alias("x"), F.array_distinct(F.array(i % 4, i % 5)).alias("y"))
+    return rows.select(
+        "id", F.array_sort(F.array_except("x", "y")).cast("string").alias("missing"), F.array_sort(F.array_except("y", "x")).cast("string").alias("invalid"),
+        (F.array_sort(F.array_distinct("x")) == F.array_sort("y")).alias("agree"),
+    )
+
+
+@query
+def url_discovery(s, d):
+    return ingest.discovered(table(s, d, "pages"))
+
+
+@query
+def url_parts(s, d):
+    u = F.col("url")
+    return table(s, d, "pages").select("page_id", U.host(u).alias("host"), U.domain(u).alias("domain"), U.path(u).alias("path"), U.query(u).alias("query"), U.is_article(u).alias("article"))
+
+
+@query
+def domain_tier(s, d):
+    return table(s, d, "pages").select("page_id", U.source_priority(F.col("url")).alias("tier"))
+
+
+@query
+def image_urls(s, d):
+    p, i = F.col("page_id"), F.col("page_id").cast("string")
+    tail = F.when(p % 4 == 0, F.concat(F.lit("/images/Photo-"), i, F.lit(".JPG?w=300&v="), i, F.lit("#x"))).when(p % 4 == 1, "/static/logo.png").when(p % 4 == 2, F.concat(F.lit("/media/"), i)).otherwise(F.concat(F.lit("/a/"), i, F.lit("-jpg.webp?b=2&a=1")))
+    u = F.concat(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1), tail)
+    return table(s, d, "pages").select("page_id", U.is_image(u).alias("probable"), U.image_identity(u).alias("identity"))
+
+
+@query
+def html_extract(s, d):
+    return ingest.extracted(table(s, d, "pages"))
+
+
+@query
+def dedup_exact_text(s, d):
+    return dedup.exact_text(articles(s, d))
+
+
+@query
+def survivor_choice(s, d):
+    return dedup.survivors(articles(s, d).select("id", "url", (F.col("id") * 37 % 11).alias("score"), F.length("content").alias("n")), "url").select("id", "url")
+
+
+@query
+def dedup_fuzzy(s, d):
+    return dedup.deduplicated(articles(s, d).withColumn("score", F.col("id") * 37 % 101))
+
+
+@query
+def semantic_pairs(s, d):
+    return vector.similar_pairs(vectors(s, d), 0.4).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def vector_topk(s, d):
+    v = vectors(s, d)
+    return vector.top_k(v.filter("id % 100 = 0"), v, 5).select("query_id", "id", F.round("similarity", 5).alias("similarity"), "place")
+
+
+@query
+def retrieval_metrics(s, d):
+    v = vectors(s, d)
+    hits = vector.top_k(v.filter("id % 100 = 0"), v, 5, own=False)
+    hits = hits.join(v.select("id", "label"), "id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    return vector.retrieval_metrics(hits.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("place"))).alias("relevant_place")))
+
+
+@query
+def retrieve(s, d):
+    """Titles of every hundredth article as questions, over hashed embeddings, with the lexical fallback."""
+    a = _scored(s, d).select("id", "title", "category", "source", "content", "article_score")
+    corpus = vector.embedded(a.withColumn("t", F.concat_ws("\n\n", "title", "content")), "t").filter("embedding is not null").select("id", "embedding")
+    asked = a.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    variants = asked.select("query_id", F.posexplode(T.query_variants(F.col("query"), STOPWORDS)).alias("variant", "v"))
+    wanted = vector.embedded(variants, "v").filter("embedding is not null").select((F.col("query_id") * 8 + F.col("variant")).alias("id"), "embedding")
+    hits = vector.top_k(wanted, corpus, 9).select(F.expr("query_id div 8").alias("query_id"), (F.col("query_id") % 8).alias("variant"), "id", "similarity")
+    hits = vector.merged(hits).join(a.select("id", "title", "category", "source", "article_score"), "id").join(asked, "query_id")
+    found = vector.retrieved(hits)
+    rest = vector.lexical_fallback(hits.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+    return found.select("query_id", "id", F.lit("similarity").alias("how"), F.round("similarity", 4).alias("value")).unionAll(rest.select("query_id", "id", F.lit("lexical"), F.round("lexical", 4)))
+
+
+@query
+def claim_grounding(s, d):
+    made, sources = drafts(s, d)
+    return grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits).withColumn("errors", F.array_join("errors", "; "))
+
+
+@query
+def draft_verdicts(s, d):
+    made, sources = drafts(s, d)
+    judged = grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits)
+    return grounding.draft_verdicts(made, judged).withColumn("missing_ids", F.col("missing_ids").cast("string")).withColumn("invalid_ids", F.col("invalid_ids").cast("string"))
+
+
+@query
+def draft_status(s, d):
+    made, sources = drafts(s, d)
+    body = F.to_json(F.struct(F.lit("A headline").alias("headline"), "article", "source_ids"))
+    answers = made.select("draft_id", F.when(F.col("draft_id") % 11 == 0, "no json").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("answer"))
+    parsed = grounding.parsed_drafts(answers)
+    judged = grounding.verified(grounding.claims(parsed.filter("structure_error is null")), sources, terms=FIXTURE.security_hits)
+    verdicts = grounding.draft_verdicts(parsed.filter("structure_error is null"), judged)
+    return grounding.draft_status(parsed, verdicts, sources.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def layout(s, d):
+    return articles(s, d).select("id", compose.layout(T.word_count(F.col("content")), F.col("id") % 3 == 0).alias("layout"))
+
+
+@query
+def sections(s, d):
+    return compose.sections(_relevant(s, d)).select("number", "category", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@query
+def composition_order(s, d):
+    return compose.composition_order(articles(s, d).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 17).alias("rank"))).select("id", "position")
+
+
+@query
+def page_chunks(s, d):
+    return compose.chunks(articles(s, d).withColumn("has_image", F.col("id") % 3 == 0)).select("id", "part", "parts", "role", T.word_count(F.col("chunk")).alias("words"), F.md5("chunk").alias("chunk"))
+
+
+def _plan(s, d):
+    best = analytics.top(_relevant(s, d).select("id", "category", "content", "article_score"), 11)
+    ordered = best.withColumn("position", F.col("id").cast("int")).withColumn("has_image", F.col("id") % 3 == 0)
+    return compose.page_plan(ordered.select("id", "category", "position"), compose.chunks(ordered).select("id", "part"))
+
+
+@query
+def page_plan(s, d):
+    return _plan(s, d)
+
+
+@query
+def page_plan_check(s, d):
+    return compose.plan_check(_plan(s, d))
+
+
+@query
+def asset_lookup(s, d):
+    a = articles(s, d).select("id")
+    files = a.filter("id % 2 = 0").select("id", F.explode(F.array(F.lit(3), F.lit(1), F.lit(2))).alias("n")).select("id", F.format_string("data/img/%d-%d.jpg", F.col("id") * 7 % 10, "n").alias("path"))
+    return compose.assets(a, files).select("id", U.asset_path(F.col("asset")).alias("asset"))
+
+
+@query
+def image_rank(s, d):
+    return analytics.image_rank(images(s, d)).select("image_id", "article_id", "rank")
+
+
+@query
+def best_image(s, d):
+    return analytics.best_image(images(s, d)).select("article_id", "image_id")
+
+
+@query
+def image_batch_summary(s, d):
+    return analytics.batch_summary(images(s, d).select((F.col("image_id") % 3).alias("found"), (F.col("image_id") % 2).alias("kept")), ["found", "kept"])
+
+
+@query
+def hash_similarity(s, d):
+    i = images(s, d).select(F.col("image_id").alias("a"), "hash")
+    nxt = i.select((F.col("a") - 1).alias("a"), F.col("hash").alias("other"))
+    return i.join(nxt, "a").select("a", F.round(dedup.hash_similarity(F.col("hash"), F.col("other")), 6).alias("similarity"))
+
+
+@query
+def image_dedup(s, d):
+    return dedup.image_duplicates(images(s, d))
+
+
+@query
+def editorial_totals(s, d):
+    return analytics.status_totals(articles(s, d).select(F.when(F.col("id") % 3 == 0, "failed").otherwise("success").alias("status")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
