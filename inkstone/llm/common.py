@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.session import ship
+from inkstone.session import FALLBACK_DIR, shared_dir, ship, stored  # noqa: F401
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Folder used only where the session names none (tests on one machine).
-FALLBACK_DIR = "/tmp/inkstone-checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from spark.checkpoint.dir; FALLBACK_DIR if unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/inkstone-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
