@@ -39,6 +39,20 @@ ROWS_A_BATCH = 500
 NONE = 1 << 60
 
 
+# Letters and digits by the regular expressions' character data, but not by the encoder's (an earlier version of the
+# standard), and capitals whose lower case Python does not know yet.
+LATER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7dc-a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f "
+    "12550-12686 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff "
+    "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER_SET = "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATER.split()) + "]"
+_LATER = regex.compile(_LATER_SET)
+_LATER_CAPITAL = regex.compile("[" + "".join(f"\\U{c:08x}" for c in LATER_LOWER) + "]")
+
+
 class RankTree:
     """Segment tree of minima over rank * width + place, so that the root is the leftmost lowest rank."""
 
@@ -114,7 +128,11 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.letters = byte_letters()
-        self.split = next(regex.compile(p["pattern"]["Regex"]) for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split = regex.compile(pattern)
+        for known in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(known, f"[{known}--{_LATER_SET}]")
+        self.careful_split = regex.compile(pattern, regex.V1)  # slower; for texts with characters of LATER
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.spaces = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -134,6 +152,8 @@ class Bpe:
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and _LATER_CAPITAL.search(text):
+            text = text.translate(LATER_LOWER)
         # capital sigma has one lower case here, wherever it stands
         return self.spaces.sub(" ", text).replace("Σ", "σ").lower()
 
@@ -143,8 +163,9 @@ class Bpe:
             if k % 2:
                 yield 1, str(self.special[part]), part
             elif part:
-                known, word = self.known, self.word
-                for w in self.split.findall(self.normal(part)):
+                known, word, text = self.known, self.word, self.normal(part)
+                split = self.careful_split if not text.isascii() and _LATER.search(text) else self.split
+                for w in split.findall(text):
                     yield known.get(w) or word(w)
 
     def encode(self, text: str | None) -> list[int]:
