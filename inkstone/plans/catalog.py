@@ -11,7 +11,9 @@ from inkstone.functions import text as T
 from inkstone.functions import urls as U
 from inkstone.functions.lexicons import FIXTURE, STOPWORDS
 from inkstone.operators import analytics, classify, compose, dedup, grounding, ingest, score, vector
+from inkstone.operators import images as pictures
 from inkstone.plans.oracles import SQL
+from inkstone.session import stored
 from inkstone.sources.fixtures import articles, drafts, images, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +35,8 @@ def _relevant(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Classified, scored and ranked articles, the ten best."""
-    return score.ranked(_scored(s, d)).select("id", "category", "article_score", "rank").filter("rank <= 10")
+    rows = stored(_scored(s, d).select("id", "category", "relevance_score", "article_score", "published_date"), "scores")
+    return score.ranked(rows).select("id", "category", "article_score", "rank").filter("rank <= 10")
 
 
 @query
@@ -144,7 +147,8 @@ def persisted_scores(s, d):
 
 @query
 def article_rank(s, d):
-    return score.ranked(_scored(s, d).select("id", "relevance_score", "article_score", "published_date")).select("id", "rank")
+    rows = stored(_scored(s, d).select("id", "relevance_score", "article_score", "published_date"), "scores")  # classified once, read twice
+    return score.ranked(rows).select("id", "rank")
 
 
 @query
@@ -413,6 +417,31 @@ def image_dedup(s, d):
     return dedup.image_duplicates(images(s, d))
 
 
+@query
+def image_queries(s, d):
+    return articles(s, d).select("id", F.array_join(pictures.search_phrases(F.col("title"), F.col("source"), events=FIXTURE.security_hits, locations=("the", "ea", "que")), "|").alias("phrases"))
+
+
+@query
+def image_candidates(s, d):
+    """Pages of the fixture have no images: each gets an og:image, a logo and two article images."""
+    tag = F.concat(F.lit('<meta property="og:image" content="/media/'), "page_id", F.lit('.jpg?w=9"><article><img src="/logo.png"><img data-src="/media/'), "page_id", F.lit('.webp"><img src="/uploads/x"></article>'))
+    return pictures.candidates(table(s, d, "pages").withColumn("html", F.concat(tag, "html")))
+
+
+@query
+def selection_reason(s, d):
+    r = compose.selection_reason(F.when(F.col("id") % 5 == 0, "by hand"), F.col("category"), F.col("article_score"), F.col("security_part"))
+    return _scored(s, d).select("id", r.alias("reason"))
+
+
+@query
+def record_normalise(s, d):
+    a = articles(s, d).select("id", F.when(F.col("id") % 2 == 0, F.col("title")).alias("headline"), "title", "content", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("source")).alias("source"), F.col("id").cast("int").alias("source_id"))
+    out = compose.normalized_record(a)
+    return out.select("article_id", "headline", F.md5("body").alias("body"), "category", "source", F.col("source_ids").cast("string").alias("source_ids"), "words")
+
+
 @query
 def editorial_totals(s, d):
     return analytics.status_totals(articles(s, d).select(F.when(F.col("id") % 3 == 0, "failed").otherwise("success").alias("status")))

@@ -307,3 +307,34 @@ def test_incremental_ingest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from fresh").count() == 1
+
+
+def test_image_candidates(spark):
+    from inkstone.operators import images as I
+
+    html = """<meta name="twitter:image" content="/media/a.png"><script type="application/ld+json">{"x": [{"image": ["/media/b.jpg", {"url": "/media/a.webp"}]}]}</script>
+      <article><img src="https://other.org/media/c.jpg"><img srcset="/media/s.jpg 1x, /media/d.jpg 2x"><img src="/icons/e.png"></article><img src="/media/out.jpg">"""
+    df = spark.createDataFrame([(1, "https://h.org/x", html), (2, None, html), (3, "https://h.org/y", None)], "page_id long, url string, html string")
+    own = I.candidates(df)
+    assert [r["image_url"] for r in own.orderBy("place").collect()] == ["https://h.org/media/a.png", "https://h.org/media/b.jpg", "https://h.org/media/d.jpg"]
+    more = spark.createDataFrame([(1, 1, "https://x.org/f.jpg"), (1, 2, "https://ndtv.com/g.jpg"), (1, 3, "https://canva.com/h.jpg")], "page_id long, place int, image_url string")
+    assert [r["image_url"][-5:] for r in I.with_search_results(own, more, 4).orderBy("position").collect()] == ["a.png", "b.jpg", "d.jpg", "g.jpg"]
+
+
+def test_search_phrases(spark):
+    from inkstone.operators import images as I
+
+    df = spark.createDataFrame([("Army raid in Manipur: two held", "Security"), ("The of", "x"), (None, None)], "t string, c string")
+    got = [r["p"] for r in df.select(I.search_phrases(F.col("t"), F.col("c")).alias("p")).collect()]
+    assert got[0] == ["manipur army raid manipur", "army raid manipur held manipur", "army raid manipur held manipur news photo", "army raid manipur held manipur security photo"] and got[1] == got[2] == []
+
+
+def test_lookups_and_checks(spark):
+    plan = spark.createDataFrame([(1, "article", 7), (2, "article", 8), (3, "cover", None)], "page_number int, kind string, id long")
+    arts = spark.createDataFrame([(7, "a", 1), (7, "b", 2)], "id long, title string, seq int")
+    assert [(r["id"], r["headline"], r["unresolved"]) for r in compose.page_lookup(plan, arts).orderBy("id").collect()] == [(7, "b", False), (8, None, True)]
+    pages = spark.createDataFrame([(1, "Contents and more"), (2, None)], "page_number int, text string")
+    assert {r["check"]: r["passed"] for r in compose.text_checks(pages, ("Contents", "Closing")).collect()} == {"page_text": False, "marker Contents": True, "marker Closing": False}
+    told = spark.createDataFrame([(1, [1, 2])], "draft_id long, source_ids array<int>")
+    known = spark.createDataFrame([(1, 1, "t")], "draft_id long, source_id int, title string")
+    assert {r["source_id"]: r["missing"] for r in grounding.cited_metadata(told, known).collect()} == {1: False, 2: True}
