@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,9 @@ KEPT_WORD = 64
 #: Rows that are passed on together.
 ROWS_A_BATCH = 500
 #: Rank of a pair that does not merge.
-NONE = 1 << 60
+NONE = 1 << 40
+#: More than there are pieces in any vocabulary that is supported.
+PIECES = 1 << 20
 
 
 # Letters and digits by the regular expressions' character data, but not by the encoder's (an earlier version of the
@@ -49,61 +52,55 @@ LATER = (
 LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _LATER_SET = "[" + "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATER.split()) + "]"
-_LATER = regex.compile(_LATER_SET)
-_LATER_CAPITAL = regex.compile("[" + "".join(f"\\U{c:08x}" for c in LATER_LOWER) + "]")
+#: Characters before this range are the same to both.
+_BEYOND = re.compile("[\u0558-\U0010ffff]")
 
 
-class RankTree:
-    """Segment tree of minima over rank * width + place, so that the root is the leftmost lowest rank."""
+def merge_pieces(pieces: list[int], ranks: dict[int, int], results: list[int]) -> list[int]:
+    """Merges the leftmost lowest-rank pair again and again until none is left.
 
-    def __init__(self, ranks: list[int]) -> None:
-        self.size = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.width = len(ranks) + 1
-        leaves = [r * self.width + i for i, r in enumerate(ranks)] + [NONE * self.width] * (self.size - len(ranks))
-        self.node = [0] * self.size + leaves
-        for k in range(self.size - 1, 0, -1):
-            self.node[k] = min(self.node[2 * k], self.node[2 * k + 1])
-
-    def best(self) -> tuple[int, int]:
-        return divmod(self.node[1], self.width)
-
-    def put(self, place: int, rank: int) -> None:
-        node, k = self.node, self.size + place
-        node[k] = rank * self.width + place
-        while k > 1:
-            k >>= 1
-            left, right = node[2 * k], node[2 * k + 1]
-            least = left if left < right else right
-            if node[k] == least:
-                break
-            node[k] = least
-
-
-def merge_pieces(pieces: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merges the leftmost lowest-rank pair again and again until none is left."""
-    n = len(pieces)
+    Pieces are numbers below PIECES; ranks has the rank of the pair a * PIECES + b, results the piece that a rank makes."""
+    n, get = len(pieces), ranks.get
     if n < 2:
         return pieces
     pieces = list(pieces)
+    # a leaf holds rank * n + place, so that a minimum is the leftmost of the lowest ranks
+    leaves = [get(a * PIECES + b, NONE) * n + i for i, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False))]
+    none, size = NONE * n, 1 << (n - 2).bit_length()
+    node = [none] * size + leaves + [none] * (size - len(leaves))
+    for k in range(size - 1, 0, -1):
+        left, right = node[2 * k], node[2 * k + 1]
+        node[k] = left if left < right else right
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = lambda a, b: ranks.get((pieces[a], pieces[b]), NONE)
-    tree = RankTree([rank(i, i + 1) for i in range(n - 1)])
-    while True:
-        lowest, at = tree.best()
-        if lowest >= NONE:
-            break
+
+    def put(place: int, leaf: int) -> None:
+        k = size + place
+        node[k] = leaf
+        while k > 1:
+            other = node[k ^ 1]
+            if other < leaf:
+                leaf = other
+            k >>= 1
+            if node[k] == leaf:
+                return
+            node[k] = leaf
+
+    while (lowest := node[1]) < none:
+        rank, at = divmod(lowest, n)
         gone = after[at]
-        pieces[at] += pieces[gone]
-        pieces[gone] = ""
-        after[at] = after[gone]
-        if after[at] < n:
-            before[after[at]] = at
-        if gone < n - 1:
-            tree.put(gone, NONE)
-        tree.put(at, rank(at, after[at]) if after[at] < n else NONE) if at < n - 1 else None
-        if before[at] >= 0:
-            tree.put(before[at], rank(before[at], at))
-    return [p for p in pieces if p]
+        follows = after[gone]
+        made = pieces[at] = results[rank]
+        pieces[gone] = -1
+        after[at] = follows
+        if follows < n:
+            before[follows] = at
+            put(gone, none)
+            put(at, get(made * PIECES + pieces[follows], NONE) * n + at)
+        else:
+            put(at, none)
+        if (past := before[at]) >= 0:
+            put(past, get(pieces[past] * PIECES + made, NONE) * n + past)
+    return [p for p in pieces if p >= 0]
 
 
 def byte_letters() -> list[str]:
@@ -122,12 +119,18 @@ class Bpe:
         model = told["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[str, str], int] = {}
+        # pieces by number: those of the vocabulary have their ids, others numbers after them
+        self.pieces = dict(self.vocab)
+        number = lambda piece: self.pieces.setdefault(piece, len(self.vocab) + 1000 + len(self.pieces))
+        self.ranks: dict[int, int] = {}
+        self.results: list[int] = []
         for k, pair in enumerate(model["merges"]):
-            self.ranks.setdefault(tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair), k)
+            one, two = pair.split(" ") if isinstance(pair, str) else pair
+            self.ranks.setdefault(number(one) * PIECES + number(two), k)
+            self.results.append(number(one + two))
+        self.bytes = [(number(c), number(c + self.end)) for c in byte_letters()]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.token = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.letters = byte_letters()
         pattern = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
         for known in (r"\p{L}", r"\p{N}"):
@@ -139,34 +142,33 @@ class Bpe:
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of ids, the ids in decimal, and the tokens, of one word of the split."""
-        if (found := self.known.get(word)) is None:
-            letters = [self.letters[b] for b in word.encode()]
-            letters[-1] += self.end
-            tokens = [t for t in merge_pieces(letters, self.ranks) if t in self.vocab]
-            found = (len(tokens), " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens))
-            if len(word) <= KEPT_WORD:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[word] = found
+        raw, letters = word.encode(), self.bytes
+        pieces = [letters[b][0] for b in raw]
+        pieces[-1] = letters[raw[-1]][1]
+        ids = [i for i in merge_pieces(pieces, self.ranks, self.results) if i in self.token]
+        found = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+        if len(word) <= KEPT_WORD:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[word] = found
         return found
 
-    def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        if not text.isascii() and _LATER_CAPITAL.search(text):
-            text = text.translate(LATER_LOWER)
-        # capital sigma has one lower case here, wherever it stands
-        return self.spaces.sub(" ", text).replace("Σ", "σ").lower()
-
     def parts(self, text: str | None) -> Iterator[tuple[int, str, str]]:
         """Number, decimal ids and tokens, word by word."""
+        get, word = self.known.get, self.word
         for k, part in enumerate(self.cuts.split(text or "") if self.cuts else [text or ""]):
             if k % 2:
                 yield 1, str(self.special[part]), part
-            elif part:
-                known, word, text = self.known, self.word, self.normal(part)
-                split = self.careful_split if not text.isascii() and _LATER.search(text) else self.split
-                for w in split.findall(text):
-                    yield known.get(w) or word(w)
+                continue
+            split = self.split
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+                if _BEYOND.search(part):
+                    part = part.translate(LATER_LOWER)
+                    split = self.careful_split
+            # capital sigma has one lower case here, wherever it stands
+            for w in split.findall(self.spaces.sub(" ", part).replace("Σ", "σ").lower()):
+                yield get(w) or word(w)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for _, ids, _ in self.parts(text) for x in ids.split()]

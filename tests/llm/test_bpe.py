@@ -35,16 +35,17 @@ def test_awkward_texts():
 
 def test_tree_gives_leftmost_lowest_merge():
     rng = random.Random(9)
-    for _ in range(500):
-        ranks = {(a, b): k for k, (a, b) in enumerate(rng.sample([(x, y) for x in ("a", "b", "ab", "ba", "aa") for y in ("a", "b", "ab", "aa")], 8))}
-        pieces = [rng.choice("ab") for _ in range(rng.randint(0, 25))]
+    for _ in range(1000):
+        pairs = rng.sample([(x, y) for x in range(6) for y in range(6)], 10)
+        results = [rng.randrange(6) for _ in pairs]
+        pieces = [rng.randrange(2) for _ in range(rng.randint(0, 25))]
         slow = list(pieces)
         while True:
-            best = min(((ranks.get(p, B.NONE), i) for i, p in enumerate(zip(slow, slow[1:], strict=False))), default=(B.NONE, 0))
-            if best[0] == B.NONE:
+            best = min(((pairs.index(p), i) for i, p in enumerate(zip(slow, slow[1:], strict=False)) if p in pairs), default=None)
+            if best is None:
                 break
-            slow[best[1] : best[1] + 2] = [slow[best[1]] + slow[best[1] + 1]]
-        assert B.merge_pieces(pieces, ranks) == slow
+            slow[best[1] : best[1] + 2] = [results[best[0]]]
+        assert B.merge_pieces(pieces, {a * B.PIECES + b: k for k, (a, b) in enumerate(pairs)}, results) == slow
 
 
 def test_frames(spark):
