@@ -22,7 +22,7 @@ SUPPORT = ("region_focus", "category_focus", "timeline", "reading_list")
 
 def normalized_record(records: DataFrame) -> DataFrame:
     """Aliases resolved, defaults filled, words counted, single source ids as lists."""
-    pick = lambda *cs: T.first_filled(*[F.col(c) for c in cs if c in records.columns])
+    pick = lambda *cs: T.first_filled(*[F.col(c) for c in cs if c in records.columns], F.lit(None).cast("string"))
     ids = F.coalesce(*[F.col(c) for c in ("source_ids",) if c in records.columns], *[F.array(F.col(c)) for c in ("source_id",) if c in records.columns], F.array().cast("array<int>"))
     body = T.page_text(pick("article", "content", "body"))
     return records.select(
@@ -35,8 +35,8 @@ def normalized_record(records: DataFrame) -> DataFrame:
 def selection_reason(explicit: Column, category: Column, score: Column, security: Column) -> Column:
     """The given reason, else its parts joined; security counts from 20 on."""
     parts = F.concat_ws(
-        "; ", F.when(F.coalesce(category, F.lit("")) != "", F.concat(F.lit("Category: "), category)), F.when(score > 0, F.format_string("Score %.0f/100", score.cast("double"))),
-        F.when(security >= 20, F.format_string("Security relevance %.0f/100", security.cast("double"))),
+        "; ", F.when(F.coalesce(category, F.lit("")) != "", F.concat(F.lit("Category: "), category)), F.when(score > 0, F.format_string("Score %d/100", F.bround(score.cast("double"), 0).cast("long"))),
+        F.when(security >= 20, F.format_string("Security relevance %d/100", F.bround(security.cast("double"), 0).cast("long"))),
     )
     return F.coalesce(F.when(F.trim(explicit) != "", explicit), parts)
 

@@ -153,8 +153,8 @@ SQL: dict[str, str] = {
     "hash_similarity": "with i as (select vec_id as a, vec_id * 1000003 % 4294967291 as h from embeddings) select x.a, round(1 - bit_count(xor(x.h, y.h)) / 64.0::double, 6) as similarity from i x join i y on y.a = x.a + 1",
     "editorial_totals": f"with {ARTICLES_SQL} select count(*) as total, count(*) filter (where id % 3 <> 0) as approved, count(*) filter (where id % 3 = 0) as failed from articles",
     "upsert": f"with {ARTICLES_SQL} select id, case when id % 2 = 0 then 'new' else 'old' end as origin from articles",
-    "selection_reason": f"""with {_SCORED} select id, case when id % 5 = 0 then 'by hand' else 'Category: ' || category || case when article_score > 0 then '; Score ' || printf('%.0f', article_score) || '/100' else '' end
-      || case when security_part >= 20 then '; Security relevance ' || printf('%.0f', security_part) || '/100' else '' end end as reason from scored""",
+    "selection_reason": f"""with {_SCORED} select id, case when id % 5 = 0 then 'by hand' else 'Category: ' || category || case when article_score > 0 then '; Score ' || round_even(article_score, 0)::int || '/100' else '' end
+      || case when security_part >= 20 then '; Security relevance ' || round_even(security_part, 0)::int || '/100' else '' end end as reason from scored""",
     "image_candidates": """with b as (select page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as base from pages)
       select page_id, 1 as place, 'og:image' as kind, base || '/media/' || page_id || '.jpg?w=9' as image_url from b union all select page_id, 2, 'article-image', base || '/uploads/x' from b""",
 }
