@@ -175,8 +175,13 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: in
 
 # ---- near copies of whole documents ----
 
-#: Fingerprint words of 64 bits, bits in which one of them may differ, and bits in which all may: a tenth of the bits differ at a
-#: cosine of 0.95, an eighth at 0.92; texts whose five-word shingles have a Jaccard similarity of 0.8 lie at about 0.93.
+#: Near copies: sets of five-word shingles with a Jaccard similarity of at least 4/5.
+WORDS, LEAST = 5, (4, 5)
+#: Documents whose shingles are counted, and shingles counted as common; both only decide an order, not the result.
+SAMPLED, COMMON = 20_000, 100_000
+
+#: Words of 64 bits of a compact fingerprint, and bits in which one of them and all may differ in texts that are much alike.
+#: The pipeline's stage compares whole shingle sets and uses none of this.
 WIDE, WIDE_BITS, WIDE_TOTAL = 4, 6, 36
 
 
@@ -197,30 +202,223 @@ def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> list[int]:
     return [int.from_bytes(packed[8 * k : 8 * k + 8], "big", signed=True) for k in range(WIDE)]
 
 
-def deduplicated(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of all five-word shingles; fewer words are one shingle, no words none."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+    parts = [joined] if len(words) <= WORDS else {joined[a : b - 1] for a, b in zip(starts, starts[WORDS:], strict=False)}
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(p, SEED) for p in parts]), np.uint64))
+
+
+def alike(shared, a, b):
+    """Whether sets of sizes a and b with so many elements in common have a Jaccard similarity of LEAST or more."""
+    return shared * (LEAST[0] + LEAST[1]) >= LEAST[0] * (a + b)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the number of hashes in each of as many cells (a power of two, 64 at least) as there are hashes."""
+    cells = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_allow(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """False only for sets that are no near copies: cells of different parity are at most as many as elements not in common."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return apart <= na + nb and alike((na + nb - apart) // 2, na, nb)
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that repeat in a sample of the texts, the most frequent COMMON, and their counts."""
+    text = F.col("text").cast("string")
+    rate = max(1, docs.count() // SAMPLED)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["s"])
+
+    sampled = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0)
+    counted = sampled.mapInArrow(shingles, "s long").groupBy("s").agg(F.count("s").alias("n")).filter("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = counted.column("s").to_numpy().astype(np.int64).view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles, rare ones first, of which two near copies share one at least; and the number that are not common."""
+    n = len(hashes)
+    if not n:
+        return hashes, 0
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    often = np.where(common[at] == hashes, counts[at], 0) if len(common) else np.zeros(n, np.int64)
+    first = np.lexsort((hashes, often))[: n - -(-LEAST[0] * n // LEAST[1]) + 1]
+    return hashes[first], int((often == 0).sum())
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns (key first, sorted by it) in pieces of whole keys, less the keys of one row."""
+    held: list[np.ndarray] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = [np.concatenate(two) for two in zip(held, columns, strict=True)] if held else columns
+        if not held or not len(held[0]):
+            continue
+        whole = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+        if whole:
+            key = held[0][:whole]
+            same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+            shared = same[1:] | same[:-1]
+            yield [h[:whole][shared] for h in held]
+            held = [h[whole:] for h in held]
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]]) if len(key) else np.zeros(1, np.int64)
+
+
+def _may_be_alike(n: np.ndarray, at: np.ndarray, a, b) -> np.ndarray:
+    """Upper bound for rows a, b whose first common shingle stands at places at of their n; of a later one it may say no."""
+    return alike(np.minimum(n[a] - at[a], n[b] - at[b]), n[a], n[b])
+
+
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, at, centre, before): nodes by each shingle of their prefix that others have there too.
+
+    centre is the node with the fewest rare shingles, before the next one to it in this order."""
+    keyed = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("at", "key")).select("key", "node", F.col("n").cast("long"), F.col("at").cast("long"), "rare")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n, at, _ in _by_key(batches):
+            runs = _runs(key)
+            start = np.repeat(runs[:-1], np.diff(runs))
+            before = np.maximum(np.arange(len(key)) - 1, start)
+            columns = [key, node, n, at, node[start], node[before]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "at", "centre", "before"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "rare", "n", "node").mapInArrow(found, "key long, node long, n long, at long, centre long, before long")
+
+
+def pairs_apart(rows: DataFrame) -> DataFrame:
+    """(a, b): every two nodes of rows (key, node, n, at, root) with a common key and different roots that may be near copies."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n, at, root in _by_key(batches):
+            runs = _runs(key)
+            for lo, hi in itertools.pairwise(runs.tolist()):
+                if root[lo] == root[hi - 1]:
+                    continue
+                ends = lo + np.searchsorted(root[lo:hi], root[lo:hi], "right")
+                for i in range(lo, hi):
+                    others = np.arange(ends[i - lo], hi)
+                    others = others[_may_be_alike(n, at, i, others)]
+                    if len(others):
+                        own = np.full(len(others), node[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, node[others])), pa.array(np.maximum(own, node[others]))], names=["a", "b"])
+
+    return rows.select("key", "node", "n", "at", "root").repartition("key").sortWithinPartitions("key", "root").mapInArrow(found, "a long, b long").distinct()
+
+
+def allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches allow a near copy."""
+    own = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (c.to_pylist() for c in batch.columns[2:])
+            kept = pa.array([sketches_allow(*two) for two in zip(x, y, na, nb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+    return both.mapInArrow(kept, "a long, b long")
+
+
+def texts_of(pairs: DataFrame, nodes: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs, from own (id, text_hash, text)."""
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    named = nodes.select("id", "text_hash", "node").join(asked, "node", "left_semi")
+    return own.join(named, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes (node, text) whose whole shingle sets are near copies."""
+    own = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "text_a", "text_b")
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(*batch.columns, strict=True):
+                sets = []
+                for node, text in ((a.as_py(), x), (b.as_py(), y)):
+                    if node not in held:
+                        if len(held) > 500:
+                            held.clear()
+                        held[node] = shingle_set(text.as_py())
+                    sets.append(held[node])
+                near.append(alike(len(np.intersect1d(*sets, assume_unique=True)), len(sets[0]), len(sets[1])))
+            kept = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+    return both.mapInArrow(tested, "a long, b long")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs less all but one row of each group of near copies: the one of the least doc_id stays.
 
-    Two texts are near copies if one of their four fingerprint words differs in at most WIDE_BITS bits and all
-    together in at most WIDE_TOTAL; groups are connected. Columns stay as they are. Null ids give way to others."""
-    words = [f"f{k}" for k in range(WIDE)]
+    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are
+    connected. The result is exact: near copies share one of the first n - ceil(0.8 n) + 1 of their n shingles in any order
+    of all shingles (here rare ones first), so texts meet by these, and only links verified on the whole sets connect. A
+    first round tests each text against two others of a key and connects large groups; a second one tests all pairs that
+    are still apart. Columns stay as they are. Null ids give way to others."""
     no_id = (1 << 63) - 1
+    common, counts = _common(docs)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([wide_fingerprint(t.as_py()) for t in b.column(2)], np.int64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, k].copy()) for k in range(WIDE))], names=["id", "text_hash", *words])
+            node, n, rare, prefixes, sketches = [], [], [], [], []
+            for t in b.column(2):
+                hashes = shingle_set(t.as_py())
+                first, unseen = _prefix(hashes, common, counts)
+                node.append(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED))
+                n.append(len(hashes))
+                rare.append(unseen)
+                prefixes.append(first.view(np.int64))
+                sketches.append(sketch(hashes))
+            cuts = np.cumsum([0, *map(len, prefixes)])
+            prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
+            columns = [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), prefix, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "n", "rare", "prefix", "sketch"])
 
     text = F.col("text").cast("string")
     id, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)), F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = stored(docs.select(id.alias("id"), text_hash.alias("text_hash"), text.alias("text")).mapInArrow(hashed, "id long, text_hash long, " + ", ".join(f"{w} long" for w in words)), "wide")
-    least = rows.groupBy(*words).agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    nodes = stored(least.withColumn("node", F.xxhash64(*words)), "nodes")
-    each = F.posexplode(F.array(*words)).alias("family", "fp")
-    edges = stored(links(nodes.select("node", each), WIDE_BITS, tile), "links")
-    own = lambda side: nodes.select(F.col("node").alias(side), *[F.col(w).alias(f"{w}{side}") for w in words])
-    apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
-    near = edges.join(own("a"), "a").join(own("b"), "b").filter(apart <= WIDE_TOTAL).select("a", "b")
-    named = nodes.join(components(near), "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    own = docs.select(id.alias("id"), text_hash.alias("text_hash"), text.alias("text"))
+    rows = own.mapInArrow(hashed, "id long, text_hash long, node long, n long, rare long, prefix array<long>, sketch binary")
+    least = rows.groupBy("node").agg(F.min(F.struct("id", "text_hash", "n", "rare", "prefix", "sketch")).alias("first"))
+    nodes = stored(least.select("node", "first.*"), "nodes")
+    shared = stored(shared_prefixes(nodes), "shared")
+    ordered = lambda b: shared.select(F.least("node", b).alias("a"), F.greatest("node", b).alias("b")).filter("a < b")
+    tried = stored(ordered("centre").unionAll(ordered("before")).distinct(), "tried")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        likely = stored(allowed(pairs, nodes), f"likely-{name}")
+        return stored(verified(likely, stored(texts_of(likely, nodes, own), f"texts-{name}")), f"near-{name}")
+
+    near = linked(tried, "first")
+    roots = stored(components(near), "roots")
+    apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = near.unionAll(linked(pairs_apart(apart).join(tried, ["a", "b"], "left_anti"), "rest"))
+    named = nodes.join(components(near), "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("id", "text_hash").alias("first"))
     kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), id.alias("_kept_id"), text_hash.alias("_kept_hash"))
     # a repeated row of the same id and text is a copy too

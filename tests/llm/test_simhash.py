@@ -79,3 +79,45 @@ def test_pivot_coordinates_bound_the_distance():
     for _ in range(200):
         a, b = rng.getrandbits(64), rng.getrandbits(64)
         assert all(abs((a ^ p).bit_count() - (b ^ p).bit_count()) <= (a ^ b).bit_count() for p in S.PIVOTS)
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def five_word_sets(texts):
+    split = [python_words(t) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def near(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_are_those_of_five_word_jaccard(spark):
+    rng, texts = random.Random(11), []
+    for _ in range(60):
+        words = words_of(rng, rng.randint(3, 200))
+        texts.append(" ".join(words))
+        n = len(words)
+        k = rng.randint(0, n // 5)
+        texts.append(" ".join(words + words_of(rng, rng.randint(0, n // 3))))
+        texts.append(" ".join(words[: n - k] + words_of(rng, k)))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(n)] = rng.choice(["changed", "and altered"])
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    sets = five_word_sets(texts)
+    want = {i for i, r in enumerate(roots(sets, near)) if r == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.deduplicated(docs).collect()} == want
+
+
+def test_sketches_never_reject_near_copies():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 63, 64, 65, 120, 1000, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 1), dtype=np.uint64)]))
+            near = S.alike(len(np.intersect1d(a, b)), len(a), len(b))
+            assert S.sketches_allow(S.sketch(a), S.sketch(b), len(a), len(b)) or not near
