@@ -338,3 +338,13 @@ def test_lookups_and_checks(spark):
     told = spark.createDataFrame([(1, [1, 2])], "draft_id long, source_ids array<int>")
     known = spark.createDataFrame([(1, 1, "t")], "draft_id long, source_id int, title string")
     assert {r["source_id"]: r["missing"] for r in grounding.cited_metadata(told, known).collect()} == {1: False, 2: True}
+
+
+def test_drafts_read_whole_documents(spark, tmp_path):
+    from inkstone.sources.fixtures import drafts
+
+    slow, cut = "A" * 5000 + " end. Two. Three.", "One. Two. " + "b " * 2500 + "end."
+    spark.createDataFrame([(1, slow, "s"), (2, cut, "s"), (4, "One. Two.", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, _ = drafts(spark, str(tmp_path))
+    got = {r["draft_id"]: r["article"] for r in made.collect()}
+    assert set(got) == {1, 2} and "end. Two." in got[1] and "Three." in got[1] and "b end." in got[2]
