@@ -6,11 +6,12 @@ exchange between machines. The surrogate comes from a keyed permutation of the e
 format: the places of its letters and digits form a mixed-radix number, a Feistel network
 over that domain is conjugated with a step by one (no value maps to itself), and values that
 fail the format's check are walked past. A permutation cannot collide, so distinct entities
-of one format stay distinct; formats keep lengths, separators, letter case, script, Luhn
+of one format stay distinct; across formats ``distinct_surrogates`` checks the whole corpus
+and draws again under a derived key if two entities share a surrogate. Formats keep lengths, separators, letter case, script, Luhn
 validity, private or public address space, and country of an IBAN. Names keep script and
-gender: listed given names and surnames map inside their list, others keep their pattern of
-vowels and consonants and their last letter, and never enter a list. ``collisions`` checks
-distinctness over a whole corpus.
+gender: listed given names and surnames map inside their list wherever they stand, others keep
+their pattern of vowels and consonants and their last letter, and never enter a list; the form
+of address has no part in it.
 
 Defined cases: null texts stay null; empty texts stay empty; repeated rows get equal results;
 columns other than text (and n_chars) are carried unchanged, whatever their names; texts of
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import documents
+from inkstone.llm.common import documents, stored
 
 KINDS = ("email", "ip", "phone", "card", "iban", "ssn", "secret", "name")
 #: For tests and examples; a production run passes its own secret.
@@ -53,7 +54,6 @@ TITLES = {
     "": "Dr Prof".split(),
 }
 _LISTED = {name.lower(): (script, kind) for (script, kind), names in NAMES.items() for name in names}
-_TITLE_GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
 
 #: Alphabets of one script, case and kind each; a letter is only ever replaced within its own.
 ALPHABETS = (
@@ -194,7 +194,7 @@ class Surrogates:
         low = _low(found)
         local, _, domain = low.rpartition("@")
         labels = domain.split(".")
-        host = [x if x == "example" else permuted(self.key, "host", x, _places(x, _WHOLE)) for x in labels[:-1]]
+        host = [x if x == "example" else permuted(self.key, "host", x, _places(x, _WHOLE), lambda made: made != "example") for x in labels[:-1]]
         made = permuted(self.key, "local", local, _places(local, _WHOLE)) + "@" + ".".join([*host, labels[-1]])
         return low, _recased(found, made)
 
@@ -236,23 +236,23 @@ class Surrogates:
         upper = _WHOLE.upper()
         return found, permuted(self.key, "secret", found, [_WHOLE if c in _WHOLE else upper if c in upper else "0123456789" if c in "0123456789" else "" for c in found])
 
-    def _one_name(self, word: str, gender: str, last: bool) -> str:
+    def _one_name(self, word: str, last: bool) -> str:
         low, script = _low(word), script_of(word)
-        if (listed := _LISTED.get(low)) and (listed[1] == "s" or not last):
+        # a listed word stays in its list wherever it stands: the walk below skips listed values, so none may start from one
+        if listed := _LISTED.get(low):
             names = NAMES[listed]
             at = [n.lower() for n in names].index(low)
             return names[_permutation(self.key, f"name{listed}", len(names)).step(at)]
         places = _places(low)
         if len([p for p in places if p]) > 2:
             places[-1] = ""
-        made = permuted(self.key, f"name {script} {gender}" if not last else f"surname {script}", low, places, lambda x: x not in _LISTED)
+        made = permuted(self.key, f"name {script}" if not last else f"surname {script}", low, places, lambda x: x not in _LISTED)
         return _recased(word, made)
 
-    def name(self, found: str, gender: str = "") -> tuple[str, str]:
+    def name(self, found: str) -> tuple[str, str]:
+        """A name's surrogate, whatever the form of address before it."""
         words = found.split(" ")
-        if (first := _LISTED.get(_low(words[0]))) and first[1] in "fm":
-            gender = first[1]
-        made = [self._one_name(w, gender, last=len(words) == 1 and not first or k == len(words) - 1 > 0) for k, w in enumerate(words)]
+        made = [self._one_name(w, last=k == len(words) - 1) for k, w in enumerate(words)]
         return _low(found), " ".join(made)
 
     def replaced(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
@@ -271,7 +271,7 @@ class Surrogates:
             group = "titled" if m["title"] else "listed"
             a, b = m.span(group)
             if not any(x < b and a < y for x, y in taken):
-                found.append((a, b, "name", *self.name(m[group], _TITLE_GENDER.get((m["title"] or "").lower(), ""))))
+                found.append((a, b, "name", *self.name(m[group])))
         if not found:
             return text, []
         found.sort()
@@ -320,7 +320,22 @@ def collisions(found: DataFrame, entities: str = "entities") -> DataFrame:
     return each.withColumn("surrogate", flat).distinct().groupBy("kind", "surrogate").agg(F.count("canonical").alias("n")).filter("n > 1")
 
 
+def drawn_key(key: bytes, draw: int) -> bytes:
+    """The key of a draw: the key itself at first, derived from it and the draw's number afterwards."""
+    return key if not draw else hashlib.blake2b(draw.to_bytes(4, "big"), key=hashlib.sha256(key).digest(), digest_size=32).digest()
+
+
+def distinct_surrogates(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str | None = None, draws: int = 8) -> DataFrame:
+    """surrogated under the first drawn key by which no two entities of the corpus share a surrogate."""
+    held = entities or "_entities_of_" + "_".join(docs.columns)
+    for draw in range(draws):
+        out = stored(surrogated(docs, drawn_key(key, draw), held), f"surrogates{draw}")
+        if collisions(out, held).isEmpty():
+            return out if entities else out.drop(held)
+    raise ValueError(f"entities share a surrogate under each of {draws} keys")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogated(documents(spark, sf_dir).select("doc_id", "text"), entities="entities")
+    out = distinct_surrogates(documents(spark, sf_dir).select("doc_id", "text"), entities="entities")
     counts = [F.expr(f"cast(size(filter(entities, e -> e.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, "text")

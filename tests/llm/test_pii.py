@@ -55,3 +55,27 @@ def test_no_collisions_over_the_fixture_and_nothing_left(spark):
         for e in r["entities"]:
             assert e["canonical"].lower() not in r["text"].lower()
         assert r["entities"] or r["text"] == by_id[r["doc_id"]]
+
+
+def test_names_stay_distinct_and_coreferent_across_titles():
+    pool = [a + b + "m" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    by_title = [{x: S.replaced(f"{t} {x.title()} Stone")[0].split(" ", 1)[1] for x in pool} for t in ("Mr", "Ms", "Dr")]
+    assert by_title[0] == by_title[1] == by_title[2] and len(set(by_title[0].values())) == len(pool)
+
+
+def test_listed_given_names_as_surnames_stay_distinct():
+    pool = [a + b + c + "y" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
+    assert "lucy" in pool and len({S.name(f"Kim {x.title()}")[1].lower() for x in pool}) == len(pool)
+
+
+def test_shared_surrogates_are_drawn_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Mr Kim Stone, a@b.example.com")], "doc_id long, text string")
+    real, calls = P.collisions, []
+
+    def once(found, entities="entities"):
+        calls.append(entities)
+        return found if len(calls) == 1 else real(found, entities)
+
+    monkeypatch.setattr(P, "collisions", once)
+    got = P.distinct_surrogates(docs, b"k").collect()
+    assert len(calls) == 2 and got == P.surrogated(docs, P.drawn_key(b"k", 1)).collect() != P.surrogated(docs, b"k").collect()
