@@ -121,3 +121,18 @@ def test_sketches_never_reject_near_copies():
             b = np.unique(np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 1), dtype=np.uint64)]))
             near = S.alike(len(np.intersect1d(a, b)), len(a), len(b))
             assert S.sketches_allow(S.sketch(a), S.sketch(b), len(a), len(b)) or not near
+
+
+def test_no_verified_link_is_lost_in_groups_of_versions(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(6):
+        words = words_of(rng, 300)
+        for _ in range(40):
+            version = list(words)
+            for at in rng.sample(range(300), rng.randint(3, 16)):
+                version[at] = words_of(rng, 1)[0]
+            texts.append(" ".join(version))
+    sets = five_word_sets(texts)
+    want = {i for i, r in enumerate(roots(sets, near)) if r == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in S.deduplicated(docs).collect()} == want
