@@ -1,27 +1,39 @@
 """Surrogates for personal data: keyed, type-consistent, and distinct for distinct entities.
 
-Every entity is reduced to a canonical form (digits of a phone number, lower case of an
-address), so that all its spellings in all documents share one surrogate without any
+Every entity is reduced to a canonical form (digits of a phone number with its country code, lower
+case of an address), so that all its spellings in all documents share one surrogate without any
 exchange between machines. The surrogate comes from a keyed permutation of the entity's own
-format: the places of its letters and digits form a mixed-radix number, a Feistel network
-over that domain is conjugated with a step by one (no value maps to itself), and values that
-fail the format's check are walked past. A permutation cannot collide, so distinct entities
-of one format stay distinct; across formats ``distinct_surrogates`` checks the whole corpus
-and draws again under a derived key if two entities share a surrogate. Formats keep lengths, separators, letter case, script, Luhn
-validity, private or public address space, and country of an IBAN. Names keep script and
-gender: listed given names and surnames map inside their list wherever they stand, others keep
-their pattern of vowels and consonants and their last letter, and never enter a list; the form
-of address has no part in it.
-
-Defined cases: null texts stay null; empty texts stay empty; repeated rows get equal results;
-columns other than text (and n_chars) are carried unchanged, whatever their names; texts of
-any length are handled whole.
+format. Formats of up to 2^256 values are numbered in mixed radix, and a Feistel network over that
+domain is conjugated with a step by one (no value maps to itself); longer ones go through Feistel
+rounds that add a key stream place by place, in time linear in the length. Values that fail the
+format's check are walked past. A permutation has no collisions inside one format; across
+formats ``distinct_surrogates`` checks the whole corpus and draws again under a derived key if
+two entities share a surrogate (an error after ``draws`` keys).
+
+Formats keep lengths, separators, letter case, script, Luhn validity, private or public address
+space, and the country of a phone number or IBAN. Names keep script and gender: listed given names
+and surnames map inside their list, other words keep their pattern of vowels and consonants and
+their last letter and never enter a list. A word has the same surrogate wherever it stands in a
+name; the form of address has no part in it.
+
+Names are found after a form of address, by a listed given name, or by an English cue (a verb of
+speech, "my name is", "Name:"); Chinese ones by a listed surname and a form of address, Arabic
+ones by a form of address. Once found, their words are replaced in the rest of the text too. Names
+without any of these signs stay: no list is complete.
+
+Defined cases: null texts stay null; empty texts stay empty; repeated rows get equal results; of
+overlapping entities the one that begins first counts (numbers and addresses before names);
+columns other than text (and n_chars) are carried unchanged, whatever their names; texts and
+values of any length are handled whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -37,9 +49,17 @@ EXAMPLE_KEY = b"inkstone example key"
 
 #: Listed names by script and gender (f, m) and surnames (s); parameters of the operator, kept apart by script.
 NAMES = {
-    ("latin", "f"): "Alice Barbara Charlotte Dorothy Elizabeth Frances Gabriele Hannah Isabelle Josephine Katharina Lucy Margaret Nancy Olivia Patricia Rebecca Sophie Ursula Victoria".split(),
-    ("latin", "m"): "Albert Benjamin Charles David Edward Frederick George Henry Jacques Klaus Lucas Michael Nicholas Oliver Patrick Quentin Robert Stephen Thomas William".split(),
-    ("latin", "s"): "Adams Baker Campbell Dupont Evans Fischer Garcia Hoffmann Jackson Klein Lambert Müller Murphy Novak Parker Roberts Schmidt Taylor Walker Young".split(),
+    ("latin", "f"): (
+        "Alice Amina Anna Barbara Catherine Charlotte Dorothy Elizabeth Emily Fatima Frances Gabriele Hannah Ingrid Isabelle Jennifer Josephine Katharina Laura Linda Lucy Margaret Maria Mary "
+        "Nancy Olivia Patricia Priya Rebecca Sarah Sophie Susan Ursula Victoria"
+    ).split(),
+    ("latin", "m"): (
+        "Ahmed Albert Benjamin Carlos Charles Daniel David Edward Frederick George Henry Jacques James John José Joseph Juan Klaus Lucas Michael Mohammed Nicholas Oliver Patrick Paul Peter "
+        "Pierre Quentin Rajesh Richard Robert Stephen Thomas William"
+    ).split(),
+    ("latin", "s"): (
+        "Adams Baker Campbell Dupont Evans Fischer Garcia Hoffmann Jackson Johnson Klein Lambert Martin Müller Murphy Novak Parker Roberts Schmidt Sharma Smith Taylor Walker Watson Williams Young"
+    ).split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Мария Наталья Ольга Светлана".split(),
     ("cyrillic", "m"): "Александр Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
     ("cyrillic", "s"): "Волков Зайцев Козлов Лебедев Морозов Новиков Орлов Павлов Соколов Фёдоров".split(),
@@ -47,20 +67,28 @@ NAMES = {
     ("greek", "m"): "Αντώνης Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
     ("greek", "s"): "Αγγέλου Γεωργίου Δημητρίου Ιωάννου Νικολάου Παπαδόπουλος".split(),
 }
+#: Chinese surnames, and characters of given names of either gender, one character each.
+HAN = {"s": "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗", "f": "芳娜静丽娟艳霞玲秀燕", "m": "伟强磊军勇杰涛超刚辉"}
 #: Forms of address by gender ("" where they tell none).
 TITLES = {
     "m": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Don господин г-н Κύριος".split(),
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Doña госпожа г-жа Κυρία".split(),
     "": "Dr Prof".split(),
 }
+HAN_TITLES, ARABIC_TITLES = "先生 女士 小姐 太太 老师 教授 医生 博士".split(), "السيد السيدة الدكتور الدكتورة الأستاذ الأستاذة".split()
+#: English cues: before a name, after one (verbs of speech), and capitalised words that begin no name.
+CUES = ("my name is", "i am called", "name:", "contact:", "attn:", "author:", "signed:", "patient:")
+VERBS = "said called wrote told asked replied met emailed phoned thanked".split()
+NO_NAMES = "The This That These Those Our His Her My Your Their In On At When If But And So We They He She It You Some Many Most All Its".split()
 _LISTED = {name.lower(): (script, kind) for (script, kind), names in NAMES.items() for name in names}
 
 #: Alphabets of one script, case and kind each; a letter is only ever replaced within its own.
 ALPHABETS = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáåãæèéêëìíîïòóôõöøùúûü", "çñýþðß",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "بتثجحخدذرزسشصضطظعغفقكلمنه",
 )
 _ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
+_HAN = "".join(map(chr, range(0x4E00, 0x9FA6)))
 _WHOLE = "abcdefghijklmnopqrstuvwxyz"
 _HEX = "0123456789abcdef"
 
@@ -78,11 +106,17 @@ _WITH_DIGITS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TEXTUAL.items())
 _TITLED = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(n for (_, kind), ns in NAMES.items() if kind in "fm" for n in ns)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
-_NAMED = re.compile(rf"\b(?:(?P<title>{_TITLED})\b\.? (?P<titled>{_CAPITAL}(?: {_CAPITAL})?)|(?P<listed>(?:{_GIVEN}) {_CAPITAL}))(?!\w)")
+_TWO = rf"(?!(?:{'|'.join(NO_NAMES)})\b){_CAPITAL} {_CAPITAL}"
+_NAMED = re.compile(
+    rf"\b(?:(?:{_TITLED})\b\.? (?P<titled>{_CAPITAL}(?: {_CAPITAL})?)|(?P<listed>(?:{_GIVEN}) {_CAPITAL})|(?:{'|'.join(VERBS)}) (?P<object>{_TWO})|(?P<subject>{_TWO})(?= (?:{'|'.join(VERBS)})\b))(?!\w)"
+    rf"|(?<!\w)(?i:{'|'.join(re.escape(c) for c in CUES)}) (?P<cued>{_TWO})(?!\w)"
+)
+_HAN_NAMED = re.compile(rf"(?P<han>[{HAN['s']}][\u4e00-\u9fa5]{{1,2}}?)(?={'|'.join(HAN_TITLES)})")
+_ARABIC_NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(ARABIC_TITLES)}) (?P<arabic>[\u0620-\u064a]{{2,}}(?: [\u0620-\u064a]{{2,}})?)")
 
 
 class Permutation:
-    """Keyed permutation of 0..size-1: Feistel rounds over the next even number of bits, walked back into range."""
+    """Keyed permutation of 0..size-1 (2^MOST_BITS at most): Feistel rounds over the next even number of bits, walked back into range."""
 
     ROUNDS = 6
 
@@ -93,7 +127,7 @@ class Permutation:
         self.keys = [hashlib.blake2b(bytes([r]), key=seed, digest_size=32).digest() for r in range(self.ROUNDS)]
 
     def _mix(self, r: int, x: int) -> int:
-        raw = hashlib.blake2b(x.to_bytes((self.half + 7) // 8, "big"), key=self.keys[r], digest_size=min(64, (self.half + 7) // 8)).digest()
+        raw = hashlib.blake2b(x.to_bytes((self.half + 7) // 8, "big"), key=self.keys[r], digest_size=(self.half + 7) // 8).digest()
         return int.from_bytes(raw, "big") & self.mask
 
     def _walk(self, x: int, rounds: list[int], back: bool) -> int:
@@ -121,25 +155,44 @@ def _permutation(key: bytes, tweak: str, size: int) -> Permutation:
     return Permutation(key, tweak, size)
 
 
+#: Bits of the largest domain that is numbered; beyond, key streams permute place by place.
+MOST_BITS = 256
+
+
+def _streamed(key: bytes, tweak: str, digits: list[int], sizes: list[int]) -> list[int]:
+    """A keyed permutation of digits below sizes: Feistel rounds in which one half's key stream is added to the other."""
+    halves = [len(digits) // 2, len(digits)]
+    parts, bounds = [digits[: halves[0]], digits[halves[0] :]], [sizes[: halves[0]], sizes[halves[0] :]]
+    seed = hashlib.blake2b(tweak.encode(), key=hashlib.sha256(key).digest(), digest_size=32).digest()
+    for r in range(Permutation.ROUNDS):
+        into, source = r % 2, parts[1 - r % 2]
+        stream = hashlib.shake_256(seed + bytes([r]) + array("H", source).tobytes()).digest(4 * len(parts[into]))
+        parts[into] = [(x + k) % n for x, k, n in zip(parts[into], array("I", stream), bounds[into], strict=True)]
+    return parts[0] + parts[1]
+
+
 def permuted(key: bytes, kind: str, value: str, alphabets: list[str], valid: Callable[[str], bool] = lambda _: True) -> str:
     """The next valid value of the same places; alphabets has "" for a place that stays."""
     shape = "".join(chr(33 + len(a)) if a else c for c, a in zip(value, alphabets, strict=True))
-    size, x = 1, 0
-    for c, a in zip(value, alphabets, strict=True):
-        if a:
-            size, x = size * len(a), x * len(a) + a.index(c)
-    if size < 2:
+    sizes = [len(a) for a in alphabets if a]
+    digits = [a.index(c) for c, a in zip(value, alphabets, strict=True) if a]
+    if max(sizes, default=1) < 2:
         return value
-    steps = _permutation(key, f"{kind}\0{shape}", size)
+    short = sum(map(math.log2, sizes)) <= MOST_BITS
+    if short:
+        size, x = 1, 0
+        for d, n in zip(digits, sizes, strict=True):
+            size, x = size * n, x * n + d
+        steps = _permutation(key, f"{kind}\0{shape}", size)
     while True:
-        x = y = steps.step(x)
-        out = []
-        for c, a in zip(reversed(value), reversed(alphabets), strict=True):
-            if a:
-                y, k = divmod(y, len(a))
-                c = a[k]
-            out.append(c)
-        if valid(made := "".join(reversed(out))):
+        if short:
+            x = y = steps.step(x)
+            for k in range(len(sizes) - 1, -1, -1):
+                y, digits[k] = divmod(y, sizes[k])
+        else:
+            digits = _streamed(key, f"{kind}\0{shape}", digits, sizes)
+        it = iter(digits)
+        if valid(made := "".join(a[next(it)] if a else c for c, a in zip(value, alphabets, strict=True))):
             return made
 
 
@@ -181,7 +234,17 @@ def _iban_check(country: str, rest: str) -> str:
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if re.search("[а-яё]", word.lower()) else "greek" if re.search("[α-ωάέήίόύώ]", word.lower()) else "latin"
+    low = word.lower()
+    return "cyrillic" if re.search("[а-яё]", low) else "greek" if re.search("[α-ωάέήίόύώ]", low) else "arabic" if re.search("[\u0620-\u064a]", low) else "latin"
+
+
+# Country calling codes of two digits (1 and 7 have one, all others three).
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(digits: str) -> str:
+    """The calling code at the start of an international number."""
+    return digits[: 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO_DIGITS else 3]
 
 
 class Surrogates:
@@ -208,11 +271,14 @@ class Surrogates:
                 return found, ".".join(map(str, made))
 
     def phone(self, found: str) -> tuple[str, str]:
-        digits = re.sub(r"\D", "", found)
-        kept = len(re.match(r"\+?(\d*)", found)[1]) if found.startswith("+") and re.match(r"\+\d{1,3}\D", found) else 1 if found.startswith("+1") else 2 if found.startswith("+") else 0
-        rest = digits[kept:]
-        made = permuted(self.key, f"phone{digits[:kept]}", rest, _places(rest))
-        return "+" * bool(kept) + digits, _digits_like(found, digits[:kept] + made)
+        """Canonical: all digits with the country code, without a bracketed trunk zero; ten digits without a code are of country 1."""
+        plain = found.replace("(0)", "()") if found.startswith("+") else found
+        digits = re.sub(r"\D", "", plain)
+        code = country_code(digits) if found.startswith("+") else ""
+        rest = digits[len(code) :]
+        made = permuted(self.key, f"phone{code or '1'}", rest, _places(rest))
+        out = _digits_like(plain, code + made)
+        return f"+{code or '1'}{rest}", out if plain == found else out.replace("()", "(0)")
 
     def card(self, found: str) -> tuple[str, str]:
         digits = re.sub(r"\D", "", found)
@@ -236,7 +302,7 @@ class Surrogates:
         upper = _WHOLE.upper()
         return found, permuted(self.key, "secret", found, [_WHOLE if c in _WHOLE else upper if c in upper else "0123456789" if c in "0123456789" else "" for c in found])
 
-    def _one_name(self, word: str, last: bool) -> str:
+    def _one_name(self, word: str) -> str:
         low, script = _low(word), script_of(word)
         # a listed word stays in its list wherever it stands: the walk below skips listed values, so none may start from one
         if listed := _LISTED.get(low):
@@ -246,14 +312,36 @@ class Surrogates:
         places = _places(low)
         if len([p for p in places if p]) > 2:
             places[-1] = ""
-        made = permuted(self.key, f"name {script}" if not last else f"surname {script}", low, places, lambda x: x not in _LISTED)
-        return _recased(word, made)
+        return _recased(word, permuted(self.key, f"name {script}", low, places, lambda x: x not in _LISTED))
 
     def name(self, found: str) -> tuple[str, str]:
         """A name's surrogate, whatever the form of address before it."""
-        words = found.split(" ")
-        made = [self._one_name(w, last=k == len(words) - 1) for k, w in enumerate(words)]
-        return _low(found), " ".join(made)
+        if found[0] in HAN["s"]:
+            kinds = ["s", *(next((k for k in "fm" if c in HAN[k]), "") for c in found[1:])]
+            made = [permuted(self.key, f"han {k}", c, [HAN[k] if k else _HAN], lambda x, k=k: bool(k) or x not in HAN["f"] + HAN["m"]) for c, k in zip(found, kinds, strict=True)]
+            return found, "".join(made)
+        return _low(found), " ".join(map(self._one_name, found.split(" ")))
+
+    def _names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str, str]]:
+        """Names outside the places taken, and later mentions of their words."""
+        spans = [m.span(m.lastgroup) for p in (_NAMED, _HAN_NAMED, _ARABIC_NAMED) for m in p.finditer(text) if m.lastgroup]
+        spans = [(a, b) for a, b in spans if not any(x < b and a < y for x, y in taken)]
+        if not spans:
+            return []
+        known = {text[a:b] for a, b in spans}
+        words = sorted({w for n in known if n[0] not in HAN["s"] for w in n.split(" ") if len(w) > 2} | {n for n in known if n[0] in HAN["s"]}, key=lambda w: (-len(w), w))
+        again = re.compile("|".join(re.escape(w) if w[0] in HAN["s"] else rf"\b{re.escape(w)}\b" for w in words)) if words else None
+        held, out = sorted({*taken, *spans}), []
+        for m in again.finditer(text) if again else ():
+            k = bisect.bisect_right(held, (m.start(), math.inf))
+            if not (k and held[k - 1][1] > m.start()) and not (k < len(held) and held[k][0] < m.end()):
+                spans.append(m.span())
+        at = -1
+        for a, b in sorted(set(spans)):
+            if a >= at:
+                out.append((a, b, "name", *self.name(text[a:b])))
+                at = b
+        return out
 
     def replaced(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """text with surrogates, and (kind, canonical form, surrogate) of each entity in order of place."""
@@ -263,15 +351,12 @@ class Surrogates:
                 kind, value = m.lastgroup, m[0]
                 if kind == "iban" and (flat := value.replace(" ", ""))[2:4] != _iban_check(flat[:2], flat[4:]):
                     continue
+                if kind == "card" and value.isdigit() and len(value) != 16 and not luhn(value):
+                    continue  # a long number that is no card
                 if kind == "secret" and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
                     continue
                 found.append((*m.span(), kind, *getattr(self, kind)(value)))
-        taken = [(a, b) for a, b, *_ in found]
-        for m in _NAMED.finditer(text):
-            group = "titled" if m["title"] else "listed"
-            a, b = m.span(group)
-            if not any(x < b and a < y for x, y in taken):
-                found.append((a, b, "name", *self.name(m[group])))
+        found += self._names(text, [(a, b) for a, b, *_ in found])
         if not found:
             return text, []
         found.sort()
@@ -286,10 +371,15 @@ _ANY_DIGIT = re.compile(r"\d")
 _ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string()), ("surrogate", pa.string())]))
 
 
-def surrogated(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str | None = None) -> DataFrame:
+def digest(key: bytes, canonical: str) -> str:
+    """Stands for a canonical form where the form itself must not be stored."""
+    return hashlib.blake2b(canonical.encode(), key=hashlib.sha256(key).digest(), digest_size=16).hexdigest()
+
+
+def surrogated(docs: DataFrame, key: bytes, entities: str | None = None, originals: bool = False) -> DataFrame:
     """docs with surrogates in text (n_chars follows); entities names a further column for (kind, canonical, surrogate).
 
-    That column holds the originals: it is for checks inside the trusted zone."""
+    There, canonical is a keyed digest; with originals it is the form itself, for checks inside the trusted zone."""
     own = docs.columns
     rest = F.struct(*[F.col(f"`{c}`") for c in own if c != "text"] or [F.lit(0).alias("none")]).alias("_rest")
     rows = docs.select(rest, F.col("text").cast("string").alias("text"))
@@ -303,7 +393,7 @@ def surrogated(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str | None =
             for t in b.column(1):
                 text, these = replace(t.as_py()) if t.is_valid else (None, [])
                 texts.append(text)
-                found.append([{"kind": k, "canonical": c, "surrogate": s} for k, c, s in these])
+                found.append([{"kind": k, "canonical": c if originals else digest(key, c), "surrogate": s} for k, c, s in these])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(found, _ENTITIES)], names=["_rest", "text", "_found"])
 
     out = rows.mapInArrow(made, schema)
@@ -314,9 +404,10 @@ def surrogated(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str | None =
 
 def collisions(found: DataFrame, entities: str = "entities") -> DataFrame:
     """(kind, surrogate, n): surrogates that stand for more than one canonical form; empty if all is well."""
-    each = found.select(F.explode(entities).alias("e")).select("e.kind", F.lower("e.surrogate").alias("surrogate"), "e.canonical")
+    told = F.when(F.col("e.kind") == "secret", F.col("e.surrogate")).otherwise(F.lower("e.surrogate"))  # case tells secrets apart
+    each = found.select(F.explode(entities).alias("e")).select("e.kind", told.alias("surrogate"), "e.canonical")
     # phone, card and IBAN formats differ in separators only
-    flat = F.when(F.col("kind").isin("phone", "card", "iban"), F.regexp_replace("surrogate", r"[^0-9a-z]", "")).otherwise(F.col("surrogate"))
+    flat = F.when(F.col("kind").isin("phone", "card", "iban"), F.regexp_replace("surrogate", r"[^0-9a-z+]", "")).otherwise(F.col("surrogate"))
     return each.withColumn("surrogate", flat).distinct().groupBy("kind", "surrogate").agg(F.count("canonical").alias("n")).filter("n > 1")
 
 
@@ -325,7 +416,7 @@ def drawn_key(key: bytes, draw: int) -> bytes:
     return key if not draw else hashlib.blake2b(draw.to_bytes(4, "big"), key=hashlib.sha256(key).digest(), digest_size=32).digest()
 
 
-def distinct_surrogates(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str | None = None, draws: int = 8) -> DataFrame:
+def distinct_surrogates(docs: DataFrame, key: bytes, entities: str | None = None, draws: int = 8) -> DataFrame:
     """surrogated under the first drawn key by which no two entities of the corpus share a surrogate."""
     held = entities or "_entities_of_" + "_".join(docs.columns)
     for draw in range(draws):
@@ -336,6 +427,6 @@ def distinct_surrogates(docs: DataFrame, key: bytes = EXAMPLE_KEY, entities: str
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = distinct_surrogates(documents(spark, sf_dir).select("doc_id", "text"), entities="entities")
+    out = distinct_surrogates(documents(spark, sf_dir).select("doc_id", "text"), EXAMPLE_KEY, entities="entities")
     counts = [F.expr(f"cast(size(filter(entities, e -> e.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, "text")

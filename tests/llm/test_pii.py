@@ -48,7 +48,7 @@ def test_clean_text_stays():
 
 def test_no_collisions_over_the_fixture_and_nothing_left(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = P.surrogated(docs, entities="entities")
+    found = P.surrogated(docs, P.EXAMPLE_KEY, entities="entities", originals=True)
     assert P.collisions(found).count() == 0
     by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in found.collect():
@@ -79,3 +79,64 @@ def test_shared_surrogates_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(P, "collisions", once)
     got = P.distinct_surrogates(docs, b"k").collect()
     assert len(calls) == 2 and got == P.surrogated(docs, P.drawn_key(b"k", 1)).collect() != P.surrogated(docs, b"k").collect()
+
+
+@given(st.integers(33, 10_000), st.randoms(use_true_random=False))
+@settings(max_examples=15, deadline=None)
+def test_long_secrets_keep_no_run(n, rng):
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    made = S.replaced(secret)[0]
+    assert len(made) == n and not any(made[i : i + 8] == secret[i : i + 8] for i in range(n - 7))
+    assert S.replaced(secret)[0] == made and S.replaced(secret.upper())[0] == made.upper()
+
+
+def test_key_streams_permute():
+    import itertools
+
+    images = {tuple(P._streamed(b"k", "t", list(x), [3, 5, 2, 7])) for x in itertools.product(range(3), range(5), range(2), range(7))}
+    assert len(images) == 3 * 5 * 2 * 7
+
+
+def test_phones_have_one_surrogate_in_all_spellings():
+    seen = {}
+    for x in range(0, 100_000, 7):
+        d = f"{x:05d}"
+        a, b, c = (re.sub(r"\D", "", S.phone(s)[1].replace("(0)", "")) for s in (f"+353{d}", f"+353 {d[0]} {d[1:]}", f"+353 (0){d[0]}-{d[1:]}"))
+        assert a == b == c and seen.setdefault(a, d) == d
+    made = S.replaced("+1 (212) 555-0100, (212) 555-0100, 212-555-0100, +12125550100")[0]
+    assert len({re.sub(r"\D", "", x)[-10:] for x in made.split(", ")}) == 1
+    assert re.sub(r"\D", "", S.phone("+34 91 123 45 67")[1]).startswith("34")
+
+
+def test_names_by_cue_and_later_mentions():
+    text = "Emily Watson called John Smith. Priya Sharma said Emily was late; my name is Zorba Quill. Zorba and Watson left. The Times said so."
+    made, found = S.replaced(text)
+    assert not re.search("Emily|Watson|John|Smith|Priya|Sharma|Zorba|Quill", made) and "The Times said so." in made
+    assert made.split(" ")[0] == re.search(r"said (\w+) was late", made)[1]
+    for text in ("王小明先生说，王小明去了。", "السيد أحمد علي قال. أحمد ذهب"):
+        made = S.replaced(text)[0]
+        assert len(made) == len(text) and not any(w in made for w in ("王小明", "أحمد", "علي"))
+
+
+def test_overlaps_ties_and_long_numbers():
+    made, found = S.replaced("Mr alice@b.example.com Baker 4785380592391139 12345678901234567")
+    assert [x[0] for x in found] == ["email", "card"] and "12345678901234567" in made
+    assert S.replaced("Mr John Smith Mr John Smith")[1][0] == S.replaced("Mr John Smith")[1][0]
+
+
+def test_stored_entities_hold_no_originals(spark):
+    docs = spark.createDataFrame([(1, "Mail a.b@c.example.com"), (2, None), (3, ""), (1, "Mail A.B@c.example.com")], "doc_id long, text string")
+    rows = sorted(P.distinct_surrogates(docs, b"k", entities="e").collect(), key=str)
+    assert all("a.b" not in str(r).lower() for r in rows) and {x["canonical"] for r in rows for x in r["e"]} == {P.digest(b"k", "a.b@c.example.com")}
+    assert sorted(str(r["text"]) for r in rows if r["doc_id"] != 1) == ["", "None"]
+
+
+def test_query_equals_row_by_row_replacement(spark):
+    d = "/root/testdata/sf0.001"
+    own = P.Surrogates(P.EXAMPLE_KEY)
+    want = {r["doc_id"]: own.replaced(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = P.op2_pii(spark, d).collect()
+    assert len(got) == len(want)
+    for r in got:
+        text, found = want[r["doc_id"]]
+        assert r["text"] == text and r["n_entities"] == len(found) and all(r[f"n_{k}"] == sum(x[0] == k for x in found) for k in P.KINDS)
