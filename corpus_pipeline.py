@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and is
 written as Parquet before the next one reads it. All but the last return the columns of docs;
 extra columns are carried along, whatever their names.
+
+Defined cases: an empty table passes through every stage empty. A null or empty text fails the
+quality rules (it has no words) and goes in the first stage; given to a later stage directly it
+stays as it is, is a copy of every other text without words, and has no token ids. Nulls in other
+columns stay. Texts of any length are handled whole. Repeated rows, and documents whose texts are
+alike, are one group: the least doc_id stays (null ids give way; of equal ids one row stays).
 """
 
 from __future__ import annotations
@@ -30,8 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data, distinct for distinct entities."""
-    return pii.distinct_surrogates(docs)
+    """Documents with surrogates for personal data, distinct for distinct entities.
+
+    The key is the session's spark.inkstone.pii.key; the example key only where that is unset."""
+    key = spark.conf.get("spark.inkstone.pii.key", None)
+    return pii.distinct_surrogates(docs, key.encode() if key else pii.EXAMPLE_KEY)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
