@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.session import stored
+from inkstone.session import dropped, stored, tables_stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-edges and repeated edges change nothing; an empty table gives no rows."""
     edges = stored(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    n, spark = -1, edges.sparkSession
     while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("a"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long"))).first()
-        if now == before:
+        since = tables_stored(spark) - 1  # the table of edges is the last one
+        after = stored(_small_star(_large_star(edges)), "edges")
+        done = (m := after.count()) == n and after.join(edges, ["a", "b"], "left_anti").isEmpty()
+        dropped(spark, since, keep=1)
+        edges, n = after, m
+        if done:  # the same edges as before
             break
-        before = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select("a", F.col("a").alias("root")).distinct())

@@ -114,7 +114,7 @@ SQL: dict[str, str] = {
     "score_components": f"with {_SCORED} select id, region_part, theme_part, security_part, freshness_part, source_part, content_part from scored",
     "composite_score": f"with {_SCORED} select id, category, article_score from scored",
     "persisted_scores": f"with {_SCORED} select id, " + ", ".join(f"case when relevant then round_even({c}, 0)::int else 0 end as {c}" for c in ("article_score", "theme_part", "security_part", "freshness_part", "source_part", "content_part")) + " from scored",
-    "article_rank": f"with {_SCORED} select s.id, r.rank::int as rank from scored s left join (select id, row_number() over (order by article_score desc, published_date desc nulls last, id) as rank from scored where relevance_score > 0 and article_score > 0) r on s.id = r.id",
+    "article_rank": f"with {_SCORED} select s.id, r.rank::bigint as rank from scored s left join (select id, row_number() over (order by article_score desc, published_date desc nulls last, id) as rank from scored where relevance_score > 0 and article_score > 0) r on s.id = r.id",
     "top_articles": f"with {_RELEVANT} select id, article_score from relevants order by coalesce(article_score, 0) desc, id limit 10",
     "stats_overall": f"with {_RELEVANT} select count(*) as total, coalesce(round(avg(coalesce(article_score, 0)), 2), 0) as avg_article_score, coalesce(round(avg(relevance_score), 2), 0) as avg_relevance_score, coalesce(round(avg(theme_max), 2), 0) as avg_theme_max, strftime(min(published_date), '%Y-%m-%d') as first_date, strftime(max(published_date), '%Y-%m-%d') as last_date from relevants",
     "stats_category": "with " + norm_shares("category"),
@@ -145,7 +145,7 @@ SQL: dict[str, str] = {
       select count(*) as n, round(avg(case when p <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when p <= 3 then 1.0 else 0.0 end), 6) as recall_3, round(avg(case when p <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(coalesce(1.0 / p, 0.0)), 6) as mrr from f""",
     "layout": f"with {ARTICLES_SQL} select id, case when {_WC} >= {C.LONG} then 'feature_long' when id % 3 = 0 then 'feature_image' when {_WC} >= {C.MEDIUM} then 'feature_medium' else 'standard' end as layout from articles",
     "sections": f"with {_RELEVANT}, g as (select category, count(*) as n, min(id) as first, md5(string_agg(id::varchar, ',' order by id)) as ids from relevants group by category) select row_number() over (order by coalesce(list_position([{', '.join(map(quoted, L.CATEGORY_ORDER))}], category), 99), first)::int as number, category, n, ids from g",
-    "composition_order": f"with {ARTICLES_SQL}, r as (select id, case when id % 3 = 0 then id % 17 end as rank from articles) select id, row_number() over (order by rank nulls last, id::varchar)::int as position from r",
+    "composition_order": f"with {ARTICLES_SQL}, r as (select id, case when id % 3 = 0 then id % 17 end as rank from articles) select id, row_number() over (order by rank nulls last, id::varchar)::bigint as position from r",
     "asset_lookup": f"with {ARTICLES_SQL}, f as (select id, 'data/img/' || (id * 7 % 10) || '-' || n || '.jpg' as path from articles, (values (3), (1), (2)) v(n) where id % 2 = 0) select a.id, '../' || substr(min(f.path), 6) as asset from articles a left join f on a.id = f.id group by a.id",
     "image_rank": "select vec_id as image_id, vec_id % 50 as article_id, row_number() over (partition by vec_id % 50 order by abs(embedding[1]::double) desc, vec_id)::int as rank from embeddings",
     "best_image": "select vec_id % 50 as article_id, vec_id as image_id from embeddings where abs(embedding[1]::double) >= 0.2 qualify row_number() over (partition by vec_id % 50 order by abs(embedding[1]::double) desc, vec_id) = 1",
