@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import documents
 
 #: Words whose encoding a worker keeps; at the bound, it starts anew.
-MEMORY = 1_000_000
+MEMORY = 600_000
 #: Words longer than this are not kept.
 KEPT_WORD = 64
 #: Rows that are passed on together.
@@ -138,27 +139,28 @@ class Bpe:
         self.careful_split = regex.compile(pattern, regex.V1)  # slower; for texts with characters of LATER
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.spaces = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.tokens = [self.token.get(i, "") for i in range(max(self.token, default=-1) + 1)]
+        self.decimals = [str(i) for i in range(len(self.tokens))]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal, and the tokens, of one word of the split."""
+    def word(self, word: str) -> bytes:
+        """The ids, four bytes each, of one word of the split."""
         raw, letters = word.encode(), self.bytes
         pieces = [letters[b][0] for b in raw]
         pieces[-1] = letters[raw[-1]][1]
-        ids = [i for i in merge_pieces(pieces, self.ranks, self.results) if i in self.token]
-        found = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+        found = array("I", [i for i in merge_pieces(pieces, self.ranks, self.results) if i in self.token]).tobytes()
         if len(word) <= KEPT_WORD:
             if len(self.known) >= MEMORY:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def parts(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """Number, decimal ids and tokens, word by word."""
+    def parts(self, text: str | None) -> Iterator[bytes]:
+        """Ids word by word."""
         get, word = self.known.get, self.word
         for k, part in enumerate(self.cuts.split(text or "") if self.cuts else [text or ""]):
             if k % 2:
-                yield 1, str(self.special[part]), part
+                yield array("I", [self.special[part]]).tobytes()
                 continue
             split = self.split
             if not part.isascii():
@@ -168,10 +170,14 @@ class Bpe:
                     split = self.careful_split
             # capital sigma has one lower case here, wherever it stands
             for w in split.findall(self.spaces.sub(" ", part).replace("Σ", "σ").lower()):
-                yield get(w) or word(w)
+                found = get(w)
+                yield word(w) if found is None else found
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(self.parts(text)), np.uint32)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for _, ids, _ in self.parts(text) for x in ids.split()]
+        return self.ids(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks: the vocabulary names no decoder. Unknown ids are left out."""
@@ -196,11 +202,8 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
         bpe = loaded(path)
         for b in batches:
             for at in range(0, b.num_rows, ROWS_A_BATCH):
-                ids, decoded = [], []
-                for t in b.column(1).slice(at, ROWS_A_BATCH):
-                    words = [w for w in bpe.parts(t.as_py()) if w[0]]
-                    ids.append(np.fromstring(" ".join([w[1] for w in words]), np.int32, sep=" ") if words else np.empty(0, np.int32))
-                    decoded.append(" ".join([w[2] for w in words]))
+                ids = [bpe.ids(t.as_py()).astype(np.int32) for t in b.column(1).slice(at, ROWS_A_BATCH)]
+                decoded = [" ".join([bpe.tokens[i] for i in x.tolist()]) for x in ids]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, ROWS_A_BATCH), pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(decoded, pa.string())], names=[id, "n_tokens", "ids", "decoded"])
@@ -214,13 +217,14 @@ def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = loaded(path), hashlib.sha256
+        tokens, decimals = bpe.tokens, bpe.decimals
         for b in batches:
             sizes, ids, decoded = [], [], []
             for t in b.column(1):
-                words = [w for w in bpe.parts(t.as_py()) if w[0]]
-                sizes.append(sum([w[0] for w in words]))
-                ids.append(sha(" ".join([w[1] for w in words]).encode()).hexdigest())
-                decoded.append(sha(" ".join([w[2] for w in words]).encode()).hexdigest())
+                found = bpe.encode(t.as_py())
+                sizes.append(len(found))
+                ids.append(sha(" ".join([decimals[i] for i in found]).encode()).hexdigest())
+                decoded.append(sha(" ".join([tokens[i] for i in found]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias("text"))
