@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.session import FALLBACK_DIR, shared_dir, ship, stored  # noqa: F401
+from inkstone.session import new_path, ship, stored  # noqa: F401
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

@@ -11,11 +11,14 @@ P = (KT + product of the children) / 2, so all depths mix. The tree is frozen af
 How it scales: nothing unbounded is broadcast or collected.
 * Each task counts its distinct words and byte grams (a byte with its context), and the counts
   are summed by a shuffle.
-* Grams are grouped by the two nearest context bytes; a group's subtree is weighted by itself.
-  Only the tree's top (the root and 256 contexts of 255 decisions) is summed on the driver.
+* Grams are grouped by the three nearest context bytes; the subtrees of whole groups are weighted
+  in stretches, and one group holds at most the distinct grams of three bytes. The tree's top
+  (contexts of up to two bytes, 65,793 times 255 decisions at most whatever the corpus) is
+  summed by a shuffle and mixed on the driver.
 * The most frequent words and grams, by a count threshold that keeps them under MOST_WORDS and
   MOST_GRAMS, are broadcast. Whatever else a text has is joined with the full tables and added:
-  the result is the same for every value of these bounds.
+  the result is the same for every value of these bounds, up to the order of summing doubles.
+  Predictions seen from depth TOP are kept in single precision, for all grams alike.
 
 Defined cases: null text is empty (the end token only); an empty table, or one without training
 rows, gives probabilities of the untrained tree (one half a decision); repeated rows count
@@ -24,8 +27,8 @@ each time; null ids count as fold 0; words of any length are spelt whole.
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import documents, fold, shared_dir, stored
+from inkstone.llm.common import documents, fold, new_path, stored
 
-DEPTH, FOLDS, HELD_OUT = 5, 7, 2
+DEPTH, FOLDS, HELD_OUT = 6, 7, 2
 END = b"\n"
-#: Most entries that are broadcast: about 10 MB of words in a typical corpus (longer words are never broadcast), 48 MB of grams.
+#: Most entries that are broadcast: about 10 MB of words in a typical corpus (longer words are never broadcast), 64 MB of grams.
 MOST_WORDS, MOST_GRAMS, LONGEST_WORD = 1 << 17, 1 << 21, 64
 #: Bytes of text that a task handles at a time, and distinct words that it counts before it passes them on.
 BLOCK_BYTES, HELD_WORDS = 2 << 20, 1 << 20
+#: Context bytes that name a group of grams, and grams that are weighted at a time (whole groups).
+TOP, HELD_GRAMS = 3, 1 << 18
 LN2 = math.log(2)
 
 
@@ -138,35 +143,41 @@ def subtree(grams: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH)
 
 
 class Top:
-    """The root and the contexts of one byte: dense tables, whatever the corpus."""
-
-    def __init__(self, sums: list[tuple[int, float, float, float]]) -> None:
-        """sums: (context byte << 8 | bits so far, sum of the children's log weights, zeros, ones)."""
-        zeros, ones, below = (np.zeros(1 << 16) for _ in range(3))
-        for key, log_weight, a, b in sums:
-            below[key] += log_weight
-            zeros[key] += a
-            ones[key] += b
-        kt = log_kt(zeros, ones)
-        log_weight = np.logaddexp(kt, below) - LN2
-        self.stop1 = np.exp(kt - LN2 - log_weight)
-        self.zeros1, self.ones1 = zeros, ones
-        self.zeros0, self.ones0 = zeros.reshape(256, 256).sum(0), ones.reshape(256, 256).sum(0)
-        log_weight[(zeros + ones) == 0] = 0
-        kt0 = log_kt(self.zeros0, self.ones0)
-        self.stop0 = np.exp(kt0 - LN2 - (np.logaddexp(kt0, log_weight.reshape(256, 256).sum(0)) - LN2))
+    """The contexts of up to two bytes: dense tables up to one byte, a sorted table for two."""
+
+    def __init__(self, keys: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        """Of the nodes of depth two, keys ascending (context << 8 | bits so far), the sum of their children's log weights, and counts."""
+        self.keys, self.zeros, self.ones, self.stop = {2: keys}, {2: zeros}, {2: ones}, {}
+        for d in (2, 1, 0):
+            kt = log_kt(self.zeros[d], self.ones[d])
+            log_weight = np.logaddexp(kt, below) - LN2
+            self.stop[d] = np.exp(kt - LN2 - log_weight)
+            if d:
+                size = 256**d
+                up = (((keys >> 8) & (size // 256 - 1)) << 8) | (keys & 255) if d == 2 else np.arange(1 << 16) & 255
+                log_weight = np.where(self.zeros[d] + self.ones[d] > 0, log_weight, 0.0)
+                below, self.zeros[d - 1], self.ones[d - 1] = (np.bincount(up, weights=x, minlength=size) for x in (log_weight, self.zeros[d], self.ones[d]))
 
     def log10(self, grams: np.ndarray, deep: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte, from its bits' predictions seen from depth 2."""
+        """log10 probability of each gram's byte, from its bits' predictions seen from depth TOP."""
         total = np.zeros(len(grams))
-        for b, (key, bit) in enumerate(_node_keys(grams, 1)):
-            a, c = self.zeros1[key], self.ones1[key]
-            kt = (np.where(bit == 1, c, a) + 0.5) / (a + c + 1)
-            p = np.where(a + c > 0, self.stop1[key] * kt + (1 - self.stop1[key]) * deep[:, b], 0.5)
-            k0 = key & 255
-            a, c = self.zeros0[k0], self.ones0[k0]
-            kt = (np.where(bit == 1, c, a) + 0.5) / (a + c + 1)
-            p = np.where(a + c > 0, self.stop0[k0] * kt + (1 - self.stop0[k0]) * p, 0.5)
+        each = {d: _node_keys(grams, d) for d in (2, 1, 0)}
+        for b in range(8):
+            p = deep[:, b]
+            for d in (2, 1, 0):
+                key, bit = each[d][b]
+                at = key
+                there = np.ones(len(grams), bool)
+                if d == 2:
+                    at = np.minimum(np.searchsorted(self.keys[2], key), max(0, len(self.keys[2]) - 1))
+                    there = self.keys[2][at] == key if len(self.keys[2]) else ~there
+                    at = at if len(self.keys[2]) else None
+                if at is None:
+                    p = np.full(len(grams), 0.5)
+                    continue
+                zeros, ones = self.zeros[d][at], self.ones[d][at]
+                kt = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1)
+                p = np.where(there & (zeros + ones > 0), self.stop[d][at] * kt + (1 - self.stop[d][at]) * p, 0.5)
             total += np.log10(p)
         return total
 
@@ -175,25 +186,45 @@ def weighted(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, n, log10 probability of its byte) for every gram of (gram, n); grams with n = 0 are only predicted."""
     spark = grams.sparkSession
 
-    def tree(table: pa.Table) -> pa.Table:
-        codes, counts = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        deep, (keys, logs, zeros, ones) = subtree(codes, counts, 2, depth)
-        keys = ((keys >> 8) & 255) << 8 | (keys & 255)
-        n, m = len(codes), len(keys)
+    def told(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        deep, (keys, logs, zeros, ones) = subtree(codes, counts, TOP, depth)
+        keys = ((keys >> 8) & 0xFFFF) << 8 | (keys & 255)
+        both, at = np.unique(keys, return_inverse=True)
+        sums = [np.bincount(at, weights=x, minlength=len(both)) for x in (logs, zeros, ones)]
+        n, m = len(codes), len(both)
         raw = np.ascontiguousarray(deep, np.float32)
-        low = pa.table({"kind": np.zeros(n, np.int32), "gram": codes, "n": counts, "bits": pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(raw)]).cast(pa.binary()), "key": pa.nulls(n, pa.int64()), "log_weight": pa.nulls(n, pa.float64()), "zeros": pa.nulls(n, pa.float64()), "ones": pa.nulls(n, pa.float64())})
-        high = pa.table({"kind": np.ones(m, np.int32), "gram": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "bits": pa.nulls(m, pa.binary()), "key": keys, "log_weight": logs, "zeros": zeros, "ones": ones})
-        return pa.concat_tables([low, high])
+        bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(raw)]).cast(pa.binary())
+        names = ["kind", "gram", "n", "bits", "key", "log_weight", "zeros", "ones"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(codes), pa.array(counts), bits, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.float64())] * 3], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(both.astype(np.int64)), *map(pa.array, sums)], names=names)
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+                if len(held[0]) < HELD_GRAMS:
+                    continue
+            if not len(held[0]):
+                continue
+            whole = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+            if whole:
+                yield from told(held[1][:whole], held[2][:whole])
+                held = [h[whole:] for h in held]
 
     schema = "kind int, gram long, n long, bits binary, key long, log_weight double, zeros double, ones double"
-    path = f"{shared_dir(spark)}/inkstone-{uuid.uuid4().hex}/tree"
-    group = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("group")
-    grams.select("gram", "n", group).groupBy("group").applyInArrow(tree, schema).write.partitionBy("kind").parquet(path)
+    path = new_path(spark, "tree")
+    group = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)).alias("group")
+    spread = grams.select(group, "gram", "n").repartition("group").sortWithinPartitions("group")
+    spread.mapInArrow(trees, schema).write.partitionBy("kind").parquet(path)
     read = spark.read.schema(schema).parquet(path)
-    sums = read.filter("kind = 1").groupBy("key").agg(F.sum("log_weight"), F.sum("zeros"), F.sum("ones"))
-    top = Top([tuple(r) for r in sorted(sums.collect())])  # 256 * 255 rows at most
+    sums = read.filter("kind = 1").groupBy("key").agg(F.sum("log_weight"), F.sum("zeros"), F.sum("ones")).toArrow()  # 65,536 * 255 rows at most
+    keys, *values = (c.to_numpy() for c in sums.columns)
+    order = np.argsort(keys)
+    sent = spark.sparkContext.broadcast(Top(keys[order].astype(np.int64), *[v[order].astype(np.float64) for v in values]))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = sent.value
         for b in batches:
             codes = b.column(0).to_numpy()
             deep = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(len(codes), 8).astype(np.float64)
@@ -247,9 +278,11 @@ def counted(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                     for w in {w for x in own for w in x}:
                         words[w] += 0
                 new, n = np.unique(grams_of(spelling(own), depth), return_counts=True)
-                both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, n * trains]), minlength=len(both)).astype(np.int64)
-                codes = both
+                at = np.searchsorted(codes, new)
+                here = codes[np.minimum(at, len(codes) - 1)] == new if len(codes) else np.zeros(len(new), bool)
+                if trains:
+                    counts[at[here]] += n[here]
+                codes, counts = np.insert(codes, at[~here], new[~here]), np.insert(counts, at[~here], n[~here] * trains)
             if len(words) >= HELD_WORDS or len(codes) >= 4 * HELD_WORDS:
                 yield from told()
                 words.clear()
@@ -266,12 +299,12 @@ def _threshold(table: DataFrame, most: int) -> int:
 
 
 class GramTable:
-    """Open-addressing table of 8-byte codes and 4-byte values in two arrays, looked up many at a time."""
+    """Open-addressing table of 8-byte codes and 8-byte values in two arrays, looked up many at a time."""
 
     def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(1, (2 * max(1, len(codes)) - 1).bit_length())
         self.codes = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits)
         left, slots = np.arange(len(codes)), self._slots(codes)
         while len(left):
             free = self.codes[slots] == -1
@@ -287,7 +320,7 @@ class GramTable:
         """Values (0 where absent), and the places of absent codes."""
         slots = self._slots(codes)
         there = self.codes[slots]
-        out = np.where(there == codes, self.values[slots], np.float32(0))
+        out = np.where(there == codes, self.values[slots], 0.0)
         left = np.nonzero((there != codes) & (there != -1))[0]
         absent = [np.nonzero(there == -1)[0]]
         slots = slots[left]
@@ -313,7 +346,7 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
     tree = stored(weighted(grams, depth), "grams")
     often = words.filter((F.col("n") >= _threshold(words, most_words)) & (F.length("word") <= LONGEST_WORD)).toArrow()
     found = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist(), strict=True))
-    dense = tree.filter(F.col("n") >= _threshold(tree, most_grams)).select("gram", F.col("log10").cast("float").alias("log10")).toArrow()
+    dense = tree.filter(F.col("n") >= _threshold(tree, most_grams)).select("gram", "log10").toArrow()
     sent = spark.sparkContext.broadcast((found, GramTable(dense.column("gram").to_numpy(), dense.column("log10").to_numpy())))
     del often, found, dense
 
@@ -327,7 +360,7 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
             values, absent = table.find(codes)
             ends = np.cumsum([len(x) for x in spelt])
             starts = np.concatenate([[0], ends[:-1]])
-            score = np.add.reduceat(values.astype(np.float64), starts)
+            score = np.add.reduceat(values, starts)
             absent.sort()
             cuts = np.searchsorted(absent, np.concatenate([starts, ends[-1:]]))
             for x in lists:

@@ -56,10 +56,27 @@ def brute(train, test, depth):
 def test_scores_equal_sequential_weighting_whatever_is_broadcast(spark):
     texts = ["The then theater", "", None, "cat the é a a the cat", "the dog zzzzzz", "theatre  cat\n the éa", "x"]
     df = spark.createDataFrame([(i, t, i < 4) for i, t in enumerate(texts)], "doc_id long, text string, trains boolean")
-    want = brute(texts[:4], texts, 4)
-    for words, grams in ((1 << 17, 1 << 21), (2, 10), (0, 0)):
-        got = {r["doc_id"]: r["score"] for r in C.scored(df, "trains", depth=4, most_words=words, most_grams=grams).collect()}
-        assert all(abs(got[i] - w) < 1e-5 for i, w in enumerate(want))
+    for depth in (4, 6):
+        want, first = brute(texts[:4], texts, depth), None
+        for words, grams in ((1 << 17, 1 << 21), (2, 10), (0, 0)):
+            got = {r["doc_id"]: r["score"] for r in C.scored(df, "trains", depth=depth, most_words=words, most_grams=grams).collect()}
+            assert all(abs(got[i] - w) < 1e-5 for i, w in enumerate(want))
+            first = first or got
+            assert all(abs(got[i] - first[i]) < 1e-12 for i in got)
+
+
+def test_stretches_of_groups_change_nothing(spark, monkeypatch):
+    texts = ["the cat and the dog " * 3, "another text altogether", "the dog"]
+    df = spark.createDataFrame([(i, t, i < 2) for i, t in enumerate(texts)], "doc_id long, text string, trains boolean")
+    whole = sorted((r["doc_id"], r["score"]) for r in C.scored(df, "trains").collect())
+    monkeypatch.setattr(C, "HELD_GRAMS", 3)
+    assert all(a == b and abs(x - y) < 1e-9 for (a, x), (b, y) in zip(whole, sorted((r["doc_id"], r["score"]) for r in C.scored(df, "trains").collect()), strict=True))
+
+
+def test_better_than_the_base_on_held_out_rows(spark):
+    rows = [r for r in C.op8_ctw(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens - 0.01
 
 
 def test_base_columns_and_gain_on_held_out_rows(spark):
@@ -79,7 +96,7 @@ def test_base_columns_and_gain_on_held_out_rows(spark):
 def test_gram_table():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 1 << 40, 5000))
-    values = rng.random(len(codes)).astype(np.float32)
+    values = rng.random(len(codes))
     table = C.GramTable(codes, values)
     asked = np.concatenate([codes[::3], rng.integers(1 << 41, 1 << 42, 1000)])
     found, absent = table.find(asked)
