@@ -7,7 +7,7 @@ A merge updates the three leaves around it in logarithmic time. A vocabulary fil
 this library's public word vocabulary is supported: NFC, white space to blanks, lower case,
 its split pattern, byte-level letters, merges with an end-of-word suffix, no decoder.
 
-Encoding works word by word; what a worker remembers about words is bounded (MEMORY words).
+Encoding works word by word; what a worker remembers about words is bounded (MEMORY and RECENT).
 Defined cases: null counts as empty; empty texts have no ids; the special tokens' strings are
 taken as their ids wherever they stand; repeated rows are each encoded; words of any length
 are encoded whole in O(n log n).
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import documents
 
-#: Words whose encoding a worker keeps; at the bound, it starts anew.
-MEMORY = 600_000
+#: Words seen twice or more, and words seen once, whose encoding a worker keeps; at its bound, either starts anew.
+MEMORY, RECENT = 400_000, 200_000
 #: Words longer than this are not kept.
 KEPT_WORD = 64
 #: Rows that are passed on together.
@@ -140,19 +140,25 @@ class Bpe:
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.spaces = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
         self.tokens = [self.token.get(i, "") for i in range(max(self.token, default=-1) + 1)]
         self.decimals = [str(i) for i in range(len(self.tokens))]
 
     def word(self, word: str) -> bytes:
-        """The ids, four bytes each, of one word of the split."""
+        """The ids, four bytes each, of one word of the split that is not known yet."""
+        if (found := self.recent.pop(word, None)) is not None:  # seen again
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[word] = found
+            return found
         raw, letters = word.encode(), self.bytes
         pieces = [letters[b][0] for b in raw]
         pieces[-1] = letters[raw[-1]][1]
         found = array("I", [i for i in merge_pieces(pieces, self.ranks, self.results) if i in self.token]).tobytes()
         if len(word) <= KEPT_WORD:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[word] = found
+            if len(self.recent) >= RECENT:
+                self.recent.clear()
+            self.recent[word] = found
         return found
 
     def parts(self, text: str | None) -> Iterator[bytes]:

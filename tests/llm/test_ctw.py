@@ -73,10 +73,10 @@ def test_stretches_of_groups_change_nothing(spark, monkeypatch):
     assert all(a == b and abs(x - y) < 1e-9 for (a, x), (b, y) in zip(whole, sorted((r["doc_id"], r["score"]) for r in C.scored(df, "trains").collect()), strict=True))
 
 
-def test_better_than_the_base_on_held_out_rows(spark):
-    rows = [r for r in C.op8_ctw(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
-    tokens = sum(r["n_tokens"] for r in rows)
-    assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens - 0.01
+def test_deeper_contexts_score_held_out_rows_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (C.fold("doc_id", 7) != 2).alias("trains"))
+    totals = [sum(r["score"] for r in C.scored(docs, "trains", depth=d).collect() if not r["trains"]) for d in (2, 4, 6)]
+    assert totals[0] < totals[1] < totals[2]
 
 
 def test_base_columns_and_gain_on_held_out_rows(spark):
