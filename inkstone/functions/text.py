@@ -13,9 +13,13 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: White space that is no blank, with all that follows, or a blank with more: what is left alone are single blanks.
+_RUNS = SPACE[:-1].replace("\\s", "\\t\\n\\f\\r") + "]" + SPACE + "*| " + SPACE + "+"
+
+
 def squeezed(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
 def normalized(c: Column) -> Column:
@@ -24,13 +28,13 @@ def normalized(c: Column) -> Column:
 
 
 def normalized_hyphens(c: Column) -> Column:
-    return squeezed(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "-", " "))
+    """normalized, with hyphens as blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[-" + SPACE[1:] + "+", " "))
 
 
 def normalized_words(c: Column) -> Column:
-    """Lower case, everything but word characters and white space as blanks."""
-    kept = rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]"
-    return squeezed(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), kept, " "))
+    """Lower case, everything but word characters as single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def page_text(c: Column) -> Column:
@@ -49,9 +53,10 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"\S+"))
 
 
-def tokens(c: Column) -> Column:
-    """Distinct words of a normalised text."""
-    return F.array_distinct(F.split(c, rf"[^\p{{L}}\p{{N}}_]+"))
+def tokens(c: Column, vocabulary: tuple[str, ...] | None = None) -> Column:
+    """Distinct words of a normalised text; with a vocabulary, those that are in it."""
+    words = F.split(c, r"[^\p{L}\p{N}_]+")
+    return F.array_distinct(words) if vocabulary is None else F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), words)
 
 
 def is_one_word(term: str) -> bool:
@@ -91,6 +96,23 @@ def substring_terms(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
 
 
+def document_text(title: Column, source: Column, published: Column, category: Column, content: Column) -> Column:
+    """The text of an article that is embedded and stored."""
+    day = F.date_format(published, "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.lit("Title: "), title, F.lit("\n\nSource: "), source, F.lit("\nPublished: "), day, F.lit("\nCategory: "), category, F.lit("\n\nContent:\n"), content)
+
+
+def embedding_text(title: Column, content: Column) -> Column:
+    """The shorter text that is compared for semantic duplicates."""
+    return F.trim(F.concat(F.lit("Title: "), title, F.lit("\n\nContent:\n"), content))
+
+
+def context_section(source_id: Column, article_id: Column, title: Column, source: Column, published: Column, category: Column, score: Column, similarity: Column, content: Column) -> Column:
+    """One retrieved article as evidence in a request; the similarity has four decimals."""
+    named = [("Article ID", article_id), ("Title", title), ("Source", source), ("Published Date", published), ("Category", category), ("Article Score", score), ("Retrieval Similarity", F.format_string("%.4f", similarity)), ("Content", content)]
+    return F.concat(F.lit("[Source "), source_id.cast("string"), F.lit("]"), *[x for name, c in named for x in (F.lit(f"\n\n{name}:\n"), c.cast("string"))])
+
+
 def keywords(c: Column, stopwords: tuple[str, ...]) -> Column:
     """Lower-case words of three letters or more that are no stop words, repeats kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9]+(?:-[a-z0-9]+)*)"), F.lit(1))
@@ -109,6 +131,19 @@ REQUEST_ENDS = (
 )
 
 
+#: The openings that a generator's request loses.
+GENERATOR_STARTS = (
+    "write a magazine article about", "write an article about", "write a magazine article on", "write an article on", "write about", "generate a magazine article about",
+    "generate an article about", "create a magazine article about", "create an article about",
+)
+
+
+def retrieval_query(c: Column) -> Column:
+    """A generator's request without its opening and final full stops."""
+    asked = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^(?:" + "|".join(GENERATOR_STARTS) + r")\s*", "")
+    return F.regexp_replace(asked, r"\.+$", "")
+
+
 def cleaned_query(c: Column) -> Column:
     """The question without its request phrase; null if nothing is asked."""
     c = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
@@ -130,6 +165,7 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(squeezed(F.coalesce(c, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
+# Patterns of numbers, citations and dates.
 NUMBER = r"(?i)\b\d+(?:\.\d+)?(?:\s*(?:kg|km|crore|lakh|million|billion|%|percent|years?|days?|hours?|months?))?\b"
 CITATION = r"(?i)\[Source\s+(\d+)\]"
 

@@ -16,6 +16,13 @@ HIGH_DOMAINS = (
     "timesofindia.indiatimes.com", "telegraphindia.com", "theprint.in", "deccanherald.com", "news18.com", "ndtv.com",
 )
 MEDIUM_DOMAINS = ("eastmojo.com", "nenow.in", "northeasttoday.in", "sentinelassam.com", "pratidintime.com", "assamlive.com", "guwahatiplus.com")
+# Domains of image sources by quality.
+BEST_SOURCES = (
+    "pib.gov.in", "mod.gov.in", "assam.gov.in", "mizoram.gov.in", "manipur.gov.in", "nagaland.gov.in", "meghalaya.gov.in", "tripura.gov.in", "arunachalpradesh.gov.in", "sikkim.gov.in",
+    "assamtribune.com", "thehindu.com", "indianexpress.com", "hindustantimes.com", "telegraphindia.com", "timesofindia.indiatimes.com", "ndtv.com", "indiatoday.in", "deccanherald.com", "theprint.in",
+)
+GOOD_SOURCES = ("news18.com", "eastmojo.com", "northeasttoday.in", "nenow.in", "sentinelassam.com", "pratidintime.com", "assamlive.com", "guwahatiplus.com")
+POOR_SOURCES = ("tour", "tourism", "travel", "map", "maps", "blogspot", "wordpress", "pinterest", "stock", "wallpaper", "clipart")
 UI_TERMS = (
     "logo", "icon", "favicon", "search", "clear", "close", "menu", "arrow", "facebook", "twitter", "instagram", "youtube", "linkedin", "whatsapp", "share", "print", "placeholder",
     "authorplaceholder", "avatar", "profile", "default", "loading", "loader", "spinner", "banner-ad", "advertisement", "advert", "cookie",
@@ -106,3 +113,15 @@ def is_image(url: Column) -> Column:
 def asset_path(c: Column) -> Column:
     """Paths below data/ as seen from a document beside it; others as they are."""
     return F.when(c.startswith("data/"), F.concat(F.lit("../"), F.substr(c, F.lit(6)))).otherwise(c)
+
+
+def source_quality_score(domain: Column) -> Column:
+    """0.1 to 1 by a source's domain; those without one get 0.3."""
+    d = F.regexp_replace(F.trim(F.lower(F.coalesce(domain, F.lit("")))), r"^www\.", "")
+    return F.when(d == "", 0.30).when(d.isin(*BEST_SOURCES), 1.00).when(d.isin(*GOOD_SOURCES), 0.75).when(d.rlike(_one_of(POOR_SOURCES)), 0.10).otherwise(0.50)
+
+
+def relative_path(c: Column, base: str) -> Column:
+    """An absolute path below base as seen from base; others as they are."""
+    head = base.rstrip("/") + "/"
+    return F.when(c.startswith(head), F.substr(c, F.lit(len(head) + 1))).otherwise(c)

@@ -19,8 +19,8 @@ def overall(articles: DataFrame) -> DataFrame:
 def shares(articles: DataFrame, column: str) -> DataFrame:
     """(name, n, percent) by count of the column's values that are not null."""
     counts = articles.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("name", "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("percent"))
+    whole = Window.partitionBy()  # a row per value
+    return counts.select("name", "n", F.round(100.0 * F.col("n") / F.sum("n").over(whole), 2).alias("percent"))
 
 
 def daily(articles: DataFrame) -> DataFrame:
@@ -36,6 +36,20 @@ def group_coverage(articles: DataFrame, groups: dict[str, tuple[str, ...]]) -> D
     return rows.select(F.explode(hit).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Names counted as mentions.
+STATE_NAMES = ("Assam", "Arunachal Pradesh", "Manipur", "Meghalaya", "Mizoram", "Nagaland", "Sikkim", "Tripura")
+
+
+def mentions(articles: DataFrame, names: tuple[str, ...] = STATE_NAMES) -> DataFrame:
+    """(name, n): articles whose title or body has the name as a whole word."""
+    return group_coverage(articles, {n: (n.lower(),) for n in names})
+
+
+def source_lines(articles: DataFrame) -> DataFrame:
+    """Lines like "src1: 3 article(s)", one for each source."""
+    return source_rows(articles).select(F.format_string("%s: %d article(s)", "source", "n").alias("line"))
+
+
 def source_rows(articles: DataFrame) -> DataFrame:
     source = F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "Unknown Source").otherwise(F.trim("source"))
     return articles.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,18 +12,25 @@ from inkstone.functions.lexicons import CATEGORY_ORDER, DEVELOPMENT, NOT_RELEVAN
 RAW = ("security_score", "development_score", "society_score", "sports_score")
 
 
-def prepared(articles: DataFrame) -> DataFrame:
-    """articles with normalised texts and their words, each computed once."""
+def vocabulary(lexicons: Lexicons) -> tuple[str, ...]:
+    """All single words that any rule looks for."""
+    named = [lexicons.states, lexicons.entities, lexicons.region, *lexicons.themes.values(), lexicons.irrelevant, *lexicons.boosts.values(), lexicons.generic_terms, *lexicons.titles.values()]
+    return tuple(dict.fromkeys(t for terms in named for x in terms for t in (x, x.replace("-", " ")) if T.is_one_word(t)))
+
+
+def prepared(articles: DataFrame, lexicons: Lexicons) -> DataFrame:
+    """articles with normalised texts and those of their words that are in a lexicon, each computed once."""
     title, content = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
+    known = vocabulary(lexicons)
     return (
         articles.withColumn("_title", T.normalized(title))
         .withColumn("_content", T.normalized(content))
-        .withColumn("_all", T.squeezed(F.concat_ws(" ", "_title", "_title", "_content")))
-        .withColumn("_title_words", T.tokens(F.col("_title")))
-        .withColumn("_content_words", T.tokens(F.col("_content")))
+        .withColumn("_all", F.trim(F.concat_ws(" ", "_title", "_title", "_content")))
+        .withColumn("_title_words", T.tokens(F.col("_title"), known))
+        .withColumn("_content_words", T.tokens(F.col("_content"), known))
         .withColumn("_all_words", F.array_union("_title_words", "_content_words"))
         .withColumn("_plain_title", T.normalized_hyphens(title))
-        .withColumn("_plain_words", T.tokens(F.col("_plain_title")))
+        .withColumn("_plain_words", T.tokens(F.col("_plain_title"), known))
     )
 
 
@@ -57,7 +64,7 @@ def theme_scores(rows: DataFrame, lexicons: Lexicons) -> DataFrame:
 
 def relevance(articles: DataFrame, lexicons: Lexicons) -> DataFrame:
     """articles with region_score, raw theme scores, relevance_score, relevant, category and reason."""
-    rows = theme_scores(lexicon_scores(prepared(articles), lexicons), lexicons)
+    rows = theme_scores(lexicon_scores(prepared(articles, lexicons), lexicons), lexicons)
     region, top = F.col("region_score"), F.col("theme_max")
     context = ~F.col("theme").isin(SPORTS, SECURITY) | F.col("_title_region") | (region >= 8)
     open_ = (region > 0) & context

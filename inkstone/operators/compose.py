@@ -100,11 +100,27 @@ def section_order(category: Column) -> Column:
 
 
 def sections(articles: DataFrame) -> DataFrame:
-    """(number, category, n, ids): fixed order, then others by their first article; numbered without gaps."""
-    grouped = articles.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """(number, category, n, first): fixed order, then others by their least id; numbered without gaps."""
+    grouped = articles.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     place = section_order(F.col("category"))
-    order = Window.orderBy(F.when(place > 0, place).otherwise(len(CATEGORY_ORDER) + 1), F.col("ids")[0])  # a row per category
-    return grouped.withColumn("number", F.row_number().over(order)).select("number", "category", "n", "ids")
+    order = Window.orderBy(F.when(place > 0, place).otherwise(len(CATEGORY_ORDER) + 1), "first")  # a row per category
+    return grouped.withColumn("number", F.row_number().over(order)).select("number", "category", "n", "first")
+
+
+def contents(articles: DataFrame) -> DataFrame:
+    """The table of contents as rows (number, category, n, place, id, title): articles by id within their section."""
+    known = sections(articles).select("number", "category", "n")
+    before = known.select("category", (F.sum("n").over(Window.orderBy("number")) - F.col("n")).alias("_before"))  # a row per category
+    rows = numbered(articles.select("id", "title", "category").join(F.broadcast(known), "category"), [F.col("number").asc(), F.col("id").asc()], "_at")
+    return rows.join(F.broadcast(before), "category").select("number", "category", "n", (F.col("_at") - F.col("_before")).alias("place"), "id", "title")
+
+
+def selection_appendix(articles: DataFrame) -> DataFrame:
+    """Numbered rows (number, id, title, category, source, article_score, security_part, reason) in the order of position."""
+    reason = selection_reason(F.lit(None).cast("string"), F.col("category"), F.col("article_score"), F.col("security_part"))
+    source = F.when(F.trim(F.coalesce("source", F.lit(""))) == "", "Unknown Source").otherwise(F.col("source"))
+    rows = numbered(articles.select("id", "title", "category", source.alias("source"), "article_score", "security_part", "position"), [F.col("position").asc(), F.col("id").asc()], "number")
+    return rows.withColumn("reason", reason).drop("position")
 
 
 def composition_order(articles: DataFrame) -> DataFrame:
@@ -146,6 +162,14 @@ def plan_check(plan: DataFrame, pages: int = PAGES) -> DataFrame:
     return found.withColumn("valid", (F.col("pages") == pages) & (F.col("untyped") == 0) & (F.col("repeated") == 0))
 
 
+def plan_offenders(plan: DataFrame, most_words: int = CONTINUATION) -> DataFrame:
+    """(page_number, problem) of pages (page_number, kind, id, part, words) without a kind, with a repeated number, or with a part
+    that is empty or too long."""
+    problem = F.when(F.col("kind").isNull(), "no kind").when(F.count(F.lit(1)).over(Window.partitionBy("page_number")) > 1, "repeated number")
+    problem = problem.when((F.col("kind") == "article") & (F.coalesce("words", F.lit(0)) == 0), "empty part").when(F.col("words") > most_words, "part too long")
+    return plan.select("page_number", problem.alias("problem")).filter("problem is not null")
+
+
 def page_lookup(plan: DataFrame, articles: DataFrame) -> DataFrame:
     """Article pages with the headline of their article; unresolved is true where there is none (of one id the last row counts)."""
     last = articles.groupBy("id").agg(F.max_by("title", "seq").alias("headline"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import CLAIM_ENTITIES
-from inkstone.operators.vector import dot, hashed_embedding
+from inkstone.operators.vector import hashed_vectors
 
 SIMILAR = 0.45
 _FIRST = r"(\d+(?:\.\d+)?)"
@@ -21,46 +24,82 @@ def entities(c: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
     return F.array_sort(F.array_distinct(T.substring_terms(F.lower(F.coalesce(c, F.lit(""))), terms)))
 
 
+_EMPTY = lambda: F.array().cast("array<string>")
+
+
+def _leading(fact: Column) -> Column:
+    return F.regexp_extract(fact, _FIRST, 1)
+
+
+def known_facts(content: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
+    """What a source tells: numbers and dates (normalised) with their leading numbers, and entities; found once for all claims."""
+    told = lambda facts: F.struct(F.transform(facts, T.normalized).alias("whole"), F.filter(F.transform(facts, _leading), lambda x: x != "").alias("leading"))
+    return F.struct(told(T.numbers(content)).alias("numbers"), told(T.dates(content)).alias("dates"), entities(content, terms).alias("entities"))
+
+
 def unknown_facts(facts: Column, known: Column) -> Column:
     """Facts that the source lacks: neither the same text nor the same leading number."""
-    same = lambda a, b: (T.normalized(a) == T.normalized(b)) | ((F.regexp_extract(a, _FIRST, 1) != "") & (F.regexp_extract(a, _FIRST, 1) == F.regexp_extract(b, _FIRST, 1)))
-    return F.filter(facts, lambda f: ~F.exists(known, lambda k: same(f, k)))
+    return F.filter(facts, lambda f: ~(F.array_contains(known["whole"], T.normalized(f)) | ((_leading(f) != "") & F.array_contains(known["leading"], _leading(f)))))
 
 
-def fact_errors(claim: Column, source: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
+def fact_errors(claim: Column, known: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
     label = lambda what, xs: F.transform(xs, lambda x: F.concat(F.lit(f"{what}: "), x))
     return F.concat(
-        label("number", unknown_facts(T.numbers(claim), T.numbers(source))), label("date", unknown_facts(T.dates(claim), T.dates(source))),
-        label("entity", F.array_except(entities(claim, terms), entities(source, terms))),
+        label("number", unknown_facts(T.numbers(claim), known["numbers"])), label("date", unknown_facts(T.dates(claim), known["dates"])),
+        label("entity", F.array_except(entities(claim, terms), known["entities"])),
     )
 
 
 def claims(drafts: DataFrame) -> DataFrame:
     """(draft_id, paragraph, sentence, claim, cited) of drafts (draft_id, article, source_ids).
 
-    A paragraph is a line; lines of citations only are left out. Uncited paragraphs take the draft's only citation if there is
-    just one valid; else those of 8 words or more stay with cited empty, and shorter ones are left out."""
-    valid = F.array_intersect(T.citations(F.col("article")), F.coalesce("source_ids", F.array().cast("array<int>")))
-    lines = drafts.select("draft_id", "source_ids", valid.alias("_valid"), F.posexplode(F.split(F.coalesce("article", F.lit("")), "\n")).alias("paragraph", "_line"))
+    A paragraph is a line; lines of citations only are left out. Uncited paragraphs take the draft's only valid citation if it
+    has no invalid one; else those of 8 words or more are one claim each with cited empty, and shorter ones are left out."""
+    none = F.array().cast("array<int>")
+    known, cited = F.coalesce("source_ids", none), T.citations(F.col("article"))
+    sole = (F.size(F.array_intersect(cited, known)) == 1) & (F.size(F.array_except(cited, known)) == 0)
+    given = F.when(sole, F.array_intersect(cited, known)).otherwise(none)
+    lines = drafts.select("draft_id", given.alias("_given"), F.posexplode(F.split(F.coalesce("article", F.lit("")), "\n")).alias("paragraph", "_line"))
     own, plain = T.citations(F.col("_line")), T.without_citations(F.col("_line"))
-    lines = lines.filter(plain != "").withColumn("_plain", plain)
-    cited = F.when(F.size(own) > 0, own).when(F.size("_valid") == 1, F.col("_valid")).otherwise(F.array().cast("array<int>"))
-    lines = lines.withColumn("cited", cited).filter((F.size("cited") > 0) | (T.word_count(F.col("_plain")) >= 8))
-    return lines.select("draft_id", "paragraph", "cited", F.posexplode(T.sentences(F.col("_plain"))).alias("sentence", "claim"))
+    lines = lines.filter(plain != "").withColumn("_plain", plain).withColumn("cited", F.when(F.size(own) > 0, own).otherwise(F.col("_given")))
+    lines = lines.filter((F.size("cited") > 0) | (T.word_count(F.col("_plain")) >= 8))
+    parts = F.when(F.size("cited") == 0, F.array("_plain")).otherwise(T.sentences(F.col("_plain")))
+    return lines.select("draft_id", "paragraph", "cited", F.posexplode(parts).alias("sentence", "claim"))
 
 
-def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed=hashed_embedding) -> DataFrame:
+def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> DataFrame:
     """(draft_id, paragraph, sentence, source_id, similarity, errors, supported); sources are (draft_id, source_id, content).
 
-    Citations of sources that are not there, and claims without citation, stay as unsupported rows."""
-    cited = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
-    rows = cited.join(sources, ["draft_id", "source_id"], "left")
-    split = sources.select("draft_id", "source_id", F.explode(T.sentences(F.col("content"))).alias("_s")).withColumn("_v", embed(F.col("_s")))
+    Citations of sources that are not there, and claims without citation, stay as unsupported rows. The claims on one source
+    (they are all of one draft) meet its sentences and facts in one row; a sentence is embedded once."""
+    rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
     key = ["draft_id", "source_id"]
-    near = cited.withColumn("_c", embed(F.col("claim"))).join(split, key).groupBy("draft_id", "paragraph", "sentence", "source_id").agg(F.max(dot(F.col("_c"), F.col("_v"))).alias("similarity"))
-    out = rows.join(near, ["draft_id", "paragraph", "sentence", "source_id"], "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), 6))
-    errors = F.when(F.col("source_id").isNull(), F.array(F.lit("no citation"))).when(F.col("content").isNull(), F.array(F.lit("source not available"))).otherwise(fact_errors(F.col("claim"), F.col("content"), terms))
-    return out.withColumn("errors", errors).withColumn("supported", (F.size("errors") == 0) & (F.col("similarity") >= least)).select("draft_id", "paragraph", "sentence", "source_id", "similarity", "errors", "supported")
+    asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
+    # naming the partition keeps Catalyst from looking for the facts anew for every claim
+    facts = F.when(F.spark_partition_id() >= 0, known_facts(F.col("content"), terms))
+    told = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], T.sentences(F.col("content")).alias("told"), facts.alias("known"), F.col("content").isNotNull().alias("there"))
+    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(told, key, "left")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for asked, told in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                texts = pd.Series([*(a["claim"] for a in asked), *(told or [])], dtype=object)
+                found = list(embed(texts))
+                size = next((len(v) for v in found if v is not None), 1)
+                matrix = np.array([np.zeros(size) if v is None else v for v in found], np.float64)
+                n = len(asked)
+                out.append((matrix[:n] @ matrix[n:].T).max(axis=1).tolist() if told else [0.0] * n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[4:], pa.array(out, pa.list_(pa.float64()))], names=["draft_id", "source_id", "asked", "known", "there", "near"])
+
+    blank = both.select("draft_id", "source_id", "asked", "known", "there", F.array().cast("array<double>").alias("near"))
+    judged = both.select("draft_id", "source_id", "asked", "told", "known", "there").mapInArrow(near, blank.schema)
+    judged = judged.select("draft_id", "source_id", "known", "there", F.explode(F.arrays_zip("asked", "near")).alias("x")).select("draft_id", "source_id", "known", "there", "x.asked.*", "x.near")
+    errors = F.when(F.coalesce("there", F.lit(False)), fact_errors(F.col("claim"), F.col("known"), terms)).otherwise(F.array(F.lit("source not available")))
+    value = F.when(F.coalesce("there", F.lit(False)), F.round(F.greatest("near", F.lit(0.0)), 6)).otherwise(0.0)
+    cited = judged.select("draft_id", "paragraph", "sentence", "source_id", value.alias("similarity"), errors.alias("errors"))
+    uncited = rows.filter("source_id is null").select(F.col("draft_id").cast("long"), "paragraph", "sentence", F.col("source_id").cast("int"), F.lit(0.0).alias("similarity"), F.array(F.lit("no citation")).alias("errors"))
+    return cited.unionAll(uncited).withColumn("supported", (F.size("errors") == 0) & (F.col("similarity") >= least))
 
 
 def draft_verdicts(drafts: DataFrame, judged: DataFrame) -> DataFrame:
@@ -150,3 +189,12 @@ def last_attempts(attempts: DataFrame, most: int = 2) -> DataFrame:
     rows = done.withColumn("_open", upto).filter("_open = 1")
     last = Window.partitionBy("draft_id").orderBy(F.col("attempt").desc())
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("draft_id", "attempt", "status")
+
+
+def editorial_records(drafts: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(draft_id, status, headline, article, source_ids, reason): approved drafts with their text, failed ones with the step that failed."""
+    good = F.col("status") == "success"
+    rows = statuses.join(drafts.select("draft_id", "headline", "article", "source_ids"), "draft_id", "left")
+    text = lambda c: F.when(good, F.coalesce(c, F.lit(""))).otherwise("").alias(c)
+    ids = F.when(good, F.col("source_ids")).otherwise(F.array().cast("array<int>")).alias("source_ids")
+    return rows.select("draft_id", F.when(good, "approved").otherwise("failed").alias("status"), text("headline"), text("article"), ids, F.when(~good, F.col("status")).alias("reason"))

@@ -11,23 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import urls as U
-from inkstone.functions.lexicons import terms
 from inkstone.operators.ingest import parsed_page
 
 # Words for search phrases.
-PHRASE_STOPWORDS = terms(
-    "the, a, an, and, or, of, to, in, on, for, with, from, by, at, as, is, are, was, were, be, been, this, that, these, those, over, under, after, before, into, amid, says, said, worth, "
-    "nab, two, three, new, news"
+PHRASE_STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "from", "by", "at", "as", "is", "are", "was", "were", "be", "been", "this", "that", "these", "those",
+    "over", "under", "after", "before", "into", "amid", "says", "said", "worth", "nab", "two", "three", "new", "news",
 )
-GENERIC = terms("assam, northeast, northeastern, india, indian, state, states, district, city, region, government, centre, central, official, officials, people, person, report, reports")
-EVENTS = terms(
-    "army, assam rifles, military, defence, defense, border, security, heroin, narcotics, drug, drugs, trafficking, smuggling, operation, operations, raid, seized, seizure, arrested, arrest, "
-    "election, bypoll, poll, cricket, football, marathon, coffee, farmers, infrastructure, railway, station, industry, industrial, development, funding, protest, protests, school, students, "
-    "youth, cattle, garbage, civic, missing, kuki, manipur, mizoram, nagaland, meghalaya, tripura, sikkim, arunachal"
+GENERIC = (
+    "assam", "northeast", "northeastern", "india", "indian", "state", "states", "district", "city", "region", "government", "centre", "central", "official", "officials", "people",
+    "person", "report", "reports",
 )
-LOCATIONS = terms(
-    "assam, mizoram, manipur, nagaland, meghalaya, tripura, sikkim, arunachal, arunachal pradesh, guwahati, nagaon, lumding, aizawl, kohima, imphal, shillong, agartala, gangtok, itanagar, "
-    "kangpokpi"
+EVENTS = (
+    "army", "assam rifles", "military", "defence", "defense", "border", "security", "heroin", "narcotics", "drug", "drugs", "trafficking", "smuggling", "operation", "operations",
+    "raid", "seized", "seizure", "arrested", "arrest", "election", "bypoll", "poll", "cricket", "football", "marathon", "coffee", "farmers", "infrastructure", "railway",
+    "station", "industry", "industrial", "development", "funding", "protest", "protests", "school", "students", "youth", "cattle", "garbage", "civic", "missing", "kuki",
+    "manipur", "mizoram", "nagaland", "meghalaya", "tripura", "sikkim", "arunachal",
+)
+LOCATIONS = (
+    "assam", "mizoram", "manipur", "nagaland", "meghalaya", "tripura", "sikkim", "arunachal", "arunachal pradesh", "guwahati", "nagaon", "lumding", "aizawl", "kohima", "imphal",
+    "shillong", "agartala", "gangtok", "itanagar", "kangpokpi",
 )
 #: Kinds of candidates, best first.
 KINDS = ("og:image", "twitter:image", "json-ld", "article-image")

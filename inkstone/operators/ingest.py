@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import urls as U
+from inkstone.operators.ordering import numbered
 from inkstone.operators.score import END, START
 
 LEAST_CONTENT = 300
@@ -29,24 +30,44 @@ def in_window(published: Column, start: str = START, end: str = END) -> Column:
 
 
 def new_rows(batch: DataFrame, known: DataFrame, key: str = "url", order: str = "id") -> DataFrame:
-    """Rows of batch whose key is not known, the first of each key."""
-    first = Window.partitionBy(key).orderBy(order)
-    return batch.join(known.select(key).distinct(), key, "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """Rows of batch whose key is not known, the first of each key (by partial aggregation: a hot key is no hot task)."""
+    rows = batch.join(known.select(key).distinct(), key, "left_anti").select(*batch.columns)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*batch.columns), F.col(order)).alias("_row")).select("_row.*")
 
 
 def known_rows(batch: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
     return batch.join(known.select(key), key, "left_semi")
 
 
-def funnel(batch: DataFrame, known: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """(gate, n): the first gate that stops a row, or saved."""
+def _gated(batch: DataFrame, known: DataFrame, start: str, end: str) -> DataFrame:
+    """(gate, n) by the first gate that stops a row, or saved; of one URL the first row is saved."""
     valid = F.size(validation_errors()) == 0
     rows = batch.join(known.select("url").distinct().withColumn("_known", F.lit(True)), "url", "left")
     gate = F.when(~valid, "invalid").when(~in_window(F.col("published_date"), start, end), "outside_date_range").when(F.col("_known"), "duplicate")
-    rows = rows.withColumn("_gate", gate)
-    first = Window.partitionBy("url", F.col("_gate").isNull()).orderBy("id")
-    rows = rows.withColumn("gate", F.coalesce("_gate", F.when(F.row_number().over(first) > 1, "duplicate").otherwise("saved")))
-    return rows.groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
+    each = rows.select(gate.alias("gate"), "url").groupBy("gate", F.when(F.col("gate").isNull(), F.col("url")).alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    pair = lambda name, n: F.struct(name.alias("gate"), n.alias("n"))
+    told = F.when(F.col("gate").isNull(), F.array(pair(F.lit("saved"), F.lit(1).cast("long")), pair(F.lit("duplicate"), F.col("n") - 1))).otherwise(F.array(pair(F.col("gate"), F.col("n"))))
+    return each.select(F.explode(told).alias("x")).groupBy("x.gate").agg(F.sum("x.n").alias("n"))
+
+
+def funnel(batch: DataFrame, known: DataFrame, start: str = START, end: str = END) -> DataFrame:
+    """(gate, n): the first gate that stops a row, or saved; gates that stop none are left out."""
+    return _gated(batch, known, start, end).filter("n > 0")
+
+
+#: Counters of a collection run, in their order.
+COUNTERS = ("discovered", "scraped", "invalid", "outside_date_range", "duplicates", "saved", "failed")
+
+
+def collection_stats(batch: DataFrame, known: DataFrame, scraped: Column, start: str = START, end: str = END) -> DataFrame:
+    """(counter, n) for all counters: every row is discovered; those that are not scraped have failed, the others go through the gates."""
+    rows = batch.withColumn("_scraped", F.coalesce(scraped, F.lit(False)))
+    first = rows.agg(F.count(F.lit(1)).alias("discovered"), F.count_if("_scraped").alias("scraped"), F.count_if(~F.col("_scraped")).alias("failed"))
+    first = first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in first.columns])).alias("x")).select("x.*")
+    gates = _gated(rows.filter("_scraped").drop("_scraped"), known, start, end)
+    gates = gates.select(F.when(F.col("gate") == "duplicate", "duplicates").otherwise(F.col("gate")).alias("counter"), "n")
+    names = batch.sparkSession.createDataFrame([(c,) for c in COUNTERS], "counter string")
+    return names.join(first.unionAll(gates), "counter", "left").select("counter", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def discovered(pages: DataFrame) -> DataFrame:
@@ -170,6 +191,11 @@ def relevant(articles: DataFrame) -> DataFrame:
     return articles.filter(F.col("category").isNotNull() & (F.col("category") != "Not Relevant"))
 
 
+def category_scan(articles: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Articles of these categories, with position by score (descending) and id."""
+    return numbered(articles.filter(F.col("category").isin(*categories)), [F.col("article_score").desc(), F.col("id").asc()], "position")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows of both; of one key the row of new, and of several the last by its seq column."""
     both = old.withColumn("_from", F.lit(0)).unionByName(new.withColumn("_from", F.lit(1)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,33 +27,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def hashed_vector(text: str | None, size: int = 64) -> np.ndarray | None:
-    """Unit vector of signed word counts at places given by a checksum; null without words."""
-    words = re.findall(r"\w+", text.lower()) if text else []
-    if not words:
-        return None
-    places = np.fromiter((zlib.crc32(w.encode()) % (2 * size) for w in words), np.int64, len(words))
-    counts = np.bincount(places, minlength=2 * size).astype(np.float64)
-    v = counts[:size] - counts[size:]
-    norm = np.linalg.norm(v)
-    return v / norm if norm > 0 else v
+def hashed_vectors(texts: pd.Series, size: int = 64) -> pd.Series:
+    """A stand-in for a sentence model: unit vectors of signed word counts at places given by a checksum; null without words."""
+    place: dict[str, int] = {}
 
+    def vector(text: str | None) -> np.ndarray | None:
+        words = _WORDS.findall(text.lower()) if text else []
+        if not words:
+            return None
+        for w in words:
+            if w not in place:
+                place[w] = zlib.crc32(w.encode()) % (2 * size)
+        counts = np.bincount([place[w] for w in words], minlength=2 * size).astype(np.float64)
+        v = counts[:size] - counts[size:]
+        norm = np.linalg.norm(v)
+        return v / norm if norm > 0 else v
 
-def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """A stand-in for a sentence model, batch by batch."""
+    return texts.map(vector)
+
+
+_WORDS = re.compile(r"\w+")
+
+
+def letter_vectors(texts: pd.Series) -> pd.Series:
+    """Unit vectors of the counts of the letters a to z; null without any. Small enough for SQL to check."""
+
+    def vector(text: str | None) -> np.ndarray | None:
+        codes = np.frombuffer((text or "").lower().encode("ascii", "ignore"), np.uint8).astype(np.int64) - 97
+        counts = np.bincount(codes[(codes >= 0) & (codes < 26)], minlength=26).astype(np.float64)
+        norm = math.sqrt((counts**2).sum())
+        return counts / norm if norm else None
+
+    return texts.map(vector)
+
+
+def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> DataFrame:
+    """rows with embedding; embed maps a batch of texts to vectors."""
 
     @F.pandas_udf("array<double>")
     def vectors(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: hashed_vector(t, size))
+        return embed(batch)
 
-    return vectors(text)
+    return rows.withColumn("embedding", vectors(F.col(text)))
 
 
-def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """rows with embedding; embed maps a batch of texts to vectors (default: hashed_embedding)."""
-    if embed is None:
-        return rows.withColumn("embedding", hashed_embedding(F.col(text)))
-    return rows.withColumn("embedding", F.pandas_udf(embed, "array<double>")(F.col(text)))
+def collection_info(vectors: DataFrame) -> DataFrame:
+    """One row: vectors, distinct ids, rows without a vector, least and largest dimension, and whether the collection is sound."""
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    found = vectors.agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("id").alias("ids"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.min(size).alias("least"), F.max(size).alias("largest"))
+    return found.withColumn("sound", (F.col("vectors") == F.col("ids")) & (F.col("missing") == 0) & F.coalesce(F.col("least") == F.col("largest"), F.lit(True)))
+
+
+def checked(vectors: DataFrame, dimension: int) -> DataFrame:
+    """vectors; a vector of another dimension ends the query with an error."""
+    message = F.concat(F.lit(f"expected {dimension} dimensions, found "), F.size("embedding").cast("string"))
+    return vectors.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(F.raise_error(message)))
+
+
+def emptied(vectors: DataFrame) -> DataFrame:
+    """A collection of the same columns without rows."""
+    return vectors.filter(F.lit(False))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -99,15 +133,22 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True)
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)  # the k best so far of each query
             for b in batches:
                 if b.empty:
                     continue
-                s, rows_ = _matrix(b["embedding"]) @ q.T, b["id"].to_numpy()
-                s = np.round(s, 9)
+                s, rows_ = np.round(_matrix(b["embedding"]) @ q.T, 9), b["id"].to_numpy()
                 for j in range(len(ids)):
-                    order = np.lexsort((rows_, -s[:, j]))
-                    order = order if own else order[rows_[order] != ids[j]]
-                    yield pd.DataFrame({"query_id": ids[j], "id": rows_[order[:k]], "similarity": s[order[:k], j]})
+                    near, at = s[:, j], rows_
+                    if not own:
+                        near, at = near[at != ids[j]], at[at != ids[j]]
+                    if len(near) > k:
+                        able = near >= np.partition(near, -k)[-k]
+                        near, at = near[able], at[able]
+                    near, at = np.concatenate([best[j][0], near]), np.concatenate([best[j][1], at])
+                    order = np.lexsort((at, -near))[:k]
+                    best[j] = near[order], at[order]
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in best]), "id": np.concatenate([x for _, x in best] or [[]]).astype(np.int64), "similarity": np.concatenate([x for x, _ in best] or [[]])})
 
         return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(nearest, "query_id long, id long, similarity double")
 
@@ -146,6 +187,24 @@ def lexical_fallback(hits: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, ph
 
 
 def retrieval_metrics(places: DataFrame) -> DataFrame:
-    """One row from (query_id, relevant_place or null): hit rates at 1, 3, 5 and mean reciprocal rank."""
+    """One row from (query_id, relevant_place or null, top_similarity or null): hit rates at 1, 3, 5, mean reciprocal rank and the
+    average of the top similarities."""
     at = lambda k: F.round(F.avg(F.when(F.col("relevant_place") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_{k}")
-    return places.agg(F.count(F.lit(1)).alias("n"), at(1), at(3), at(5), F.round(F.avg(F.coalesce(1.0 / F.col("relevant_place"), F.lit(0.0))), 6).alias("mrr"))
+    top = F.coalesce(F.round(F.avg("top_similarity"), 6), F.lit(0.0)).alias("average_similarity")
+    return places.agg(F.count(F.lit(1)).alias("n"), at(1), at(3), at(5), F.round(F.avg(F.coalesce(1.0 / F.col("relevant_place"), F.lit(0.0))), 6).alias("mrr"), top)
+
+
+def negative_rejection(queries: DataFrame, hits: DataFrame, least: float = 0.20) -> DataFrame:
+    """One row: questions (query_id) that nothing should answer, those without a hit of at least least, and their share."""
+    found = hits.filter(F.col("similarity") >= least).select("query_id").distinct().withColumn("_hit", F.lit(True))
+    told = queries.select("query_id").distinct().join(found, "query_id", "left").agg(F.count(F.lit(1)).alias("negative"), F.count_if(F.col("_hit").isNull()).alias("rejected"))
+    return told.withColumn("rejection_rate", F.when(F.col("negative") > 0, F.round(F.col("rejected") / F.col("negative"), 6)).otherwise(0.0))
+
+
+def pipeline_metrics(results: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """One row from results (flags, n_claims, n_supported, top_similarity): how many passed each flag, claims, their support rate,
+    and the average top similarity."""
+    passed = [F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in flags]
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    out = results.agg(F.count(F.lit(1)).alias("total"), *passed, whole("n_claims"), whole("n_supported"), F.coalesce(F.round(F.avg("top_similarity"), 6), F.lit(0.0)).alias("average_similarity"))
+    return out.withColumn("support_rate", F.when(F.col("n_claims") > 0, F.round(F.col("n_supported") / F.col("n_claims"), 6)).otherwise(0.0))

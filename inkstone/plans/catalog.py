@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions import urls as U
-from inkstone.functions.lexicons import FIXTURE, STOPWORDS
+from inkstone.functions.lexicons import CATEGORY_ORDER, FIXTURE, STOPWORDS
 from inkstone.operators import analytics, classify, compose, dedup, grounding, ingest, score, vector
 from inkstone.operators import images as pictures
 from inkstone.plans.oracles import SQL
-from inkstone.session import stored
+from inkstone.plans.runner import run_stages
+from inkstone.session import new_path, stored
+from inkstone.sources import json_files
 from inkstone.sources.fixtures import articles, drafts, images, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,13 +97,13 @@ def markup_strip(s, d):
 
 @query
 def lexicon_score(s, d):
-    rows = classify.lexicon_scores(classify.prepared(articles(s, d)), FIXTURE)
+    rows = classify.lexicon_scores(classify.prepared(articles(s, d), FIXTURE), FIXTURE)
     return rows.select("id", "region_score", F.col("_title_region").alias("title_region"), F.array_join("_region_terms", ",").alias("region_terms"), *classify.RAW, "irrelevant_score")
 
 
 @query
 def theme_classify(s, d):
-    rows = classify.theme_scores(classify.prepared(articles(s, d)), FIXTURE)
+    rows = classify.theme_scores(classify.prepared(articles(s, d), FIXTURE), FIXTURE)
     return rows.select("id", F.col("_themes").cast("string").alias("themes"), "theme_max", "theme")
 
 
@@ -112,7 +114,7 @@ def relevance(s, d):
 
 @query
 def generic_content(s, d):
-    return classify.prepared(articles(s, d)).select("id", classify.is_generic("_plain_title", "_plain_words", FIXTURE).alias("generic"))
+    return classify.prepared(articles(s, d), FIXTURE).select("id", classify.is_generic("_plain_title", "_plain_words", FIXTURE).alias("generic"))
 
 
 @query
@@ -247,7 +249,11 @@ def citation_sets(s, d):
 
 @query
 def url_discovery(s, d):
-    return ingest.discovered(table(s, d, "pages"))
+    """Pages of the fixture link to no article: each gets an own article link twice, a relative one, a category page and a foreign page."""
+    i = F.col("page_id").cast("string")
+    link = lambda *parts: F.concat(F.lit('<a class="x" href="'), *parts, F.lit('">'))
+    more = F.concat(link(F.lit("/news/story-"), i, F.lit("?ref=home")), link(F.lit("/news/story-"), i, F.lit("#top")), link(F.lit("/category/x/"), i), link(F.lit("https://other.example.org/news/x")), link(F.lit("/a/b/"), i))
+    return ingest.discovered(table(s, d, "pages").withColumn("html", F.concat(more, "html")))
 
 
 @query
@@ -305,7 +311,28 @@ def retrieval_metrics(s, d):
     v = vectors(s, d)
     hits = vector.top_k(v.filter("id % 100 = 0"), v, 5, own=False)
     hits = hits.join(v.select("id", "label"), "id").join(v.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
-    return vector.retrieval_metrics(hits.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("place"))).alias("relevant_place")))
+    places = hits.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("place"))).alias("relevant_place"), F.max("similarity").alias("top_similarity"))
+    return vector.retrieval_metrics(places)
+
+
+@query
+def negative_rejection(s, d):
+    """Opposite vectors as questions that nothing should answer."""
+    v = vectors(s, d)
+    asked = v.filter("id % 100 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return vector.negative_rejection(asked.select(F.col("id").alias("query_id")), vector.top_k(asked, v, 1), 0.45)
+
+
+@query
+def vector_info(s, d):
+    return vector.collection_info(vector.checked(vectors(s, d), 64))
+
+
+@query
+def pipeline_metrics(s, d):
+    i = F.col("id")
+    rows = vectors(s, d).select((i % 2 == 0).alias("retrieval"), (i % 3 > 0).alias("json"), (i % 5 > 0).alias("citation"), F.when(i % 7 > 0, i % 4 == 0).alias("grounding"), (i % 11).alias("n_claims"), F.least(i % 11, i % 7).alias("n_supported"), F.when(i % 6 > 0, (i % 64) / 64.0).alias("top_similarity"))
+    return vector.pipeline_metrics(rows, ("retrieval", "json", "citation", "grounding"))
 
 
 @query
@@ -326,13 +353,13 @@ def retrieve(s, d):
 @query
 def claim_grounding(s, d):
     made, sources = drafts(s, d)
-    return grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits).withColumn("errors", F.array_join("errors", "; "))
+    return grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors).withColumn("errors", F.array_join("errors", "; "))
 
 
 @query
 def draft_verdicts(s, d):
     made, sources = drafts(s, d)
-    judged = grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits)
+    judged = grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors)
     return grounding.draft_verdicts(made, judged).withColumn("missing_ids", F.col("missing_ids").cast("string")).withColumn("invalid_ids", F.col("invalid_ids").cast("string"))
 
 
@@ -342,11 +369,38 @@ def draft_status(s, d):
     body = F.to_json(F.struct(F.lit("A headline").alias("headline"), "article", "source_ids"))
     answers = made.select("draft_id", F.when(F.col("draft_id") % 11 == 0, "no json").otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("answer"))
     parsed = grounding.parsed_drafts(answers)
-    judged = grounding.verified(grounding.claims(parsed.filter("structure_error is null")), sources, terms=FIXTURE.security_hits)
+    judged = grounding.verified(grounding.claims(parsed.filter("structure_error is null")), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors)
     verdicts = grounding.draft_verdicts(parsed.filter("structure_error is null"), judged)
     return grounding.draft_status(parsed, verdicts, sources.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _statuses(s, d):
+    made, sources = drafts(s, d)
+    judged = grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors)
+    parsed = made.withColumn("headline", F.lit("A headline")).withColumn("structure_error", F.lit(None).cast("string"))
+    return parsed, grounding.draft_status(parsed, grounding.draft_verdicts(made, judged), sources.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def editorial_records(s, d):
+    out = grounding.editorial_records(*_statuses(s, d))
+    return out.select("draft_id", "status", "headline", F.md5("article").alias("article"), F.col("source_ids").cast("string").alias("source_ids"), "reason")
+
+
+@query
+def cited_metadata(s, d):
+    made, sources = drafts(s, d)
+    return grounding.cited_metadata(made, sources)
+
+
+@query
+def last_attempts(s, d):
+    i = F.col("id")
+    first = F.when(i % 3 == 0, "grounding_failed").when(i % 3 == 1, "success").otherwise("invalid_json")
+    a = articles(s, d).select(i.alias("draft_id"), F.lit(1).alias("attempt"), first.alias("status"))
+    return grounding.last_attempts(a.unionAll(a.select("draft_id", F.lit(2), F.when(F.col("draft_id") % 2 == 0, "success").otherwise("grounding_failed"))))
+
+
 @query
 def layout(s, d):
     return articles(s, d).select("id", compose.layout(T.word_count(F.col("content")), F.col("id") % 3 == 0).alias("layout"))
@@ -354,7 +408,7 @@ def layout(s, d):
 
 @query
 def sections(s, d):
-    return compose.sections(_relevant(s, d)).select("number", "category", "n", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+    return compose.sections(_relevant(s, d))
 
 
 @query
@@ -447,6 +501,138 @@ def editorial_totals(s, d):
     return analytics.status_totals(articles(s, d).select(F.when(F.col("id") % 3 == 0, "failed").otherwise("success").alias("status")))
 
 
+@query
+def category_scan(s, d):
+    return ingest.category_scan(_scored(s, d).select("id", "title", "category", "article_score"), CATEGORY_ORDER).select("id", "category", "position")
+
+
+@query
+def collection_funnel(s, d):
+    a = articles(s, d)
+    return ingest.collection_stats(a, a.filter("id % 20 = 0"), F.col("id") % 13 != 0)
+
+
+@query
+def json_lines(s, d):
+    path = new_path(s, "lines")
+    json_files.write_lines(articles(s, d).select("id", "title", "source"), path)
+    return json_files.read_lines(s, path, "id long, title string, source string")
+
+
+@query
+def json_document(s, d):
+    """The eleven best articles as one document, written and read again."""
+    path = new_path(s, "document")
+    best = analytics.top(_relevant(s, d).select("id", "title", "category", "article_score"), 11).withColumn("status", F.when(F.col("id") % 2 == 0, "approved").otherwise("failed"))
+    made = json_files.document(best, "inkstone", score.START, score.END, "id")
+    json_files.write_document(made, path)
+    rows = json_files.read_records(s, path, "id long, title string, category string, status string")
+    counts = s.read.text(path, wholetext=True).select(*[F.get_json_object("value", f"$.{c}_articles").cast("long").alias(c) for c in ("total", "approved", "failed")])
+    return rows.crossJoin(F.broadcast(counts))  # one row of counts
+
+
+@query
+def document_texts(s, d):
+    i, c = F.col("id"), F.col
+    category = F.concat(F.lit("c"), (i % 5).cast("string"))
+    whole = T.document_text(c("title"), c("source"), c("published_date"), category, c("content"))
+    section = T.context_section(i % 9, i, c("title"), c("source"), F.date_format("published_date", "yyyy-MM-dd"), category, i % 101, (i % 100) / 100.0, c("content"))
+    return articles(s, d).select("id", F.md5(whole).alias("document"), F.md5(T.embedding_text(c("title"), c("content"))).alias("embedding"), F.md5(section).alias("context"))
+
+
+@query
+def retrieval_query(s, d):
+    opening = F.element_at(F.array(*[F.lit(x) for x in (*T.GENERATOR_STARTS, "tell me of")]), (F.col("id") % (len(T.GENERATOR_STARTS) + 1) + 1).cast("int"))
+    return articles(s, d).select("id", T.retrieval_query(F.concat(F.initcap(opening), F.lit("  border towns "), F.col("id").cast("string"), F.lit("..."))).alias("asked"))
+
+
+@query
+def path_rewrite(s, d):
+    p = F.concat(F.when(F.col("id") % 3 == 0, "/srv/edition/").when(F.col("id") % 3 == 1, "data/").otherwise("/other/"), F.lit("img/"), F.col("id").cast("string"), F.lit(".png"))
+    return articles(s, d).select("id", U.relative_path(p, "/srv/edition").alias("relative"), U.asset_path(p).alias("asset"))
+
+
+@query
+def domain_quality(s, d):
+    i = F.col("page_id")
+    u = F.when(i % 6 == 0, "www.thehindu.com").when(i % 6 == 1, "News18.com").when(i % 6 == 2, "citymaps.example.com").when(i % 6 == 3, "").otherwise(U.host(F.col("url")))
+    rows = table(s, d, "pages").select("page_id", U.source_quality_score(u).alias("quality"))
+    return rows.withColumn("accepted", F.col("quality") > 0.10)
+
+
+@query
+def state_mentions(s, d):
+    return analytics.mentions(articles(s, d).withColumn("content", F.concat("content", F.when(F.col("id") % 4 == 0, " From Assam and mizoram.").otherwise(" Assamese"))))
+
+
+@query
+def source_lines(s, d):
+    return analytics.source_lines(articles(s, d))
+
+
+@query
+def selection_appendix(s, d):
+    return compose.selection_appendix(_relevant(s, d).select("id", "title", "category", "source", "article_score", "security_part", (F.col("id") % 7).alias("position")))
+
+
+@query
+def toc(s, d):
+    return compose.contents(_relevant(s, d).select("id", "title", "category"))
+
+
+@query
+def page_lookup(s, d):
+    a = articles(s, d).select("id", "title", F.lit(1).alias("seq"))
+    plan = a.select((F.col("id") + 1).alias("page_number"), F.when(F.col("id") % 5 == 0, "section").otherwise("article").alias("kind"), (F.col("id") * 3).alias("id"))
+    return compose.page_lookup(plan, a).select("page_number", "id", "headline", "unresolved")
+
+
+@query
+def plan_offenders(s, d):
+    i = F.col("id")
+    plan = articles(s, d).select((i - F.when(i % 50 == 49, 1).otherwise(0)).alias("page_number"), F.when(i % 40 != 7, "article").alias("kind"), i, T.word_count(F.col("content")).alias("words"))
+    return compose.plan_offenders(plan)
+
+
+@query
+def text_checks(s, d):
+    return compose.text_checks(articles(s, d).select(F.col("id").alias("page_number"), F.col("content").alias("text")), ("the", "zzzz no such marker"))
+
+
+@query
+def migrated(s, d):
+    out = ingest.migrated(articles(s, d).select("id", "title", (F.col("id") % 9).cast("int").alias("article_score")))
+    return out.select("id", "article_score", "relevance_score", "rank", "category", F.lit(len(out.columns)).alias("columns"))
+
+
+@query
+def accepted_images(s, d):
+    i = F.col("image_id")
+    rows = images(s, d).select(
+        "article_id", i.alias("position"), F.concat(F.lit("https://x.example.com/"), (i % 200).cast("string")).alias("image_url"), F.when(i % 5 == 0, "text/html").otherwise("image/JPEG; q=1").alias("mime"),
+        F.encode(i.cast("string"), "utf-8").alias("payload"), (i % 700).alias("width"), (i % 500).alias("height"),
+    )
+    return ingest.accepted_images(rows, 2).select("article_id", "position", "image_url", "name")
+
+
+@query
+def search_results(s, d):
+    p = F.col("page_id")
+    own = table(s, d, "pages").select(p, F.lit(1).alias("place"), F.concat(F.lit("https://own.example.com/media/"), p.cast("string"), F.lit(".jpg")).alias("image_url")).filter("page_id % 3 > 0")
+    hosts = ("https://thehindu.com/media/a", "https://eastmojo.com/media/b", "https://pinterest.com/media/c", "https://any.example.org/media/d", "https://any.example.org/media/e")
+    found = table(s, d, "pages").select(p, F.posexplode(F.array(*[F.lit(h) for h in hosts])).alias("place", "h")).select("page_id", "place", F.concat("h", p.cast("string"), F.lit(".jpg")).alias("image_url"))
+    return pictures.with_search_results(own, found, 4)
+
+
+@query
+def stage_runs(s, d):
+    stages = [
+        ("articles", lambda spark, _: articles(spark, d)), ("valid", lambda _, rows: rows.filter(F.size(ingest.validation_errors()) == 0)), ("in window", lambda _, rows: rows.filter(ingest.in_window(F.col("published_date")))),
+    ]
+    runs, _ = run_stages(s, stages)
+    return s.createDataFrame([(r.place, r.stage, r.status, r.rows) for r in runs], "place int, stage string, status string, rows long")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

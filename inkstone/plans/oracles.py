@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from inkstone.functions import lexicons as L
+from inkstone.functions import text as T
 from inkstone.functions import urls as U
 from inkstone.operators import compose as C
 from inkstone.sources.fixtures import ARTICLES_SQL
@@ -87,8 +88,52 @@ def norm_shares(column: str) -> str:
     return f"{_RELEVANT} select {column} as name, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 2) as percent from relevants where {column} is not null group by {column}"
 
 
-_WC = "len(regexp_extract_all(coalesce(content, ''), '\\S+'))"
-_SENT = "list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: x <> '')"
+SENTENCES = lambda c: f"list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: x <> '')"
+WORD_COUNT = lambda c: f"len(regexp_extract_all(coalesce({c}, ''), '\\S+'))"
+CITED = lambda c: f"list_sort(list_distinct(list_transform(regexp_extract_all({c}, '(?i)\\[Source\\s+(\\d+)\\]', 1), lambda x: x::int)))"
+NUMBERS = lambda c: f"list_transform(regexp_extract_all({c}, {quoted(T.NUMBER)}), lambda x: lower(trim(x, ' ')))"
+_DAY = "regexp_replace(replace(trim(x, ' '), ',', ''), '\\s+', ' ', 'g')"
+_PARSED = "coalesce(" + ", ".join(f"try_strptime({_DAY}, '{f}')" for f in ("%Y-%m-%d", "%d/%m/%Y", "%d-%m-%Y", "%m/%d/%Y", "%m-%d-%Y", "%B %d %Y", "%b %d %Y", "%d %B %Y", "%d %b %Y")) + ")"
+_PARSED = f"case when regexp_matches(x, '\\d{{4}}') then {_PARSED} end"
+
+
+def dates(c: str) -> str:
+    raw = f"list_filter(regexp_extract_all({c}, {quoted(T.DATE)}), lambda x: ({_PARSED}) is not null)"
+    rest = f"list_reduce(list_concat([{c}], {raw}), lambda t, x: replace(t, x, ' '))"
+    return f"list_sort(list_distinct(list_concat(list_transform({raw}, lambda x: strftime({_PARSED}, '%Y-%m-%d')), regexp_extract_all({rest}, '\\b(\\d{{4}})\\b', 1))))"
+
+
+ENTITIES = lambda c: f"list_sort(list_filter([{', '.join(map(quoted, X.security_hits))}], lambda t: contains(lower({c}), t)))"
+VECTOR = lambda c: "[" + ", ".join(f"(length(lower({c})) - length(replace(lower({c}), '{chr(97 + k)}', '')))::double" for k in range(26)) + "]"
+_WC, _SENT = WORD_COUNT("content"), SENTENCES("content")
+_LEADING = lambda x: f"regexp_extract({x}, '(\\d+(?:\\.\\d+)?)', 1)"
+_MADE = f"""{ARTICLES_SQL}, dd as (select id, title, content, {_SENT} as s, case when id % 7 = 0 then '' else ' [Source 1]' end as cite from articles), d as (select * from dd where len(s) >= 3),
+made as (select id as draft_id, s[1] || ' ' || s[2] || case when id % 5 = 0 then ' 4711 km.' else '' end || cite || chr(10) || case when id % 3 = 0 then 'Nothing of this kind was ever written in any of the sources.' else s[3] end
+  || case when id % 4 = 0 then ' [source 2]' else cite end as article, case when id % 4 = 0 then [1, 2] else [1] end as source_ids from d),
+src as (select id as draft_id, 1 as source_id, title, content from d union all select id + 1, 2, title, content from d)"""
+_UNKNOWN = lambda facts, known: f"list_filter({facts}, lambda f: not (list_contains(list_transform({known}, lambda k: {NORM('k')}), {NORM('f')}) or ({_LEADING('f')} <> '' and list_contains(list_transform({known}, lambda k: {_LEADING('k')}), {_LEADING('f')}))))"
+_JUDGED = f"""{_MADE}, c1 as (select *, {CITED('article')} as cits from made),
+c2 as (select *, list_filter(cits, lambda x: list_contains(source_ids, x)) as ok, list_filter(cits, lambda x: not list_contains(source_ids, x)) as bad from c1),
+ln as (select draft_id, ok, bad, unnest([0, 1]) as paragraph, unnest(string_split(article, chr(10))) as line from c2),
+pl as (select *, trim(regexp_replace(line, '(?i)\\[Source\\s+(\\d+)\\]', '', 'g'), ' ') as plain, {CITED('line')} as own from ln),
+ct as (select *, case when len(own) > 0 then own when len(ok) = 1 and len(bad) = 0 then ok else [] end as cited from pl where plain <> ''),
+cl as (select *, case when len(cited) = 0 then [plain] else {SENTENCES('plain')} end as parts from ct where len(cited) > 0 or {WORD_COUNT('plain')} >= 8),
+cs as (select draft_id, paragraph, cited, unnest(range(len(parts)))::int as sentence, unnest(parts) as claim from cl),
+cx as (select draft_id, paragraph, sentence, claim, {VECTOR('claim')} as v, unnest(case when len(cited) = 0 then [null::int] else cited end) as source_id from cs),
+sf as (select draft_id, source_id, {NUMBERS('content')} as nums, {dates('content')} as days, {ENTITIES('content')} as ents from src),
+st as (select draft_id, source_id, unnest({SENTENCES('content')}) as t from src), sv as (select draft_id, source_id, {VECTOR('t')} as w from st),
+sim as (select draft_id, paragraph, sentence, source_id, max(case when list_dot_product(v, v) > 0 and list_dot_product(w, w) > 0 then list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))) else 0 end) as m
+  from cx join sv using (draft_id, source_id) group by all),
+jd as (select cx.draft_id, cx.paragraph, cx.sentence, cx.source_id, round(coalesce(sim.m, 0), 6) as similarity, case when cx.source_id is null then ['no citation'] when sf.nums is null then ['source not available'] else
+  list_concat(list_concat(list_transform({_UNKNOWN(NUMBERS('claim'), 'sf.nums')}, lambda x: 'number: ' || x), list_transform({_UNKNOWN(dates('claim'), 'sf.days')}, lambda x: 'date: ' || x)),
+    list_transform(list_filter({ENTITIES('claim')}, lambda x: not list_contains(sf.ents, x)), lambda x: 'entity: ' || x)) end as errs
+  from cx left join sf using (draft_id, source_id) left join sim on cx.draft_id = sim.draft_id and cx.paragraph = sim.paragraph and cx.sentence = sim.sentence and cx.source_id = sim.source_id),
+judged as (select *, len(errs) = 0 and similarity >= 0.45 as supported from jd)"""
+_VERDICTS = f"""{_JUDGED}, cn as (select draft_id, count(*) as n, count(*) filter (where supported) as good, count(*) filter (where list_contains(errs, 'no citation')) as bare from judged group by draft_id),
+vr as (select m.draft_id, m.article, m.source_ids, list_filter(m.source_ids, lambda x: not list_contains({CITED('m.article')}, x)) as missing, list_filter({CITED('m.article')}, lambda x: not list_contains(m.source_ids, x)) as invalid,
+  coalesce(n, 0) as n_claims, coalesce(good, 0) as n_supported, coalesce(bare, 0) as n_uncited from made m left join cn on m.draft_id = cn.draft_id),
+verdicts as (select *, case when n_claims > 0 then round(100.0::double * n_supported / n_claims, 2) else 0.0 end as grounding_score, n_claims > 0 and n_supported = n_claims and len(invalid) = 0 and n_uncited = 0 as grounded from vr),
+status as (select *, case when list_sort(list_distinct(source_ids)) <> {CITED('article')} then 'citation_failed' when not grounded then 'grounding_failed' else 'success' end as status from verdicts)"""
 _KEYS = f"list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+(?:-[a-z0-9]+)*'), lambda w: length(w) >= 3 and w not in {strings(L.STOPWORDS)})"
 _DOMAIN = "regexp_replace(" + _HOST.format(u="url") + ", '^www\\.', '')"
 _IMG = "(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || case page_id % 4 when 0 then '/images/Photo-' || page_id || '.JPG?w=300&v=' || page_id || '#x' when 1 then '/static/logo.png' when 2 then '/media/' || page_id else '/a/' || page_id || '-jpg.webp?b=2&a=1' end)"
@@ -130,7 +175,8 @@ SQL: dict[str, str] = {
     "citations": f"with {ARTICLES_SQL}, s as (select id, title || ' [Source ' || id % 7 || '] and [source  ' || id % 5 || '] [Source x]' as raw from articles) select id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw, '(?i)\\[Source\\s+(\\d+)\\]', 1), lambda x: x::int))), ',') as cited, trim(regexp_replace(raw, '(?i)\\[Source\\s+\\d+\\]', '', 'g'), ' ') as plain from s",
     "entities": f"with {ARTICLES_SQL} select id, array_to_string(list_sort(list_filter([{', '.join(map(quoted, X.security_hits))}], lambda t: contains(lower(content), t))), ',') as entities from articles",
     "citation_sets": f"with {ARTICLES_SQL}, s as (select id, [id % 3, id % 4, 9] as declared, list_distinct([id % 4, id % 5]) as cited from articles) select id, list_sort(list_filter(list_distinct(declared), lambda x: not list_contains(cited, x)))::varchar as missing, list_sort(list_filter(cited, lambda x: not list_contains(declared, x)))::varchar as invalid, list_sort(list_distinct(declared)) = list_sort(cited) as agree from s",
-    "url_discovery": f"""with h as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) as href from pages), a as (select page_id, url, case when starts_with(trim(href), '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || trim(href) else trim(href) end as link from h),
+    "url_discovery": f"""with pg as (select page_id, url, '<a class="x" href="/news/story-' || page_id || '?ref=home"><a class="x" href="/news/story-' || page_id || '#top"><a class="x" href="/category/x/' || page_id || '"><a class="x" href="https://other.example.org/news/x"><a class="x" href="/a/b/' || page_id || '">' || html as html from pages),
+      h as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) as href from pg), a as (select page_id, url, case when starts_with(trim(href), '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || trim(href) else trim(href) end as link from h),
       c as (select page_id, url, regexp_replace(link, '[?#].*$', '') as link from a) select distinct page_id, link from c where {_HOST.format(u='link')} = {_HOST.format(u='url')} and {is_article('link')}""",
     "url_parts": f"select page_id, {_HOST.format(u='url')} as host, {_DOMAIN} as domain, {_PATH.format(u='url')} as path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as query, {is_article('url')} as article from pages",
     "domain_tier": f"select page_id, case when {_DOMAIN} = '' or {' or '.join(f'contains({_DOMAIN}, {quoted(b)})' for b in U.BLOCKED_DOMAINS)} then 0 when {_DOMAIN} in {strings(U.HIGH_DOMAINS)} then 3 when {_DOMAIN} in {strings(U.MEDIUM_DOMAINS)} then 2 else 1 end as tier from pages",
@@ -141,10 +187,10 @@ SQL: dict[str, str] = {
     "semantic_pairs": "with e as (select vec_id, embedding::double[] as v from embeddings) select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.v, b.v), 5) as similarity from e a join e b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.4",
     "vector_topk": "with e as (select vec_id, embedding::double[] as v from embeddings), s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(q.v, e.v), 9) as s from e q cross join e where q.vec_id % 100 = 0) select query_id, id, round(s, 5) as similarity, row_number() over (partition by query_id order by s desc, id)::int as place from s qualify place <= 5",
     "retrieval_metrics": """with e as (select vec_id, label, embedding::double[] as v from embeddings), s as (select q.vec_id as query_id, q.label as ql, e.label as l, e.vec_id as id, round(list_cosine_similarity(q.v, e.v), 9) as s from e q cross join e where q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
-      r as (select *, row_number() over (partition by query_id order by s desc, id) as place from s qualify place <= 5), f as (select query_id, min(case when ql = l then place end) as p from r group by query_id)
-      select count(*) as n, round(avg(case when p <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when p <= 3 then 1.0 else 0.0 end), 6) as recall_3, round(avg(case when p <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(coalesce(1.0 / p, 0.0)), 6) as mrr from f""",
+      r as (select *, row_number() over (partition by query_id order by s desc, id) as place from s qualify place <= 5), f as (select query_id, min(case when ql = l then place end) as p, max(s) as top from r group by query_id)
+      select count(*) as n, round(avg(case when p <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when p <= 3 then 1.0 else 0.0 end), 6) as recall_3, round(avg(case when p <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(coalesce(1.0 / p, 0.0)), 6) as mrr, round(avg(top), 6) as average_similarity from f""",
     "layout": f"with {ARTICLES_SQL} select id, case when {_WC} >= {C.LONG} then 'feature_long' when id % 3 = 0 then 'feature_image' when {_WC} >= {C.MEDIUM} then 'feature_medium' else 'standard' end as layout from articles",
-    "sections": f"with {_RELEVANT}, g as (select category, count(*) as n, min(id) as first, md5(string_agg(id::varchar, ',' order by id)) as ids from relevants group by category) select row_number() over (order by coalesce(list_position([{', '.join(map(quoted, L.CATEGORY_ORDER))}], category), 99), first)::int as number, category, n, ids from g",
+    "sections": f"with {_RELEVANT}, g as (select category, count(*) as n, min(id) as first from relevants group by category) select row_number() over (order by coalesce(list_position([{', '.join(map(quoted, L.CATEGORY_ORDER))}], category), 99), first)::int as number, category, n, first from g",
     "composition_order": f"with {ARTICLES_SQL}, r as (select id, case when id % 3 = 0 then id % 17 end as rank from articles) select id, row_number() over (order by rank nulls last, id::varchar)::bigint as position from r",
     "asset_lookup": f"with {ARTICLES_SQL}, f as (select id, 'data/img/' || (id * 7 % 10) || '-' || n || '.jpg' as path from articles, (values (3), (1), (2)) v(n) where id % 2 = 0) select a.id, '../' || substr(min(f.path), 6) as asset from articles a left join f on a.id = f.id group by a.id",
     "image_rank": "select vec_id as image_id, vec_id % 50 as article_id, row_number() over (partition by vec_id % 50 order by abs(embedding[1]::double) desc, vec_id)::int as rank from embeddings",
@@ -157,4 +203,44 @@ SQL: dict[str, str] = {
       || case when security_part >= 20 then '; Security relevance ' || round_even(security_part, 0)::int || '/100' else '' end end as reason from scored""",
     "image_candidates": """with b as (select page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) as base from pages)
       select page_id, 1 as place, 'og:image' as kind, base || '/media/' || page_id || '.jpg?w=9' as image_url from b union all select page_id, 2, 'article-image', base || '/uploads/x' from b""",
+    "claim_grounding": f"with {_JUDGED} select draft_id, paragraph, sentence, source_id, similarity, array_to_string(errs, '; ') as errors, supported from judged",
+    "draft_verdicts": f"with {_VERDICTS} select draft_id, missing::varchar as missing_ids, invalid::varchar as invalid_ids, n_claims, n_supported, n_uncited, grounding_score, grounded from verdicts",
+    "draft_status": f"with {_VERDICTS} select draft_id, case when draft_id % 11 = 0 then 'invalid_json' else status end as status from status",
+    "editorial_records": f"with {_VERDICTS} select draft_id, case when status = 'success' then 'approved' else 'failed' end as status, case when status = 'success' then 'A headline' else '' end as headline, md5(case when status = 'success' then article else '' end) as article, case when status = 'success' then source_ids else [] end::varchar as source_ids, case when status <> 'success' then status end as reason from status",
+    "cited_metadata": f"with {_MADE}, x as (select draft_id, unnest(source_ids) as source_id from made) select x.draft_id, x.source_id, src.title, src.title is null as missing from x left join src on x.draft_id = src.draft_id and x.source_id = src.source_id",
+    "last_attempts": f"with {ARTICLES_SQL} select id as draft_id, case when id % 3 = 0 then 2 else 1 end as attempt, case id % 3 when 1 then 'success' when 2 then 'invalid_json' else case when id % 2 = 0 then 'success' else 'grounding_failed' end end as status from articles",
+    "numbers_and_dates": f"with {ARTICLES_SQL}, r as (select id, content || ' On 5 March 2024, 2023-01-02 and 12/11/2020 it was 50% of 3.5 km in 1999.' as c from articles) select id, array_to_string({NUMBERS('c')}, ',') as numbers, array_to_string({dates('c')}, ',') as dates from r",
+    "record_normalise": f"""with {ARTICLES_SQL}, b as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as body from articles)
+      select id::varchar as article_id, case when id % 2 = 0 and title <> '' then title when title <> '' then title else 'Untitled' end as headline, md5(body) as body, '{L.REGIONAL}' as category, case when id % 3 = 0 or coalesce(source, '') = '' then 'Unknown Source' else source end as source, [id::int]::varchar as source_ids, {WORD_COUNT('body')}::int as words from b""",
+    "negative_rejection": "with e as (select vec_id, embedding::double[] as v from embeddings), t as (select q.vec_id as id, max(round(-list_cosine_similarity(q.v, e.v), 9)) as s from e q cross join e where q.vec_id % 100 = 0 group by 1) select count(*) as negative, count(*) filter (where s < 0.45) as rejected, round(count(*) filter (where s < 0.45) / count(*), 6) as rejection_rate from t",
+    "vector_info": "select count(*) as vectors, count(distinct vec_id) as ids, 0::bigint as missing, 64 as least, 64 as largest, count(*) = count(distinct vec_id) as sound from embeddings",
+    "pipeline_metrics": "with r as (select vec_id as i from embeddings) select count(*) as total, count(*) filter (where i % 2 = 0) as retrieval, count(*) filter (where i % 3 > 0) as json, count(*) filter (where i % 5 > 0) as citation, count(*) filter (where i % 7 > 0 and i % 4 = 0) as grounding, sum(i % 11)::bigint as n_claims, sum(least(i % 11, i % 7))::bigint as n_supported, round(avg(case when i % 6 > 0 then (i % 64) / 64.0::double end), 6) as average_similarity, round(sum(least(i % 11, i % 7))::double / sum(i % 11), 6) as support_rate from r",
+    "category_scan": f"with {_SCORED} select id, category, row_number() over (order by article_score desc, id)::bigint as position from scored where category in {strings(L.CATEGORY_ORDER)}",
+    "collection_funnel": f"""with {ARTICLES_SQL}, k as (select distinct url as known from articles where id % 20 = 0), g as (select a.*, case when len({_ERRORS}) > 0 then 'invalid' when not {_IN} then 'outside_date_range' when k.known is not null then 'duplicates' end as gate
+      from articles a left join k on a.url = k.known where id % 13 <> 0), h as (select coalesce(gate, case when row_number() over (partition by url, gate is null order by id) > 1 then 'duplicates' else 'saved' end) as gate from g), c as (select gate, count(*) as n from h group by gate
+      union all select 'discovered', count(*) from articles union all select 'scraped', count(*) from articles where id % 13 <> 0 union all select 'failed', count(*) from articles where id % 13 = 0)
+      select x.counter, coalesce(c.n, 0) as n from (select unnest(['discovered', 'scraped', 'invalid', 'outside_date_range', 'duplicates', 'saved', 'failed']) as counter) x left join c on c.gate = x.counter""",
+    "json_lines": f"with {ARTICLES_SQL} select id, title, source from articles",
+    "json_document": f"with {_RELEVANT}, t as (select id, title, category, case when id % 2 = 0 then 'approved' else 'failed' end as status from relevants order by coalesce(article_score, 0) desc, id limit 11) select *, (select count(*) from t) as total, (select count(*) from t where status = 'approved') as approved, (select count(*) from t where status = 'failed') as failed from t",
+    "document_texts": f"""with {ARTICLES_SQL} select id, md5('Title: ' || title || chr(10) || chr(10) || 'Source: ' || source || chr(10) || 'Published: ' || strftime(published_date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Category: c' || id % 5 || chr(10) || chr(10) || 'Content:' || chr(10) || content) as document,
+      md5(trim('Title: ' || title || chr(10) || chr(10) || 'Content:' || chr(10) || content, ' ')) as embedding, md5('[Source ' || id % 9 || ']' || array_to_string(list_transform([['Article ID', id::varchar], ['Title', title], ['Source', source], ['Published Date', strftime(published_date, '%Y-%m-%d')], ['Category', 'c' || id % 5],
+      ['Article Score', (id % 101)::varchar], ['Retrieval Similarity', printf('%.4f', (id % 100) / 100.0::double)], ['Content', content]], lambda x: chr(10) || chr(10) || x[1] || ':' || chr(10) || x[2]), '')) as context from articles""",
+    "retrieval_query": f"with {ARTICLES_SQL} select id, case when id % {len(T.GENERATOR_STARTS) + 1} = {len(T.GENERATOR_STARTS)} then 'Tell Me Of  border towns ' else 'border towns ' end || id as asked from articles",
+    "path_rewrite": f"with {ARTICLES_SQL} select id, case id % 3 when 0 then 'img/' when 1 then 'data/img/' else '/other/img/' end || id || '.png' as relative, case id % 3 when 0 then '/srv/edition/img/' when 1 then '../img/' else '/other/img/' end || id || '.png' as asset from articles",
+    "domain_quality": f"with q as (select page_id, case page_id % 6 when 0 then 1.0 when 1 then 0.75 when 2 then 0.1 when 3 then 0.3 else case when {_DOMAIN} = '' then 0.3 when {_DOMAIN} in {strings(U.BEST_SOURCES)} then 1.0 when {_DOMAIN} in {strings(U.GOOD_SOURCES)} then 0.75 when {' or '.join(f'contains({_DOMAIN}, {quoted(b)})' for b in U.POOR_SOURCES)} then 0.1 else 0.5 end end::double as quality from pages) select *, quality > 0.1 as accepted from q",
+    "state_mentions": f"with {ARTICLES_SQL} select name, count(*) as n from articles, (values ('Assam'), ('Mizoram')) v(name) where id % 4 = 0 group by name",
+    "source_lines": f"with {ARTICLES_SQL}, c as (select case when trim(coalesce(source, '')) = '' then 'Unknown Source' else trim(source) end as source, count(*) as n from articles group by 1) select source || ': ' || n || ' article(s)' as line from c",
+    "selection_appendix": f"""with {_RELEVANT} select id, title, category, case when trim(coalesce(source, '')) = '' then 'Unknown Source' else source end as source, article_score, security_part, row_number() over (order by id % 7, id)::bigint as number,
+      'Category: ' || category || case when article_score > 0 then '; Score ' || round_even(article_score, 0)::int || '/100' else '' end || case when security_part >= 20 then '; Security relevance ' || round_even(security_part, 0)::int || '/100' else '' end as reason from relevants""",
+    "toc": f"with {_RELEVANT}, g as (select category, count(*) as n, min(id) as first from relevants group by category), k as (select *, row_number() over (order by coalesce(list_position([{', '.join(map(quoted, L.CATEGORY_ORDER))}], category), 99), first)::int as number from g) select k.number, r.category, k.n, row_number() over (partition by r.category order by r.id)::bigint as place, r.id, r.title from relevants r join k on r.category = k.category",
+    "page_lookup": f"with {ARTICLES_SQL} select p.id + 1 as page_number, p.id * 3 as id, a.title as headline, a.title is null as unresolved from articles p left join articles a on a.id = p.id * 3 where p.id % 5 > 0",
+    "plan_offenders": f"with {ARTICLES_SQL}, p as (select id - case when id % 50 = 49 then 1 else 0 end as page_number, case when id % 40 <> 7 then 'article' end as kind, {_WC} as words from articles), q as (select page_number, case when kind is null then 'no kind' when count(*) over (partition by page_number) > 1 then 'repeated number' when words = 0 then 'empty part' when words > {C.CONTINUATION} then 'part too long' end as problem from p) select * from q where problem is not null",
+    "text_checks": f"with {ARTICLES_SQL} select 'page_text' as check, count(*) filter (where length(trim(content, ' ')) < 10) = 0 as passed from articles union all select 'marker the', bool_or(contains(content, 'the')) from articles union all select 'marker zzzz no such marker', bool_or(contains(content, 'zzzz no such marker')) from articles",
+    "migrated": f"with {ARTICLES_SQL} select id, (id % 9)::int as article_score, 0 as relevance_score, null::int as rank, null::varchar as category, 16 as columns from articles",
+    "accepted_images": """with i as (select vec_id % 50 as article_id, vec_id as position, 'https://x.example.com/' || vec_id % 200 as image_url, sha256(vec_id::varchar) as name from embeddings where vec_id % 5 > 0 and vec_id % 700 >= 300 and vec_id % 500 >= 200),
+      u as (select * from i qualify row_number() over (partition by article_id, image_url order by position) = 1) select * from u qualify row_number() over (partition by article_id order by position) <= 2""",
+    "search_results": """with f as (select page_id, 9 as tier, 1 as place, 'https://own.example.com/media/' || page_id || '.jpg' as image_url from pages where page_id % 3 > 0 union all select page_id, v.tier, v.place, v.host || page_id || '.jpg' from pages,
+      (values (3, 0, 'https://thehindu.com/media/a'), (2, 1, 'https://eastmojo.com/media/b'), (1, 3, 'https://any.example.org/media/d'), (1, 4, 'https://any.example.org/media/e')) v(tier, place, host))
+      select page_id, row_number() over (partition by page_id order by tier desc, place)::int as position, image_url from f qualify position <= 4""",
+    "stage_runs": f"with {ARTICLES_SQL} select 1 as place, 'articles' as stage, 'passed' as status, count(*) as rows from articles union all select 2, 'valid', 'passed', count(*) from articles where len({_ERRORS}) = 0 union all select 3, 'in window', 'passed', count(*) from articles where len({_ERRORS}) = 0 and {_IN}",
 }
