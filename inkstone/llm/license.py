@@ -4,8 +4,10 @@
    template by the cosine of TF-IDF vectors; document frequencies of the templates' words are
    counted over all documents (other words count as seen nowhere else, the highest weight). A
    bound from the words shared with any template rules out most segments exactly.
-2. A file's own notice is its best segment at or above ``similar``. A file that consists of
-   notices for half its words or more is a licence file and speaks for its directory.
+2. A file's own notice is its best segment at or above ``similar``. The whole file is compared
+   with whole licence texts in the same way; what is at or above ``similar`` there decides, and
+   makes the file a licence file. So is a file that consists of notices for half its words or
+   more. Licence files speak for their directory.
 3. Directories are made distinct, their ancestors joined with the directories that have a licence
    file, and the deepest kept; files without a notice inherit from their directory's row.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import documents, stored
 
 SIMILAR = 0.6
+#: Parts in which the files of one directory are joined with its row.
+SALTS = 16
 #: Notices by SPDX-style name; a parameter of the operator.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -43,6 +47,57 @@ TEMPLATES = {
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorised copying of this file is strictly prohibited."),
 }
+# Whole licence texts, as their stewards publish them.
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the "
+    "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+#: Whole texts by SPDX-style name; a parameter of the operator. Longer licences stand with the notice that their appendix asks for.
+WHOLE = {
+    "MIT": (
+        "MIT License. Copyright. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "ISC License. Copyright. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "BSD-2-Clause": ("BSD 2-Clause License. Copyright. All rights reserved. " + _REDISTRIBUTION + _DISCLAIMER,),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License. Copyright. All rights reserved. " + _REDISTRIBUTION + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission. " + _DISCLAIMER,
+    ),
+    "Apache-2.0": (
+        "Copyright. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "GPL-3.0": (
+        "Copyright. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version "
+        "3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this "
+        "program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as "
+        "a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all "
+        "copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
+}
 _SEGMENT = re.compile(r"\n|(?<=[.!?]) +(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -96,28 +151,32 @@ class Matcher:
         top = max(((sum(x * t.get(w, 0.0) for w, x in v.items()) / length, name) for name, t in self.templates), key=lambda p: (round(p[0], 9), [-ord(c) for c in p[1]]))
         return (round(top[0], 9), top[1]) if top[0] >= self.similar - 1e-12 else None
 
-    def notice(self, text: str | None) -> tuple[float | None, str | None, bool]:
-        """Cosine and template of the best segment, and whether notices make up half of the text's words."""
-        top, inside, total = None, 0, 0
+    def notice(self, text: str | None, whole: Matcher | None = None) -> tuple[float | None, str | None, bool]:
+        """Cosine and licence, and whether the text is a licence file: it is like a whole licence text, or notices (the best
+        segment decides) make up half of its words."""
+        top, inside, total, every = None, 0, 0, []
         for segment in _SEGMENT.split(text) if text else ():
             words = words_of(segment)
+            every += words
             total += len(words)
             if found := self.best(words):
                 inside += len(words)
                 if top is None or (-found[0], found[1]) < (-top[0], top[1]):
                     top = found
+        if whole and (found := whole.best(every)):
+            return *found, True
         return (*top, 2 * inside >= total) if top else (None, None, False)
 
 
-def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR) -> DataFrame:
+def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR, whole: dict[str, tuple[str, ...]] = WHOLE) -> DataFrame:
     """(id, path, cosine, license, is_file) of files (id, path, text)."""
-    vocabulary = {w for ts in templates.values() for t in ts for w in words_of(t)}
+    vocabulary = {w for known in (templates, whole) for ts in known.values() for t in ts for w in words_of(t)}
     total, seen = document_frequencies(files, vocabulary)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, total, seen, similar)
+        matcher, files = Matcher(templates, total, seen, similar), Matcher(whole, total, seen, similar)
         for b in batches:
-            found = [matcher.notice(t.as_py()) for t in b.column(2)]
+            found = [matcher.notice(t.as_py(), files) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.bool_())],
                 names=["id", "path", "cosine", "license", "is_file"],
@@ -135,6 +194,8 @@ def parent(path: str):
 def inherited(found: DataFrame) -> DataFrame:
     """found with license, origin (header, inherited or none) and from_dir, the directory that a file inherits from."""
     found = stored(found.withColumn("dir", parent("path")), "notices")
+    # files of one directory may be many: their join with the directory's one row is salted
+    salt = F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")
     speaking = found.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct(-F.col("cosine"), "license", "id")).alias("best"))
     speaking = speaking.select(F.col("dir").alias("from_dir"), F.col("best.license").alias("given"))
     parts = F.split("dir", "/")
@@ -144,7 +205,8 @@ def inherited(found: DataFrame) -> DataFrame:
     reach = dirs.select("dir", F.posexplode(above).alias("depth", "from_dir")).join(speaking, "from_dir")
     nearest = reach.groupBy("dir").agg(F.max(F.struct("depth", "from_dir", "given")).alias("n")).select("dir", "n.from_dir", "n.given")
     own = F.col("license").isNotNull()
-    out = found.join(nearest, "dir", "left")
+    salted = nearest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    out = found.withColumn("_salt", salt).join(salted, ["dir", "_salt"], "left")
     return out.select(
         "id", "path", "cosine", "is_file", F.coalesce("license", "given").alias("license"),
         F.when(own, "header").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~own, F.col("from_dir")).alias("from_dir"),
@@ -152,6 +214,7 @@ def inherited(found: DataFrame) -> DataFrame:
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a made-up tree (source/lang/thousands/id): the table has no paths, so inheritance runs on invented ones."""
     number = F.col("doc_id").cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("lang"), F.expr("doc_id div 20000").cast("string"), F.expr("doc_id div 2000").cast("string"), number)
     files = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")

@@ -37,10 +37,10 @@ from inkstone.llm.common import documents, fold, stored
 FOLDS = 5
 #: Most labelled rows that training reads.
 SAMPLE_ROWS = 12_000
-#: Most features, by significance, and share of false discoveries allowed among them.
-MOST_FEATURES, FALSE_SHARE = 2_000, 0.01
-#: Tokens to each side of a window, and most windows.
-REACH, WINDOWS = 8, 20_000
+#: Share of false discoveries allowed among the features.
+FALSE_SHARE = 0.01
+#: Tokens to each side of a window.
+REACH = 8
 PREFIXES = (3, 4, 5, 6)
 #: Stands for the logarithm of a share of none.
 LEAST = -9.0
@@ -75,7 +75,7 @@ def significant(counts: list[tuple[str, int, int]], toxic: int, clean: int, test
     p = toxic / (toxic + clean)
     tails = sorted((binomial_tail(a, a + b, p), -a, name) for name, a, b in counts if a > 0 and a / (a + b) > p)
     last = max((k for k, (tail, _, _) in enumerate(tails, 1) if tail <= FALSE_SHARE * k / max(tested, len(tails))), default=0)
-    return [name for _, _, name in tails[: min(last, MOST_FEATURES)]]
+    return [name for _, _, name in tails[:last]]
 
 
 @dataclass
@@ -158,8 +158,9 @@ def tagged(chain: Chain, text: str | None, known: dict[str, float | None]) -> tu
 # ---- training ----
 
 
-def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals (windows, tokens), step marginals (2, 2) summed, log normaliser summed, of padded windows."""
+def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals (windows, tokens), step marginals (2, 2) summed, log normaliser summed, of padded windows that occur so many times."""
+    times = np.ones(len(emit)) if times is None else times
     n, length = emit.shape
     both = np.stack([np.zeros_like(emit), emit], axis=2)
     ahead, behind = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -177,16 +178,17 @@ def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> t
     for s in (0, 1):
         for r in (0, 1):
             x = np.exp(ahead[:, :-1, s] + steps[s, r] + both[:, 1:, r] + behind[:, 1:, r] - log_z[:, None])
-            pair[s, r] = (x * mask[:, 1:]).sum()
-    return marginal, pair, float(log_z.sum())
+            pair[s, r] = (x * mask[:, 1:] * times[:, None]).sum()
+    return marginal, pair, float((log_z * times).sum())
 
 
-def fitted(windows: list[tuple[list[list[int]], list[int]]], n_features: int, rounds: int = 120, penalty: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and steps from (feature numbers of each token, tags) by Adam on the penalised likelihood."""
-    n, length = len(windows), max(len(t) for _, t in windows)
+def fitted(windows: list[tuple[list[list[int]], list[int], int]], n_features: int, rounds: int = 120, penalty: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and steps from (feature numbers of each token, tags, how often) by Adam on the penalised likelihood."""
+    n, length = len(windows), max(len(t) for _, t, _ in windows)
+    times = np.array([x for _, _, x in windows], np.float64)
     mask, tags = np.zeros((n, length), bool), np.zeros((n, length))
     rows, columns, names = [], [], []
-    for i, (tokens, ys) in enumerate(windows):
+    for i, (tokens, ys, _) in enumerate(windows):
         mask[i, : len(ys)] = True
         tags[i, : len(ys)] = ys
         for j, fs in enumerate(tokens):
@@ -197,15 +199,15 @@ def fitted(windows: list[tuple[list[list[int]], list[int]]], n_features: int, ro
     seen = np.zeros((2, 2))
     for s in (0, 1):
         for r in (0, 1):
-            seen[s, r] = ((tags[:, :-1] == s) & (tags[:, 1:] == r) & mask[:, 1:]).sum()
+            seen[s, r] = (((tags[:, :-1] == s) & (tags[:, 1:] == r) & mask[:, 1:]) * times[:, None]).sum()
     at = np.concatenate([np.zeros(n_features), [-3.0], np.zeros(4)])
     first, second = np.zeros_like(at), np.zeros_like(at)
     for k in range(1, rounds + 1):
         weights, bias, steps = at[:n_features], at[n_features], at[n_features + 1 :].reshape(2, 2)
         emit = np.full((n, length), bias)
         np.add.at(emit, (rows, columns), weights[names])
-        marginal, pair, _ = forward_backward(emit, steps, mask)
-        off = tags * mask - marginal
+        marginal, pair, _ = forward_backward(emit, steps, mask, times)
+        off = (tags * mask - marginal) * times[:, None]
         slope = np.concatenate([np.bincount(names, weights=off[rows, columns], minlength=n_features), [off.sum()], (seen - pair).ravel()]) - penalty * at
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         at = at + 0.15 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
@@ -269,10 +271,12 @@ def trained(sample: DataFrame) -> Chain:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["toxic", "tokens", "tags"])
 
     windows = sample.mapInArrow(windowed, "toxic int, tokens array<array<int>>, tags array<int>")
-    windows = windows.orderBy(F.xxhash64(F.col("tokens").cast("string")), F.col("tokens").cast("string"), "toxic").limit(WINDOWS).select("tokens", "tags").collect()
+    # equal windows are one row that counts as often as they occur; their order fixes the sums
+    windows = windows.groupBy("tokens", "tags").agg(F.count(F.lit(1)).alias("n"))
+    windows = sorted(windows.collect(), key=lambda r: (r["tokens"], r["tags"]))
     chain = Chain()
     if chosen and windows:
-        weights, chain.bias, chain.steps = fitted([(r["tokens"], r["tags"]) for r in windows], len(chosen))
+        weights, chain.bias, chain.steps = fitted([(r["tokens"], r["tags"], r["n"]) for r in windows], len(chosen))
         chain.weights = {f: float(weights[k]) for f, k in chosen.items()}
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,3 +23,59 @@ def test_nearest_ancestor_wins(spark):
     out = {r["id"]: (r["license"], r["origin"], r["from_dir"]) for r in L.inherited(L.notices(spark.createDataFrame(rows, "id long, path string, text string"))).collect()}
     assert out[1][:2] == ("MIT", "header") and out[2] == ("Apache-2.0", "inherited", "a/b") and out[4] == ("MIT", "inherited", "a")
     assert out[5] == (None, "none", None) and out[6] == (None, "none", None) and out[7][:2] == ("Proprietary", "header") and out[8][1] == "none"
+
+
+def test_whole_licence_texts_speak_for_their_directory(spark):
+    rows, want = [], {}
+    for k, (name, (text,)) in enumerate(sorted(L.WHOLE.items())):
+        lines = text.replace("Copyright.", f"Copyright (c) 2024 Jo Doe {k}").replace(". ", ".\n")
+        rows += [(2 * k, f"d{k}/LICENSE", lines), (2 * k + 1, f"d{k}/src/main", "plain words here and nothing else of note")]
+        want |= {2 * k: (name, "header"), 2 * k + 1: (name, "inherited")}
+    plain = [(100 + i, f"p/{i}", "the program and the files of any person with no conditions " * 20 + str(i)) for i in range(200)]
+    out = {r["id"]: r for r in L.inherited(L.notices(spark.createDataFrame(rows + plain, "id long, path string, text string"))).collect()}
+    assert {k: (out[k]["license"], out[k]["origin"]) for k in want} == want and all(out[i]["license"] is None for i, _, _ in plain)
+
+
+def brute(files, templates, similar):
+    """(license, cosine, is_file) of each text by plain dictionaries, all templates against all segments and the whole."""
+    total = len(files)
+    seen = Counter(w for t in files for w in set(L.words_of(t or "")))
+
+    def cosine(words, template):
+        idf = lambda w: math.log((total + 1) / (seen[w] + 1)) + 1 if w in vocabulary else math.log(total + 1) + 1
+        a, b = ({w: n * idf(w) for w, n in Counter(x).items()} for x in (words, L.words_of(template)))
+        norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / norm if norm else 0.0
+
+    vocabulary = {w for known in templates for ts in known.values() for t in ts for w in L.words_of(t)}
+
+    def best(words, known):
+        each = [(-round(cosine(words, t), 9), name) for name, ts in known.items() for t in ts]
+        top = min(each)
+        return top if -top[0] >= similar else None
+
+    out = []
+    for text in files:
+        segments = [L.words_of(x) for x in L._SEGMENT.split(text or "")]
+        every = [w for x in segments for w in x]
+        hits = [(best(x, templates[0]), len(x)) for x in segments if x]
+        hits = [(b, n) for b, n in hits if b]
+        if every and (found := best(every, templates[1])):
+            out.append((found[1], -found[0], True))
+        elif hits:
+            top = min(b for b, _ in hits)
+            out.append((top[1], -top[0], 2 * sum(n for _, n in hits) >= len(every)))
+        else:
+            out.append((None, None, False))
+    return out
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    want = brute([t for _, t in docs], (L.TEMPLATES, L.WHOLE), L.SIMILAR)
+    got = {r["doc_id"]: r for r in L.op4_license(spark, d).collect()}
+    assert any(w[0] for w in want)
+    for (i, _), (name, cosine, is_file) in zip(docs, want, strict=True):
+        r = got[i]
+        assert (r["license"] if r["origin"] == "header" else None) == name and r["is_file"] == is_file and (cosine is None or abs(r["cosine"] - cosine) < 1e-6)

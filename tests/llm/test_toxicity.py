@@ -63,3 +63,20 @@ def test_held_out_accuracy_on_the_fixture(spark):
     rows = [r for r in X.op1_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in rows) / len(rows) >= 0.9
+
+
+def test_windows_that_repeat_weigh_as_often():
+    one = ([[0], [], [1]], [1, 0, 0])
+    two = ([[], [1]], [0, 0])
+    a = X.fitted([(*one, 3), (*two, 1)], 2, rounds=20)
+    b = X.fitted([(*one, 1), (*one, 1), (*one, 1), (*two, 1)], 2, rounds=20)
+    assert np.allclose(a[0], b[0]) and abs(a[1] - b[1]) < 1e-9 and np.allclose(a[2], b[2])
+
+
+def test_query_equals_scores_text_by_text(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = X.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet").filter(X.fold("doc_id", X.FOLDS) != 0)
+    chain = X.trained(X.sampled(docs, labels))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in X.op1_toxicity(spark, d).collect():
+        assert abs(r["score"] - chain.score(*X.tagged(chain, texts[r["doc_id"]], {})[1:])) < 1e-9
