@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -32,8 +33,9 @@ def roots(values, linked):
     return [find(i) for i in range(len(values))]
 
 
-def test_fingerprints_equal_brute_force():
-    for t in (None, "", "a", "A b", "a b c", "The cat sat on the mat and the cat sat", "é É ß x y z " * 50):
+def test_fingerprints_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 7)
+    for t in (None, "", "a", "A b", "a b c", "a b c d e f g", "a b c d e f g h", "a b c d e f g h i", " ".join(map(str, range(100))), "The cat sat on the mat and the cat sat", "é É ß x y z " * 50):
         assert S.fingerprint(t) == brute_fingerprint(t)
 
 
@@ -45,35 +47,12 @@ def test_links_equal_brute_force_with_and_without_tiles(spark):
         fps |= {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(40)}
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     want = roots(fps, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
-    df = spark.createDataFrame([(x, x, 0) for x in fps], "node long, fp long, family int")
+    df = spark.createDataFrame([(x, x) for x in fps], "node long, fp long")
     for tile in (20_000, 5):
         found = {r["node"]: r["root"] for r in S.components(S.links(df, 2, tile)).collect()}
         assert [found.get(x, x) for x in fps] == [fps[w] for w in want]
 
 
-def test_wide_stage_equals_brute_force_and_keeps_one_of_each(spark):
-    rng = random.Random(7)
-    texts = []
-    for _ in range(15):
-        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.randint(60, 300))]
-        texts.append(" ".join(words))
-        for _ in range(rng.randint(0, 3)):
-            copy = list(words)
-            copy[rng.randrange(len(copy))] = "changed"
-            texts.append(" ".join(copy))
-    texts += texts[:3]
-    wide = [np.array(S.wide_fingerprint(t), np.int64) for t in texts]
-
-    def linked(a, b):
-        apart = np.bitwise_count((a ^ b).view(np.uint64))
-        return apart.min() <= S.WIDE_BITS and apart.sum() <= S.WIDE_TOTAL
-
-    want = {i for i, r in enumerate(roots(wide, linked)) if r == i}
-    assert len(want) == 15
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _kept_id string")
-    assert {r["doc_id"] for r in S.deduplicated(docs).collect()} == want
-
-
 def test_pivot_coordinates_bound_the_distance():
     rng = random.Random(3)
     for _ in range(200):
@@ -110,7 +89,8 @@ def test_near_copies_are_those_of_five_word_jaccard(spark):
     sets = five_word_sets(texts)
     want = {i for i, r in enumerate(roots(sets, near)) if r == i}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in S.deduplicated(docs).collect()} == want
+    for tile in (S.TILE, 4):
+        assert {r["doc_id"] for r in S.deduplicated(docs, tile).collect()} == want
 
 
 def test_sketches_never_reject_near_copies():
@@ -123,6 +103,34 @@ def test_sketches_never_reject_near_copies():
             assert S.sketches_allow(S.sketch(a), S.sketch(b), len(a), len(b)) or not near
 
 
+def test_folded_fingerprints_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 3 :], rng.integers(0, 1 << 63, 30, dtype=np.uint64)]))
+        x, y = (np.frombuffer(S.folded(S.sketch(z)), np.uint8) for z in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pairs_apart_equal_brute_force_with_and_without_tiles(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for key in range(12):
+        base = np.unique(np.array([rng.getrandbits(62) for _ in range(60)], np.uint64))
+        group = []
+        for k in range(rng.choice([2, 2, 5, 40])):
+            own = np.unique(np.concatenate([rng.sample(base.tolist(), 60 - rng.randint(0, 9)), [rng.getrandbits(62) for _ in range(rng.randint(0, 9))]]).astype(np.uint64))
+            group.append((key * 100 + k, own, 7 if k > 6 else key * 100 + k))
+        rows += [(key, node, len(own), 0, root, S.folded(S.sketch(own))) for node, own, root in group]
+        for (a, x, r), (b, y, q) in itertools.combinations(group, 2):
+            if r != q and S.alike(len(np.intersect1d(x, y)), len(x), len(y)):
+                want.add((a, b))
+    df = spark.createDataFrame(rows, "key long, node long, n long, at long, root long, fp binary")
+    for tile in (20_000, 3):
+        got = {(r["a"], r["b"]) for r in S.pairs_apart(df, tile).collect()}
+        assert want <= got and all((a // 100) == (b // 100) for a, b in got) and len(got) < len(want) + 400
+
+
 def test_no_verified_link_is_lost_in_groups_of_versions(spark):
     rng, texts = random.Random(5), []
     for _ in range(6):
@@ -135,4 +143,39 @@ def test_no_verified_link_is_lost_in_groups_of_versions(spark):
     sets = five_word_sets(texts)
     want = {i for i, r in enumerate(roots(sets, near)) if r == i}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in S.deduplicated(docs).collect()} == want
+    for tile in (S.TILE, 4):
+        assert {r["doc_id"] for r in S.deduplicated(docs, tile).collect()} == want
+
+
+def test_cells_of_the_pivot_table_agree_for_near_fingerprints(spark):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) for _ in range(50)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps]
+    df = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "node long, fp long")
+    rows = {r["node"]: r for r in S.pivot_table(df).collect()}
+    for k, f in enumerate(fps):
+        base = (f ^ S.PIVOTS[0]).bit_count()
+        assert list(rows[k]["c"]) == [(f ^ S.PIVOTS[0] ^ (1 << (63 - i))).bit_count() - base for i in range(64)]
+    for k in range(50):
+        same = [rows[k]["c"][a:b] == rows[k + 50]["c"][a:b] for a, b in S.families(2)]
+        assert sum(same) >= 2
+
+
+def test_query_equals_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in S.op7_simhash(spark, d).collect()}
+    texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    fps = np.array([brute_fingerprint(t) for _, t in texts], np.uint64)
+    up = list(range(len(fps)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 2):
+            a, b = find(i), find(int(j))
+            up[max(a, b)] = min(a, b)
+    for k, (doc, _) in enumerate(texts):
+        assert got[doc]["fingerprint"] == f"{int(fps[k]):016x}" and got[doc]["component_id"] == texts[find(k)][0]
