@@ -185,6 +185,8 @@ class Top:
 def weighted(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, n, log10 probability of its byte) for every gram of (gram, n); grams with n = 0 are only predicted."""
     spark = grams.sparkSession
+    if depth < TOP:
+        raise ValueError(f"contexts of {TOP} bytes at least")
 
     def told(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         deep, (keys, logs, zeros, ones) = subtree(codes, counts, TOP, depth)

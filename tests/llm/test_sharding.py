@@ -46,3 +46,29 @@ def test_equal_texts_share_a_shard_and_slots_have_no_gaps(spark):
         shards.setdefault(r["shard"], []).append(r["slot"])
         texts.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and all(len(s) == 1 for s in texts.values())
+
+
+def test_query_has_the_least_capacity(spark):
+    from inkstone.llm import sharding
+
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = sharding.op6_sharding(spark, d).collect()
+    groups = {}
+    for i in sorted(texts):
+        groups.setdefault(texts[i], []).append(i)
+    sizes = [len(ids) * (len(t.encode()) + 1) for t, ids in groups.items()]
+
+    def shards(capacity):
+        n, held = 1, 0
+        for s in sizes:
+            n, held = (n, held + s) if held + s <= capacity else (n + 1, s)
+        return n
+
+    least = next(c for c in range(max(sizes), sum(sizes) + 1) if shards(c) <= sharding.SHARDS)
+    totals, shard = {}, {}
+    for r in rows:
+        totals[r["shard"]] = totals.get(r["shard"], 0) + r["size"]
+        shard.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    order = [min(shard[t]) for t in groups]
+    assert max(totals.values()) == least and order == sorted(order) and all(len(s) == 1 for s in shard.values())
