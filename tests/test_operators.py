@@ -348,3 +348,63 @@ def test_drafts_read_whole_documents(spark, tmp_path):
     made, _ = drafts(spark, str(tmp_path))
     got = {r["draft_id"]: r["article"] for r in made.collect()}
     assert set(got) == {1, 2} and "end. Two." in got[1] and "Three." in got[1] and "b end." in got[2]
+
+
+def test_json_files(spark, tmp_path):
+    from inkstone.sources import json_files
+
+    fields = "id long, title string, status string"
+    for k, (text, want) in enumerate([('[{"id": 1, "title": "a"}, {"id": 2}]', [1, 2]), ('{"articles": [{"id": 3}], "x": 1}', [3]), ('{"x": 1}', []), ("[]", [])]):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert [r["id"] for r in json_files.read_records(spark, str(tmp_path / f"{k}.json"), fields).collect()] == want
+    (tmp_path / "bad.json").write_text('{"articles": "none"}')
+    with pytest.raises(Exception, match="must be a list"):
+        json_files.read_records(spark, str(tmp_path / "bad.json"), fields).collect()
+    rows = spark.createDataFrame([(2, 'q"\n', "failed"), (1, "é", "approved")], fields)
+    made = json_files.document(rows, "p", "2026-01-01", "2026-02-01", "id")
+    json_files.write_document(made, str(tmp_path / "out"))
+    assert [tuple(r) for r in json_files.read_records(spark, str(tmp_path / "out"), fields).collect()] == [(1, "é", "approved"), (2, 'q"\n', "failed")]
+    json_files.write_lines(rows, str(tmp_path / "lines"))
+    assert json_files.read_lines(spark, str(tmp_path / "lines"), fields).count() == 2
+
+
+def test_stages_run_in_order_and_end_at_the_first_failure(spark):
+    from inkstone.plans.runner import StageFailed, run_stages
+
+    first, half = ("first", lambda s, _: s.range(10)), ("half", lambda s, rows: rows.filter("id % 2 = 0"))
+    runs, made = run_stages(spark, [first, half])
+    assert [(r.stage, r.status, r.rows) for r in runs] == [("first", "passed", 10), ("half", "passed", 5)] and made.count() == 5
+    with pytest.raises(StageFailed) as caught:
+        run_stages(spark, [first, ("bad", lambda s, rows: rows.select("nothing")), half])
+    assert [(r.stage, r.status) for r in caught.value.runs] == [("first", "passed"), ("bad", "failed")]
+
+
+def test_collections_of_vectors(spark):
+    schema = "id long, embedding array<double>"
+    assert vector.collection_info(spark.createDataFrame([], schema)).first().asDict() == {"vectors": 0, "ids": 0, "missing": 0, "least": None, "largest": None, "sound": True}
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0]), (2, None)], schema)
+    assert vector.collection_info(rows).first().asDict() == {"vectors": 3, "ids": 2, "missing": 1, "least": 1, "largest": 2, "sound": False}
+    with pytest.raises(Exception, match="expected 2 dimensions, found 1"):
+        vector.checked(rows, 2).collect()
+    assert vector.emptied(rows).columns == rows.columns and vector.emptied(rows).count() == 0
+
+
+def test_counters_of_nothing(spark):
+    schema = "id long, title string, url string, source string, published_date timestamp_ntz, content string"
+    none = spark.createDataFrame([], schema)
+    assert {r["counter"]: r["n"] for r in ingest.collection_stats(none, none, F.lit(True)).collect()} == dict.fromkeys(ingest.COUNTERS, 0)
+
+
+def test_uncited_paragraphs_and_inherited_citations(spark):
+    long = "These are nine words that tell something. And two sentences."
+    rows = [(1, long, [1, 2]), (2, f"{long}\n[Source 1]", [1, 2]), (3, f"{long}\nMore of it. [Source 1] [Source 9]", [1, 2]), (4, "Seven words are not enough for this.", [1]), (5, None, None)]
+    found = grounding.claims(spark.createDataFrame(rows, "draft_id long, article string, source_ids array<int>")).collect()
+    assert sorted((r["draft_id"], r["sentence"], tuple(r["cited"])) for r in found) == [(1, 0, ()), (2, 0, (1,)), (2, 1, (1,)), (3, 0, ()), (3, 0, (1, 9))]
+
+
+def test_domain_quality_and_paths(spark):
+    u = F.col("u")
+    rows = spark.createDataFrame([("www.THEHINDU.com",), ("news18.com",), ("mapnations.com",), ("",), (None,), ("x.org",)], "u string")
+    assert [r[0] for r in rows.select(U.source_quality_score(u)).collect()] == [1.0, 0.75, 0.1, 0.3, 0.3, 0.5]
+    paths = spark.createDataFrame([("/a/b/c.png",), ("/a/bc.png",), (None,)], "u string")
+    assert [r[0] for r in paths.select(U.relative_path(u, "/a/b/")).collect()] == ["c.png", "/a/bc.png", None]
