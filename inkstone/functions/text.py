@@ -195,12 +195,18 @@ def parsed_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_date(x, f) for x, f in tries])
 
 
-def dates(c: Column) -> Column:
-    """ISO dates and standalone years outside them, distinct, ascending."""
+def date_mentions(c: Column) -> Column:
+    """Stretches of text in the accepted forms of a date."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({DATE})"), F.lit(1))
+
+
+def dates(c: Column, mentions: Column | None = None) -> Column:
+    """ISO dates and standalone years outside them, distinct, ascending; mentions: date_mentions of c as a column, for long texts."""
     c = F.coalesce(c, F.lit(""))
-    raw = F.regexp_extract_all(c, F.lit(f"({DATE})"), F.lit(1))
-    iso = F.transform(F.filter(raw, lambda d: parsed_date(d).isNotNull()), lambda d: F.date_format(parsed_date(d), "yyyy-MM-dd"))
-    rest = F.aggregate(F.filter(raw, lambda d: parsed_date(d).isNotNull()), c, lambda text, d: F.replace(text, d, F.lit(" ")))
+    raw = date_mentions(c) if mentions is None else mentions
+    known = F.filter(raw, lambda d: parsed_date(d).isNotNull())
+    iso = F.transform(known, lambda d: F.date_format(parsed_date(d), "yyyy-MM-dd"))
+    rest = F.aggregate(known, c, lambda text, d: F.replace(text, d, F.lit(" ")))
     years = F.regexp_extract_all(rest, F.lit(r"\b(\d{4})\b"), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(iso, years)))
 

@@ -24,17 +24,19 @@ def entities(c: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
     return F.array_sort(F.array_distinct(T.substring_terms(F.lower(F.coalesce(c, F.lit(""))), terms)))
 
 
-_EMPTY = lambda: F.array().cast("array<string>")
-
-
 def _leading(fact: Column) -> Column:
     return F.regexp_extract(fact, _FIRST, 1)
 
 
-def known_facts(content: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
-    """What a source tells: numbers and dates (normalised) with their leading numbers, and entities; found once for all claims."""
+def with_facts(sources: DataFrame, terms: tuple[str, ...] = CLAIM_ENTITIES) -> DataFrame:
+    """sources with known: numbers and dates (normalised) with their leading numbers, and entities; each found once for all claims.
+
+    Every step is a column of its own: an expression named twice in one step would read the text twice."""
+    rows = sources.withColumns({"_mentions": T.date_mentions(F.col("content")), "_numbers": T.numbers(F.col("content")), "_entities": entities(F.col("content"), terms)})
+    rows = rows.withColumn("_dates", T.dates(F.col("content"), F.col("_mentions")))
     told = lambda facts: F.struct(F.transform(facts, T.normalized).alias("whole"), F.filter(F.transform(facts, _leading), lambda x: x != "").alias("leading"))
-    return F.struct(told(T.numbers(content)).alias("numbers"), told(T.dates(content)).alias("dates"), entities(content, terms).alias("entities"))
+    known = F.struct(told(F.col("_numbers")).alias("numbers"), told(F.col("_dates")).alias("dates"), F.col("_entities").alias("entities"))
+    return rows.withColumn("known", known).drop("_mentions", "_numbers", "_dates", "_entities")
 
 
 def unknown_facts(facts: Column, known: Column) -> Column:
@@ -75,9 +77,7 @@ def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR,
     rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
     key = ["draft_id", "source_id"]
     asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
-    # naming the partition keeps Catalyst from looking for the facts anew for every claim
-    facts = F.when(F.spark_partition_id() >= 0, known_facts(F.col("content"), terms))
-    told = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], T.sentences(F.col("content")).alias("told"), facts.alias("known"), F.col("content").isNotNull().alias("there"))
+    told = with_facts(sources, terms).select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], T.sentences(F.col("content")).alias("told"), "known", F.col("content").isNotNull().alias("there"))
     both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(told, key, "left")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
