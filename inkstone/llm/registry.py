@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from inkstone.llm import bpe, ctw, decontaminate, license, pii, quality, sharding, simhash, toxicity, warc
+from inkstone.llm import bpe, codes, ctw, decontaminate, license, pii, quality, sharding, simhash, topk, toxicity, trie, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op8_ctw": ctw.op8_ctw,
         "op9_bpe": bpe.op9_bpe,
         "op10_warc": warc.op10_warc,
+        "op11_topk": topk.op11_topk,
+        "op12_codes": codes.op12_codes,
+        "op13_trie": trie.op13_trie,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": decontaminate.OP3_SQL,
         "op5_quality": quality.OP5_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op11_topk": topk.OP11_SQL,
+        "op12_codes": codes.OP12_SQL,
+        "op13_trie": trie.OP13_SQL,
     }

@@ -25,6 +25,11 @@ def tables(spark, path, empty: bool = False) -> str:
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     pages = [] if empty else [(1, "http://www.A.example.com/x/?utm_source=1", "<p>a"), (2, "https://a.example.com/x", "<p>b"), (2, "https://a.example.com/x", "<p>b"), (3, None, "<p>c"), (4, "", None), (5, "no url", "z"), (None, "https://b.example.com/", "q")]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("canonical_url", F.lit("clash")).write.parquet(f"{path}/pages.parquet")
+    nan = float("nan")
+    vectors = [] if empty else [(0, [1.0, -1.0, 0.5]), (1, None), (2, [1.0, None, 0.0]), (3, [nan, 0.0, 0.0]), (50, [0.5, 0.25, 0.125]), (50, [0.5, 0.25, 0.125]), (4, []), (None, [1.0, 1.0, 1.0]), (5, [0.001]), (6, [float("inf")] * 3), (-50, [9e3, 9e3, -9e3])]
+    spark.createDataFrame([(i, v, None if i == 4 else 1) for i, v in vectors], "vec_id long, embedding array<float>, label int").withColumns({"id": F.lit("x"), "v": F.lit(1), "code": F.lit(2), "_key": F.lit(3)}).write.parquet(f"{path}/embeddings.parquet")
+    said = [] if empty else [(0, 0, "user", "a b"), (0, 1, None, None), (0, None, "system", LONG), (3, 0, "user", "a b"), (3, 0, "user", "a b"), (None, 0, "user", "lost"), (None, None, None, None), (20, 5, "user", ""), (21, 0, "user", "x"), (-5, 1, "user", "y")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit("x"), "key": F.lit(1), "depth": F.lit(2), "place": F.lit(3)}).write.parquet(f"{path}/conversations.parquet")
     return str(path)
 
 

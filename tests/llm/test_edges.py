@@ -6,7 +6,8 @@ from inkstone.llm import registry
 from tests.llm.data import TEXTS, tables
 
 NAMES = sorted(registry.queries())
-ROWS = {n: len(TEXTS) for n in NAMES if n not in ("pipeline", "op10_warc")} | {"op10_warc": 7}
+#: op11: three distinct queries (0, 50, -50) of five rows each; op12: the seven sound vectors; op13: the nodes that test_trie counts.
+ROWS = {n: len(TEXTS) for n in NAMES if n not in ("pipeline", "op13_trie")} | {"op10_warc": 7, "op11_topk": 15, "op12_codes": 7}
 
 
 @pytest.fixture(scope="module")
