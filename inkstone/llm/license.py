@@ -5,15 +5,17 @@
    counted over all documents (other words count as seen nowhere else, the highest weight). A
    bound from the words shared with any template rules out most segments exactly.
 2. A file's own notice is its best segment at or above ``similar``. The whole file is compared
-   with whole licence texts in the same way; what is at or above ``similar`` there decides, and
-   makes the file a licence file. So is a file that consists of notices for half its words or
-   more. Licence files speak for their directory.
+   with whole licence texts, long ones in full (``licenses/``), under measures made for long texts:
+   counts are damped (1 + ln n) so that function words don't decide, and weights come from the
+   licence texts alone, so that the corpus has no say in which licence a text is. At or above
+   ``alike`` the nearest text decides, and makes the file a licence file. So is a file that
+   consists of notices for half its words or more. Licence files speak for their directory.
 3. Directories are made distinct, their ancestors joined with the directories that have a licence
    file, and the deepest kept; files without a notice inherit from their directory's row.
 
 Defined cases: null and empty texts have no notice but inherit; a null path has no directory;
-of equal cosines the template's name decides (ascending), then the lowest id; repeated rows are
-each answered; an empty table gives an empty result; other columns are not read.
+a notice that only reserves rights gives way to any other; of equal cosines the template's name
+decides (ascending), then the lowest id; repeated rows are each answered; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import documents, stored
 
-SIMILAR = 0.6
+#: Least cosines of a segment with a notice, and of a whole file with a whole licence.
+SIMILAR, ALIKE = 0.6, 0.75
+#: The name of notices that only reserve rights: any other notice of the same file goes before them.
+RESERVED = "Proprietary"
 #: Parts in which the files of one directory are joined with its row.
 SALTS = 16
 #: Notices by SPDX-style name; a parameter of the operator.
@@ -59,7 +65,8 @@ _REDISTRIBUTION = (
     "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
     "following disclaimer in the documentation and/or other materials provided with the distribution. "
 )
-#: Whole texts by SPDX-style name; a parameter of the operator. Longer licences stand with the notice that their appendix asks for.
+#: Whole texts by SPDX-style name; a parameter of the operator. Longer licences stand with the notice that their appendix asks for,
+#: and in full as the fixed texts of the folder licenses.
 WHOLE = {
     "MIT": (
         "MIT License. Copyright. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
@@ -98,6 +105,8 @@ WHOLE = {
         "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
     ),
 }
+for _path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+    WHOLE[_path.stem] = (*WHOLE.get(_path.stem, ()), _path.read_text())
 _SEGMENT = re.compile(r"\n|(?<=[.!?]) +(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -151,30 +160,61 @@ class Matcher:
         top = max(((sum(x * t.get(w, 0.0) for w, x in v.items()) / length, name) for name, t in self.templates), key=lambda p: (round(p[0], 9), [-ord(c) for c in p[1]]))
         return (round(top[0], 9), top[1]) if top[0] >= self.similar - 1e-12 else None
 
-    def notice(self, text: str | None, whole: Matcher | None = None) -> tuple[float | None, str | None, bool]:
+    def notice(self, text: str | None, whole: WholeTexts | None = None) -> tuple[float | None, str | None, bool]:
         """Cosine and licence, and whether the text is a licence file: it is like a whole licence text, or notices (the best
         segment decides) make up half of its words."""
-        top, inside, total, every = None, 0, 0, []
+        top, inside, total, every = None, 0, 0, Counter()
         for segment in _SEGMENT.split(text) if text else ():
             words = words_of(segment)
-            every += words
+            every.update(words)
             total += len(words)
             if found := self.best(words):
                 inside += len(words)
-                if top is None or (-found[0], found[1]) < (-top[0], top[1]):
+                if top is None or (found[1] == RESERVED, -found[0], found[1]) < (top[1] == RESERVED, -top[0], top[1]):
                     top = found
         if whole and (found := whole.best(every)):
             return *found, True
         return (*top, 2 * inside >= total) if top else (None, None, False)
 
 
-def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR, whole: dict[str, tuple[str, ...]] = WHOLE) -> DataFrame:
+class WholeTexts:
+    """Cosines of whole files to whole licence texts: damped counts, weights by the texts alone."""
+
+    def __init__(self, texts: dict[str, tuple[str, ...]], alike: float = ALIKE) -> None:
+        self.alike = alike
+        counts = [(name, Counter(words_of(t))) for name in sorted(texts) for t in texts[name]]
+        among = Counter(w for _, c in counts for w in c)
+        self.idf = {w: math.log((len(counts) + 1) / (n + 1)) + 1 for w, n in among.items()}
+        self.other = math.log(len(counts) + 1) + 1  # of words that no licence has
+        self.texts = []
+        for name, c in counts:
+            v = {w: (1 + math.log(n)) * self.idf[w] for w, n in c.items()}
+            length = math.sqrt(sum(x * x for x in v.values()))
+            self.texts.append((name, {w: x / length for w, x in v.items()}))
+
+    def best(self, words: Counter) -> tuple[float, str] | None:
+        """Highest cosine at or above alike, and its licence; of equal ones the first name."""
+        shared = [w for w in words if w in self.idf]
+        # what is shared must carry alike^2 of the squared length; every other word weighs other or more
+        inside = sum(((1 + math.log(words[w])) * self.idf[w]) ** 2 for w in shared)
+        if inside < self.alike**2 * (inside + (len(words) - len(shared)) * self.other**2):
+            return None
+        v = {w: (1 + math.log(n)) * self.idf.get(w, self.other) for w, n in words.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        if not length:
+            return None
+        each = [(round(sum(v[w] * t.get(w, 0.0) for w in shared) / length, 9), name) for name, t in self.texts]
+        top = min(each, key=lambda p: (-p[0], p[1]))
+        return top if top[0] >= self.alike else None
+
+
+def notices(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, similar: float = SIMILAR, whole: dict[str, tuple[str, ...]] = WHOLE, alike: float = ALIKE) -> DataFrame:
     """(id, path, cosine, license, is_file) of files (id, path, text)."""
-    vocabulary = {w for known in (templates, whole) for ts in known.values() for t in ts for w in words_of(t)}
+    vocabulary = {w for ts in templates.values() for t in ts for w in words_of(t)}
     total, seen = document_frequencies(files, vocabulary)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, files = Matcher(templates, total, seen, similar), Matcher(whole, total, seen, similar)
+        matcher, files = Matcher(templates, total, seen, similar), WholeTexts(whole, alike)
         for b in batches:
             found = [matcher.notice(t.as_py(), files) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(

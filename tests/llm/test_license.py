@@ -27,7 +27,7 @@ def test_nearest_ancestor_wins(spark):
 
 def test_whole_licence_texts_speak_for_their_directory(spark):
     rows, want = [], {}
-    for k, (name, (text,)) in enumerate(sorted(L.WHOLE.items())):
+    for k, (name, text) in enumerate((name, t) for name, ts in sorted(L.WHOLE.items()) for t in ts):
         lines = text.replace("Copyright.", f"Copyright (c) 2024 Jo Doe {k}").replace(". ", ".\n")
         rows += [(2 * k, f"d{k}/LICENSE", lines), (2 * k + 1, f"d{k}/src/main", "plain words here and nothing else of note")]
         want |= {2 * k: (name, "header"), 2 * k + 1: (name, "inherited")}
@@ -36,6 +36,26 @@ def test_whole_licence_texts_speak_for_their_directory(spark):
     assert {k: (out[k]["license"], out[k]["origin"]) for k in want} == want and all(out[i]["license"] is None for i, _, _ in plain)
 
 
+def test_licences_keep_their_names_under_any_word_frequencies():
+    vocabulary = {w for ts in L.TEMPLATES.values() for t in ts for w in L.words_of(t)}
+    whole = L.WholeTexts(L.WHOLE)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unicode-3.0"} <= set(L.WHOLE)
+    for n, seen in ((1000, {}), (10**9, {}), (10**9, dict.fromkeys(vocabulary, 10**9)), (1000, {"the": 900, "of": 800, "license": 5})):
+        matcher = L.Matcher(L.TEMPLATES, n, seen)
+        for name, texts in L.WHOLE.items():
+            for text in texts:
+                changed = "Copyright (c) 1999-2024 Some Body <some@body.example>\n\n" + text.replace(" and ", " and\n")
+                assert matcher.notice(changed, whole)[1:] == (name, True)
+        # words of licences in any other text make no licence file
+        assert matcher.notice("The licence of the software and the use of any copy in the work. " * 40, whole)[2] is False
+
+
+def test_reserved_rights_give_way():
+    matcher = L.Matcher(L.TEMPLATES, 1000, {"the": 900})
+    assert matcher.notice("All rights reserved.\nThis file is released under the MIT License.\n" + "more words\n" * 20)[1] == "MIT"
+    assert matcher.notice("All rights reserved.\n" + "more words\n" * 20)[1:] == ("Proprietary", False)
+
+
 def brute(files, templates, similar):
     """(license, cosine, is_file) of each text by plain dictionaries, all templates against all segments and the whole."""
     total = len(files)
@@ -47,24 +67,31 @@ def brute(files, templates, similar):
         norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
         return sum(x * b.get(w, 0) for w, x in a.items()) / norm if norm else 0.0
 
-    vocabulary = {w for known in templates for ts in known.values() for t in ts for w in L.words_of(t)}
+    vocabulary = {w for ts in templates[0].values() for t in ts for w in L.words_of(t)}
+    texts = [Counter(L.words_of(t)) for ts in templates[1].values() for t in ts]
+    among = {w: sum(w in c for c in texts) for c in texts for w in c}
+
+    def alike(words, template):
+        weight = lambda w, n: (1 + math.log(n)) * (math.log((len(texts) + 1) / (among.get(w, 0) + 1)) + 1)
+        a, b = ({w: weight(w, n) for w, n in Counter(x).items()} for x in (words, L.words_of(template)))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    def best(words, known):
-        each = [(-round(cosine(words, t), 9), name) for name, ts in known.items() for t in ts]
-        top = min(each)
-        return top if -top[0] >= similar else None
+    def best(words, known, measure, least):
+        each = [(name == "Proprietary", -round(measure(words, t), 9), name) for name, ts in known.items() for t in ts]
+        top = min((e for e in each if -e[1] >= least), key=lambda e: e[1:], default=None)
+        return top
 
     out = []
     for text in files:
         segments = [L.words_of(x) for x in L._SEGMENT.split(text or "")]
         every = [w for x in segments for w in x]
-        hits = [(best(x, templates[0]), len(x)) for x in segments if x]
+        hits = [(best(x, templates[0], cosine, similar), len(x)) for x in segments if x]
         hits = [(b, n) for b, n in hits if b]
-        if every and (found := best(every, templates[1])):
-            out.append((found[1], -found[0], True))
+        if every and (found := best(every, templates[1], alike, L.ALIKE)):
+            out.append((found[2], -found[1], True))
         elif hits:
             top = min(b for b, _ in hits)
-            out.append((top[1], -top[0], 2 * sum(n for _, n in hits) >= len(every)))
+            out.append((top[2], -top[1], 2 * sum(n for _, n in hits) >= len(every)))
         else:
             out.append((None, None, False))
     return out
