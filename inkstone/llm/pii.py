@@ -16,10 +16,12 @@ and surnames map inside their list, other words keep their pattern of vowels and
 their last letter and never enter a list. A word has the same surrogate wherever it stands in a
 name; the form of address has no part in it.
 
-Names are found after a form of address, by a listed given name, or by an English cue (a verb of
-speech, "my name is", "Name:"); Chinese ones by a listed surname and a form of address, Arabic
-ones by a form of address. Once found, their words are replaced in the rest of the text too. Names
-without any of these signs stay: no list is complete.
+Names are found after a form of address, by a listed given name, or by a phrase that introduces
+somebody ("my name is", "Name:"); words of places, offices, days and months end or rule out a name,
+so "Victoria Station" and "Prime Minister" stay. Chinese ones are found by a listed surname and a
+form of address, Arabic ones by a form of address. Once found, their words are replaced in the rest
+of the text too. Names without any of these signs stay: no list is complete. Secrets are found by
+their form, in quotes, or as the value assigned to a name such as api_key if it looks random.
 
 Defined cases: null texts stay null; empty texts stay empty; repeated rows get equal results; of
 overlapping entities the one that begins first counts (numbers and addresses before names);
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import math
 import re
 from array import array
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import documents, stored
 
-KINDS = ("email", "ip", "phone", "card", "iban", "ssn", "secret", "name")
+KINDS = ("email", "ip", "mac", "phone", "card", "iban", "ssn", "secret", "name")
 #: For tests and examples; a production run passes its own secret.
 EXAMPLE_KEY = b"inkstone example key"
 
@@ -51,11 +54,13 @@ EXAMPLE_KEY = b"inkstone example key"
 NAMES = {
     ("latin", "f"): (
         "Alice Amina Anna Barbara Catherine Charlotte Dorothy Elizabeth Emily Fatima Frances Gabriele Hannah Ingrid Isabelle Jennifer Josephine Katharina Laura Linda Lucy Margaret Maria Mary "
-        "Nancy Olivia Patricia Priya Rebecca Sarah Sophie Susan Ursula Victoria"
+        "Nancy Olivia Patricia Priya Rebecca Sarah Sophie Susan Ursula Victoria Aisha Akiko Amanda Ana Andrea Angela Anita Ashley Brenda Camila Carmen Carol Caroline Chloe Christine Clara Deborah "
+        "Diana Donna Elena Emma Eva Giulia Helen Ines Jane Jessica Julia Karen Kimberly Leila Lucia Mei Melissa Michelle Nadia Natalie Nicole Nina Pamela Rachel Ruth Sandra Sharon Stephanie Teresa Yuki Zainab"
     ).split(),
     ("latin", "m"): (
         "Ahmed Albert Benjamin Carlos Charles Daniel David Edward Frederick George Henry Jacques James John José Joseph Juan Klaus Lucas Michael Mohammed Nicholas Oliver Patrick Paul Peter "
-        "Pierre Quentin Rajesh Richard Robert Stephen Thomas William"
+        "Pierre Quentin Rajesh Richard Robert Stephen Thomas William Alan Alejandro Alexander Ali Andrew Anthony Antonio Arjun Bob Brian Christopher Diego Dmitri Donald Eric Fernando Francisco Gary Giovanni "
+        "Hans Hassan Hiroshi Ibrahim Igor Ivan Jason Jeffrey Jorge Kenji Kenneth Kevin Lars Luis Luigi Marco Mario Matthew Miguel Mustafa Omar Pablo Pedro Rahul Ravi Ronald Samuel Scott Sergio Steven Takeshi Timothy Wei Yusuf"
     ).split(),
     ("latin", "s"): (
         "Adams Baker Campbell Dupont Evans Fischer Garcia Hoffmann Jackson Johnson Klein Lambert Martin Müller Murphy Novak Parker Roberts Schmidt Sharma Smith Taylor Walker Watson Williams Young"
@@ -76,10 +81,16 @@ TITLES = {
     "": "Dr Prof".split(),
 }
 HAN_TITLES, ARABIC_TITLES = "先生 女士 小姐 太太 老师 教授 医生 博士".split(), "السيد السيدة الدكتور الدكتورة الأستاذ الأستاذة".split()
-#: English cues: before a name, after one (verbs of speech), and capitalised words that begin no name.
-CUES = ("my name is", "i am called", "name:", "contact:", "attn:", "author:", "signed:", "patient:")
-VERBS = "said called wrote told asked replied met emailed phoned thanked".split()
-NO_NAMES = "The This That These Those Our His Her My Your Their In On At When If But And So We They He She It You Some Many Most All Its".split()
+#: Phrases that introduce a person; capitalised words that begin no name; and words that are no part of one (places, offices, bodies, times).
+CUES = ("my name is", "i am called", "name:", "signed:", "patient:")
+NO_NAMES = "The This That These Those Our His Her My Your Their In On At When If But And So We They He She It You Some Many Most All Its Not None Unknown".split()
+NO_PART = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "Airport Avenue Bay Beach Bridge Building Castle Cathedral Church Cinema City College County Court Cross Falls Garden Gardens Hall Harbour Hill Hospital Hotel House Island Islands Lake Library Lines "
+    "Market Mountain Museum Observatory Observer Opera Palace Park Port Prize Province River Road School Square Stadium State Station Street Theatre Times Tower University Valley Village Zoo "
+    "Academy Agency Association Authority Bank Board Bureau Centre Center Club Commission Committee Company Corporation Council Department Desk Division Foundation Group Institute Journal League Ministry "
+    "Minister Nations News Office Organization Party Post President Press Prime Records Sales Secretary Service Services Society Support Team Trust Union United"
+).split()
 _LISTED = {name.lower(): (script, kind) for (script, kind), names in NAMES.items() for name in names}
 
 #: Alphabets of one script, case and kind each; a letter is only ever replaced within its own.
@@ -96,8 +107,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TEXTUAL = {
     "email": r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "mac": r"(?<![\w:-])[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})(?![\w:-])",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-    "card": r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\w.])\d{13,19}(?!\d)",
+    "card": r"(?<![\d.-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\w.])\d{13,19}(?![0-9A-Za-z])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<=[\"'])[A-Za-z0-9+/_-]{20,}(?=[\"'])|\b(?:sk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,}\b",
@@ -106,11 +118,17 @@ _WITH_DIGITS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _TEXTUAL.items())
 _TITLED = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GIVEN = "|".join(n for (_, kind), ns in NAMES.items() if kind in "fm" for n in ns)
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][^\W\d_]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
-_TWO = rf"(?!(?:{'|'.join(NO_NAMES)})\b){_CAPITAL} {_CAPITAL}"
+_NONE = rf"(?!(?:{'|'.join(NO_NAMES + NO_PART)})\b)"
+_PART = rf"(?!(?:{'|'.join(NO_PART)})\b){_CAPITAL}"
 _NAMED = re.compile(
-    rf"\b(?:(?:{_TITLED})\b\.? (?P<titled>{_CAPITAL}(?: {_CAPITAL})?)|(?P<listed>(?:{_GIVEN}) {_CAPITAL})|(?:{'|'.join(VERBS)}) (?P<object>{_TWO})|(?P<subject>{_TWO})(?= (?:{'|'.join(VERBS)})\b))(?!\w)"
-    rf"|(?<!\w)(?i:{'|'.join(re.escape(c) for c in CUES)}) (?P<cued>{_TWO})(?!\w)"
+    rf"\b(?:(?:{_TITLED})\b\.? (?P<titled>{_PART}(?: {_PART})?)|(?P<listed>(?:{_GIVEN}) {_PART})(?! (?:{'|'.join(NO_PART)})\b))(?!\w)"
+    rf"|(?<!\w)(?i:{'|'.join(re.escape(c) for c in CUES)}) (?P<cued>{_NONE}{_CAPITAL}(?: {_PART})?)(?!\w)(?! (?:{'|'.join(NO_PART)})\b)"
 )
+#: An IPv6 address in any spelling (what is none is ruled out afterwards), a value assigned to a name, and names of secret values.
+_IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:])")
+_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([^\s\"',;(){}<>\[\]]{8,})")
+_SECRET_NAME = re.compile(r"(?i)(?:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)s?[\w.-]{0,30}[\"']?[ \t]*$")
+_SPACED_SSN = re.compile(r"(?i)(?:ssn|social security(?: number| no)?)[ .:#]{1,4}(?:is )?(\d{3} \d{2} \d{4})(?!\d)")
 _HAN_NAMED = re.compile(rf"(?P<han>[{HAN['s']}][\u4e00-\u9fa5]{{1,2}}?)(?={'|'.join(HAN_TITLES)})")
 _ARABIC_NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(ARABIC_TITLES)}) (?P<arabic>[\u0620-\u064a]{{2,}}(?: [\u0620-\u064a]{{2,}})?)")
 
@@ -217,6 +235,14 @@ def _places(value: str, letters: str = "") -> list[str]:
     return ["0123456789" if c in "0123456789" else letters if letters and c in letters else _ALPHABET_OF.get(c, "") for c in value]
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def luhn(digits: str) -> bool:
     odd = [int(d) for d in digits[-1::-2]]
     even = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
@@ -228,6 +254,18 @@ def _private(octets: list[int]) -> str:
     return "loop" if a == 127 else "10" if a == 10 else "172" if a == 172 and 16 <= b < 32 else "192" if a == 192 and b == 168 else "zero" if a == 0 else "multi" if a >= 224 else "public"
 
 
+def _space(address: ipaddress.IPv6Address) -> str:
+    return "link" if address.is_link_local else "multi" if address.is_multicast else "local" if address in _UNIQUE_LOCAL else "global" if address in _GLOBAL else "other"
+
+
+def looks_random(value: str) -> bool:
+    """Letters and digits, or three kinds of characters, that differ enough (2.5 bits each) to be a secret and no word or path."""
+    kinds = [bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]")]
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+    return bits >= 2.5 and (kinds[2] and (kinds[0] or kinds[1]) or sum(kinds) >= 3) and "://" not in value
+
+
 def _iban_check(country: str, rest: str) -> str:
     number = "".join(str(int(c, 36)) for c in rest + country + "00")
     return f"{98 - int(number) % 97:02d}"
@@ -247,6 +285,9 @@ def country_code(digits: str) -> str:
     return digits[: 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO_DIGITS else 3]
 
 
+_UNIQUE_LOCAL, _GLOBAL = ipaddress.ip_network("fc00::/7"), ipaddress.ip_network("2000::/3")
+
+
 class Surrogates:
     """Canonical forms and surrogates under one key."""
 
@@ -270,6 +311,21 @@ class Surrogates:
             if _private(made := list(x.to_bytes(4, "big"))) == space:
                 return found, ".".join(map(str, made))
 
+    def ipv6(self, found: str) -> tuple[str, str]:
+        """The address whatever its spelling; a short spelling gets one."""
+        address = ipaddress.IPv6Address(found)
+        steps, x, space = _permutation(self.key, "ipv6", 1 << 128), int(address), _space(address)
+        while _space(made := ipaddress.IPv6Address(x := steps.step(x))) != space:
+            pass
+        out = made.exploded if len(found) == 39 else str(made)
+        return address.exploded, out.upper() if found.isupper() else out
+
+    def mac(self, found: str) -> tuple[str, str]:
+        low = found.lower().replace("-", ":")
+        made = permuted(self.key, "mac", low, ["" if c == ":" else _HEX for c in low])
+        out = made.replace(":", found[2])
+        return low, out.upper() if found.isupper() else out
+
     def phone(self, found: str) -> tuple[str, str]:
         """Canonical: all digits with the country code, without a bracketed trunk zero; ten digits without a code are of country 1."""
         plain = found.replace("(0)", "()") if found.startswith("+") else found
@@ -286,7 +342,9 @@ class Surrogates:
         return digits, _digits_like(found, permuted(self.key, "card", digits, _places(digits), lambda d: luhn(d) == status))
 
     def ssn(self, found: str) -> tuple[str, str]:
-        return found, permuted(self.key, "ssn", found, _places(found))
+        low = found.replace(" ", "-")
+        made = permuted(self.key, "ssn", low, _places(low))
+        return low, made if low == found else made.replace("-", " ")
 
     def iban(self, found: str) -> tuple[str, str]:
         flat = found.replace(" ", "")
@@ -343,6 +401,26 @@ class Surrogates:
                 at = b
         return out
 
+    def _marked(self, text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+        """found, with IPv6 addresses, spaced social security numbers and assigned secrets outside of it."""
+        more = []
+        if text.count(":") > 1:
+            for m in _IPV6.finditer(text):
+                groups = [g for g in m[0].split(":") if g]
+                if len(groups) > 2 and len("".join(groups)) > 4 and _ANY_DIGIT.search(m[0]) and _is_ipv6(m[0]):
+                    more.append((*m.span(), "ip", *self.ipv6(m[0])))
+        more += [(*m.span(1), "ssn", *self.ssn(m[1])) for m in _SPACED_SSN.finditer(text)]
+        for m in _ASSIGNED.finditer(text):
+            if _SECRET_NAME.search(text, max(0, m.start() - 60), m.start()) and looks_random(m[1]):
+                more.append((*m.span(1), "secret", *self.secret(m[1])))
+        if not more:
+            return found
+        out: list[tuple[int, int, str, str, str]] = []
+        for e in sorted([*found, *more], key=lambda e: (e[0], -e[1])):
+            if not out or e[0] >= out[-1][1]:
+                out.append(e)
+        return out
+
     def replaced(self, text: str) -> tuple[str, list[tuple[str, str, str]]]:
         """text with surrogates, and (kind, canonical form, surrogate) of each entity in order of place."""
         found: list[tuple[int, int, str, str, str]] = []
@@ -356,6 +434,7 @@ class Surrogates:
                 if kind == "secret" and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
                     continue
                 found.append((*m.span(), kind, *getattr(self, kind)(value)))
+        found = self._marked(text, found)
         found += self._names(text, [(a, b) for a, b, *_ in found])
         if not found:
             return text, []
