@@ -79,8 +79,9 @@ def collection_info(vectors: DataFrame) -> DataFrame:
 
 
 def checked(vectors: DataFrame, dimension: int) -> DataFrame:
-    """vectors; a vector of another dimension ends the query with an error."""
-    message = F.concat(F.lit(f"expected {dimension} dimensions, found "), F.size("embedding").cast("string"))
+    """vectors; a vector of another dimension, or none, ends the query with an error that says so."""
+    found = F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("string"))
+    message = F.concat(F.lit(f"expected {dimension} dimensions, found "), F.coalesce(found, F.lit("none")))
     return vectors.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(F.raise_error(message)))
 
 

@@ -178,21 +178,6 @@ def test_fuzzy_dedup_equals_the_sequential_rule(spark):
     assert got == want and len({k for _, _, k in want}) == 3
 
 
-def test_titles_at_the_least_ratio_meet(spark):
-    """Titles of 40 letters with six scattered changes have a ratio of 0.85, the least: nine pairs of ten are candidates."""
-    rng = random.Random(4)
-    rows, want = [], set()
-    for i in range(0, 400, 2):
-        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)]
-        b = ["0" if k in {3, 9, 15, 21, 28, 35} else x for k, x in enumerate(a)]
-        rows += [(i, "".join(a)), (i + 1, "".join(b))]
-        want |= {(i, i + 1)} if dedup.ratio(rows[-2][1], rows[-1][1]) >= 0.85 else set()
-    df = spark.createDataFrame([(i, f"u{i}", t, f"body {i}", 0) for i, t in rows], "id long, url string, title string, content string, score int")
-    got = {(r["x"], r["y"]) for r in dedup.similar_titles_and_bodies(dedup.normalized(df))[0].collect()}
-    print("share of pairs found", len(got & want) / len(want))
-    assert len(want) == 200 and got <= want and len(got) >= 0.9 * len(want)
-
-
 def test_ratio_keeps_argument_order_and_bounds():
     rng = random.Random(5)
     for _ in range(300):
@@ -400,7 +385,13 @@ def test_collections_of_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0]), (2, None)], schema)
     assert vector.collection_info(rows).first().asDict() == {"vectors": 3, "ids": 2, "missing": 1, "least": 1, "largest": 2, "sound": False}
     with pytest.raises(Exception, match="expected 2 dimensions, found 1"):
+        vector.checked(rows.filter("id = 1"), 2).collect()
+    for _ in range(5):
+        with pytest.raises(Exception, match="expected 2 dimensions, found none"):
+            vector.checked(rows.filter("embedding is null"), 2).collect()
+    with pytest.raises(Exception, match="expected 2 dimensions, found (1|none)"):
         vector.checked(rows, 2).collect()
+    assert vector.checked(rows.filter("id = 1 and size(embedding) = 2"), 2).count() == 1
     assert vector.emptied(rows).columns == rows.columns and vector.emptied(rows).count() == 0
 
 
