@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import KEY_PHRASES, STOPWORDS
+from inkstone.session import stored
 
-#: Vectors in a block of the pairwise comparison, and queries that one pass holds.
-BLOCK, QUERIES = 2048, 4096
+#: Rows of a tile of the pairwise comparison, rows of a list of the search (more are striped), and queries that a task holds.
+TILE, CAPACITY, QUERIES = 8192, 65536, 4096
+#: Rows whose means are the lists' centres, and lists at most.
+SAMPLE, MOST_LISTS = 8192, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -95,72 +98,218 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.70, blocks: int | None = None) -> DataFrame:
+class Lists:
+    """Unit vectors in lists by their nearest centre; centres are means of a bounded sample, and decide the work, never the result.
+
+    A list knows its radius, the largest distance of a row to the centre. As distances obey the triangle inequality, a vector at
+    distance d from a centre is d less the radius away from the list's rows at least."""
+
+    def __init__(self, vectors: DataFrame, capacity: int, sample: int = SAMPLE, most: int = MOST_LISTS) -> None:
+        rows = vectors.filter("embedding is not null and size(embedding) > 0").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        self.rows = stored(rows, "vectors")
+        n = self.rows.count()
+        some = self.rows.orderBy(F.xxhash64("id"), "id").limit(min(sample, max(n, 1))).toArrow()
+        v = _matrix(pd.Series(some["embedding"].to_pylist()))
+        self.centres = centres = _means(v, max(1, min(most, -(-n // capacity), max(1, len(v) // 4))))
+
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                d = _distances(_matrix(b["embedding"]), centres)
+                at = d.argmin(1)
+                yield pd.DataFrame({"id": b["id"], "embedding": b["embedding"], "list": at, "off": d[np.arange(len(d)), at]})
+
+        listed = stored(self.rows.mapInPandas(placed, "id long, embedding array<double>, list int, off double"), "listed")
+        told = {r["list"]: r for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("off")).collect()}
+        self.radius = np.array([told[k]["off"] if k in told else -np.inf for k in range(len(centres))])
+        #: A list of more rows than the capacity has so many stripes; rows are dealt by their hash.
+        self.stripes = [max(1, -(-told[k]["n"] // capacity)) if k in told else 0 for k in range(len(centres))]
+        stripes = F.array(*[F.lit(max(1, x)) for x in self.stripes])
+        self.listed = listed.withColumn("stripe", F.pmod(F.xxhash64("id", "embedding"), F.element_at(stripes, F.col("list") + 1)).cast("int"))
+
+    @property
+    def apart(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Least distances of vectors to the rows of each list, a little less for rounding; infinite for empty lists."""
+        centres, radius = self.centres, self.radius
+        if np.isinf(radius).all():
+            return lambda v: np.full((len(v), len(radius)), np.inf)
+        return lambda v: np.where(np.isinf(radius), np.inf, np.maximum(_distances(v, centres) - radius - 1e-6, 0.0))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0.0))
+
+
+def _means(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centres of a sample, from evenly spaced rows."""
+    if not len(v):
+        return np.zeros((1, 1))
+    centres = v[np.linspace(0, len(v) - 1, k).astype(int)].copy()
+    for _ in range(rounds if k > 1 else 0):
+        at = _distances(v, centres).argmin(1)
+        for j in np.unique(at):
+            centres[j] = v[at == j].mean(0)
+    return centres
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Runs of equal keys in sorted batches, and whether a run begins a new key."""
+    last = None
+    for b in batches:
+        if b.empty:
+            continue
+        k = b[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(b)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            own = tuple(k[a])
+            yield own != last, b.iloc[a:z]
+            last = own
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.70, tile: int = TILE) -> DataFrame:
     """(a, b, similarity), a < b: all pairs at or above least, exact.
 
-    Rows are dealt into blocks, and each pair of blocks meets in one task as two matrices; rows never meet one by one."""
-    n = blocks or max(1, -(-vectors.count() // BLOCK))
-    dealt = vectors.select(F.col("id").cast("long").alias("id"), "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("low"), F.greatest(o, F.col("own")).alias("high"))))
-    sent = dealt.select("id", "embedding", "own", pair.alias("p")).select("id", "embedding", "own", "p.low", "p.high")
-
-    def compared(p: pd.DataFrame) -> pd.DataFrame:
-        low, high = p["low"].iloc[0], p["high"].iloc[0]
-        left, right = p[p["own"] == low], p[p["own"] == high]
-        x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
-        ids, others, out = left["id"].to_numpy(), right["id"].to_numpy(), []
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ y.T
-            i, j = np.nonzero(s >= least - 1e-12)
-            a, b = ids[at + i], others[j]
-            keep = a < b if low == high else a != b
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[i, j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-
-    return sent.groupBy("low", "high").applyInPandas(compared, "a long, b long, similarity double")
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True) -> DataFrame:
+    Tiles are stripes of lists (see Lists). Each pair of tiles meets in one of the two, in turn, so each takes its share; a row is
+    sent only to tiles whose list can hold a partner by the triangle inequality. A task holds its tile and streams the visitors."""
+    lists = Lists(vectors, tile)
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    first, apart = np.cumsum([0, *lists.stripes]), lists.apart
+    total, of = int(first[-1]), np.repeat(np.arange(len(lists.stripes)), lists.stripes)
+    known = lists.listed
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = np.arange(total)
+        for b in batches:
+            v = _matrix(b["embedding"])
+            unit = np.linalg.norm(v, axis=1) > 0
+            own = first[b["list"].to_numpy()] + b["stripe"].to_numpy()
+            near = (apart(v)[:, of] <= reach) | (least <= 0) | ~unit[:, None]
+            # of two tiles the lower one holds if their sum is even, else the upper one
+            host = np.where((own[:, None] + every[None]) % 2 == 0, every[None] < own[:, None], every[None] > own[:, None])
+            row, at = np.nonzero(near & host)
+            yield pd.DataFrame({"tile": own, "kind": 0, "id": b["id"].to_numpy(), "embedding": b["embedding"].to_numpy()})
+            yield pd.DataFrame({"tile": at, "kind": 1, "id": b["id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row]})
+
+    met = known.mapInPandas(sent, "tile int, kind int, id long, embedding array<double>").repartition("tile").sortWithinPartitions("tile", "kind")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
+        for new, run in _groups(batches, ["tile", "kind"]):
+            inside = run["kind"].iloc[0] == 0
+            if new and inside:
+                own = []
+            ids, x = run["id"].to_numpy(), _matrix(run["embedding"])
+            out = [none]
+            for at in range(0, len(x), 1024):
+                some = slice(at, at + 1024)
+                if inside:  # with what of the tile came before
+                    own.append((ids[some], x[some]))
+                for others, y in own:
+                    s = x[some] @ y.T
+                    i, j = np.nonzero(s >= least - 1e-12)
+                    a, b = ids[some][i], others[j]
+                    keep = a != b
+                    if inside and others is own[-1][0]:
+                        keep &= i > j
+                    out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[i, j][keep]}))
+            yield pd.concat(out)
+
+    return met.mapInPandas(compared, "a long, b long, similarity double")
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True, probes: int | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(query_id, id, similarity, place): the k nearest by cosine, ties by id; own=False leaves a query's own id out.
 
-    Queries go round in blocks of QUERIES, a block at a time; each task returns k rows per query at most."""
-    spark = vectors.sparkSession
-    wanted = queries.select(F.col("id").cast("long").alias("id"), "embedding")
-    block, found = [], None
+    Queries are a table; a query asks its nearest list first, which gives it the similarity that its k-th hit has at least, and then
+    all lists that can hold as near a row: exact. With probes it asks only so many of its nearest lists: approximate. A task holds
+    QUERIES queries at most and streams the rows of a stripe of a list; the plan is the same for any number of queries."""
+    lists = Lists(vectors, capacity)
+    wanted = stored(queries.filter("embedding is not null and size(embedding) > 0").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), "queries")
 
-    def search(rows: list) -> DataFrame:
-        ids = np.array([r["id"] for r in rows], np.int64)
-        sent = spark.sparkContext.broadcast((ids, _matrix(pd.Series([r["embedding"] for r in rows]))))
+    measured = lists.apart
 
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)  # the k best so far of each query
+    def asked(phase: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if b.empty:
+                v = _matrix(b["embedding"])
+                apart = measured(v)
+                order = np.argsort(apart, axis=1, kind="stable")
+                rank = np.empty_like(order)
+                np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
+                able = ~np.isinf(apart)
+                if phase == 0:
+                    able &= rank < (probes or 1)
+                else:
+                    # cos >= s means a distance of sqrt(2 - 2s) at most between unit vectors; zero vectors ask everywhere
+                    far = np.sqrt(np.maximum(2 - 2 * np.nan_to_num(b["least"].to_numpy(np.float64), nan=-1.0), 0.0)) + 1e-6
+                    zero = np.linalg.norm(v, axis=1) == 0
+                    able &= (rank >= 1) & ((apart <= far[:, None]) | zero[:, None] | (b["least"].isna().to_numpy() | (b["least"].to_numpy(np.float64) <= 0))[:, None])
+                row, at = np.nonzero(able)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row], "list": at})
+
+        return ask
+
+    def search(rows: DataFrame, phase: int) -> DataFrame:
+        asking = rows.mapInPandas(asked(phase), "id long, embedding array<double>, list int")
+        asking = stored(asking, "asking")
+        counts = {r["list"]: r["n"] for r in asking.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+        blocks = F.array(*[F.lit(-(-counts.get(j, 0) // QUERIES)) for j in range(len(lists.stripes))])
+        count = F.element_at(blocks, F.col("list") + 1)
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        stripes = F.element_at(F.array(*[F.lit(max(1, x)) for x in lists.stripes]), F.col("list") + 1)
+        a = asking.select(F.lit(0).alias("kind"), "list", every(stripes).alias("stripe"), F.pmod(F.xxhash64("id", "embedding"), count).cast("int").alias("block"), "id", "embedding")
+        b = lists.listed.filter(count > 0).select(F.lit(1).alias("kind"), "list", "stripe", every(count).alias("block"), "id", "embedding")
+        keys = ["list", "stripe", "block"]
+        met = a.unionAll(b).repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, best = np.empty(0, np.int64), np.empty((0, 1)), []
+
+            def found() -> pd.DataFrame:
+                return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in best]), "id": np.concatenate([x for _, x in best]).astype(np.int64), "similarity": np.concatenate([x for x, _ in best])})
+
+            waiting: list[pd.DataFrame] = []
+            for new, run in _groups(batches, keys):
+                if new and best:
+                    yield found()
+                if new:
+                    waiting, best = [], []
+                if (asks := run[run["kind"] == 0]).size:
+                    waiting.append(asks)
+                rows_ = run[run["kind"] == 1]
+                if rows_.empty or not waiting:
                     continue
-                s, rows_ = np.round(_matrix(b["embedding"]) @ q.T, 9), b["id"].to_numpy()
+                if not best:
+                    whole = pd.concat(waiting)
+                    ids, q = whole["id"].to_numpy(), _matrix(whole["embedding"])
+                    best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+                at_, s = rows_["id"].to_numpy(), np.round(_matrix(rows_["embedding"]) @ q.T, 9)
                 for j in range(len(ids)):
-                    near, at = s[:, j], rows_
+                    near, at = s[:, j], at_
                     if not own:
                         near, at = near[at != ids[j]], at[at != ids[j]]
+                    if len(best[j][0]) == k:
+                        good = near >= best[j][0][-1]
+                        near, at = near[good], at[good]
                     if len(near) > k:
-                        able = near >= np.partition(near, -k)[-k]
-                        near, at = near[able], at[able]
-                    near, at = np.concatenate([best[j][0], near]), np.concatenate([best[j][1], at])
-                    order = np.lexsort((at, -near))[:k]
-                    best[j] = near[order], at[order]
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in best]), "id": np.concatenate([x for _, x in best] or [[]]).astype(np.int64), "similarity": np.concatenate([x for x, _ in best] or [[]])})
-
-        return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInPandas(nearest, "query_id long, id long, similarity double")
-
-    for r in wanted.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERIES:
-            found, block = (search(block) if found is None else found.unionAll(search(block))), []
-    if block or found is None:
-        found = search(block) if found is None else found.unionAll(search(block))
+                        good = near >= np.partition(near, -k)[-k]
+                        near, at = near[good], at[good]
+                    if len(near):
+                        near, at = np.concatenate([best[j][0], near]), np.concatenate([best[j][1], at])
+                        order = np.lexsort((at, -near))[:k]
+                        best[j] = near[order], at[order]
+            if best:
+                yield found()
+
+        return met.mapInPandas(nearest, "query_id long, id long, similarity double")
+
+    hits = stored(search(wanted, 0), "hits")
+    if probes is None and len(lists.stripes) > 1:
+        told = Window.partitionBy("query_id").orderBy(F.col("similarity").desc())
+        least = hits.withColumn("_n", F.row_number().over(told)).filter(F.col("_n") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("least"))
+        hits = hits.unionAll(search(wanted.join(least, "id", "left"), 1))
     best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
 def merged(hits: DataFrame) -> DataFrame:
