@@ -97,14 +97,15 @@ def substring_terms(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
 
 
 def document_text(title: Column, source: Column, published: Column, category: Column, content: Column) -> Column:
-    """The text of an article that is embedded and stored."""
+    """The text of an article that is embedded and stored; null fields are empty."""
     day = F.date_format(published, "yyyy-MM-dd HH:mm:ss")
+    title, source, day, category, content = (F.coalesce(c, F.lit("")) for c in (title, source, day, category, content))
     return F.concat(F.lit("Title: "), title, F.lit("\n\nSource: "), source, F.lit("\nPublished: "), day, F.lit("\nCategory: "), category, F.lit("\n\nContent:\n"), content)
 
 
 def embedding_text(title: Column, content: Column) -> Column:
     """The shorter text that is compared for semantic duplicates."""
-    return F.trim(F.concat(F.lit("Title: "), title, F.lit("\n\nContent:\n"), content))
+    return F.trim(F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\n\nContent:\n"), F.coalesce(content, F.lit(""))))
 
 
 def context_section(source_id: Column, article_id: Column, title: Column, source: Column, published: Column, category: Column, score: Column, similarity: Column, content: Column) -> Column:
@@ -170,8 +171,13 @@ NUMBER = r"(?i)\b\d+(?:\.\d+)?(?:\s*(?:kg|km|crore|lakh|million|billion|%|percen
 CITATION = r"(?i)\[Source\s+(\d+)\]"
 
 
+def _all_with_digits(c: Column, pattern: str) -> Column:
+    """All matches of a pattern that needs a digit; texts without one are not searched."""
+    return F.when(c.rlike("[0-9]"), F.regexp_extract_all(c, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
 def numbers(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({NUMBER})"), F.lit(1)), lambda n: F.lower(F.trim(n)))
+    return F.transform(_all_with_digits(F.coalesce(c, F.lit("")), f"({NUMBER})"), lambda n: F.lower(F.trim(n)))
 
 
 def citations(c: Column) -> Column:
@@ -197,7 +203,7 @@ def parsed_date(c: Column) -> Column:
 
 def date_mentions(c: Column) -> Column:
     """Stretches of text in the accepted forms of a date."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({DATE})"), F.lit(1))
+    return _all_with_digits(F.coalesce(c, F.lit("")), f"({DATE})")
 
 
 def dates(c: Column, mentions: Column | None = None) -> Column:
@@ -207,7 +213,7 @@ def dates(c: Column, mentions: Column | None = None) -> Column:
     known = F.filter(raw, lambda d: parsed_date(d).isNotNull())
     iso = F.transform(known, lambda d: F.date_format(parsed_date(d), "yyyy-MM-dd"))
     rest = F.aggregate(known, c, lambda text, d: F.replace(text, d, F.lit(" ")))
-    years = F.regexp_extract_all(rest, F.lit(r"\b(\d{4})\b"), F.lit(1))
+    years = _all_with_digits(rest, r"\b(\d{4})\b")
     return F.array_sort(F.array_distinct(F.concat(iso, years)))
 
 

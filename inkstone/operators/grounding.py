@@ -77,8 +77,10 @@ def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR,
     rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
     key = ["draft_id", "source_id"]
     asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
-    told = with_facts(sources, terms).select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], T.sentences(F.col("content")).alias("told"), "known", F.col("content").isNotNull().alias("there"))
-    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(told, key, "left")
+    contents = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], "content")
+    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(contents, key, "left")
+    # facts and sentences only of sources that are asked for; one that is missing has none
+    both = with_facts(both, terms).withColumn("told", F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))).withColumn("there", F.col("content").isNotNull())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
