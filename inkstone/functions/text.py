@@ -93,7 +93,7 @@ def any_term(text: Column, words: Column, terms: list[str] | tuple[str, ...]) ->
 
 
 def substring_terms(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    return F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(text, t))
 
 
 def document_text(title: Column, source: Column, published: Column, category: Column, content: Column) -> Column:

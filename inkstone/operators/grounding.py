@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import CLAIM_ENTITIES
 from inkstone.operators.vector import hashed_vectors
+from inkstone.session import stored
 
 SIMILAR = 0.45
 _FIRST = r"(\d+(?:\.\d+)?)"
@@ -183,6 +184,50 @@ def draft_status(parsed: DataFrame, verdicts: DataFrame, n_sources: DataFrame) -
     return rows.select("draft_id", status.alias("status"))
 
 
+def generation_rounds(
+    requests: DataFrame, sources: DataFrame, generate: Callable[[DataFrame], DataFrame], inner: int = 2, outer: int = 2, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors
+) -> tuple[DataFrame, DataFrame]:
+    """(attempts, results) of writing a draft for each request until one is sound.
+
+    generate takes rows (the requests' columns, outer, attempt, correction) and gives (draft_id, answer). Each attempt of all open
+    requests is one round: answers are parsed, judged against sources and stored. Only grounding_failed is tried again with a
+    correction that lists the unsupported claims, up to inner attempts; what then is no success begins anew, up to outer times,
+    without a correction. attempts: (draft_id, outer, attempt, status, correction); results: the attempt that ended each request,
+    with answer. A request without sources ends at once, as insufficient_evidence."""
+    n_sources = stored(sources.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")), "n_sources")
+    open_, tried = requests, []
+    for o in range(1, outer + 1):
+        now = open_.withColumn("correction", F.lit(""))
+        for a in range(1, inner + 1):
+            asked = now.withColumn("outer", F.lit(o)).withColumn("attempt", F.lit(a))
+            answers = stored(generate(asked).select("draft_id", "answer"), "answers")
+            parsed = stored(parsed_drafts(answers), "parsed")
+            sound = parsed.filter("structure_error is null")
+            told = stored(claims(sound), "claims")
+            judged = stored(verified(told, sources, terms=terms, embed=embed), "judged")
+            status = draft_status(parsed, draft_verdicts(sound, judged), n_sources)
+            wrong = judged.filter(~F.col("supported")).select("draft_id", "paragraph", "sentence").distinct().join(told.select("draft_id", "paragraph", "sentence", "claim"), ["draft_id", "paragraph", "sentence"])
+            listed = wrong.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "sentence", "claim"))).alias("_wrong"))
+            note = F.concat(F.lit("Not supported:\n"), F.array_join(F.transform("_wrong", lambda w: w["claim"]), "\n"))
+            done = asked.select("draft_id", "outer", "attempt", "correction").join(status, "draft_id").join(answers, "draft_id").join(listed.select("draft_id", note.alias("_note")), "draft_id", "left")
+            done = stored(done.withColumn("_note", F.coalesce("_note", F.lit("Use only what the sources say."))), "attempts")
+            tried.append(done)
+            again = done.filter("status = 'grounding_failed'").select("draft_id", F.col("_note").alias("correction"))
+            now = now.drop("correction").join(again, "draft_id")
+            if a < inner and again.isEmpty():
+                break
+        every = tried[0]
+        for t in tried[1:]:
+            every = every.unionAll(t)
+        ended = every.filter("status in ('success', 'insufficient_evidence')").select("draft_id").distinct()
+        open_ = open_.join(ended, "draft_id", "left_anti")
+        if o < outer and open_.isEmpty():
+            break
+    last = Window.partitionBy("draft_id").orderBy(F.col("outer").desc(), F.col("attempt").desc())
+    results = every.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("draft_id", "outer", "attempt", "status", "answer")
+    return every.select("draft_id", "outer", "attempt", "status", "correction"), results
+
+
 def last_attempts(attempts: DataFrame, most: int = 2) -> DataFrame:
     """Of each draft's attempts (draft_id, attempt, status), the one that ends the loop: only grounding_failed tries again."""
     first = Window.partitionBy("draft_id").orderBy("attempt")

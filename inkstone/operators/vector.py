@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import KEY_PHRASES, STOPWORDS
-from inkstone.session import stored
+from inkstone.session import stored, table_exists
 
 #: Rows of a tile of the pairwise comparison, rows of a list of the search (more are striped), and queries that a task holds.
 TILE, CAPACITY, QUERIES = 8192, 65536, 4096
@@ -74,6 +74,48 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series]
     return rows.withColumn("embedding", vectors(F.col(text)))
 
 
+def cached_embeddings(texts: DataFrame, text: str, path: str, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> tuple[DataFrame, int]:
+    """(key, embedding) of the distinct texts, key their SHA-256, and how many of them had to be embedded.
+
+    The cache is a table in the shared folder at path: texts that are in it, from any run, are not embedded again. A run's new
+    vectors are appended as one write; whoever loses an executor meanwhile has them embedded again, never twice in the table."""
+    spark = texts.sparkSession
+    keyed = texts.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("key"), F.col(text).alias("_text"))
+    wanted = stored(keyed.groupBy("key").agg(F.any_value("_text").alias("_text")), "texts")
+    if table_exists(spark, path):
+        wanted_new = wanted.join(spark.read.schema("key string, embedding array<double>").parquet(path).select("key"), "key", "left_anti")
+    else:
+        wanted_new = wanted
+    fresh = stored(embedded(wanted_new, "_text", embed).select("key", "embedding"), "embedded")
+    n = fresh.count()
+    if n or not table_exists(spark, path):
+        fresh.write.mode("append").parquet(path)
+    return spark.read.schema("key string, embedding array<double>").parquet(path).join(wanted.select("key"), "key", "left_semi"), n
+
+
+def image_relevance(articles: DataFrame, images: DataFrame, least: float = 0.20) -> DataFrame:
+    """(article_id, image_id, score, relevant, rank, best) of images (article_id, image_id, embedding) under the text of their article
+    (article_id, embedding): cosines in Arrow batches, ranked by score, then id; best is the first if it is relevant.
+
+    Images without an article, or with a null vector on either side, have no score: they come last and are not relevant."""
+
+    @F.pandas_udf("double")
+    def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
+        good = a.notna() & b.notna()
+        out = pd.Series(np.nan, a.index)
+        if good.any():
+            x, y = _matrix(a[good]), _matrix(b[good])
+            out[good] = (x * y).sum(1)
+        return out
+
+    both = images.select("article_id", "image_id", F.col("embedding").cast("array<double>").alias("_image")).join(articles.select("article_id", F.col("embedding").cast("array<double>").alias("_text")), "article_id", "left")
+    score = F.nanvl(cosines("_text", "_image"), F.lit(None).cast("double"))
+    rows = both.select("article_id", "image_id", F.round(score, 6).alias("score"))
+    order = Window.partitionBy("article_id").orderBy(F.col("score").desc_nulls_last(), F.col("image_id"))
+    rows = rows.withColumn("relevant", F.coalesce(F.col("score") >= least, F.lit(False))).withColumn("rank", F.row_number().over(order))
+    return rows.withColumn("best", (F.col("rank") == 1) & F.col("relevant"))
+
+
 def collection_info(vectors: DataFrame) -> DataFrame:
     """One row: vectors, distinct ids, rows without a vector, least and largest dimension, and whether the collection is sound."""
     size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.functions import urls as U
 from inkstone.functions.lexicons import CATEGORY_ORDER, FIXTURE, STOPWORDS
-from inkstone.operators import analytics, classify, compose, dedup, grounding, ingest, score, vector
+from inkstone.operators import analytics, classify, compose, dedup, grounding, ingest, lexicon, score, vector
 from inkstone.operators import images as pictures
 from inkstone.plans.oracles import SQL
 from inkstone.plans.runner import run_stages
@@ -471,6 +471,60 @@ def image_dedup(s, d):
     return dedup.image_duplicates(images(s, d))
 
 
+def _sign_hashes(s: SparkSession, d: str) -> DataFrame:
+    """embeddings as images of one set, hashed to the signs of their 64 components."""
+    signs = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, k: h.bitwiseOR(F.when(F.element_at("embedding", k + 1) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(0)))
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), signs.alias("hash"))
+
+
+@query
+def image_set_dedup(s, d):
+    return dedup.distinct_images(_sign_hashes(s, d))
+
+
+@query
+def text_image_relevance(s, d):
+    """The first fifty vectors as texts of fifty articles, all others as their images."""
+    v = vectors(s, d)
+    texts = v.filter("id < 50").select(F.col("id").alias("article_id"), "embedding")
+    return vector.image_relevance(texts, v.filter("id >= 50").select((F.col("id") % 50).alias("article_id"), F.col("id").alias("image_id"), "embedding"), 0.10)
+
+
+@query
+def lexicon_hits(s, d):
+    """The lexicons of regions and themes as one table, met with all texts."""
+    named = {"states": FIXTURE.states, "entities": FIXTURE.entities, "region": FIXTURE.region, "irrelevant": FIXTURE.irrelevant, **FIXTURE.themes}
+    terms = s.createDataFrame([(name, t, w) for name, weights in named.items() for t, w in weights.items()], "lexicon string, term string, weight int")
+    texts = stored(classify.prepared(articles(s, d), FIXTURE).select("id", F.col("_all").alias("text")), "texts")
+    return lexicon.lexicon_scores(lexicon.term_hits(texts, terms))
+
+
+@query
+def embedding_cache(s, d):
+    """Titles twice through a cache: the second time nothing is embedded."""
+    titles, path = articles(s, d).select("title"), new_path(s, "cache")
+    _, first = vector.cached_embeddings(titles, "title", path, vector.letter_vectors)
+    rows, again = vector.cached_embeddings(titles, "title", path, vector.letter_vectors)
+    return rows.select("key", F.round(F.col("embedding")[0], 6).alias("share_of_a"), F.lit(first).cast("long").alias("embedded_first"), F.lit(again).cast("long").alias("embedded_again"))
+
+
+@query
+def generation_rounds(s, d):
+    """A writer that first hands in the fixture's drafts, then leaves out what was not supported, and at last only quotes."""
+    made, sources = drafts(s, d)
+
+    def write(rows: DataFrame) -> DataFrame:
+        listed = F.slice(F.split("correction", "\n"), 2, 1_000_000)
+        corrected = F.aggregate(listed, F.col("article"), lambda text, claim: F.replace(text, claim, F.lit("")))
+        quoted = F.concat(F.split("article", r"(?<=[.!?])\s")[0], F.lit(" [Source 1]"))
+        article = F.when(F.col("outer") > 1, quoted).when(F.col("correction") != "", corrected).otherwise(F.col("article"))
+        ids = F.when(F.col("outer") > 1, F.array(F.lit(1))).otherwise(F.col("source_ids"))
+        return rows.select("draft_id", F.to_json(F.struct(F.lit("A headline").alias("headline"), article.alias("article"), ids.alias("source_ids"))).alias("answer"))
+
+    _, results = grounding.generation_rounds(made, sources, write, terms=FIXTURE.security_hits, embed=vector.letter_vectors)
+    return results.select("draft_id", "outer", "attempt", "status", F.md5("answer").alias("answer"))
+
+
 @query
 def image_queries(s, d):
     return articles(s, d).select("id", F.array_join(pictures.search_phrases(F.col("title"), F.col("source"), events=FIXTURE.security_hits, locations=("the", "ea", "que")), "|").alias("phrases"))

@@ -243,4 +243,15 @@ SQL: dict[str, str] = {
       (values (3, 0, 'https://thehindu.com/media/a'), (2, 1, 'https://eastmojo.com/media/b'), (1, 3, 'https://any.example.org/media/d'), (1, 4, 'https://any.example.org/media/e')) v(tier, place, host))
       select page_id, row_number() over (partition by page_id order by tier desc, place)::int as position, image_url from f qualify position <= 4""",
     "stage_runs": f"with {ARTICLES_SQL} select 1 as place, 'articles' as stage, 'passed' as status, count(*) as rows from articles union all select 2, 'valid', 'passed', count(*) from articles where len({_ERRORS}) = 0 union all select 3, 'in window', 'passed', count(*) from articles where len({_ERRORS}) = 0 and {_IN}",
+    "text_image_relevance": """with e as (select vec_id, embedding::double[] as v from embeddings), s as (select i.vec_id % 50 as article_id, i.vec_id as image_id, round(list_cosine_similarity(i.v, t.v), 6) as score from e i join e t on t.vec_id = i.vec_id % 50 where i.vec_id >= 50)
+      select article_id, image_id, score, score >= 0.10 as relevant, row_number() over o::int as rank, row_number() over o = 1 and score >= 0.10 as best from s window o as (partition by article_id order by score desc, image_id)""",
+    "lexicon_hits": f"with {_BASE}, hits as (" + " union all ".join(f"select id, {quoted(name)} as lexicon, {total('a', terms)}::bigint as score, len({found('a', terms)})::bigint as n_terms from m" for name, terms in {"states": X.states, "entities": X.entities, "region": X.region, "irrelevant": X.irrelevant, **X.themes}.items()) + ") select * from hits where n_terms > 0",
+    "embedding_cache": f"""with {ARTICLES_SQL}, t as (select distinct title from articles where title is not null), v as (select title, {VECTOR('title')} as v from t)
+      select sha256(title) as key, case when list_dot_product(v, v) > 0 then round(v[1] / sqrt(list_dot_product(v, v)), 6) end as share_of_a, (select count(*) from t) as embedded_first, 0::bigint as embedded_again from v""",
+    # images in order of id with the list of those kept so far; a bit string a hash
+    "image_set_dedup": """with recursive h as (select row_number() over (order by vec_id) as i, vec_id, list_transform(embedding, lambda x: (x > 0)::int) as bits from embeddings),
+      r as (select 0::bigint as i, null::bigint as image_id, null::bigint as kept_id, null::int as distance, []::struct(d int, id bigint, bits int[])[] as kept
+        union all select x.i, x.vec_id, case when x.near.d <= 6 then x.near.id end, case when x.near.d <= 6 then x.near.d end, case when x.near.d <= 6 then x.kept else list_append(x.kept, {'d': 64, 'id': x.vec_id, 'bits': x.bits}) end
+        from (select h.i, h.vec_id, h.bits, r.kept, list_min(list_append(list_transform(r.kept, lambda k: {'d': list_sum(list_transform(list_zip(k.bits, h.bits), lambda z: (z[1] <> z[2])::int))::int, 'id': k.id}), {'d': 99, 'id': 0::bigint})) as near from r join h on h.i = r.i + 1) x)
+      select image_id, kept_id, distance, case when distance is null then 0.0 else 1 - distance / 64::double end as similarity from r where i > 0""",
 }

@@ -104,6 +104,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is at path, in any store that Spark reaches."""
+    files, at = _hadoop(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
