@@ -8,6 +8,7 @@ from inkstone.functions import lexicons as L
 from inkstone.functions import text as T
 from inkstone.functions import urls as U
 from inkstone.operators import compose as C
+from inkstone.operators import images as I
 from inkstone.sources.fixtures import ARTICLES_SQL
 
 X = L.FIXTURE
@@ -138,6 +139,19 @@ _KEYS = f"list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+(
 _DOMAIN = "regexp_replace(" + _HOST.format(u="url") + ", '^www\\.', '')"
 _IMG = "(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || case page_id % 4 when 0 then '/images/Photo-' || page_id || '.JPG?w=300&v=' || page_id || '#x' when 1 then '/static/logo.png' when 2 then '/media/' || page_id else '/a/' || page_id || '-jpg.webp?b=2&a=1' end)"
 
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_TOKENS = lambda c: f"regexp_extract_all({c}, '\\S+')"
+_LONGEST = lambda words: f"list_filter([{', '.join(quoted(w) for w in sorted(words, key=lambda w: (-len(w), w)))}], lambda x: contains(low, x))"
+_FIRSTS = lambda c: f"list_transform(list_filter(list_zip({c}, range(1, len({c}) + 1)), lambda z: list_position({c}, z[1]) = z[2]), lambda z: z[1])"
+
+
+def _CLEANED(c: str) -> str:  # noqa: N802
+    out = f"trim(regexp_replace(trim(regexp_replace({c}, '\\s', ' ', 'g'), ' '), {quoted('(?i)^(' + '|'.join(T.REQUEST_STARTS) + ')')}, ''), ' ')"
+    for end in T.REQUEST_ENDS:
+        out = f"regexp_replace({out}, {quoted('(?i)' + end)}, '')"
+    return f"regexp_replace({out}, '^[ .,:;]+|[ .,:;]+$', '', 'g')"
+
+
 SQL: dict[str, str] = {
     "validate_articles": f"with {ARTICLES_SQL} select id, array_to_string({_ERRORS}, ',') as errors, len({_ERRORS}) = 0 as valid from articles",
     "date_window": f"with {ARTICLES_SQL} select id, {_IN} as inside from articles",
@@ -254,4 +268,22 @@ SQL: dict[str, str] = {
         union all select x.i, x.vec_id, case when x.near.d <= 6 then x.near.id end, case when x.near.d <= 6 then x.near.d end, case when x.near.d <= 6 then x.kept else list_append(x.kept, {'d': 64, 'id': x.vec_id, 'bits': x.bits}) end
         from (select h.i, h.vec_id, h.bits, r.kept, list_min(list_append(list_transform(r.kept, lambda k: {'d': list_sum(list_transform(list_zip(k.bits, h.bits), lambda z: (z[1] <> z[2])::int))::int, 'id': k.id}), {'d': 99, 'id': 0::bigint})) as near from r join h on h.i = r.i + 1) x)
       select image_id, kept_id, distance, case when distance is null then 0.0 else 1 - distance / 64::double end as similarity from r where i > 0""",
+    "page_chunks": f"""with {ARTICLES_SQL}, p as (select id, id % 3 = 0 as img, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') as ps from articles),
+      q as (select id, ps, {_TOKENS('ps[1]')} as w, case when img then {C.OPENER_IMAGE} else {C.OPENER_PLAIN} end as lim from p where len(ps) > 0),
+      r as (select id, case when len(ps) > 1 then array_to_string(w[1:lim], ' ') end as opener, case when len(ps) = 1 then ps else list_concat(case when len(w) > lim then [array_to_string(w[lim + 1:], ' ')] else []::varchar[] end, ps[2:]) end as rest from q),
+      s as (select id, opener, flatten(list_transform(rest, lambda x: case when len({_TOKENS('x')}) > {C.CONTINUATION} then list_transform(range(0, len({_TOKENS('x')}), {C.CONTINUATION}), lambda k: array_to_string(({_TOKENS('x')})[k + 1 : k + {C.CONTINUATION}], ' ')) else [x] end)) as pieces from r),
+      f as (select id, opener, list_reduce(list_concat([{{'done': []::varchar[], 'cur': null::varchar, 'n': 0::bigint}}], list_transform(pieces, lambda x: {{'done': []::varchar[], 'cur': x, 'n': len({_TOKENS('x')})::bigint}})),
+        lambda a, b: case when a.cur is not null and a.n + b.n <= {C.CONTINUATION} then {{'done': a.done, 'cur': a.cur || chr(10) || chr(10) || b.cur, 'n': a.n + b.n}} else {{'done': case when a.cur is null then a.done else list_append(a.done, a.cur) end, 'cur': b.cur, 'n': b.n}} end) as st from s),
+      g as (select id, list_concat(case when opener is null then []::varchar[] else [opener] end, list_append(st.done, st.cur)) as cs from f)
+      select id, k::int as part, len(cs)::int as parts, case when k = 1 then 'opener' else 'continuation' end as role, {WORD_COUNT('cs[k]')}::int as words, md5(cs[k]) as chunk from (select id, cs, unnest(range(1, len(cs) + 1)) as k from g)""",
+    "query_variants": f"""with {ARTICLES_SQL}, a as (select id, {_CLEANED("'Write an article about ' || title || ' using only retrieved evidence.'")} as q from articles), k as (select id, q, lower(q) as low, {_KEYS.replace('title', 'q')} as ks from a),
+      v as (select id, q, list_filter(list_transform(list_filter([q, low, case when len(ks) >= 4 then array_to_string(ks, ' ') end, case when contains(low, 'india-myanmar') then replace(low, 'india-myanmar', 'myanmar border') end,
+        case when contains(low, 'india myanmar') then replace(low, 'india myanmar', 'myanmar border') end], lambda x: x is not null), lambda x: trim(x, ' ')), lambda x: x <> '') as vs from k)
+      select id, q, array_to_string({_FIRSTS('vs')}, '|') as variants from v""",
+    "image_queries": f"""with {ARTICLES_SQL}, a as (select id, lower(coalesce(title, '')) as low, lower(coalesce(source, '')) as kind from articles),
+      b as (select *, list_transform(regexp_extract_all(low, '[a-z][a-z''-]+'), lambda x: trim(x, chr(39))) as raw, {_LONGEST(X.security_hits)} as ev, {_LONGEST(("the", "ea", "que"))} as pl from a),
+      c as (select *, list_filter(raw, lambda x: length(x) >= 3 and x not in {strings(I.PHRASE_STOPWORDS)} and x not in {strings(I.GENERIC)}) as w1 from b), w as (select *, {_FIRSTS('w1')} as w from c),
+      f as (select id, list_filter([case when len(ev) > 0 and len(pl) > 0 then array_to_string(list_concat(ev[1:3], pl[1:2]), ' ') end, case when len(w) > 0 then array_to_string(list_concat(w[1:7], pl[1:2]), ' ') end,
+        case when len(w) > 0 then array_to_string(list_concat(list_concat(w[1:6], pl[1:1]), ['news photo']), ' ') end, case when len(w) > 0 and kind <> '' then array_to_string(list_concat(list_concat(w[1:5], pl[1:1]), [kind || ' photo']), ' ') end], lambda x: x is not null) as ph from w)
+      select id, array_to_string(({_FIRSTS('ph')})[1:4], '|') as phrases from f""",
 }
