@@ -422,7 +422,7 @@ def page_chunks(s, d):
 
 
 def _plan(s, d):
-    best = analytics.top(_relevant(s, d).select("id", "category", "content", "article_score"), 11)
+    best = stored(analytics.top(_relevant(s, d).select("id", "category", "content", "article_score"), 11), "best")
     ordered = best.withColumn("position", F.col("id").cast("int")).withColumn("has_image", F.col("id") % 3 == 0)
     return compose.page_plan(ordered.select("id", "category", "position"), compose.chunks(ordered).select("id", "part"))
 

@@ -152,6 +152,32 @@ def _CLEANED(c: str) -> str:  # noqa: N802
     return f"regexp_replace({out}, '^[ .,:;]+|[ .,:;]+$', '', 'g')"
 
 
+def _chunks(rows: str) -> str:
+    """CTEs up to chunked (id, cs, k): the chunks of rows (id, content), k their places."""
+    return f"""p as (select id, id % 3 = 0 as img, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') as ps from ({rows})),
+      q as (select id, ps, {_TOKENS('ps[1]')} as w, case when img then {C.OPENER_IMAGE} else {C.OPENER_PLAIN} end as lim from p where len(ps) > 0),
+      r as (select id, case when len(ps) > 1 then array_to_string(w[1:lim], ' ') end as opener, case when len(ps) = 1 then ps else list_concat(case when len(w) > lim then [array_to_string(w[lim + 1:], ' ')] else []::varchar[] end, ps[2:]) end as rest from q),
+      s as (select id, opener, flatten(list_transform(rest, lambda x: case when len({_TOKENS('x')}) > {C.CONTINUATION} then list_transform(range(0, len({_TOKENS('x')}), {C.CONTINUATION}), lambda k: array_to_string(({_TOKENS('x')})[k + 1 : k + {C.CONTINUATION}], ' ')) else [x] end)) as pieces from r),
+      f as (select id, opener, list_reduce(list_concat([{{'done': []::varchar[], 'cur': null::varchar, 'n': 0::bigint}}], list_transform(pieces, lambda x: {{'done': []::varchar[], 'cur': x, 'n': len({_TOKENS('x')})::bigint}})),
+        lambda a, b: case when a.cur is not null and a.n + b.n <= {C.CONTINUATION} then {{'done': a.done, 'cur': a.cur || chr(10) || chr(10) || b.cur, 'n': a.n + b.n}} else {{'done': case when a.cur is null then a.done else list_append(a.done, a.cur) end, 'cur': b.cur, 'n': b.n}} end) as st from s),
+      g as (select id, list_concat(case when opener is null then []::varchar[] else [opener] end, list_append(st.done, st.cur)) as cs from f),
+      chunked as (select id, cs, unnest(range(1, len(cs) + 1)) as k from g)"""
+
+
+def _fixed(block: int, kinds) -> str:
+    return f"select {block} as block, 0 as section, '' as category, 0 as position, unnest(range({len(kinds)}))::int as part, null::bigint as id, unnest([{', '.join(map(quoted, kinds))}]) as kind"
+
+
+_ORDER = f"coalesce(list_position([{', '.join(map(quoted, L.CATEGORY_ORDER))}], category), 99)"
+_PLAN = f"""with {_RELEVANT}, chosen as (select id, category, content from relevants order by coalesce(article_score, 0) desc, id limit 11), {_chunks('select id, content from chosen')},
+  nums as (select category, row_number() over (order by {_ORDER}, min(id))::int as section from chosen group by category),
+  raw as ({_fixed(0, C.FRONT)} union all select 1, section, category, 0, 0, null, 'section' from nums union all select 1, section, chosen.category, id::int, k::int, id, 'article' from chunked join chosen using (id) join nums on nums.category = chosen.category
+    union all {_fixed(2, C.ANALYTICS)} union all {_fixed(3, C.BACK)}),
+  placed as (select *, row_number() over (order by block, section, position, part, id, kind)::int as pn, count(*) over ()::int as n from raw),
+  plan as (select (case when n < {C.PAGES} and pn > n - {C.TAIL} then pn + {C.PAGES} - n else pn end)::int as page_number, kind, category, id, part from placed where pn <= {C.PAGES}
+    union all select ((select max(n) from placed) - {C.TAIL} + 1 + i)::int, ([{', '.join(map(quoted, C.SUPPORT))}])[i % {len(C.SUPPORT)} + 1], '', null, (i // {len(C.SUPPORT)})::int from (select unnest(range({C.PAGES} - least({C.PAGES}, (select max(n) from placed)))) as i))"""
+
+
 SQL: dict[str, str] = {
     "validate_articles": f"with {ARTICLES_SQL} select id, array_to_string({_ERRORS}, ',') as errors, len({_ERRORS}) = 0 as valid from articles",
     "date_window": f"with {ARTICLES_SQL} select id, {_IN} as inside from articles",
@@ -268,14 +294,11 @@ SQL: dict[str, str] = {
         union all select x.i, x.vec_id, case when x.near.d <= 6 then x.near.id end, case when x.near.d <= 6 then x.near.d end, case when x.near.d <= 6 then x.kept else list_append(x.kept, {'d': 64, 'id': x.vec_id, 'bits': x.bits}) end
         from (select h.i, h.vec_id, h.bits, r.kept, list_min(list_append(list_transform(r.kept, lambda k: {'d': list_sum(list_transform(list_zip(k.bits, h.bits), lambda z: (z[1] <> z[2])::int))::int, 'id': k.id}), {'d': 99, 'id': 0::bigint})) as near from r join h on h.i = r.i + 1) x)
       select image_id, kept_id, distance, case when distance is null then 0.0 else 1 - distance / 64::double end as similarity from r where i > 0""",
-    "page_chunks": f"""with {ARTICLES_SQL}, p as (select id, id % 3 = 0 as img, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_STRIP('x')}), lambda x: x <> '') as ps from articles),
-      q as (select id, ps, {_TOKENS('ps[1]')} as w, case when img then {C.OPENER_IMAGE} else {C.OPENER_PLAIN} end as lim from p where len(ps) > 0),
-      r as (select id, case when len(ps) > 1 then array_to_string(w[1:lim], ' ') end as opener, case when len(ps) = 1 then ps else list_concat(case when len(w) > lim then [array_to_string(w[lim + 1:], ' ')] else []::varchar[] end, ps[2:]) end as rest from q),
-      s as (select id, opener, flatten(list_transform(rest, lambda x: case when len({_TOKENS('x')}) > {C.CONTINUATION} then list_transform(range(0, len({_TOKENS('x')}), {C.CONTINUATION}), lambda k: array_to_string(({_TOKENS('x')})[k + 1 : k + {C.CONTINUATION}], ' ')) else [x] end)) as pieces from r),
-      f as (select id, opener, list_reduce(list_concat([{{'done': []::varchar[], 'cur': null::varchar, 'n': 0::bigint}}], list_transform(pieces, lambda x: {{'done': []::varchar[], 'cur': x, 'n': len({_TOKENS('x')})::bigint}})),
-        lambda a, b: case when a.cur is not null and a.n + b.n <= {C.CONTINUATION} then {{'done': a.done, 'cur': a.cur || chr(10) || chr(10) || b.cur, 'n': a.n + b.n}} else {{'done': case when a.cur is null then a.done else list_append(a.done, a.cur) end, 'cur': b.cur, 'n': b.n}} end) as st from s),
-      g as (select id, list_concat(case when opener is null then []::varchar[] else [opener] end, list_append(st.done, st.cur)) as cs from f)
-      select id, k::int as part, len(cs)::int as parts, case when k = 1 then 'opener' else 'continuation' end as role, {WORD_COUNT('cs[k]')}::int as words, md5(cs[k]) as chunk from (select id, cs, unnest(range(1, len(cs) + 1)) as k from g)""",
+    "page_chunks": f"""with {ARTICLES_SQL}, {_chunks('select id, content from articles')}
+      select id, k::int as part, len(cs)::int as parts, case when k = 1 then 'opener' else 'continuation' end as role, {WORD_COUNT('cs[k]')}::int as words, md5(cs[k]) as chunk from chunked""",
+    "page_plan": f"{_PLAN} select page_number, kind, category, id, part from plan",
+    "page_plan_check": f"""{_PLAN} select count(*) as pages, count(*) filter (kind = 'article') as article_pages, count(*) filter (kind is null) as untyped, count(page_number) - count(distinct page_number) as repeated,
+      count(*) = {C.PAGES} and count(*) filter (kind is null) = 0 and count(page_number) = count(distinct page_number) as valid from plan""",
     "query_variants": f"""with {ARTICLES_SQL}, a as (select id, {_CLEANED("'Write an article about ' || title || ' using only retrieved evidence.'")} as q from articles), k as (select id, q, lower(q) as low, {_KEYS.replace('title', 'q')} as ks from a),
       v as (select id, q, list_filter(list_transform(list_filter([q, low, case when len(ks) >= 4 then array_to_string(ks, ' ') end, case when contains(low, 'india-myanmar') then replace(low, 'india-myanmar', 'myanmar border') end,
         case when contains(low, 'india myanmar') then replace(low, 'india myanmar', 'myanmar border') end], lambda x: x is not null), lambda x: trim(x, ' ')), lambda x: x <> '') as vs from k)
