@@ -27,6 +27,7 @@ each time; null ids count as fold 0; words of any length are spelt whole.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -37,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import documents, fold, new_path, stored
+from inkstone.llm.common import documents, fold, joined_on_counted, new_path, stored
 
 DEPTH, FOLDS, HELD_OUT = 5, 7, 2
 END = b"\n"
-#: Most entries that are broadcast: about 10 MB of words in a typical corpus (longer words are never broadcast), 64 MB of grams.
+#: Most entries that are broadcast: 10 MB of words (longer ones by their MD5), 64 MB of grams.
 MOST_WORDS, MOST_GRAMS, LONGEST_WORD = 1 << 17, 1 << 21, 64
 #: Bytes of text that a task handles at a time, and distinct words that it counts before it passes them on.
 BLOCK_BYTES, HELD_WORDS = 2 << 20, 1 << 20
@@ -346,7 +347,7 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
     known = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     total, spread = known["all"], math.log10(known["all"] + known["distinct"] + 1)
     tree = stored(weighted(grams, depth), "grams")
-    often = words.filter((F.col("n") >= _threshold(words, most_words)) & (F.length("word") <= LONGEST_WORD)).toArrow()
+    often = words.filter(F.col("n") >= _threshold(words, most_words)).select(F.when(F.length("word") <= LONGEST_WORD, F.col("word")).otherwise(F.unhex(F.md5("word"))).alias("word"), "n").toArrow()
     found = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 1.0).tolist(), strict=True))
     dense = tree.filter(F.col("n") >= _threshold(tree, most_grams)).select("gram", "log10").toArrow()
     sent = spark.sparkContext.broadcast((found, GramTable(dense.column("gram").to_numpy(), dense.column("log10").to_numpy())))
@@ -366,7 +367,7 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
             absent.sort()
             cuts = np.searchsorted(absent, np.concatenate([starts, ends[-1:]]))
             for x in lists:
-                each = [get(w) for w in x]
+                each = [get(w if len(w) <= LONGEST_WORD else hashlib.md5(w).digest()) for w in x]
                 there = [v for v in each if v is not None]
                 base.append(math.fsum(there))
                 known.append(len(there))
@@ -380,8 +381,17 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
     schema = "id long, trains boolean, n_tokens long, n_bytes long, base double, known long, score double, rare array<binary>, left array<long>"
     most = stored(rows.mapInArrow(looked_up, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     zero, none = F.lit(0.0), F.lit(0).cast("long")
-    more_words = most.select("row", F.explode("rare").alias("word")).join(words, "word").select("row", F.log10(F.col("n") + 1).alias("base"), (F.col("n") > 0).cast("long").alias("known"), zero.alias("score"))
-    more_grams = most.select("row", F.explode("left").alias("gram")).join(tree, "gram").select("row", zero.alias("base"), none.alias("known"), F.col("log10").alias("score"))
+
+    def met(column: str, key: str, table: DataFrame) -> DataFrame:
+        """(row, key, the table's columns) of what the broadcast tables lack. It may still be frequent, in held-out rows alone: its own
+        counts tell which keys are joined by broadcast; only those that are sought are shuffled."""
+        sought = stored(most.select("row", F.explode(column).alias(key)), "sought")
+        counts = sought.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
+        known = stored(counts.join(table, key, "left"), "known")
+        return joined_on_counted(sought, known, key, "_times", sought.count())
+
+    more_words = met("rare", "word", words.filter("n > 0")).filter("n is not null").select("row", F.log10(F.col("n") + 1).alias("base"), F.lit(1).cast("long").alias("known"), zero.alias("score"))
+    more_grams = met("left", "gram", tree.select("gram", "log10")).filter("log10 is not null").select("row", zero.alias("base"), none.alias("known"), F.col("log10").alias("score"))
     more = more_words.unionAll(more_grams).groupBy("row").agg(F.sum("base").alias("base2"), F.sum("known").alias("known2"), F.sum("score").alias("score2"))
     out = most.drop("rare", "left").join(more, "row", "left")
     score = (F.col("score") + F.coalesce("score2", zero)).alias("score")
