@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import documents, stored, text_or_empty
+from inkstone.llm.common import documents, joined_on_counted, stored, text_or_empty
 
 SHARDS = 16
 #: Most runs in the first summary, and most runs into which one run is split.
@@ -152,7 +152,7 @@ def partitioned(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, pie
     """rows (id, size, key and whatever else) plus shard and slot: rows of one key share a shard."""
     spark = rows.sparkSession
     rows = stored(rows, "sizes")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("total"), F.min("id").alias("first"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("total"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     groups = groups.withColumn("first", F.coalesce("first", F.lit((1 << 63) - 1)))
     groups = stored(_ranked(groups, ["first", "key"], "total"), "groups")
     n = groups.count()
@@ -178,7 +178,9 @@ def partitioned(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, pie
     shard = F.lit(0)
     for c in cuts:
         shard = shard + (F.col("_n") >= c).cast("int")
-    placed = rows.join(groups.select("key", F.col("_n").alias("_group"), shard.alias("shard")), "key")
+    # texts that repeat very often are joined by broadcast, so that no task gets all of their rows
+    named = groups.select("key", F.col("_n").alias("_group"), shard.alias("shard"), "copies")
+    placed = joined_on_counted(rows, named, "key", "copies", groups.agg(F.sum("copies")).first()[0])
     placed = placed.withColumn("_tie", F.monotonically_increasing_id()).drop("key")
     placed = stored(placed, "placed")
     return _ranked(placed, ["_group", "id", "_tie"], "size", by="shard").withColumnRenamed("_n", "slot").drop("_sum", "_group", "_tie")
