@@ -162,6 +162,29 @@ def plan_check(plan: DataFrame, pages: int = PAGES) -> DataFrame:
     return found.withColumn("valid", (F.col("pages") == pages) & (F.col("untyped") == 0) & (F.col("repeated") == 0))
 
 
+#: Parts of a composed edition, and how a page of its HTML begins; fixed values.
+EDITION_KEYS = ("metadata", "toc", "sections", "charts", "articles", "page_plan", "validation")
+HTML_PAGE = '<section class="magazine-page'
+
+
+def edition_checks(editions: DataFrame, pages: int = PAGES) -> DataFrame:
+    """(edition, problem, html_pages, valid) of composed editions (edition, body, html): body is the edition's JSON object.
+
+    problem is the first of: no JSON object, missing keys, articles or page_plan no list, another number of planned pages than asked
+    for, no articles; null if there is none. valid: no problem, and the HTML has as many pages. A null body is no JSON object, a
+    null html has no pages."""
+    parts = F.from_json("body", "articles array<string>, page_plan array<string>")
+    rows = editions.select("edition", F.json_object_keys("body").alias("_keys"), parts.alias("_p"), F.regexp_count(F.coalesce("html", F.lit("")), F.lit(HTML_PAGE)).cast("long").alias("html_pages"))
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, EDITION_KEYS)), "_keys"))
+    rows = rows.withColumn("_missing", missing).withColumn("_n", F.coalesce(F.size("_p.page_plan"), F.lit(0)))
+    problem = (
+        F.when(F.col("_keys").isNull(), "no JSON object").when(F.size("_missing") > 0, F.concat(F.lit("missing keys: "), F.array_join("_missing", ", ")))
+        .when(F.col("_p.articles").isNull(), "articles is no list").when(F.col("_p.page_plan").isNull(), "page_plan is no list")
+        .when(F.col("_n") != pages, F.concat(F.lit(f"expected {pages} pages, found "), F.col("_n").cast("string"))).when(F.size("_p.articles") == 0, "no articles")
+    )
+    return rows.select("edition", problem.alias("problem"), "html_pages").withColumn("valid", F.col("problem").isNull() & (F.col("html_pages") == pages))
+
+
 def plan_offenders(plan: DataFrame, most_words: int = CONTINUATION) -> DataFrame:
     """(page_number, problem) of pages (page_number, kind, id, part, words) without a kind, with a repeated number, or with a part
     that is empty or too long."""
@@ -188,3 +211,35 @@ def text_checks(pages: DataFrame, markers: tuple[str, ...], least: int = 10) ->
     found = pages.agg(short.alias("short"), *[F.max(F.coalesce(F.col("text").contains(m), F.lit(False))).alias(f"m{k}") for k, m in enumerate(markers)])
     rows = [F.struct(F.lit("page_text").alias("check"), (F.col("short") == 0).alias("passed")), *[F.struct(F.lit(f"marker {m}").alias("check"), F.coalesce(f"m{k}", F.lit(False)).alias("passed")) for k, m in enumerate(markers)]]
     return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+#: What the last text check looks for in an edition; fixed values.
+MARKERS = ("Securing the Northeast", "Indian Army", "The Assam Tribune", "End of Edition")
+
+
+def text_findings(pages: DataFrame, markers: tuple[str, ...] = MARKERS, expected: int = PAGES, least: int = 10) -> DataFrame:
+    """(severity, check, page_number, detail) of what is wrong with an edition's pages (page_number, text, failure).
+
+    Errors: another number of pages than expected, pages whose text could not be read (failure says why), no readable page at
+    all. Warnings: readable pages with fewer than least characters (runs of whitespace count as one), and markers that no readable
+    page has. A null text is an empty one. Findings of the whole edition have no page_number."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
+    rows = pages.select(F.col("page_number").cast("long"), "failure", plain.alias("_plain"))
+    finding = lambda severity, check, detail: F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), detail.cast("string").alias("detail"))
+    own = F.when(F.col("failure").isNotNull(), finding("error", "unreadable", F.col("failure"))).when(F.length("_plain") < least, finding("warning", "little text", F.concat(F.length("_plain").cast("string"), F.lit(" characters"))))
+    of_pages = rows.select("page_number", own.alias("_f")).filter("_f is not null").select("_f.severity", "_f.check", "page_number", "_f.detail")
+    readable = F.col("failure").isNull()
+    found = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_if(readable).alias("_readable"), *[F.coalesce(F.bool_or(readable & F.col("_plain").contains(m)), F.lit(False)).alias(f"_m{k}") for k, m in enumerate(markers)])
+    whole = [
+        F.when(F.col("_n") != expected, finding("error", "page count", F.concat(F.lit(f"expected {expected}, found "), F.col("_n").cast("string")))),
+        F.when(F.col("_readable") == 0, finding("error", "no readable page", F.lit(None))),
+        *[F.when(~F.col(f"_m{k}"), finding("warning", "marker", F.lit(m))) for k, m in enumerate(markers)],
+    ]
+    of_edition = found.select(F.explode(F.array_compact(F.array(*whole))).alias("_f")).select("_f.severity", "_f.check", F.lit(None).cast("long").alias("page_number"), "_f.detail")
+    return of_pages.unionAll(of_edition)
+
+
+def accepted(findings: DataFrame) -> DataFrame:
+    """One row (errors, warnings, passed): warnings alone do not fail an edition."""
+    counts = findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return counts.withColumn("passed", F.col("errors") == 0)

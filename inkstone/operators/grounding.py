@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import CLAIM_ENTITIES
-from inkstone.operators.vector import hashed_vectors
+from inkstone.operators.vector import cached_embeddings, hashed_vectors
 from inkstone.session import stored
 
 SIMILAR = 0.45
@@ -70,18 +70,8 @@ def claims(drafts: DataFrame) -> DataFrame:
     return lines.select("draft_id", "paragraph", "cited", F.posexplode(parts).alias("sentence", "claim"))
 
 
-def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> DataFrame:
-    """(draft_id, paragraph, sentence, source_id, similarity, errors, supported); sources are (draft_id, source_id, content).
-
-    Citations of sources that are not there, and claims without citation, stay as unsupported rows. The claims on one source
-    (they are all of one draft) meet its sentences and facts in one row; a sentence is embedded once."""
-    rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
-    key = ["draft_id", "source_id"]
-    asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
-    contents = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], "content")
-    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(contents, key, "left")
-    # facts and sentences only of sources that are asked for; one that is missing has none
-    both = with_facts(both, terms).withColumn("told", F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))).withColumn("there", F.col("content").isNotNull())
+def _nearest_of_texts(both: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """both with near, per claim asked the highest similarity to a sentence told (0 without any), in place of told."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,7 +86,57 @@ def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR,
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[4:], pa.array(out, pa.list_(pa.float64()))], names=["draft_id", "source_id", "asked", "known", "there", "near"])
 
     blank = both.select("draft_id", "source_id", "asked", "known", "there", F.array().cast("array<double>").alias("near"))
-    judged = both.select("draft_id", "source_id", "asked", "told", "known", "there").mapInArrow(near, blank.schema)
+    return both.mapInArrow(near, blank.schema)
+
+
+def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series], cache: str) -> DataFrame:
+    """As _nearest_of_texts, with vectors that are looked up by the SHA-256 of their text; both is a stored table.
+
+    Places and keys are shuffled, never texts; the vectors of one source meet those of its claims in one row."""
+    key = ["draft_id", "source_id"]
+    digest = lambda xs: F.transform(xs, lambda t: F.sha2(t.cast("binary"), 256))
+    texts = both.select(F.explode(F.concat(F.transform("asked", lambda a: a["claim"]), F.coalesce("told", F.array().cast("array<string>")))).alias("text"))
+    vectors, _ = cached_embeddings(texts, "text", cache, embed)
+    parts = F.array(F.struct(F.lit(0).alias("side"), digest(F.transform("asked", lambda a: a["claim"])).alias("keys")), F.struct(F.lit(1).alias("side"), digest(F.coalesce("told", F.array().cast("array<string>"))).alias("keys")))
+    places = both.select(*key, F.explode(parts).alias("p")).select(*key, "p.side", F.posexplode("p.keys").alias("place", "key"))
+    met = places.join(vectors, "key", "left").groupBy(*key).agg(F.collect_list(F.struct("side", "place", "embedding")).alias("_found"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for found in b.column(2).to_pylist():
+                found.sort(key=lambda f: (f["side"], f["place"]))
+                size = next((len(f["embedding"]) for f in found if f["embedding"] is not None), 1)
+                matrix = np.array([np.zeros(size) if f["embedding"] is None else f["embedding"] for f in found], np.float64)
+                n = sum(f["side"] == 0 for f in found)
+                out.append((matrix[:n] @ matrix[n:].T).max(axis=1).tolist() if n < len(found) else [0.0] * n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.float64()))], names=[*key, "near"])
+
+    nearest = met.select(*key, "_found").mapInArrow(near, "draft_id long, source_id int, near array<double>")
+    return both.select(*key, "asked", "known", "there").join(nearest, key).select(*key, "asked", "known", "there", "near")
+
+
+def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors, cache: str | None = None) -> DataFrame:
+    """(draft_id, paragraph, sentence, source_id, similarity, errors, supported); sources are (draft_id, source_id, content),
+    one row each.
+
+    Citations of sources that are not there, and claims without citation, stay as unsupported rows. The claims on one source
+    (they are all of one draft) meet its sentences and facts in one row, where each is embedded. With a cache (a path in the shared
+    folder) each distinct sentence is embedded once over all drafts and runs, for embedders that cost more than a join."""
+    rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
+    key = ["draft_id", "source_id"]
+    asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
+    contents = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], "content")
+    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(contents, key, "left")
+    # facts and sentences only of sources that are asked for; one that is missing has none
+    both = with_facts(both, terms).withColumn("told", F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))).withColumn("there", F.col("content").isNotNull())
+
+    if cache is None:
+        nearest = lambda rows: _nearest_of_texts(rows, embed)
+    else:
+        both = stored(both, "asked")
+        nearest = lambda rows: _nearest_of_vectors(rows, embed, cache)
+    judged = nearest(both.select("draft_id", "source_id", "asked", "told", "known", "there"))
     judged = judged.select("draft_id", "source_id", "known", "there", F.explode(F.arrays_zip("asked", "near")).alias("x")).select("draft_id", "source_id", "known", "there", "x.asked.*", "x.near")
     errors = F.when(F.coalesce("there", F.lit(False)), fact_errors(F.col("claim"), F.col("known"), terms)).otherwise(F.array(F.lit("source not available")))
     value = F.when(F.coalesce("there", F.lit(False)), F.round(F.greatest("near", F.lit(0.0)), 6)).otherwise(0.0)

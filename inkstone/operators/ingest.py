@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,21 +71,60 @@ def collection_stats(batch: DataFrame, known: DataFrame, scraped: Column, start:
     return names.join(first.unionAll(gates), "counter", "left").select("counter", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+class _Lenient(HTMLParser):
+    """Takes unknown marked sections (``<![foo[``) as comments instead of failing on them."""
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+
+class _Links(_Lenient):
+    """Targets of the anchors of a page, entities decoded; comments and scripts have none."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a" and (href := (next((v for k, v in attrs if k == "href"), None) or "").strip()):
+            self.found.append(href)
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, href) of every anchor with a target, quoted or not."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, hrefs = [], []
+            for k, html in enumerate(b.column(2)):
+                page = _Links()
+                page.feed(html.as_py() or "")
+                page.close()
+                rows += [k] * len(page.found)
+                hrefs += page.found
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hrefs, pa.string())], names=["page_id", "url", "href"])
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(made, "page_id long, url string, href string")
+
+
 def discovered(pages: DataFrame) -> DataFrame:
     """(page_id, link): distinct article links of a page's own host, without query and fragment."""
-    href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("href")
     base = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    rows = pages.select("page_id", base.alias("base"), F.regexp_replace("url", r"[?#].*$", "").alias("self"), href)
-    h = F.trim("href")
+    rows = anchors(pages).select("page_id", base.alias("base"), F.regexp_replace("url", r"[?#].*$", "").alias("self"), F.col("href").alias("h"))
+    h = F.col("h")
     absolute = (
         F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.regexp_extract("base", "^([^:]*:)", 1), h)).when(h.startswith("/"), F.concat("base", h))
-        .when(h.startswith("#") | (h == ""), F.col("self")).otherwise(F.concat(F.regexp_replace("self", r"(://[^/]*/(?:.*/)?)[^/]*$", "$1"), h))
+        .when(h.startswith("#"), F.col("self")).otherwise(F.concat(F.regexp_replace("self", r"(://[^/]*/(?:.*/)?)[^/]*$", "$1"), h))
     )
     rows = rows.select("page_id", "base", F.regexp_replace(absolute, r"[?#].*$", "").alias("link"))
     return rows.filter((U.host(F.col("link")) == U.host(F.col("base"))) & U.is_article(F.col("link"))).select("page_id", "link").distinct()
 
 
-class _Article(HTMLParser):
+class _Article(_Lenient):
     """First h1, author, date and paragraphs of a page."""
 
     def __init__(self) -> None:

@@ -249,10 +249,12 @@ def citation_sets(s, d):
 
 @query
 def url_discovery(s, d):
-    """Pages of the fixture link to no article: each gets an own article link twice, a relative one, a category page and a foreign page."""
+    """Pages of the fixture link to no article: each gets an own article link twice, a relative one, a category page and a foreign page,
+    one without quotes, one with an entity, and one in a comment."""
     i = F.col("page_id").cast("string")
     link = lambda *parts: F.concat(F.lit('<a class="x" href="'), *parts, F.lit('">'))
-    more = F.concat(link(F.lit("/news/story-"), i, F.lit("?ref=home")), link(F.lit("/news/story-"), i, F.lit("#top")), link(F.lit("/category/x/"), i), link(F.lit("https://other.example.org/news/x")), link(F.lit("/a/b/"), i))
+    more = F.concat(link(F.lit("/news/story-"), i, F.lit("?ref=home")), link(F.lit("/news/story-"), i, F.lit("#top")), link(F.lit("/category/x/"), i), link(F.lit("https://other.example.org/news/x")), link(F.lit("/a/b/"), i),
+                    F.lit("<a href=/news/plain-"), i, F.lit("><A class=y HREF='/news/that&amp;this-"), i, F.lit("'><!-- <a href=\"/news/hidden-"), i, F.lit("\"> -->"))
     return ingest.discovered(table(s, d, "pages").withColumn("html", F.concat(more, "html")))
 
 
@@ -356,6 +358,14 @@ def claim_grounding(s, d):
     return grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors).withColumn("errors", F.array_join("errors", "; "))
 
 
+@query
+def claim_grounding_cached(s, d):
+    """The same with each distinct sentence embedded once."""
+    made, sources = drafts(s, d)
+    judged = grounding.verified(grounding.claims(made), sources, terms=FIXTURE.security_hits, embed=vector.letter_vectors, cache=new_path(s, "sentences"))
+    return judged.withColumn("errors", F.array_join("errors", "; "))
+
+
 @query
 def draft_verdicts(s, d):
     made, sources = drafts(s, d)
@@ -484,10 +494,9 @@ def image_set_dedup(s, d):
 
 @query
 def text_image_relevance(s, d):
-    """The first fifty vectors as texts of fifty articles, all others as their images."""
-    v = vectors(s, d)
-    texts = v.filter("id < 50").select(F.col("id").alias("article_id"), "embedding")
-    return vector.image_relevance(texts, v.filter("id >= 50").select((F.col("id") % 50).alias("article_id"), F.col("id").alias("image_id"), "embedding"), 0.10)
+    """Ten vectors in a row are one article: its text and nine images."""
+    v = vectors(s, d).withColumn("article_id", F.expr("id div 10"))
+    return vector.image_relevance(v.filter("id % 10 = 0").select("article_id", "embedding"), v.filter("id % 10 > 0").select("article_id", F.col("id").alias("image_id"), "embedding"), 0.10)
 
 
 @query
@@ -653,6 +662,39 @@ def text_checks(s, d):
     return compose.text_checks(articles(s, d).select(F.col("id").alias("page_number"), F.col("content").alias("text")), ("the", "zzzz no such marker"))
 
 
+def _text_findings(s, d):
+    """Documents as pages; those of one source with an odd number of characters could not be read."""
+    c = F.col("content")
+    failed = F.when((F.col("source") == "src3") & (F.length(c) % 2 == 1), "no text layer")
+    return compose.text_findings(articles(s, d).select((F.col("id") + 1).alias("page_number"), c.alias("text"), failed.alias("failure")), ("the", "zzzz no such marker"), least=300)
+
+
+@query
+def text_findings(s, d):
+    return _text_findings(s, d)
+
+
+@query
+def text_accepted(s, d):
+    return compose.accepted(_text_findings(s, d))
+
+
+@query
+def edition_checks(s, d):
+    """Every document as an edition: its lines are the pages, its longer lines the articles; some lack keys, some hold no list."""
+    lines = F.split("content", "\n")
+    rows = articles(s, d).select(F.col("id").alias("edition"), "source", F.length("title").alias("n"), lines.alias("lines"))
+    long = F.filter("lines", lambda x: F.length(x) > 150)
+    part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    parts = F.array(
+        *[part(k, F.lit("{}")) for k in ("metadata", "toc", "sections")], F.when(F.col("source") != "src1", part("charts", F.lit("null"))), F.when(F.col("n") % 9 > 0, part("validation", F.lit("true"))),
+        part("articles", F.when(F.col("source") == "src2", F.lit('"[1]"')).otherwise(F.to_json(long))), part("page_plan", F.when(F.col("source") == "src4", F.lit("{}")).otherwise(F.to_json("lines"))),
+    )
+    body = F.when(F.col("source") != "src5", F.concat(F.lit("{"), F.array_join(F.array_compact(parts), ","), F.lit("}"))).otherwise("not an edition")
+    html = F.array_join(F.transform("lines", lambda x: F.concat(F.lit('<section class="magazine-page text">'), F.substring(x, 1, 20), F.lit("</section>"))), "")
+    return compose.edition_checks(rows.select("edition", body.alias("body"), html.alias("html")), 4)
+
+
 @query
 def migrated(s, d):
     out = ingest.migrated(articles(s, d).select("id", "title", (F.col("id") % 9).cast("int").alias("article_score")))

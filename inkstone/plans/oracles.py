@@ -178,6 +178,11 @@ _PLAN = f"""with {_RELEVANT}, chosen as (select id, category, content from relev
     union all select ((select max(n) from placed) - {C.TAIL} + 1 + i)::int, ([{', '.join(map(quoted, C.SUPPORT))}])[i % {len(C.SUPPORT)} + 1], '', null, (i // {len(C.SUPPORT)})::int from (select unnest(range({C.PAGES} - least({C.PAGES}, (select max(n) from placed)))) as i))"""
 
 
+_FINDINGS = f"""with {ARTICLES_SQL}, p as (select id + 1 as page_number, trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') as t, source = 'src3' and length(content) % 2 = 1 as failed from articles),
+  f as (select case when failed then 'error' else 'warning' end as severity, case when failed then 'unreadable' else 'little text' end as check_name, page_number, case when failed then 'no text layer' else length(t) || ' characters' end as detail from p where failed or length(t) < 300
+    union all select 'error', 'page count', null, 'expected {C.PAGES}, found ' || count(*) from p having count(*) <> {C.PAGES}
+    union all select 'warning', 'marker', null, m from (values ('the'), ('zzzz no such marker')) v(m) where not exists (select 1 from p where not failed and contains(t, m)))"""
+
 SQL: dict[str, str] = {
     "validate_articles": f"with {ARTICLES_SQL} select id, array_to_string({_ERRORS}, ',') as errors, len({_ERRORS}) = 0 as valid from articles",
     "date_window": f"with {ARTICLES_SQL} select id, {_IN} as inside from articles",
@@ -215,7 +220,7 @@ SQL: dict[str, str] = {
     "citations": f"with {ARTICLES_SQL}, s as (select id, title || ' [Source ' || id % 7 || '] and [source  ' || id % 5 || '] [Source x]' as raw from articles) select id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw, '(?i)\\[Source\\s+(\\d+)\\]', 1), lambda x: x::int))), ',') as cited, trim(regexp_replace(raw, '(?i)\\[Source\\s+\\d+\\]', '', 'g'), ' ') as plain from s",
     "entities": f"with {ARTICLES_SQL} select id, array_to_string(list_sort(list_filter([{', '.join(map(quoted, X.security_hits))}], lambda t: contains(lower(content), t))), ',') as entities from articles",
     "citation_sets": f"with {ARTICLES_SQL}, s as (select id, [id % 3, id % 4, 9] as declared, list_distinct([id % 4, id % 5]) as cited from articles) select id, list_sort(list_filter(list_distinct(declared), lambda x: not list_contains(cited, x)))::varchar as missing, list_sort(list_filter(cited, lambda x: not list_contains(declared, x)))::varchar as invalid, list_sort(list_distinct(declared)) = list_sort(cited) as agree from s",
-    "url_discovery": f"""with pg as (select page_id, url, '<a class="x" href="/news/story-' || page_id || '?ref=home"><a class="x" href="/news/story-' || page_id || '#top"><a class="x" href="/category/x/' || page_id || '"><a class="x" href="https://other.example.org/news/x"><a class="x" href="/a/b/' || page_id || '">' || html as html from pages),
+    "url_discovery": f"""with pg as (select page_id, url, '<a class="x" href="/news/story-' || page_id || '?ref=home"><a class="x" href="/news/story-' || page_id || '#top"><a class="x" href="/category/x/' || page_id || '"><a class="x" href="https://other.example.org/news/x"><a class="x" href="/a/b/' || page_id || '"><a class="x" href="/news/plain-' || page_id || '"><a class="x" href="/news/that&this-' || page_id || '">' || html as html from pages),
       h as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) as href from pg), a as (select page_id, url, case when starts_with(trim(href), '/') then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || trim(href) else trim(href) end as link from h),
       c as (select page_id, url, regexp_replace(link, '[?#].*$', '') as link from a) select distinct page_id, link from c where {_HOST.format(u='link')} = {_HOST.format(u='url')} and {is_article('link')}""",
     "url_parts": f"select page_id, {_HOST.format(u='url')} as host, {_DOMAIN} as domain, {_PATH.format(u='url')} as path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as query, {is_article('url')} as article from pages",
@@ -283,9 +288,22 @@ SQL: dict[str, str] = {
       (values (3, 0, 'https://thehindu.com/media/a'), (2, 1, 'https://eastmojo.com/media/b'), (1, 3, 'https://any.example.org/media/d'), (1, 4, 'https://any.example.org/media/e')) v(tier, place, host))
       select page_id, row_number() over (partition by page_id order by tier desc, place)::int as position, image_url from f qualify position <= 4""",
     "stage_runs": f"with {ARTICLES_SQL} select 1 as place, 'articles' as stage, 'passed' as status, count(*) as rows from articles union all select 2, 'valid', 'passed', count(*) from articles where len({_ERRORS}) = 0 union all select 3, 'in window', 'passed', count(*) from articles where len({_ERRORS}) = 0 and {_IN}",
-    "text_image_relevance": """with e as (select vec_id, embedding::double[] as v from embeddings), s as (select i.vec_id % 50 as article_id, i.vec_id as image_id, round(list_cosine_similarity(i.v, t.v), 6) as score from e i join e t on t.vec_id = i.vec_id % 50 where i.vec_id >= 50)
+    "text_image_relevance": """with e as (select vec_id, vec_id // 10 as article_id, embedding::double[] as v from embeddings), s as (select i.article_id, i.vec_id as image_id, round(list_cosine_similarity(i.v, t.v), 6) as score from e i left join e t on t.vec_id = i.article_id * 10 where i.vec_id % 10 > 0)
       select article_id, image_id, score, score >= 0.10 as relevant, row_number() over o::int as rank, row_number() over o = 1 and score >= 0.10 as best from s window o as (partition by article_id order by score desc, image_id)""",
     "lexicon_hits": f"with {_BASE}, hits as (" + " union all ".join(f"select id, {quoted(name)} as lexicon, {total('a', terms)}::bigint as score, len({found('a', terms)})::bigint as n_terms from m" for name, terms in {"states": X.states, "entities": X.entities, "region": X.region, "irrelevant": X.irrelevant, **X.themes}.items()) + ") select * from hits where n_terms > 0",
+    "claim_grounding_cached": f"with {_JUDGED} select draft_id, paragraph, sentence, source_id, similarity, array_to_string(errs, '; ') as errors, supported from judged",
+    "text_findings": f"{_FINDINGS} select severity, check_name as check, page_number, detail from f",
+    "text_accepted": f"{_FINDINGS} select count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'error') = 0 as passed from f",
+    "edition_checks": f"""with {ARTICLES_SQL}, e as (select id, source, length(title) as n, string_split(content, chr(10)) as l from articles),
+      m as (select *, list_filter([case when source = 'src1' then 'charts' end, case when n % 9 = 0 then 'validation' end], lambda x: x is not null) as gone from e)
+      select id as edition, case when source = 'src5' then 'no JSON object' when len(gone) > 0 then 'missing keys: ' || array_to_string(gone, ', ') when source = 'src2' then 'articles is no list' when source = 'src4' then 'page_plan is no list'
+        when len(l) <> 4 then 'expected 4 pages, found ' || len(l) when len(list_filter(l, lambda x: length(x) > 150)) = 0 then 'no articles' end as problem, len(l) as html_pages, problem is null and len(l) = 4 as valid from m""",
+    # per article, images in order of id with the list of those kept so far
+    "image_dedup": """with recursive h as (select vec_id % 50 as article, vec_id, vec_id * 1000003 % 4294967291 as hash, row_number() over (partition by vec_id % 50 order by vec_id) as i from embeddings),
+      r as (select distinct article, 0::bigint as i, null::bigint as image_id, null::bigint as kept_id, null::int as distance, []::struct(d int, id bigint, hash bigint)[] as kept from h
+        union all select x.article, x.i, x.vec_id, case when x.near.d <= 6 then x.near.id end, x.near.d, case when x.near.d <= 6 then x.kept else list_append(x.kept, {'d': 64, 'id': x.vec_id, 'hash': x.hash}) end
+        from (select h.article, h.i, h.vec_id, h.hash, r.kept, list_min(list_transform(r.kept, lambda k: {'d': bit_count(xor(k.hash, h.hash))::int, 'id': k.id})) as near from r join h on h.article = r.article and h.i = r.i + 1) x)
+      select image_id, kept_id, coalesce(distance, 64) as distance, 1 - coalesce(distance, 64) / 64::double as similarity from r where i > 0""",
     "embedding_cache": f"""with {ARTICLES_SQL}, t as (select distinct title from articles where title is not null), v as (select title, {VECTOR('title')} as v from t)
       select sha256(title) as key, case when list_dot_product(v, v) > 0 then round(v[1] / sqrt(list_dot_product(v, v)), 6) end as share_of_a, (select count(*) from t) as embedded_first, 0::bigint as embedded_again from v""",
     # images in order of id with the list of those kept so far; a bit string a hash

@@ -414,3 +414,38 @@ def test_domain_quality_and_paths(spark):
     assert [r[0] for r in rows.select(U.source_quality_score(u)).collect()] == [1.0, 0.75, 0.1, 0.3, 0.3, 0.5]
     paths = spark.createDataFrame([("/a/b/c.png",), ("/a/bc.png",), (None,)], "u string")
     assert [r[0] for r in paths.select(U.relative_path(u, "/a/b/")).collect()] == ["c.png", "/a/bc.png", None]
+
+
+def test_links_as_a_parser_reads_them(spark):
+    html = """<![odd[ ]><a href=/news/a-1>x</a><A title="n" HREF='/news/b&amp;c-2'>y</A><!-- <a href="/news/d-3"> --><script>'<a href="/news/e-4">'</script><a href=" "><a name=f><a href="//h.org/news/g-5#x">"""
+    df = spark.createDataFrame([(1, "https://h.org/x/", html), (2, "https://h.org/", ""), (3, None, html)], "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in ingest.discovered(df).collect()) == [(1, "https://h.org/news/a-1"), (1, "https://h.org/news/b&c-2"), (1, "https://h.org/news/g-5")]
+    assert ingest.parsed_page("<![odd[ ]><h1>t</h1>").title == "t"
+
+
+def test_structure_of_editions(spark):
+    import json
+
+    good = dict.fromkeys(compose.EDITION_KEYS, {}) | {"articles": [{"id": 1}], "page_plan": [{}, "two"]}
+    pages = compose.HTML_PAGE + ' a">x</section>'
+    bodies = [
+        (1, json.dumps(good), pages * 2), (2, json.dumps(good), pages), (3, json.dumps({k: v for k, v in good.items() if k not in ("toc", "charts")}), pages * 2), (4, json.dumps(good | {"articles": "[1]"}), pages * 2),
+        (5, json.dumps(good | {"page_plan": None}), None), (6, json.dumps(good | {"page_plan": []}), pages * 2), (7, json.dumps(good | {"articles": []}), pages * 2), (8, None, None), (9, "[]", ""),
+    ]
+    got = {r["edition"]: (r["problem"], r["html_pages"], r["valid"]) for r in compose.edition_checks(spark.createDataFrame(bodies, "edition int, body string, html string"), 2).collect()}
+    assert got == {
+        1: (None, 2, True), 2: (None, 1, False), 3: ("missing keys: charts, toc", 2, False), 4: ("articles is no list", 2, False), 5: ("page_plan is no list", 0, False),
+        6: ("expected 2 pages, found 0", 2, False), 7: ("no articles", 2, False), 8: ("no JSON object", 0, False), 9: ("no JSON object", 0, False),
+    }
+
+
+def test_findings_in_texts(spark):
+    rows = [(1, "Contents \u00a0 and\tmore", None), (2, None, None), (3, "Closing words here", "broken stream"), (4, " a  b ", None)]
+    pages = spark.createDataFrame(rows, "page_number int, text string, failure string")
+    found = compose.text_findings(pages, ("Contents and more", "Closing"), expected=5)
+    assert {tuple(r) for r in found.collect()} == {
+        ("warning", "little text", 2, "0 characters"), ("warning", "little text", 4, "3 characters"), ("error", "unreadable", 3, "broken stream"), ("error", "page count", None, "expected 5, found 4"), ("warning", "marker", None, "Closing"),
+    }
+    assert tuple(compose.accepted(found).first()) == (2, 3, False)
+    assert tuple(compose.accepted(compose.text_findings(pages.filter("page_number = 1"), ("more",), expected=1)).first()) == (0, 0, True)
+    assert {r["check"] for r in compose.text_findings(pages.limit(0), (), expected=0).collect()} == {"no readable page"}

@@ -117,3 +117,22 @@ def test_first_attempts_are_the_drafts_own(spark):
     found = {r["draft_id"]: r["status"] for r in catalog.queries()["generation_rounds"](spark, DIR).filter("outer = 1 and attempt = 1").collect()}
     again = catalog.queries()["generation_rounds"](spark, DIR).filter("outer > 1 or attempt > 1").count()
     assert "success" in found.values() and again > 0
+
+
+def test_claims_through_the_cache(spark, tmp_path):
+    told = "The river rose by 4 metres in May. Two villages were moved to the hills. Nobody was hurt there."
+    sources = spark.createDataFrame([(1, 1, told), (1, 2, ""), (2, 1, told), (3, 1, None)], "draft_id long, source_id int, content string")
+    text = "Two villages were moved to the hills. [Source 1]\nThe river rose by 5 metres in May. [Source 1] [Source 2]\nThis has no citation at all but has words enough. "
+    made = spark.createDataFrame([(i, text, [1, 2]) for i in (1, 2, 3, 4)], "draft_id long, article string, source_ids array<int>")
+    seen, path = spark.sparkContext.accumulator(0), str(tmp_path / "cache")
+
+    def embed(texts):
+        seen.add(len(texts))
+        return vector.hashed_vectors(texts)
+
+    plain = sorted(map(tuple, grounding.verified(grounding.claims(made), sources).collect()))
+    for _ in range(2):
+        assert sorted(map(tuple, grounding.verified(grounding.claims(made), sources, embed=embed, cache=path).collect())) == plain
+    claims = {r["claim"] for r in grounding.claims(made).filter("size(cited) > 0").collect()}
+    assert seen.value == len(claims | {"The river rose by 4 metres in May.", "Two villages were moved to the hills.", "Nobody was hurt there."})  # once each, nothing in the second run
+    assert grounding.verified(grounding.claims(made.limit(0)), sources, cache=path).count() == 0
