@@ -1,10 +1,13 @@
 """Toxicity with a linear-chain conditional random field over word tokens.
 
 Training takes a bounded sample of labelled rows (SAMPLE_ROWS, by hash order of the id). Words
-and their first 3 to 6 letters are features; those tied to toxic rows significantly (binomial
-tail, Benjamini-Hochberg) mark the labelled tokens: 1 in toxic rows, 0 elsewhere. A two-state
-chain is fitted to windows around such tokens and to openings of rows, by gradient ascent on
-the conditional likelihood with exact forward-backward marginals.
+and their first 3 to 6 letters are features if tied to toxic rows significantly (binomial tail,
+Benjamini-Hochberg); they mark the labelled tokens: 1 in toxic rows, 0 elsewhere. A two-state
+chain is fitted to windows around such tokens and to openings of rows, by gradient ascent on the
+conditional likelihood with exact forward-backward marginals. Two options go further: context
+adds pairs of words (chosen alike, but apart) and the features of the words beside a token;
+open_tags fits again with the tags left open, under the label of the row alone (at least one
+toxic token in a toxic row, none in a clean one). README has the held-out figures of all four.
 
 Scoring runs over every token of every whole text. Tokens without features all have the same
 potentials, so stretches of them pass through a power of one 2 x 2 matrix: exact marginals cost
@@ -39,9 +42,13 @@ FOLDS = 5
 SAMPLE_ROWS = 12_000
 #: Share of false discoveries allowed among the features.
 FALSE_SHARE = 0.01
+#: Whether training takes pairs and neighbours as features, and fits again with open tags.
+CONTEXT, OPEN_TAGS = False, False
 #: Tokens to each side of a window.
 REACH = 8
 PREFIXES = (3, 4, 5, 6)
+#: Marks of the features that the word before (after) a token lends to it.
+AFTER, BEFORE = "<", ">"
 #: Stands for the logarithm of a share of none.
 LEAST = -9.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,6 +64,10 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+def pair(before: str, word: str) -> str:
+    return f"{before} {word}"
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X >= k) for X binomial(n, p), summed downwards from the first term."""
     if k <= 0:
@@ -87,11 +98,23 @@ class Chain:
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     #: intercept and slopes of the document score
     link: tuple[float, ...] = (-8.0, 0.0, 0.0, 0.0)
-
-    def emission(self, word: str) -> float | None:
-        """Log-potential of state 1, or None for a word without features."""
-        found = [self.weights[f] for f in features(word) if f in self.weights]
-        return self.bias + sum(found) if found else None
+    #: by second word, the weights of pairs by first word; made from weights
+    pairs: dict[str, dict[str, float]] = field(init=False, default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for name, w in self.weights.items():
+            if " " in name:
+                before, word = name.split(" ")
+                self.pairs.setdefault(word, {})[before] = w
+
+    def parts(self, word: str) -> tuple[float, float, float, dict[str, float]] | None:
+        """What a word adds to the log-potential of state 1: its own, that of the word after it and of the word before it, and its own
+        by the word before it; None for a word without features."""
+        found, pairs = [f for f in features(word) if f in self.weights], self.pairs.get(word)
+        if not found and not pairs:
+            return None
+        total = lambda side: sum(self.weights.get(side + f, 0.0) for f in found)
+        return total(""), total(AFTER), total(BEFORE), pairs or {}
 
     def neutral(self, n: int) -> np.ndarray:
         """n steps into tokens without features: a power of one matrix, scaled."""
@@ -142,7 +165,7 @@ def evidence(marginals: list[float], n: int) -> tuple[float, float, float]:
     return max(marginals, default=0.0), math.log1p(toxic), math.log((toxic + 0.01) / (n + 1)) if toxic else LEAST
 
 
-def tagged(chain: Chain, text: str | None, known: dict[str, float | None]) -> tuple[list[int], list[float], int]:
+def tagged(chain: Chain, text: str | None, known: dict[str, tuple | None]) -> tuple[list[int], list[float], int]:
     """Places of tokens with features, their marginals, and the number of tokens; known remembers words."""
     words = _WORD.findall(lowered(text)) if text else []
     if new := set(words).difference(known):
@@ -150,17 +173,24 @@ def tagged(chain: Chain, text: str | None, known: dict[str, float | None]) -> tu
             known.clear()
             new = set(words)
         for w in new:
-            known[w] = chain.emission(w)
-    places = [i for i, w in enumerate(words) if known[w] is not None]
-    return places, chain.marginals(places, [known[words[i]] for i in places], len(words)) if places else [], len(words)
+            known[w] = chain.parts(w)
+    n, sums = len(words), {}
+    for i in [i for i, w in enumerate(words) if known[w] is not None]:
+        own, after, before, pairs = known[words[i]]
+        sums[i] = sums.get(i, 0.0) + own + (pairs.get(words[i - 1], 0.0) if pairs and i else 0.0)
+        if after and i + 1 < n:
+            sums[i + 1] = sums.get(i + 1, 0.0) + after
+        if before and i:
+            sums[i - 1] = sums.get(i - 1, 0.0) + before
+    places = sorted(sums)
+    return places, chain.marginals(places, [chain.bias + sums[p] for p in places], n) if places else [], n
 
 
 # ---- training ----
 
 
-def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals (windows, tokens), step marginals (2, 2) summed, log normaliser summed, of padded windows that occur so many times."""
-    times = np.ones(len(emit)) if times is None else times
+def expected(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals (windows, tokens), step marginals (windows, 2, 2) and log normalisers (windows) of padded windows."""
     n, length = emit.shape
     both = np.stack([np.zeros_like(emit), emit], axis=2)
     ahead, behind = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -174,12 +204,53 @@ def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, time
         behind[:, t] = np.where(mask[:, t + 1, None], back, 0.0)
     log_z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
     marginal = np.exp(ahead[:, :, 1] + behind[:, :, 1] - log_z[:, None]) * mask
-    pair = np.zeros((2, 2))
+    pairs = np.zeros((n, 2, 2))
     for s in (0, 1):
         for r in (0, 1):
             x = np.exp(ahead[:, :-1, s] + steps[s, r] + both[:, 1:, r] + behind[:, 1:, r] - log_z[:, None])
-            pair[s, r] = (x * mask[:, 1:] * times[:, None]).sum()
-    return marginal, pair, float((log_z * times).sum())
+            pairs[:, s, r] = (x * mask[:, 1:]).sum(1)
+    return marginal, pairs, log_z
+
+
+def forward_backward(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals (windows, tokens), step marginals (2, 2) summed, log normaliser summed, of padded windows that occur so many times."""
+    times = np.ones(len(emit)) if times is None else times
+    marginal, pairs, log_z = expected(emit, steps, mask)
+    return marginal, (pairs * times[:, None, None]).sum(0), float((log_z * times).sum())
+
+
+def row_slopes(emit: np.ndarray, steps: np.ndarray, mask: np.ndarray, rows: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slopes by emission and by step, and value, of the log-likelihood of rows whose tags are open.
+
+    rows numbers each window's row, toxic and times are by row. A clean row is one path, all zero, of probability p; a toxic row is
+    every other path. Both slopes are expectations less those of that path, times -1 or p / (1 - p)."""
+    marginal, pairs, log_z = expected(emit, steps, mask)
+    stays = mask[:, 1:].sum(1)
+    log_p = np.minimum(np.bincount(rows, weights=steps[0, 0] * stays - log_z, minlength=len(toxic)), -1e-9)
+    factor = np.where(toxic, 1 / np.expm1(-np.maximum(log_p, -600.0)), -1.0) * times
+    value = float((times * np.where(toxic, np.log(-np.expm1(log_p)), log_p)).sum())
+    pairs[:, 0, 0] -= stays
+    return marginal * factor[rows][:, None], (pairs * factor[rows][:, None, None]).sum(0), value
+
+
+def refined(groups: list[tuple[bool, list[list[list[int]]], int]], n_features: int, start: np.ndarray, rounds: int = 80, penalty: float = 0.02) -> np.ndarray:
+    """start (weights, bias, steps) moved by Adam on the penalised likelihood of the labels of rows (toxic, windows, how often)."""
+    windows = [(g, w) for g, (_, ws, _) in enumerate(groups) for w in ws]
+    toxic, times = np.array([t for t, _, _ in groups], bool), np.array([x for _, _, x in groups], np.float64)
+    rows = np.array([g for g, _ in windows], np.int64)
+    n, length = len(windows), max(len(w) for _, w in windows)
+    mask = np.arange(length) < np.array([len(w) for _, w in windows])[:, None]
+    cells = np.array([(i, j, f) for i, (_, w) in enumerate(windows) for j, fs in enumerate(w) for f in fs], np.int64).reshape(-1, 3).T
+    at = start.copy()
+    first, second = np.zeros_like(at), np.zeros_like(at)
+    for k in range(1, rounds + 1):
+        emit = np.full((n, length), at[n_features])
+        np.add.at(emit, (cells[0], cells[1]), at[cells[2]])
+        off, steps, _ = row_slopes(emit, at[n_features + 1 :].reshape(2, 2), mask, rows, toxic, times)
+        slope = np.concatenate([np.bincount(cells[2], weights=off[cells[0], cells[1]], minlength=n_features), [off.sum()], steps.ravel()]) - penalty * at
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        at = at + 0.05 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+    return at
 
 
 def fitted(windows: list[tuple[list[list[int]], list[int], int]], n_features: int, rounds: int = 120, penalty: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
@@ -232,8 +303,10 @@ def sampled(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     return docs.select(F.col(id).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
 
 
-def trained(sample: DataFrame) -> Chain:
-    """A chain from (text, toxic); what reaches the driver is bounded by the sample."""
+def trained(sample: DataFrame, context: bool = CONTEXT, open_tags: bool = OPEN_TAGS) -> Chain:
+    """A chain from (text, toxic); what reaches the driver is bounded by the sample.
+
+    context adds pairs and the features of the words beside a token, open_tags the second fit, under the labels of rows alone."""
     sample = stored(sample, "sample")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -245,42 +318,61 @@ def trained(sample: DataFrame) -> Chain:
         own, other = Counter(), Counter()
         for b in batches:
             for text, y in zip(b.column(0), b.column(1), strict=True):
-                words = set(_WORD.findall(lowered(text.as_py() or "")))
-                (own if y.as_py() else other).update({f for w in words for f in features(w)})
+                words = _WORD.findall(lowered(text.as_py() or ""))
+                (own if y.as_py() else other).update({f for w in set(words) for f in features(w)}.union(map(pair, words, words[1:]) if context else ()))
         names = sorted({*own, *other})
         yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "a": pa.array([own[f] for f in names], pa.int64()), "b": pa.array([other[f] for f in names], pa.int64())})
 
     counts = stored(sample.mapInArrow(counted, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
-    tested = counts.filter("a + b >= 3").count()
-    found = [tuple(r) for r in counts.filter(f"a >= 3 and a * {clean} > 3 * b * {toxic}").collect()]
-    chosen = {f: k for k, f in enumerate(significant(found, toxic, clean, tested))}
+    chosen: dict[str, int] = {}
+    for kind in ("not contains(name, ' ')", "contains(name, ' ')")[: 1 + context]:
+        tested = counts.filter(f"a + b >= 3 and {kind}").count()
+        found = [tuple(r) for r in counts.filter(f"a >= 3 and a * {clean} > 3 * b * {toxic} and {kind}").collect()]
+        chosen |= {f: k for k, f in enumerate(significant(found, toxic, clean, tested), len(chosen))}
+    names = [*chosen, *(side + f for side in (AFTER, BEFORE) if context for f in chosen if " " not in f)]
+    number = {f: k for k, f in enumerate(names)}
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, list, list]] = []
+            out: list[tuple[int, list[dict]]] = []
             for text, y in zip(b.column(0), b.column(1), strict=True):
-                words = _WORD.findall(lowered(text.as_py() or ""))
-                tokens = [[chosen[f] for f in features(w) if f in chosen] for w in words]
+                words, y = _WORD.findall(lowered(text.as_py() or "")), y.as_py()
+                own = [[f for f in features(w) if f in chosen] for w in words]
+                tokens = [[number[f] for f in fs] for fs in own]
+                for i, p in enumerate(map(pair, words, words[1:])):
+                    if p in chosen:
+                        tokens[i + 1].append(number[p])
                 hits, at = [i for i, t in enumerate(tokens) if t], 0
+                marked = {i for i in hits if y}
+                for i, fs in enumerate(own if context else ()):
+                    if i + 1 < len(words):
+                        tokens[i + 1] += [number[AFTER + f] for f in fs]
+                    if i:
+                        tokens[i - 1] += [number[BEFORE + f] for f in fs]
+                windows = []
                 for i in [REACH, *hits]:
                     if i >= at:
                         a, z = max(at, i - REACH), min(len(words), i + REACH + 1)
                         if z > a:
-                            out.append((y.as_py(), tokens[a:z], [int(bool(t) and bool(y.as_py())) for t in tokens[a:z]]))
+                            windows.append({"tokens": [sorted(t) for t in tokens[a:z]], "tags": [int(k in marked) for k in range(a, z)]})
                         at = z
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["toxic", "tokens", "tags"])
+                out += [(y, windows)] if y and windows else [(y, [w]) for w in windows]
+            kind = pa.list_(pa.struct([("tokens", pa.list_(pa.list_(pa.int32()))), ("tags", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], kind)], names=["toxic", "windows"])
 
-    windows = sample.mapInArrow(windowed, "toxic int, tokens array<array<int>>, tags array<int>")
-    # equal windows are one row that counts as often as they occur; their order fixes the sums
-    windows = windows.groupBy("tokens", "tags").agg(F.count(F.lit(1)).alias("n"))
-    windows = sorted(windows.collect(), key=lambda r: (r["tokens"], r["tags"]))
+    windows = sample.mapInArrow(windowed, "toxic int, windows array<struct<tokens:array<array<int>>,tags:array<int>>>")
+    # a toxic row keeps its windows together, a clean one is as many rows; equal ones count as often as they occur; their order fixes the sums
+    groups = sorted(tuple(r) for r in windows.groupBy("toxic", "windows").agg(F.count(F.lit(1)).alias("n")).collect())
     chain = Chain()
-    if chosen and windows:
-        weights, chain.bias, chain.steps = fitted([(r["tokens"], r["tags"], r["n"]) for r in windows], len(chosen))
-        chain.weights = {f: float(weights[k]) for f, k in chosen.items()}
+    if chosen and groups:
+        weights, bias, steps = fitted([(w["tokens"], w["tags"], n) for _, ws, n in groups for w in ws], len(names))
+        at = np.concatenate([weights, [bias], steps.ravel()])
+        if open_tags:
+            at = refined([(bool(y), [w["tokens"] for w in ws], n) for y, ws, n in groups], len(names), at)
+        chain = Chain({f: float(at[k]) for f, k in number.items()}, float(at[len(names)]), at[len(names) + 1 :].reshape(2, 2))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float | None] = {}
+        known: dict[str, tuple | None] = {}
         for b in batches:
             all_told = [evidence(*tagged(chain, t.as_py(), known)[1:]) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in all_told], pa.float64()) for k in range(3)), b.column(1)], names=["x1", "x2", "x3", "toxic"])
@@ -297,7 +389,7 @@ def scored(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text"
     """(id, score, predicted, spans): spans are offsets (from, to, marginal) in code points of offending stretches."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float | None] = {}
+        known: dict[str, tuple | None] = {}
         for b in batches:
             scores, spans = [], []
             for t in b.column(1):

@@ -80,3 +80,59 @@ def test_query_equals_scores_text_by_text(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in X.op1_toxicity(spark, d).collect():
         assert abs(r["score"] - chain.score(*X.tagged(chain, texts[r["doc_id"]], {})[1:])) < 1e-9
+
+
+def test_row_slopes_equal_enumeration():
+    rng = np.random.default_rng(4)
+    emit, steps, mask = rng.normal(size=(4, 3)), rng.normal(size=(2, 2)), np.array([[1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 1, 1]], bool)
+    emit *= mask
+    rows, toxic, times = np.array([0, 0, 1, 2]), np.array([True, False, True]), np.array([2.0, 1.0, 3.0])
+
+    def value(emit, steps):
+        out = 0.0
+        for g in range(3):
+            total = zero = 1.0
+            for w in np.flatnonzero(rows == g):
+                n = int(mask[w].sum())
+                paths = {ys: math.exp(sum(emit[w, i] * y for i, y in enumerate(ys)) + sum(steps[a, b] for a, b in itertools.pairwise(ys))) for ys in itertools.product((0, 1), repeat=n)}
+                total, zero = total * sum(paths.values()), zero * paths[(0,) * n]
+            out += times[g] * math.log((total - zero if toxic[g] else zero) / total)
+        return out
+
+    off, slope, told = X.row_slopes(emit, steps, mask, rows, toxic, times)
+    assert abs(told - value(emit, steps)) < 1e-9
+    for w, t in zip(*np.nonzero(mask), strict=True):
+        moved = emit.copy()
+        moved[w, t] += 1e-6
+        assert abs((value(moved, steps) - told) / 1e-6 - off[w, t]) < 1e-4
+    for s, r in itertools.product((0, 1), repeat=2):
+        moved = steps.copy()
+        moved[s, r] += 1e-6
+        assert abs((value(emit, moved) - told) / 1e-6 - slope[s, r]) < 1e-4
+
+
+def test_context_and_open_tags(spark):
+    """Toxic is only one word right before another; each of both occurs as often in clean rows."""
+    rng = random.Random(3)
+    plain = ["table", "river", "stone", "paper", "window", "garden", "letter"]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(rng.randint(10, 40))]
+        if i % 3 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = ["vile", "hound"]
+        else:
+            words[3:3], words[8:8] = ["vile"], ["hound"]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("hold", X.fold("doc_id", 4) == 0)
+    sample = X.sampled(df.filter("not hold"), df.select("doc_id", "toxic"))
+
+    def accuracy(chain):
+        got = X.scored(df.filter("hold"), chain).join(df.select("doc_id", "toxic"), "doc_id").collect()
+        return sum(r["predicted"] == r["toxic"] for r in got) / len(got)
+
+    both = X.trained(sample, context=True, open_tags=True)
+    assert accuracy(both) == accuracy(X.trained(sample, context=True, open_tags=False)) == 1.0
+    assert accuracy(X.trained(sample, context=False, open_tags=False)) < 0.9
+    text = "vile river hound paper vile hound stone"
+    assert [text[s["from"] : s["to"]] for s in X.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), both).first()["spans"]] == ["hound"]
