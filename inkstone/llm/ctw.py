@@ -45,9 +45,11 @@ END = b"\n"
 #: Most entries that are broadcast: 10 MB of words (longer ones by their MD5), 64 MB of grams.
 MOST_WORDS, MOST_GRAMS, LONGEST_WORD = 1 << 17, 1 << 21, 64
 #: Bytes of text that a task handles at a time, and distinct words that it counts before it passes them on.
-BLOCK_BYTES, HELD_WORDS = 2 << 20, 1 << 20
+BLOCK_BYTES, HELD_WORDS = 1 << 20, 1 << 20
+#: Bytes of text that are looked up at a time: a gram takes some hundred bytes there, beside the broadcast tables.
+LOOKED_UP_BYTES = 1 << 18
 #: Context bytes that name a group of grams, and grams that are weighted at a time (whole groups).
-TOP, HELD_GRAMS = 3, 1 << 18
+TOP, HELD_GRAMS = 3, 1 << 16
 LN2 = math.log(2)
 
 
@@ -239,8 +241,8 @@ def weighted(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 # ---- counting and scoring ----
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(other columns of each row, tokens of each row) for stretches of about BLOCK_BYTES; text is the first column."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(other columns of each row, tokens of each row) for stretches of about most bytes; text is the first column."""
     rows, lists, size = [], [], 0
     for b in batches:
         for text, *rest in zip(*b.columns, strict=True):
@@ -248,7 +250,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list
             rows.append([x.as_py() for x in rest])
             lists.append(tokens(value))
             size += len(value or "")
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 yield rows, lists
                 rows, lists, size = [], [], 0
     if rows:
@@ -356,7 +358,7 @@ def scored(docs: DataFrame, trains: str, id: str = "doc_id", text: str = "text",
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, table = sent.value
         get = frequent.get
-        for told, lists in _blocks(batches):
+        for told, lists in _blocks(batches, LOOKED_UP_BYTES):
             base, known, rare, score, left = [], [], [], [], []
             spelt = [b" ".join(x[:-1]) + END for x in lists]
             codes = grams_of(b"".join(spelt), depth)

@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from inkstone.llm import ctw as C
 
@@ -101,3 +102,11 @@ def test_gram_table():
     asked = np.concatenate([codes[::3], rng.integers(1 << 41, 1 << 42, 1000)])
     found, absent = table.find(asked)
     assert np.array_equal(found[: len(codes[::3])], values[::3]) and np.array_equal(np.sort(absent), np.arange(len(codes[::3]), len(asked)))
+
+
+def test_blocks_are_as_small_as_asked():
+    """Lookups take shorter stretches of text than counting: their memory is some hundred bytes a letter."""
+    batch = pa.RecordBatch.from_pydict({"text": ["ab " * 100] * 50, "id": list(range(50))})
+    sizes = [sum(len(x) for x in lists) for _, lists in C._blocks(iter([batch]), 1000)]
+    assert len(sizes) == 13 and max(sizes) <= 4 * 101
+    assert C.LOOKED_UP_BYTES <= 1 << 18
