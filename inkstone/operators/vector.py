@@ -18,6 +18,8 @@ from inkstone.session import stored, table_exists
 
 #: Rows of a tile of the pairwise comparison, rows of a list of the search (more are striped), and queries that a task holds.
 TILE, CAPACITY, QUERIES = 8192, 65536, 4096
+#: Rows that a step compares or sends at a time, and pairs that it holds: its memory, whatever the batches and the number of tiles.
+HELD, PAIRS = 1024, 1 << 18
 #: Rows whose means are the lists' centres, and lists at most.
 SAMPLE, MOST_LISTS = 8192, 512
 
@@ -207,6 +209,13 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
             last = own
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, HELD at a time."""
+    for b in batches:
+        for at in range(0, len(b), HELD):
+            yield b.iloc[at : at + HELD]
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.70, tile: int = TILE) -> DataFrame:
     """(a, b, similarity), a < b: all pairs at or above least, exact.
 
@@ -220,7 +229,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.70, tile: int = TILE) ->
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = np.arange(total)
-        for b in batches:
+        for b in _slices(batches):
             v = _matrix(b["embedding"])
             unit = np.linalg.norm(v, axis=1) > 0
             own = first[b["list"].to_numpy()] + b["stripe"].to_numpy()
@@ -229,21 +238,23 @@ def similar_pairs(vectors: DataFrame, least: float = 0.70, tile: int = TILE) ->
             host = np.where((own[:, None] + every[None]) % 2 == 0, every[None] < own[:, None], every[None] > own[:, None])
             row, at = np.nonzero(near & host)
             yield pd.DataFrame({"tile": own, "kind": 0, "id": b["id"].to_numpy(), "embedding": b["embedding"].to_numpy()})
-            yield pd.DataFrame({"tile": at, "kind": 1, "id": b["id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row]})
+            for k in range(0, len(row), 8 * HELD):  # a row goes to many tiles
+                some = row[k : k + 8 * HELD]
+                yield pd.DataFrame({"tile": at[k : k + 8 * HELD], "kind": 1, "id": b["id"].to_numpy()[some], "embedding": b["embedding"].to_numpy()[some]})
 
     met = known.mapInPandas(sent, "tile int, kind int, id long, embedding array<double>").repartition("tile").sortWithinPartitions("tile", "kind")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: list[tuple[np.ndarray, np.ndarray]] = []
         none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
+        out, held = [none], 0
         for new, run in _groups(batches, ["tile", "kind"]):
             inside = run["kind"].iloc[0] == 0
             if new and inside:
                 own = []
             ids, x = run["id"].to_numpy(), _matrix(run["embedding"])
-            out = [none]
-            for at in range(0, len(x), 1024):
-                some = slice(at, at + 1024)
+            for at in range(0, len(x), HELD):
+                some = slice(at, at + HELD)
                 if inside:  # with what of the tile came before
                     own.append((ids[some], x[some]))
                 for others, y in own:
@@ -254,7 +265,13 @@ def similar_pairs(vectors: DataFrame, least: float = 0.70, tile: int = TILE) ->
                     if inside and others is own[-1][0]:
                         keep &= i > j
                     out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[i, j][keep]}))
-            yield pd.concat(out)
+                    held += len(out[-1])
+                    if held >= PAIRS:
+                        yield pd.concat(out)
+                        out, held = [none], 0
+            if len(out) >= HELD:
+                out = [pd.concat(out)]
+        yield pd.concat(out)
 
     return met.mapInPandas(compared, "a long, b long, similarity double")
 
@@ -272,7 +289,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True,
 
     def asked(phase: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in _slices(batches):
                 v = _matrix(b["embedding"])
                 apart = measured(v)
                 order = np.argsort(apart, axis=1, kind="stable")
@@ -287,7 +304,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True,
                     zero = np.linalg.norm(v, axis=1) == 0
                     able &= (rank >= 1) & ((apart <= far[:, None]) | zero[:, None] | (b["least"].isna().to_numpy() | (b["least"].to_numpy(np.float64) <= 0))[:, None])
                 row, at = np.nonzero(able)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row], "list": at})
+                for j in range(0, len(row), 8 * HELD):  # a question goes to many lists
+                    some = row[j : j + 8 * HELD]
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[some], "embedding": b["embedding"].to_numpy()[some], "list": at[j : j + 8 * HELD]})
 
         return ask
 
@@ -311,7 +330,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True,
                 return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in best]), "id": np.concatenate([x for _, x in best]).astype(np.int64), "similarity": np.concatenate([x for x, _ in best])})
 
             waiting: list[pd.DataFrame] = []
-            for new, run in _groups(batches, keys):
+            for new, run in _groups(_slices(batches), keys):
                 if new and best:
                     yield found()
                 if new:
@@ -325,8 +344,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True,
                     whole = pd.concat(waiting)
                     ids, q = whole["id"].to_numpy(), _matrix(whole["embedding"])
                     best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+                    least = np.full(len(ids), -np.inf)  # what a hit has to reach
                 at_, s = rows_["id"].to_numpy(), np.round(_matrix(rows_["embedding"]) @ q.T, 9)
-                for j in range(len(ids)):
+                for j in np.flatnonzero(~(s < least).all(0)).tolist():
                     near, at = s[:, j], at_
                     if not own:
                         near, at = near[at != ids[j]], at[at != ids[j]]
@@ -340,6 +360,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 3, own: bool = True,
                         near, at = np.concatenate([best[j][0], near]), np.concatenate([best[j][1], at])
                         order = np.lexsort((at, -near))[:k]
                         best[j] = near[order], at[order]
+                        if len(order) == k:
+                            least[j] = best[j][0][-1]
             if best:
                 yield found()
 
