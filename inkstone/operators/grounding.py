@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +19,14 @@ from inkstone.operators.vector import cached_embeddings, hashed_vectors
 from inkstone.session import stored
 
 SIMILAR = 0.45
+#: Texts that are embedded together, and those of the row that completes them.
+EMBEDDED = 1024
 _FIRST = r"(\d+(?:\.\d+)?)"
 
 
 def entities(c: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
-    return F.array_sort(F.array_distinct(T.substring_terms(F.lower(F.coalesce(c, F.lit(""))), terms)))
+    """Those of terms that stand in c, ascending."""
+    return T.substring_terms(F.lower(F.coalesce(c, F.lit(""))), sorted(set(terms)))
 
 
 def _leading(fact: Column) -> Column:
@@ -59,34 +63,49 @@ def claims(drafts: DataFrame) -> DataFrame:
     A paragraph is a line; lines of citations only are left out. Uncited paragraphs take the draft's only valid citation if it
     has no invalid one; else those of 8 words or more are one claim each with cited empty, and shorter ones are left out."""
     none = F.array().cast("array<int>")
-    known, cited = F.coalesce("source_ids", none), T.citations(F.col("article"))
-    sole = (F.size(F.array_intersect(cited, known)) == 1) & (F.size(F.array_except(cited, known)) == 0)
-    given = F.when(sole, F.array_intersect(cited, known)).otherwise(none)
-    lines = drafts.select("draft_id", given.alias("_given"), F.posexplode(F.split(F.coalesce("article", F.lit("")), "\n")).alias("paragraph", "_line"))
-    own, plain = T.citations(F.col("_line")), T.without_citations(F.col("_line"))
-    lines = lines.filter(plain != "").withColumn("_plain", plain).withColumn("cited", F.when(F.size(own) > 0, own).otherwise(F.col("_given")))
+    # every step is a column, so that no text is searched twice
+    rows = drafts.select("draft_id", "article", F.coalesce("source_ids", none).alias("_known"), T.citations(F.col("article")).alias("_cited"))
+    rows = rows.withColumns({"_valid": F.array_intersect("_cited", "_known"), "_invalid": F.array_except("_cited", "_known")})
+    given = F.when((F.size("_valid") == 1) & (F.size("_invalid") == 0), F.col("_valid")).otherwise(none)
+    lines = rows.select("draft_id", given.alias("_given"), F.posexplode(F.split(F.coalesce("article", F.lit("")), "\n")).alias("paragraph", "_line"))
+    lines = lines.withColumns({"_own": T.citations(F.col("_line")), "_plain": T.without_citations(F.col("_line"))}).filter(F.col("_plain") != "")
+    lines = lines.withColumn("cited", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_given")))
     lines = lines.filter((F.size("cited") > 0) | (T.word_count(F.col("_plain")) >= 8))
     parts = F.when(F.size("cited") == 0, F.array("_plain")).otherwise(T.sentences(F.col("_plain")))
     return lines.select("draft_id", "paragraph", "cited", F.posexplode(parts).alias("sentence", "claim"))
 
 
+def _sentences(text: str | None) -> list[str]:
+    """T.sentences of a text: what str.split takes as white space is T.SPACE."""
+    return [s for s in re.split(r" (?<=[.!?] )", " ".join((text or "").split())) if s]
+
+
 def _nearest_of_texts(both: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """both with near, per claim asked the highest similarity to a sentence told (0 without any), in place of told."""
+    """both with near, per claim asked the highest similarity to a sentence of content (0 without any), in place of content."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for asked, told in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                texts = pd.Series([*(a["claim"] for a in asked), *(told or [])], dtype=object)
-                found = list(embed(texts))
+            asked, content = b.column(2), b.column(3)
+            claimed = pc.struct_field(asked.flatten(), "claim").to_pylist()
+            sizes, out, first = pc.list_value_length(asked).to_pylist(), [], 0
+            texts, spans = [], []  # claims and sentences of some rows, and where those of a row begin, part and end
+            for row, n in enumerate(sizes):
+                begin = len(texts)
+                texts += claimed[first : first + n]
+                texts += _sentences(content[row].as_py())
+                spans.append((begin, begin + n, len(texts)))
+                first += n
+                if len(texts) < EMBEDDED and row + 1 < len(sizes):
+                    continue
+                found = list(embed(pd.Series(texts, dtype=object)))
                 size = next((len(v) for v in found if v is not None), 1)
                 matrix = np.array([np.zeros(size) if v is None else v for v in found], np.float64)
-                n = len(asked)
-                out.append((matrix[:n] @ matrix[n:].T).max(axis=1).tolist() if told else [0.0] * n)
+                out += [(matrix[i:j] @ matrix[j:k].T).max(axis=1).tolist() if j < k else [0.0] * (j - i) for i, j, k in spans]
+                texts, spans = [], []
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[4:], pa.array(out, pa.list_(pa.float64()))], names=["draft_id", "source_id", "asked", "known", "there", "near"])
 
     blank = both.select("draft_id", "source_id", "asked", "known", "there", F.array().cast("array<double>").alias("near"))
-    return both.mapInArrow(near, blank.schema)
+    return both.select("draft_id", "source_id", "asked", "content", "known", "there").mapInArrow(near, blank.schema)
 
 
 def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series], cache: str) -> DataFrame:
@@ -129,14 +148,12 @@ def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR,
     contents = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], "content")
     both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(contents, key, "left")
     # facts and sentences only of sources that are asked for; one that is missing has none
-    both = with_facts(both, terms).withColumn("told", F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))).withColumn("there", F.col("content").isNotNull())
-
+    both = with_facts(both, terms).withColumn("there", F.col("content").isNotNull())
     if cache is None:
-        nearest = lambda rows: _nearest_of_texts(rows, embed)
+        judged = _nearest_of_texts(both, embed)
     else:
-        both = stored(both, "asked")
-        nearest = lambda rows: _nearest_of_vectors(rows, embed, cache)
-    judged = nearest(both.select("draft_id", "source_id", "asked", "told", "known", "there"))
+        told = F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))
+        judged = _nearest_of_vectors(stored(both.select(*key, "asked", told.alias("told"), "known", "there"), "asked"), embed, cache)
     judged = judged.select("draft_id", "source_id", "known", "there", F.explode(F.arrays_zip("asked", "near")).alias("x")).select("draft_id", "source_id", "known", "there", "x.asked.*", "x.near")
     errors = F.when(F.coalesce("there", F.lit(False)), fact_errors(F.col("claim"), F.col("known"), terms)).otherwise(F.array(F.lit("source not available")))
     value = F.when(F.coalesce("there", F.lit(False)), F.round(F.greatest("near", F.lit(0.0)), 6)).otherwise(0.0)
