@@ -30,8 +30,8 @@ def daily(articles: DataFrame) -> DataFrame:
 
 def group_coverage(articles: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
     """(name, n): articles that mention any of a group's words; groups without articles are left out."""
-    text = T.normalized(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    rows = articles.select(text.alias("_t")).withColumn("_w", T.tokens(F.col("_t")))
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    rows = articles.select(text.alias("_t")).withColumn("_w", T.tokens(F.col("_t"), T.words_of(t for ts in groups.values() for t in ts)))
     hit = F.array_compact(F.array(*[F.when(T.any_term(F.col("_t"), F.col("_w"), ts), F.lit(g)) for g, ts in groups.items()]))
     return rows.select(F.explode(hit).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 

@@ -57,3 +57,33 @@ def test_sentences_in_python_and_columns(spark):
 def test_terms_found_once_each_in_order(spark):
     row = spark.createDataFrame([("The Army with por",)], "t string").select(grounding.entities(F.col("t"), ("with", "army", "with", "none")).alias("e"), T.substring_terms(F.lower("t"), ("with", "army", "with")).alias("s")).first()
     assert row["e"] == ["army", "with"] and row["s"] == ["with", "army"]
+
+
+def test_phrases_are_found_as_in_squeezed_texts(spark):
+    terms = ("of the", "a", "é", "bc the", "of-the", ". of", "the .", "1", "a  b", " of", "_ of", "日本 a", "the_")
+    texts = [t for t in odd_texts(600) if t] + [f"{x} {y}{z}" for x in ("of", "of\t", "a-of", "xof") for y in ("the", "  the", "-the", "thes") for z in ("", "\n", ".x")]
+    import re
+
+    low = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", F.lower("t").alias("t"))
+    rows = low.withColumns({"s": T.squeezed(F.col("t")), "w": T.tokens(F.col("t")), "v": T.tokens(F.col("t"), T.words_of(terms))})
+    edge = r"[\p{L}\p{N}_]"
+    old = [F.col("s").rlike((rf"(^|[^{edge[1:]})" if re.match(r"\w", t) else "") + re.sub(r"([.])", r"\\\1", t) + (rf"($|[^{edge[1:]})" if re.search(r"\w$", t) else "")) for t in terms]
+    new = [[T.bounded(F.col("t"), F.col(w), t) for t in terms] for w in ("w", "v")]
+    found = rows.select("k", F.array(*old).alias("old"), F.array(*new[0]).alias("all"), F.array(*new[1]).alias("known")).collect()
+    for r in found:
+        assert r["old"] == r["all"] == r["known"], (texts[r["k"]], r)
+    assert all(any(r["old"][k] for r in found) for k in (0, 1, 2, 7))
+
+
+def test_classes_do_not_squeeze_texts(spark):
+    """The relevance of a text is told without its white space being squeezed, and is the same for any white space."""
+    from inkstone.functions.lexicons import FIXTURE
+    from inkstone.operators import classify
+
+    body = "of the army with und von, the this of \n the thnd"
+    rows = spark.createDataFrame([(1, "Of  the", body), (2, "Of the", " ".join(body.split()))], "id long, title string, content string")
+    out = classify.relevance(rows, FIXTURE).select("region_score", "theme_max", "relevance_score", "category")
+    a, b = out.collect()
+    assert a == b and a["region_score"] > 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
