@@ -122,13 +122,21 @@ def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for found in b.column(2).to_pylist():
-                found.sort(key=lambda f: (f["side"], f["place"]))
-                size = next((len(f["embedding"]) for f in found if f["embedding"] is not None), 1)
-                matrix = np.array([np.zeros(size) if f["embedding"] is None else f["embedding"] for f in found], np.float64)
-                n = sum(f["side"] == 0 for f in found)
-                out.append((matrix[:n] @ matrix[n:].T).max(axis=1).tolist() if n < len(found) else [0.0] * n)
+            flat, out, first = b.column(2).flatten(), [], 0
+            side, place = (pc.struct_field(flat, k).to_numpy() for k in ("side", "place"))
+            vectors = pc.struct_field(flat, "embedding")
+            # components of all vectors in a row, and where each begins: no component becomes an object
+            there, values = vectors.is_valid().to_numpy(zero_copy_only=False), vectors.flatten().to_numpy()
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+            for many in pc.list_value_length(b.column(2)).to_pylist():
+                order = first + np.lexsort((place[first : first + many], side[first : first + many]))
+                known = there[order]
+                size = int(ends[order[known][0]] - (ends[order[known][0] - 1] if order[known][0] else 0)) if known.any() else 1
+                matrix = np.zeros((many, size))
+                matrix[known] = values[(ends[order[known]] - size)[:, None] + np.arange(size)]
+                n = int((side[order] == 0).sum())
+                out.append((matrix[:n] @ matrix[n:].T).max(axis=1).tolist() if n < many else [0.0] * n)
+                first += many
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.float64()))], names=[*key, "near"])
 
     nearest = met.select(*key, "_found").mapInArrow(near, "draft_id long, source_id int, near array<double>")
