@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from inkstone.session import stored
 SIMILAR = 0.45
 #: Texts that are embedded together, and those of the row that completes them.
 EMBEDDED = 1024
+#: Characters of a source that are read before the rest of it, where it is enough that a claim is supported.
+OPENING = 1000
 _FIRST = r"(\d+(?:\.\d+)?)"
 
 
@@ -33,12 +35,21 @@ def _leading(fact: Column) -> Column:
     return F.regexp_extract(fact, _FIRST, 1)
 
 
+def claim_facts(claim: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> dict[str, Column]:
+    """The numbers, dates and entities that a claim states, by these names."""
+    return {"numbers": T.numbers(claim), "dates": T.dates(claim), "entities": entities(claim, terms)}
+
+
 def with_facts(sources: DataFrame, terms: tuple[str, ...] = CLAIM_ENTITIES) -> DataFrame:
     """sources with known: numbers and dates (normalised) with their leading numbers, and entities; each found once for all claims.
 
+    sources have has_numbers, has_dates and has_entities, which tell whether any claim on the source states such facts: where none
+    does, none can be wrong, and the text is not searched for them.
     Every step is a column of its own: an expression named twice in one step would read the text twice."""
-    rows = sources.withColumns({"_mentions": T.date_mentions(F.col("content")), "_numbers": T.numbers(F.col("content")), "_entities": entities(F.col("content"), terms)})
-    rows = rows.withColumn("_dates", T.dates(F.col("content"), F.col("_mentions")))
+    asked = lambda kind, found: F.when(F.col(f"has_{kind}"), found).otherwise(F.array().cast("array<string>"))
+    content = F.col("content")
+    rows = sources.withColumns({"_mentions": asked("dates", T.date_mentions(content)), "_numbers": asked("numbers", T.numbers(content)), "_entities": asked("entities", entities(content, terms))})
+    rows = rows.withColumn("_dates", asked("dates", T.dates(content, F.col("_mentions"))))
     told = lambda facts: F.struct(F.transform(facts, T.normalized).alias("whole"), F.filter(F.transform(facts, _leading), lambda x: x != "").alias("leading"))
     known = F.struct(told(F.col("_numbers")).alias("numbers"), told(F.col("_dates")).alias("dates"), F.col("_entities").alias("entities"))
     return rows.withColumn("known", known).drop("_mentions", "_numbers", "_dates", "_entities")
@@ -49,11 +60,12 @@ def unknown_facts(facts: Column, known: Column) -> Column:
     return F.filter(facts, lambda f: ~(F.array_contains(known["whole"], T.normalized(f)) | ((_leading(f) != "") & F.array_contains(known["leading"], _leading(f)))))
 
 
-def fact_errors(claim: Column, known: Column, terms: tuple[str, ...] = CLAIM_ENTITIES) -> Column:
+def fact_errors(stated: dict[str, Column], known: Column) -> Column:
+    """The claim_facts of a claim that the source lacks."""
     label = lambda what, xs: F.transform(xs, lambda x: F.concat(F.lit(f"{what}: "), x))
     return F.concat(
-        label("number", unknown_facts(T.numbers(claim), known["numbers"])), label("date", unknown_facts(T.dates(claim), known["dates"])),
-        label("entity", F.array_except(entities(claim, terms), known["entities"])),
+        label("number", unknown_facts(stated["numbers"], known["numbers"])), label("date", unknown_facts(stated["dates"], known["dates"])),
+        label("entity", F.array_except(stated["entities"], known["entities"])),
     )
 
 
@@ -77,35 +89,68 @@ def claims(drafts: DataFrame) -> DataFrame:
 
 def _sentences(text: str | None) -> list[str]:
     """T.sentences of a text: what str.split takes as white space is T.SPACE."""
-    return [s for s in re.split(r" (?<=[.!?] )", " ".join((text or "").split())) if s]
+    squeezed = " ".join((text or "").split())
+    # no line ends are left in it, so that they can part the sentences
+    return squeezed.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n") if squeezed else []
+
+
+def _highest(rows: Iterable[tuple[list[str], list[str]]], embed: Callable[[pd.Series], pd.Series]) -> Iterator[list[float]]:
+    """Of each (claims, sentences), per claim the highest similarity to a sentence (0 without any). Texts of many rows are embedded together."""
+    texts, spans = [], []  # claims and sentences of some rows, and where those of a row begin, part and end
+
+    def found() -> Iterator[list[float]]:
+        vectors = list(embed(pd.Series(texts, dtype=object)))
+        size = next((len(v) for v in vectors if v is not None), 1)
+        matrix = np.array([np.zeros(size) if v is None else v for v in vectors], np.float64)
+        for i, j, k in spans:
+            yield (matrix[i:j] @ matrix[j:k].T).max(axis=1).tolist() if j < k else [0.0] * (j - i)
+
+    for claimed, told in rows:
+        begin = len(texts)
+        texts += claimed
+        texts += told
+        spans.append((begin, begin + len(claimed), len(texts)))
+        if len(texts) >= EMBEDDED:
+            yield from found()
+            texts, spans = [], []
+    if spans:
+        yield from found()
+
 
+def _nearest_of_texts(both: DataFrame, embed: Callable[[pd.Series], pd.Series], enough: float | None = None) -> DataFrame:
+    """both with near, per claim asked the highest similarity to a sentence of content (0 without any), in place of content.
 
-def _nearest_of_texts(both: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """both with near, per claim asked the highest similarity to a sentence of content (0 without any), in place of content."""
+    With enough it need not be the highest where it is at least that, or where the claim has errors anyway: sources whose openings have
+    such a sentence for every other claim are not cut and embedded beyond them, as no further sentence can lower it; all others are,
+    to their ends."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             asked, content = b.column(2), b.column(3)
-            claimed = pc.struct_field(asked.flatten(), "claim").to_pylist()
-            sizes, out, first = pc.list_value_length(asked).to_pylist(), [], 0
-            texts, spans = [], []  # claims and sentences of some rows, and where those of a row begin, part and end
-            for row, n in enumerate(sizes):
-                begin = len(texts)
-                texts += claimed[first : first + n]
-                texts += _sentences(content[row].as_py())
-                spans.append((begin, begin + n, len(texts)))
-                first += n
-                if len(texts) < EMBEDDED and row + 1 < len(sizes):
-                    continue
-                found = list(embed(pd.Series(texts, dtype=object)))
-                size = next((len(v) for v in found if v is not None), 1)
-                matrix = np.array([np.zeros(size) if v is None else v for v in found], np.float64)
-                out += [(matrix[i:j] @ matrix[j:k].T).max(axis=1).tolist() if j < k else [0.0] * (j - i) for i, j, k in spans]
-                texts, spans = [], []
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[4:], pa.array(out, pa.list_(pa.float64()))], names=["draft_id", "source_id", "asked", "known", "there", "near"])
-
-    blank = both.select("draft_id", "source_id", "asked", "known", "there", F.array().cast("array<double>").alias("near"))
-    return both.select("draft_id", "source_id", "asked", "content", "known", "there").mapInArrow(near, blank.schema)
+            flat, ends = asked.flatten(), np.cumsum(pc.list_value_length(asked).to_numpy())
+            claimed = pc.struct_field(flat, "claim").to_pylist()
+            # the claims of each row that are compared, as places in claimed
+            spans = [range(i, j) for i, j in zip([0, *ends], ends, strict=False)]
+            if enough is not None:
+                sound = pc.equal(pc.list_value_length(pc.struct_field(flat, "errors")), 0).to_pylist()
+                spans = [[k for k in span if sound[k]] for span in spans]
+            values, rest = np.zeros(len(claimed)), [row for row, span in enumerate(spans) if span]
+
+            def compared(rows: list[int], sentences: Callable[[int], list[str]]) -> None:
+                for row, found in zip(rows, _highest((([claimed[k] for k in spans[row]], sentences(row)) for row in rows), embed), strict=True):
+                    values[spans[row]] = found
+
+            if enough is not None:
+                # the last sentence of an opening may go on behind it
+                openings = pc.utf8_slice_codeunits(content, 0, OPENING)
+                compared(rest, lambda row: _sentences(openings[row].as_py())[:-1])
+                rest = [row for row in rest if values[spans[row]].min() < enough]
+            compared(rest, lambda row: _sentences(content[row].as_py()))
+            found = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], found], names=["draft_id", "source_id", "asked", "near"])
+
+    blank = both.select("draft_id", "source_id", "asked", F.array().cast("array<double>").alias("near"))
+    return both.select("draft_id", "source_id", "asked", "content").mapInArrow(near, blank.schema)
 
 
 def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series], cache: str) -> DataFrame:
@@ -140,34 +185,36 @@ def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.float64()))], names=[*key, "near"])
 
     nearest = met.select(*key, "_found").mapInArrow(near, "draft_id long, source_id int, near array<double>")
-    return both.select(*key, "asked", "known", "there").join(nearest, key).select(*key, "asked", "known", "there", "near")
+    return both.select(*key, "asked").join(nearest, key).select(*key, "asked", "near")
 
 
-def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors, cache: str | None = None) -> DataFrame:
+def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR, terms: tuple[str, ...] = CLAIM_ENTITIES, embed: Callable[[pd.Series], pd.Series] = hashed_vectors, cache: str | None = None, similarity: bool = True) -> DataFrame:
     """(draft_id, paragraph, sentence, source_id, similarity, errors, supported); sources are (draft_id, source_id, content),
-    one row each.
+    one row each. Without similarity, that column is left out, and a source is compared only until each of its claims is similar enough.
 
     Citations of sources that are not there, and claims without citation, stay as unsupported rows. The claims on one source
     (they are all of one draft) meet its sentences and facts in one row, where each is embedded. With a cache (a path in the shared
     folder) each distinct sentence is embedded once over all drafts and runs, for embedders that cost more than a join."""
-    rows = claim_rows.withColumn("source_id", F.explode_outer("cited")).drop("cited")
+    kinds = ("numbers", "dates", "entities")
+    rows = claim_rows.withColumns(claim_facts(F.col("claim"), terms)).withColumn("source_id", F.explode_outer("cited")).drop("cited")
     key = ["draft_id", "source_id"]
-    asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim")).alias("asked"))
+    asked = rows.filter("source_id is not null").groupBy(*key).agg(F.collect_list(F.struct("paragraph", "sentence", "claim", *kinds)).alias("asked"), *[F.bool_or(F.size(k) > 0).alias(f"has_{k}") for k in kinds])
     contents = sources.select(*[F.col(k).cast(t) for k, t in zip(key, ("long", "int"), strict=True)], "content")
-    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked").join(contents, key, "left")
+    both = asked.select(F.col("draft_id").cast("long"), F.col("source_id").cast("int"), "asked", *[f"has_{k}" for k in kinds]).join(contents, key, "left")
     # facts and sentences only of sources that are asked for; one that is missing has none
-    both = with_facts(both, terms).withColumn("there", F.col("content").isNotNull())
+    there = F.col("content").isNotNull()
+    errors = lambda a: F.when(there, fact_errors({k: a[k] for k in kinds}, F.col("known"))).otherwise(F.array(F.lit("source not available")))
+    both = with_facts(both, terms).withColumn("asked", F.transform("asked", lambda a: F.struct(a["paragraph"].alias("paragraph"), a["sentence"].alias("sentence"), a["claim"].alias("claim"), errors(a).alias("errors"))))
     if cache is None:
-        judged = _nearest_of_texts(both, embed)
+        judged = _nearest_of_texts(both, embed, None if similarity else least)
     else:
-        told = F.when(F.col("content").isNotNull(), T.sentences(F.col("content")))
-        judged = _nearest_of_vectors(stored(both.select(*key, "asked", told.alias("told"), "known", "there"), "asked"), embed, cache)
-    judged = judged.select("draft_id", "source_id", "known", "there", F.explode(F.arrays_zip("asked", "near")).alias("x")).select("draft_id", "source_id", "known", "there", "x.asked.*", "x.near")
-    errors = F.when(F.coalesce("there", F.lit(False)), fact_errors(F.col("claim"), F.col("known"), terms)).otherwise(F.array(F.lit("source not available")))
-    value = F.when(F.coalesce("there", F.lit(False)), F.round(F.greatest("near", F.lit(0.0)), 6)).otherwise(0.0)
-    cited = judged.select("draft_id", "paragraph", "sentence", "source_id", value.alias("similarity"), errors.alias("errors"))
+        told = F.when(there, T.sentences(F.col("content")))
+        judged = _nearest_of_vectors(stored(both.select(*key, "asked", told.alias("told")), "asked"), embed, cache)
+    judged = judged.select(*key, F.explode(F.arrays_zip("asked", "near")).alias("x")).select(*key, "x.asked.*", "x.near")
+    cited = judged.select("draft_id", "paragraph", "sentence", "source_id", F.round(F.greatest("near", F.lit(0.0)), 6).alias("similarity"), "errors")
     uncited = rows.filter("source_id is null").select(F.col("draft_id").cast("long"), "paragraph", "sentence", F.col("source_id").cast("int"), F.lit(0.0).alias("similarity"), F.array(F.lit("no citation")).alias("errors"))
-    return cited.unionAll(uncited).withColumn("supported", (F.size("errors") == 0) & (F.col("similarity") >= least))
+    judged = cited.unionAll(uncited).withColumn("supported", (F.size("errors") == 0) & (F.col("similarity") >= least))
+    return judged if similarity else judged.drop("similarity")
 
 
 def draft_verdicts(drafts: DataFrame, judged: DataFrame) -> DataFrame:
@@ -192,16 +239,25 @@ def cited_metadata(drafts: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.select("draft_id", "source_id", "title"), ["draft_id", "source_id"], "left").withColumn("missing", F.col("title").isNull())
 
 
+def unfenced(text: str | None) -> str:
+    """A model's answer without white space and fences around it."""
+    body = _FENCE.sub("", (text or "").strip(), count=1)
+    return body[:-3].rstrip() if body.endswith("```") else body
+
+
 def repaired_json(text: str | None) -> str | None:
     """The JSON object in a model's answer as compact text: fences off, outermost braces, raw line ends and tabs inside strings
     escaped; null if there is none."""
-    body = re.sub(r"^```(?:json)?\s*|\s*```$", "", (text or "").strip(), flags=re.IGNORECASE)
-    tries = [body]
-    if "{" in body and "}" in body:
-        inner = body[body.index("{") : body.rindex("}") + 1]
-        quoted = re.sub(r'"(?:[^"\\]|\\.)*"', lambda m: m[0].replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"), inner, flags=re.DOTALL)
-        tries += [inner, quoted]
-    for t in tries:
+    body = unfenced(text)
+
+    def tries() -> Iterator[str]:
+        # each is only made if those before it are no objects
+        yield body
+        if "{" in body and "}" in body:
+            yield (inner := body[body.index("{") : body.rindex("}") + 1])
+            yield _QUOTED.sub(lambda m: m[0].replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"), inner)
+
+    for t in tries():
         try:
             if isinstance(found := json.loads(t), dict):
                 return json.dumps(found, ensure_ascii=False, sort_keys=True)
@@ -210,6 +266,10 @@ def repaired_json(text: str | None) -> str | None:
     return None
 
 
+_FENCE = re.compile(r"\A```(?:json)?\s*", re.IGNORECASE)
+_QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
 def structure_error(text: str | None) -> str | None:
     """What is wrong with a draft's JSON, or null: headline and article filled strings, source_ids whole numbers."""
     if text is None:
@@ -260,16 +320,20 @@ def generation_rounds(
     without a correction. attempts: (draft_id, outer, attempt, status, correction); results: the attempt that ended each request,
     with answer. A request without sources ends at once, as insufficient_evidence."""
     n_sources = stored(sources.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")), "n_sources")
-    open_, tried = requests, []
+    open_, tried, evidence = requests, [], sources
     for o in range(1, outer + 1):
         now = open_.withColumn("correction", F.lit(""))
         for a in range(1, inner + 1):
+            if tried and evidence is sources:
+                # drafts that the first attempt ended are never asked for again, nor are their sources
+                left = stored(tried[0].filter("status not in ('success', 'insufficient_evidence')").select("draft_id"), "left")
+                evidence = stored(sources.join(left, "draft_id", "left_semi"), "evidence")
             asked = now.withColumn("outer", F.lit(o)).withColumn("attempt", F.lit(a))
             answers = stored(generate(asked).select("draft_id", "answer"), "answers")
             parsed = stored(parsed_drafts(answers), "parsed")
             sound = parsed.filter("structure_error is null")
             told = stored(claims(sound), "claims")
-            judged = stored(verified(told, sources, terms=terms, embed=embed), "judged")
+            judged = stored(verified(told, evidence, terms=terms, embed=embed, similarity=False), "judged")
             status = draft_status(parsed, draft_verdicts(sound, judged), n_sources)
             wrong = judged.filter(~F.col("supported")).select("draft_id", "paragraph", "sentence").distinct().join(told.select("draft_id", "paragraph", "sentence", "claim"), ["draft_id", "paragraph", "sentence"])
             listed = wrong.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("paragraph", "sentence", "claim"))).alias("_wrong"))

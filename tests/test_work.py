@@ -87,3 +87,78 @@ def test_classes_do_not_squeeze_texts(spark):
     assert a == b and a["region_score"] > 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_sources_are_embedded_until_their_claims_are_supported(spark):
+    tail = " ".join(f"Zz {'q' * 40}." for _ in range(60))
+    told = {
+        1: "Rebels crossed the river. They were seen near the bridge. " + tail,  # both claims stand in the opening
+        2: tail + " Rebels crossed the river. They were seen near the bridge.",  # at the end only
+        3: tail,  # nowhere
+        4: "Rebels crossed the river. " + tail,  # the claim that the opening lacks has a wrong number
+        5: "",
+        6: "x" * (grounding.OPENING - 4) + ". Rebels crossed the river. They were seen near the bridge.",  # cut in the middle
+    }
+    made = [(k, "Rebels crossed the river. They were seen near the bridge. [Source 1]" if k != 4 else "Rebels crossed the river. 4711 jjjjj. [Source 1]", [1]) for k in [*told, 7]]
+    made = spark.createDataFrame(made, "draft_id long, article string, source_ids array<int>")
+    sources = spark.createDataFrame([(k, 1, t) for k, t in told.items()], "draft_id long, source_id int, content string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(len(texts))
+        return vector.letter_vectors(texts)
+
+    whole = sorted(map(tuple, grounding.verified(grounding.claims(made), sources, embed=embed).drop("similarity").collect()))
+    every, seen.value = seen.value, 0
+    short = grounding.verified(grounding.claims(made), sources, embed=embed, similarity=False)
+    assert sorted(map(tuple, short.collect())) == whole and "similarity" not in short.columns
+    assert {r["draft_id"] for r in short.filter("supported").collect()} == {1, 2, 4, 6}
+    one = {k: seen_by(spark, made, sources, k) for k in (1, 4)}
+    assert every > 200 and all(n < 40 for n in one.values()), one
+
+
+def seen_by(spark, made, sources, draft):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(len(texts))
+        return vector.letter_vectors(texts)
+
+    grounding.verified(grounding.claims(made.filter(F.col("draft_id") == draft)), sources, embed=embed, similarity=False).collect()
+    return seen.value
+
+
+def test_facts_are_looked_for_only_where_claims_state_some(spark):
+    asked = [(1, True, False, False), (2, False, True, False), (3, False, False, True), (4, False, False, False)]
+    rows = spark.createDataFrame([(*r, "The army saw 12 km on 2024-03-05.") for r in asked], "k int, has_numbers boolean, has_dates boolean, has_entities boolean, content string")
+    found = {r["k"]: (bool(r["known"]["numbers"]["whole"]), r["known"]["dates"]["whole"], r["known"]["entities"]) for r in grounding.with_facts(rows).collect()}
+    assert found == {1: (True, [], []), 2: (False, ["2024-03-05"], []), 3: (False, [], ["army"]), 4: (False, [], [])}
+
+
+def test_later_rounds_read_the_sources_of_open_drafts_only(spark, monkeypatch):
+    told = "The river rose by 4 metres in May. Two villages were moved to the hills."
+    sources = spark.createDataFrame([(k, 1, told) for k in range(6)], "draft_id long, source_id int, content string")
+    requests, read, plain = spark.createDataFrame([(k,) for k in range(6)], "draft_id long"), [], grounding.verified
+
+    def write(rows):
+        text = F.when((F.col("draft_id") > 1) | (F.col("correction") != ""), "Two villages were moved to the hills. [Source 1]").otherwise("It cost 99 euros there. [Source 1]")
+        return rows.select("draft_id", F.to_json(F.struct(F.lit("H").alias("headline"), text.alias("article"), F.array(F.lit(1)).alias("source_ids"))).alias("answer"))
+
+    def verified(claims, given, **options):
+        read.append(given.count())
+        return plain(claims, given, **options)
+
+    monkeypatch.setattr(grounding, "verified", verified)
+    _, results = grounding.generation_rounds(requests, sources, write, terms=())
+    assert {(r["draft_id"], r["attempt"], r["status"]) for r in results.collect()} == {(k, 2 if k < 2 else 1, "success") for k in range(6)}
+    assert read == [6, 2]
+
+
+def test_fences_of_answers():
+    import re
+
+    rng = random.Random(3)
+    for _ in range(20000):
+        text = "".join(rng.choice(["```", "`", "json", "JSON", " ", "\n", '{"a": "b\nc"}', "{", "}", "x", '"', "\u2003"]) for _ in range(rng.randrange(7)))
+        body = re.sub(r"^```(?:json)?\s*|\s*```$", "", text.strip(), flags=re.IGNORECASE)
+        assert grounding.unfenced(text) == body
