@@ -135,6 +135,24 @@ def test_facts_are_looked_for_only_where_claims_state_some(spark):
     assert found == {1: (True, [], []), 2: (False, ["2024-03-05"], []), 3: (False, [], ["army"]), 4: (False, [], [])}
 
 
+def test_answers_are_parsed_once(spark, monkeypatch):
+    from inkstone.plans import catalog
+
+    seen, plain = spark.sparkContext.accumulator(0), grounding.parsed_drafts
+
+    def parsed(answers):
+        @F.udf("string")
+        def told(x):
+            seen.add(1)
+            return x
+
+        return plain(answers.withColumn("answer", told("answer")))
+
+    monkeypatch.setattr(grounding, "parsed_drafts", parsed)
+    n = len(catalog.QUERIES["draft_status"](spark, "/root/testdata/sf0.001").collect())
+    assert seen.value == n > 0
+
+
 def test_later_rounds_read_the_sources_of_open_drafts_only(spark, monkeypatch):
     told = "The river rose by 4 metres in May. Two villages were moved to the hills."
     sources = spark.createDataFrame([(k, 1, told) for k in range(6)], "draft_id long, source_id int, content string")
