@@ -89,6 +89,18 @@ def test_classes_do_not_squeeze_texts(spark):
     assert "regexp_replace" not in plan
 
 
+def counted(monkeypatch, spark):
+    """An accumulator of the texts that catalog queries embed."""
+    seen, plain = spark.sparkContext.accumulator(0), vector.letter_vectors
+
+    def embed(texts):
+        seen.add(len(texts))
+        return plain(texts)
+
+    monkeypatch.setattr(vector, "letter_vectors", embed)
+    return seen
+
+
 def test_sources_are_embedded_until_their_claims_are_supported(spark):
     tail = " ".join(f"Zz {'q' * 40}." for _ in range(60))
     told = {
@@ -135,6 +147,20 @@ def test_facts_are_looked_for_only_where_claims_state_some(spark):
     assert found == {1: (True, [], []), 2: (False, ["2024-03-05"], []), 3: (False, [], ["army"]), 4: (False, [], [])}
 
 
+def test_editorial_records_embed_few_texts(spark, monkeypatch):
+    embeds_few(spark, monkeypatch, "editorial_records")
+
+
+def embeds_few(spark, monkeypatch, name):
+    from inkstone.plans import catalog
+
+    seen = counted(monkeypatch, spark)
+    catalog.QUERIES["claim_grounding"](spark, "/root/testdata/sf0.001").collect()
+    every, seen.value = seen.value, 0
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert 0 < seen.value < every / 2
+
+
 def test_answers_are_parsed_once(spark, monkeypatch):
     from inkstone.plans import catalog
 
