@@ -151,6 +151,10 @@ def test_editorial_records_embed_few_texts(spark, monkeypatch):
     embeds_few(spark, monkeypatch, "editorial_records")
 
 
+def test_draft_verdicts_embed_few_texts(spark, monkeypatch):
+    embeds_few(spark, monkeypatch, "draft_verdicts")
+
+
 def embeds_few(spark, monkeypatch, name):
     from inkstone.plans import catalog
 
