@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.functions.lexicons import CLAIM_ENTITIES
-from inkstone.operators.vector import cached_embeddings, hashed_vectors
+from inkstone.operators.vector import embedded_once, hashed_vectors
 from inkstone.session import stored
 
 SIMILAR = 0.45
@@ -158,9 +158,11 @@ def _nearest_of_vectors(both: DataFrame, embed: Callable[[pd.Series], pd.Series]
 
     Places and keys are shuffled, never texts; the vectors of one source meet those of its claims in one row."""
     key = ["draft_id", "source_id"]
-    digest = lambda xs: F.transform(xs, lambda t: F.sha2(t.cast("binary"), 256))
+    # keys as 32 bytes, not as the 64 letters that the cache has
+    digest = lambda xs: F.transform(xs, lambda t: F.unhex(F.sha2(t.cast("binary"), 256)))
     texts = both.select(F.explode(F.concat(F.transform("asked", lambda a: a["claim"]), F.coalesce("told", F.array().cast("array<string>")))).alias("text"))
-    vectors, _ = cached_embeddings(texts, "text", cache, embed)
+    embedded_once(texts, "text", cache, embed)
+    vectors = both.sparkSession.read.schema("key string, embedding array<double>").parquet(cache).select(F.unhex("key").alias("key"), "embedding")
     parts = F.array(F.struct(F.lit(0).alias("side"), digest(F.transform("asked", lambda a: a["claim"])).alias("keys")), F.struct(F.lit(1).alias("side"), digest(F.coalesce("told", F.array().cast("array<string>"))).alias("keys")))
     places = both.select(*key, F.explode(parts).alias("p")).select(*key, "p.side", F.posexplode("p.keys").alias("place", "key"))
     met = places.join(vectors, "key", "left").groupBy(*key).agg(F.collect_list(F.struct("side", "place", "embedding")).alias("_found"))
@@ -209,7 +211,7 @@ def verified(claim_rows: DataFrame, sources: DataFrame, least: float = SIMILAR,
         judged = _nearest_of_texts(both, embed, None if similarity else least)
     else:
         told = F.when(there, T.sentences(F.col("content")))
-        judged = _nearest_of_vectors(stored(both.select(*key, "asked", told.alias("told")), "asked"), embed, cache)
+        judged = _nearest_of_vectors(stored(both.select(*key, "asked", told.alias("told")), "asked", "zstd"), embed, cache)
     judged = judged.select(*key, F.explode(F.arrays_zip("asked", "near")).alias("x")).select(*key, "x.asked.*", "x.near")
     cited = judged.select("draft_id", "paragraph", "sentence", "source_id", F.round(F.greatest("near", F.lit(0.0)), 6).alias("similarity"), "errors")
     uncited = rows.filter("source_id is null").select(F.col("draft_id").cast("long"), "paragraph", "sentence", F.col("source_id").cast("int"), F.lit(0.0).alias("similarity"), F.array(F.lit("no citation")).alias("errors"))

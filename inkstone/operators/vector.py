@@ -78,23 +78,31 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series]
     return rows.withColumn("embedding", vectors(F.col(text)))
 
 
-def cached_embeddings(texts: DataFrame, text: str, path: str, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> tuple[DataFrame, int]:
-    """(key, embedding) of the distinct texts, key their SHA-256, and how many of them had to be embedded.
+_CACHED = "key string, embedding array<double>"
+
 
-    The cache is a table in the shared folder at path: texts that are in it, from any run, are not embedded again. A run's new
-    vectors are appended as one write; whoever loses an executor meanwhile has them embedded again, never twice in the table."""
+def embedded_once(texts: DataFrame, text: str, path: str, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> int:
+    """Adds (key, embedding) of those distinct texts that the cache at path lacks, key their SHA-256, and tells how many they were.
+
+    Texts go from the shuffle that finds the distinct ones straight to the cache, and are stored nowhere else. A run's new vectors
+    are appended as one write; whoever loses an executor meanwhile has them embedded again, never twice in the table."""
     spark = texts.sparkSession
     keyed = texts.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("key"), F.col(text).alias("_text"))
-    wanted = stored(keyed.groupBy("key").agg(F.any_value("_text").alias("_text")), "texts")
+    wanted, before = keyed.groupBy("key").agg(F.any_value("_text").alias("_text")), 0
     if table_exists(spark, path):
-        wanted_new = wanted.join(spark.read.schema("key string, embedding array<double>").parquet(path).select("key"), "key", "left_anti")
-    else:
-        wanted_new = wanted
-    fresh = stored(embedded(wanted_new, "_text", embed).select("key", "embedding"), "embedded")
-    n = fresh.count()
-    if n or not table_exists(spark, path):
-        fresh.write.mode("append").parquet(path)
-    return spark.read.schema("key string, embedding array<double>").parquet(path).join(wanted.select("key"), "key", "left_semi"), n
+        known = spark.read.schema(_CACHED).parquet(path)
+        wanted, before = wanted.join(known.select("key"), "key", "left_anti"), known.count()
+    embedded(wanted, "_text", embed).select("key", "embedding").write.mode("append").parquet(path, compression="zstd")
+    return spark.read.schema(_CACHED).parquet(path).count() - before
+
+
+def cached_embeddings(texts: DataFrame, text: str, path: str, embed: Callable[[pd.Series], pd.Series] = hashed_vectors) -> tuple[DataFrame, int]:
+    """(key, embedding) of the distinct texts, key their SHA-256, and how many of them had to be embedded.
+
+    The cache is a table in the shared folder at path: texts that are in it, from any run, are not embedded again (see ``embedded_once``)."""
+    n = embedded_once(texts, text, path, embed)
+    wanted = texts.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text).cast("binary"), 256).alias("key"))
+    return texts.sparkSession.read.schema(_CACHED).parquet(path).join(wanted, "key", "left_semi"), n
 
 
 def image_relevance(articles: DataFrame, images: DataFrame, least: float = 0.20) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkstone.operators import dedup, grounding, lexicon, vector
 from inkstone.plans import catalog
-from inkstone.session import new_path
+from inkstone.session import new_path, tables_stored
 
 DIR = "/root/testdata/sf0.001"
 
@@ -78,6 +78,18 @@ def test_a_cache_embeds_each_text_once(spark):
     assert n == 1 and seen.value == 4 and sorted(r["embedding"][0] for r in more.collect()) == [0.0, 1.0, 3.0]
 
 
+def test_a_cache_is_the_only_copy_of_its_vectors(spark, tmp_path):
+    told = " ".join(f"Sentence {i} of the source has words {i * 7919}." for i in range(400))
+    sources = spark.createDataFrame([(1, 1, told)], "draft_id long, source_id int, content string")
+    made = spark.createDataFrame([(1, "Sentence 5 of the source has words 39595. [Source 1]", [1])], "draft_id long, article string, source_ids array<int>")
+    since, path = tables_stored(spark), str(tmp_path / "cache")
+    rows = grounding.verified(grounding.claims(made), sources, cache=path).collect()
+    assert [(r["similarity"], r["supported"]) for r in rows] == [(1.0, True)]
+    assert spark.read.parquet(path).count() == 400
+    # neither the vectors nor the distinct texts are stored beside the cache
+    assert [p.rsplit("/", 1)[1] for p in spark.sparkContext._inkstone_stored[since:]] == ["asked"]
+
+
 def test_images_without_text_come_last(spark):
     texts = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "article_id long, embedding array<double>")
     images = spark.createDataFrame([(1, 1, [0.0, 1.0]), (1, 2, [2.0, 0.0]), (1, 3, None), (2, 4, [1.0, 1.0]), (3, 5, [1.0, 1.0])], "article_id long, image_id long, embedding array<double>")
